@@ -1,10 +1,10 @@
 """N-gram Jaccard join with signature trees.
 
 Texts become sets of word shingles; equal sets collapse to classes. A pigeonhole partition of the hash space
-deals out the classes: sets that link differ in few shingles, so one of their parts must be equal. Classes that
-share a part form candidate clusters. In a cluster a tree is built whose nodes hold OR-combined token bitmaps and
-size ranges; a dual traversal prunes node pairs whose largest possible overlap is too small, and what is left at
-the leaves is verified on the sets.
+deals out the classes to blocks: sets that link differ in few shingles, so one of their parts must be equal. In a
+block a tree is built whose nodes hold OR-combined token bitmaps and size ranges; a dual traversal prunes node
+pairs whose largest possible overlap is too small. What is left at the leaves ties candidate clusters, in which a
+second tree over the full sets is traversed and each remaining pair verified exactly.
 """
 
 from __future__ import annotations
@@ -74,6 +74,22 @@ def part_keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def signature(x: np.ndarray) -> np.ndarray:
+    """Token bitmap of a set, of at least four bits a token: bit (hash mod width) of each."""
+    width = 1 << max(6, int(4 * len(x) - 1).bit_length()) if len(x) else 64
+    out = np.zeros(width // 64, U64)
+    at = x & U64(width - 1)
+    np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap at a smaller width."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 class SignatureTree:
     """Levels of nodes over sets in an order that puts like sets together; leaves are single sets.
 
@@ -81,19 +97,13 @@ class SignatureTree:
     set sizes below it, ``spare`` the largest number of tokens of one set that share a bit with another of its own.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        width = 1 << max(6, int(sizes.max() * 4 - 1).bit_length() if len(sets) else 6)
-        width = min(width, 1 << 15)
-        order = np.lexsort((sizes, [int(common.mix(s).min()) for s in sets]))
-        self.order = order
-        rows = np.zeros((len(sets), width // 64), U64)
-        spare = np.zeros(len(sets), np.int64)
-        for r, i in enumerate(order):
-            at = np.unique((sets[i] & U64(width - 1)).astype(np.int64))
-            np.bitwise_or.at(rows[r], at >> 6, U64(1) << (at & 63).astype(U64))
-            spare[r] = len(sets[i]) - len(at)
-        self.bits, self.low, self.high, self.spare = [rows], [sizes[order]], [sizes[order]], [spare]
+    def __init__(self, signatures: list[np.ndarray], sizes: np.ndarray):
+        words = min(map(len, signatures))
+        rows = np.stack([folded(b, words) for b in signatures])
+        sizes = np.asarray(sizes, np.int64)
+        self.order = np.lexsort((sizes, *rows[:, :3].T))
+        rows, sizes = rows[self.order], sizes[self.order]
+        self.bits, self.low, self.high, self.spare = [rows], [sizes], [sizes], [sizes - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)]
         while len(self.bits[-1]) > 1:
             cut = np.arange(0, len(self.bits[-1]), FANOUT)
             self.bits.append(np.bitwise_or.reduceat(self.bits[-1], cut, axis=0))
@@ -115,14 +125,14 @@ class SignatureTree:
         return out
 
 
-def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set the smallest index of a set that it reaches by verified links.
+def reach(signatures: list[np.ndarray], sizes: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each set the smallest index of a set that it reaches: by verified links, or without ``sets`` by possible ones.
 
     Dual traversal from the root pair down. Sets already known to be connected are not compared again, which
     keeps a large group of near copies near linear; any two sets left unconnected have been ruled out by a bound
     or compared exactly.
     """
-    n = len(sets)
+    n = len(signatures)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -135,27 +145,26 @@ def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         a, b = find(i), find(j)
         if a == b:
             return
-        x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        if den * both >= num * (len(x) + len(y) - both):
-            root[max(a, b)] = min(a, b)
+        if sets is not None:
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            if den * both < num * (len(x) + len(y) - both):
+                return
+        root[max(a, b)] = min(a, b)
 
-    tree = SignatureTree(sets)
+    tree = SignatureTree(signatures, sizes)
     order = tree.order.tolist()
-    for a, b in zip(order, order[1:]):
-        verify(a, b)
-    top = len(tree.bits) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    next_to = np.arange(n - 1)
+    for k in next_to[tree.possible(0, next_to, next_to + 1, num, den)].tolist():
+        verify(order[k], order[k + 1])
+    stack = [(len(tree.bits) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, a, b = stack.pop()
         if level == 0:
-            off = a != b
-            a, b = a[off], b[off]
-            if len(a):
-                keep = tree.possible(0, a, b, num, den)
-                for i, j in zip(a[keep].tolist(), b[keep].tolist()):
-                    verify(order[i], order[j])
+            keep = tree.possible(0, a, b, num, den) & (a != b)
+            for i, j in zip(a[keep].tolist(), b[keep].tolist()):
+                verify(order[i], order[j])
             continue
         keep = (a == b) | tree.possible(level, a, b, num, den)
         a, b = a[keep], b[keep]
@@ -174,20 +183,25 @@ def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
+def links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    return reach([signature(x) for x in sets], np.array([len(x) for x in sets]), num, den, sets)
+
+
 def _digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two hashes that together stand for the set."""
+    """doc_id, n_shingles, two hashes that together stand for the set, and its bitmap."""
 
     def run(batches):
         for b in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, bits = [], [], [], []
             for _, _, data, offsets in common.text_blocks(b):
                 for x in common.shingle_sets(data, offsets, words):
                     n.append(len(x))
                     h1.append(int(np.sum(common.mix(x ^ U64(0x5851F42D4C957F2D)), dtype=U64).astype(np.int64)))
                     h2.append(int(np.sum(common.mix(x + U64(0x14057B7EF767814F)), dtype=U64).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, h1, h2))], names=["doc_id", "n_shingles", "h1", "h2"])
+                    bits.append(signature(x).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, h1, h2)), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bits binary")
 
 
 def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -202,21 +216,95 @@ def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "key long, doc_id long")
 
 
-def _stars(batches):
-    """From rows sorted by (key, doc_id): an edge from each document to the first of its key, repeats in a batch left out."""
-    last, head = None, None
+SHORT = 64
+
+
+def _runs(batches):
+    """From rows sorted by (key, doc_id): (block, doc_id) of every key that several documents share.
+
+    A short run is named by its members, so the many keys that one group of documents shares make one block; a
+    longer run is named by its key and streamed. Repeats are left out within a task as far as a bounded set goes.
+    """
+    last, held, long = None, [], False
+    seen: set[int] = set()
+
+    def close():
+        if not long and len(held) > 1:
+            h = np.array(held, np.int64).view(U64)
+            name = int(common.grams(common.mix(h), len(h))[0].astype(np.int64))
+            if name not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(name)
+                return [name] * len(held), held
+        return [], []
+
     for b in batches:
         key, doc = np.asarray(b.column(0)), np.asarray(b.column(1))
         if not len(key):
             continue
-        new = np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1]))
-        at = np.cumsum(new) - 1
-        heads = np.concatenate(([doc[0] if head is None else head], doc[new]))
-        first = heads[at + 1]
-        last, head = key[-1], first[-1]
-        off = first != doc
-        pairs = np.unique(np.stack([doc[off], first[off]], 1), axis=0) if off.any() else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+        again = np.concatenate(([key[0] == last], key[1:] == key[:-1])) if last is not None else np.concatenate(([False], key[1:] == key[:-1]))
+        starts = np.flatnonzero(~again)
+        blocks, docs = [], []
+        first = int(starts[0]) if len(starts) else len(key)
+        pieces = [(0, first)] if first else []
+        ends = np.append(starts[1:], len(key)) if len(starts) else starts
+        wide = ends - starts > 1
+        if len(wide):
+            wide[-1] = True
+        pieces += [(int(x), int(y)) for x, y in zip(starts[wide], ends[wide])]
+        for x, y in pieces:
+            if x >= first:
+                for o, v in zip((blocks, docs), close()):
+                    o += v
+                held, long = [], False
+            some = doc[x:y].tolist()
+            if held and some[0] == held[-1]:
+                some = some[1:]
+            held = held + some
+            if long or len(held) > SHORT:
+                blocks += [int(key[x])] * (len(held) if not long else len(some))
+                docs += held if not long else some
+                held, long = held[-1:], True
+        last = key[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(docs, pa.int64())], names=["block", "node"])
+    blocks, docs = close()
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(docs, pa.int64())], names=["block", "node"])
+
+
+def _tasks(members: DataFrame, group: str) -> DataFrame:
+    """(group, ca, cb, node) of members(group, node, size): a group beyond the limits is split into chunks by a hash,
+    and every pair of its chunks is one task."""
+    heavy = members.groupBy(group).agg(F.count("*").alias("k"), F.sum("size").alias("w"))
+    chunks = F.greatest(F.ceil(F.col("k") / CHUNK_DOCS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int")
+    placed = members.join(heavy.where("k > 1").select(group, chunks.alias("m")), group).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    tasks = placed.select(group, "node", "c", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).where("m = 1 or o <> c")
+    return tasks.select(group, F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
+
+
+def _edges(ids: list, root: np.ndarray) -> pa.RecordBatch:
+    pairs = [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if i != r]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64())], names=["src", "dst"])
+
+
+def _bitmap_join(num: int, den: int):
+    """Possible links in each block, from rows (block, ca, cb, node, size, bits) sorted by block."""
+
+    def run(batches):
+        group, ids, sizes, bits = None, [], [], []
+        for b in batches:
+            for block, ca, cb, node, size, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (block, ca, cb) != group:
+                    if len(ids) > 1:
+                        yield _edges(ids, reach(bits, np.array(sizes), num, den))
+                    group, ids, sizes, bits = (block, ca, cb), [], [], []
+                ids.append(node)
+                sizes.append(size)
+                bits.append(np.frombuffer(raw, U64))
+        if len(ids) > 1:
+            yield _edges(ids, reach(bits, np.array(sizes), num, den))
+
+    return run
 
 
 def _tree_join(words: int, num: int, den: int):
@@ -226,10 +314,7 @@ def _tree_join(words: int, num: int, den: int):
         def close():
             if len(sets) < 2:
                 return
-            root = links(sets, num, den)
-            src = [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in src], pa.int64()), pa.array([d for _, d in src], pa.int64())], names=["src", "dst"])
+            yield _edges(ids, links(sets, num, den))
 
         for b in batches:
             keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
@@ -259,23 +344,21 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     if 4 * num < 3 * den:
         raise ValueError("the level scheme holds for thresholds of 0.75 or more")
     own = common.checkpoint(_digests(docs, words))
-    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = common.checkpoint(classes)
-    reps = classes.groupBy(F.col("rep").alias("src")).agg(F.max("n_shingles").alias("size"))
+    classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "bits")).alias("r"))
+    classes = classes.select("h1", "h2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.bits").alias("bits"))
+    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct(F.col("n_shingles").alias("size"), "bits")).alias("s"), F.count("*").alias("sets"))
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = _keys(docs, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "src long, dst long").distinct()
-    nodes = common.connected_components(stars.join(reps, "src").select("src", "dst")).join(reps.withColumnRenamed("src", "node"), "node")
-    nodes = common.checkpoint(nodes)
-    heavy = nodes.groupBy("component").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
-    chunks = F.greatest(F.ceil(F.col("k") / CHUNK_DOCS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int")
-    placed = nodes.join(heavy.select("component", chunks.alias("m")), "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    tasks = placed.select("component", "node", F.explode(F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("m") - 1))).alias("o"), "c", "m")
-    tasks = tasks.where("m = 1 or o <> c").select("component", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
+    runs = _keys(docs, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, "block long, node long").distinct()
+    members = common.checkpoint(runs.join(reps.select("node", "s.size", "s.bits"), "node"))
+    blocks = _tasks(members.select("block", "node", "size"), "block").join(members, ["block", "node"]).select("block", "ca", "cb", "node", "size", "bits")
+    maybe = blocks.repartition(n, "block", "ca", "cb").sortWithinPartitions("block", "ca", "cb", "node").mapInArrow(_bitmap_join(num, den), "src long, dst long")
+    nodes = common.connected_components(maybe).join(reps.select("node", "s.size"), "node")
+    tasks = _tasks(common.checkpoint(nodes), "component")
     work = tasks.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("component", "ca", "cb", "node", "text")
     found = work.repartition(n, "component", "ca", "cb").sortWithinPartitions("component", "ca", "cb", "node").mapInArrow(_tree_join(words, num, den), "src long, dst long")
     joined = common.connected_components(found).withColumnRenamed("node", "rep")
     labels = classes.join(joined, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    same_id = own.where("doc_id is not null")
+    same_id = own.where("doc_id is not null").drop("bits")
     out = same_id.join(labels, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.union(own.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
 
