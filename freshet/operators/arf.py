@@ -75,9 +75,9 @@ def noncircular_factor(cells: DataFrame, keys: list[str]) -> DataFrame:
 def from_curve(points: DataFrame, curve: DataFrame) -> DataFrame:
     """points(duration, area, ...) with arf from curve(duration, area, factor): 1 up to the smallest area, linear, the last
     one beyond, held between the smallest factor and 1."""
-    ends = curve.groupBy("duration").agg(F.min("area").alias("_lo"), F.min("factor").alias("_least"))
+    ends = curve.groupBy("duration").agg(F.min("area").alias("_smallest"), F.min("factor").alias("_least"))
     out = interpolate(points.join(ends, "duration"), curve.select("duration", "area", "factor"), "duration", x="area", y="factor", out="_f")
-    return out.withColumn("arf", F.when(F.col("area") <= F.col("_lo"), 1.0).otherwise(F.greatest(F.col("_least"), F.least(F.lit(1.0), F.col("_f"))))).drop("_lo", "_least", "_f")
+    return out.withColumn("arf", F.when(F.col("area") <= F.col("_smallest"), 1.0).otherwise(F.greatest(F.col("_least"), F.least(F.lit(1.0), F.col("_f"))))).drop("_smallest", "_least", "_f")
 
 
 def nearest_duration(points: DataFrame, durations: DataFrame) -> DataFrame:

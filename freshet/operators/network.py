@@ -31,8 +31,8 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
 
     Each round joins the newest nodes only and drops those already found, so diamonds are walked once.
     """
-    e = edge.select("src", "dst").distinct()
-    new = checkpointed(targets.select(F.col("target"), F.col("target").alias("node")))
+    e = checkpointed(edge.select("src", "dst").distinct())
+    new = checkpointed(targets.groupBy("target").agg(F.min("target").alias("node")))  # an alias would be carried on as a constraint by every round
     seen = new
     for _ in range(max_depth):
         step = new.join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
@@ -46,6 +46,7 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
 def upstream(edge: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, name, kind): a row for each edge whose head is the target or upstream of it, so an element with two
     such edges is listed twice and a cycle lists the target itself."""
+    edge = checkpointed(edge)
     c = closure(edge, targets)
     return edge.join(c, edge.dst == c.node).select("target", F.col("src").alias("name"), F.col("src_type").alias("kind"))
 

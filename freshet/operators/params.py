@@ -77,8 +77,7 @@ def distinct_files(columns: list[DataFrame]) -> DataFrame:
 
 def method_sets(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Distinct methods of comma-separated lists, sorted."""
-    one = F.trim(F.explode(F.split(column, ",")))
-    return df.select(*keys, one.alias("m")).where("m <> ''").groupBy(*keys).agg(F.concat_ws(", ", F.array_sort(F.collect_set("m"))).alias("methods"))
+    return df.select(*keys, F.explode(F.split(column, ",")).alias("m")).withColumn("m", F.trim("m")).where("m <> ''").groupBy(*keys).agg(F.concat_ws(", ", F.array_sort(F.collect_set("m"))).alias("methods"))
 
 
 def percent_change(old: DataFrame, new: DataFrame, key: str, value: str = "value") -> DataFrame:
