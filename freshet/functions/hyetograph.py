@@ -176,3 +176,35 @@ def compare(storm: DataFrame, golden: DataFrame, on: list[str], value: str = "in
         F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_abs_diff"), F.avg(d).alias("mean_diff"), F.corr(value, other).alias("correlation"),
         (F.sum(value) - F.sum(other)).alias("total_diff"), (F.max(value) - F.max(other)).alias("peak_diff"),
     )
+
+
+def frequency_vector(depths: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, depths: the depths of FREQUENCY_DURATIONS in order, from depths(keys, duration, depth); missing lists those
+    durations that are not there."""
+    at = {d: F.max(F.when(F.col("duration") == d, F.col("depth"))) for d in FREQUENCY_DURATIONS}
+    wide = depths.groupBy(*keys).agg(*[v.alias(f"d{d}") for d, v in at.items()])
+    names = [f"d{d}" for d in FREQUENCY_DURATIONS]
+    missing = F.array_compact(F.array(*[F.when(F.col(f"d{d}").isNull(), F.lit(d)) for d in FREQUENCY_DURATIONS]))
+    return wide.select(*keys, F.array(*names).alias("depths"), missing.alias("missing"))
+
+
+def total_of_curve(depths: DataFrame, keys: list[str]) -> DataFrame:
+    """The depth of the longest duration, which alone scales a pattern storm."""
+    return depths.groupBy(*keys).agg(F.max("duration").alias("duration"), F.max_by("depth", "duration").alias("depth"))
+
+
+def empirical_storm(storms: DataFrame, curves: DataFrame) -> DataFrame:
+    """storms(storm_id, curve, depth, duration_min, interval_min) under curves(curve, x, y) in percent, with (0, 0) and
+    (100, 100) added and made monotone by a running maximum."""
+    ends = curves.select("curve").distinct().select("curve", F.explode(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(100.0).alias("x"), F.lit(100.0).alias("y")))).alias("p"))
+    whole = curves.where("x > 0 and x < 100").select("curve", "x", "y").union(ends.select("curve", "p.x", "p.y"))
+    up = monotone(whole, ["curve"]).select("curve", (F.col("x") / 100).alias("x"), "y")
+    return cumulative_storm(storms, up, "curve", scale=100.0)
+
+
+def duration_class(storms: DataFrame, classes: DataFrame) -> DataFrame:
+    """storms(storm_id, hours) with the one class(lo, hi, name) that holds it, ends included; status ambiguous at a shared
+    end, missing outside all."""
+    hit = storms.join(F.broadcast(classes), (F.col("hours") >= F.col("lo")) & (F.col("hours") <= F.col("hi")), "left")
+    out = hit.groupBy("storm_id").agg(F.count("name").alias("n"), F.min("name").alias("name"))
+    return out.select("storm_id", F.when(F.col("n") == 1, F.col("name")).alias("name"), F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "ambiguous").otherwise("found").alias("status"))

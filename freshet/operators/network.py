@@ -101,3 +101,22 @@ def nearest_outlet(crossings: DataFrame, group: list[str]) -> DataFrame:
 def dedupe_points(points: DataFrame, digits: int = 6) -> DataFrame:
     """First of the points(idx, x, y) that agree on rounded coordinates."""
     return points.groupBy(F.round("x", digits).alias("rx"), F.round("y", digits).alias("ry")).agg(F.min(F.struct("idx", "x", "y")).alias("p")).select("p.*")
+
+
+def components(edge: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, component) of edges(src, dst): the smallest node reachable, by rounds of taking the smallest label around.
+
+    Labels also jump to their own label's label, so long chains take few rounds.
+    """
+    e = checkpointed(edge.select("src", "dst").union(edge.select("dst", "src")).where("src <> dst").distinct())
+    lab = checkpointed(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
+    for _ in range(max_rounds):
+        around = e.join(lab, e.dst == lab.node).groupBy(F.col("src").alias("n")).agg(F.min("component").alias("low"))
+        step = lab.join(around, lab.node == around.n).select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+        up = step.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        new = checkpointed(step.join(up, "component", "left").select("node", "was", F.coalesce(F.least("component", "above"), "component").alias("component")))
+        changed = not new.where("was <> component").isEmpty()
+        lab = new.select("node", "component")
+        if not changed:
+            return lab
+    raise RuntimeError("components: no fixed point")
