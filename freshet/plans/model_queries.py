@@ -92,12 +92,12 @@ def running_max(spark, sf):
     return hyetograph.monotone(p)
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n, least(p_size - 1, greatest(0, CAST(floor((p_partkey % 5) * 0.2 * p_size + 1e-9) AS BIGINT))) AS p FROM part WHERE p_partkey < 300),
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n, least(p_size - 1, greatest(0, CAST(floor((p_partkey % 5) * 0.2 * p_size + 1e-9) AS BIGINT))) AS p FROM part),
 r AS (SELECT p_partkey, n, p, CAST(0 AS BIGINT) AS k, p AS place, p - 1 AS lo, p + 1 AS hi, true AS before FROM c
 UNION ALL SELECT p_partkey, n, p, k + 1, CASE WHEN before THEN CASE WHEN lo >= 0 THEN lo ELSE hi END ELSE CASE WHEN hi < n THEN hi ELSE lo END END, CASE WHEN before AND lo >= 0 OR NOT before AND hi >= n THEN lo - 1 ELSE lo END, CASE WHEN before AND lo < 0 OR NOT before AND hi < n THEN hi + 1 ELSE hi END, NOT before FROM r WHERE k + 1 < n)
 SELECT p_partkey, k, place FROM r""")
 def alternating_blocks(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 300").select("p_partkey", F.col("p_size").alias("n"), ((F.col("p_partkey") % 5) * 20).alias("pct"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("n"), ((F.col("p_partkey") % 5) * 20).alias("pct"))
     rows = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return rows.select("p_partkey", F.col("k").cast("long").alias("k"), hyetograph.block_place(F.col("k"), F.col("n"), F.col("pct")).cast("long").alias("place"))
 
@@ -137,9 +137,9 @@ def texas_segment_arf(spark, sf):
     return arf.depth_distance(p).withColumns({"s2": F.round("s2", 4), "arf": F.round("arf", 5)})
 
 
-@query(f"WITH p AS (SELECT p_brand, {CITY.format('p_partkey')} AS city, CAST(p_size AS DOUBLE) AS r, p_retailprice AS area FROM part WHERE p_size < 50), j AS (SELECT p_brand, sa - sb * r AS s2, area FROM p JOIN {SEG} ON p.city = s.city AND r >= lo AND (r < hi OR hi = 50)) SELECT p_brand, round(sum(s2 * area) / sum(area), 6) AS arf FROM j GROUP BY p_brand")
+@query(f"WITH p AS (SELECT p_brand, {CITY.format('p_partkey')} AS city, CAST(p_size AS DOUBLE) AS r, p_retailprice AS area FROM part), j AS (SELECT p_brand, sa - sb * r AS s2, area FROM p JOIN {SEG} ON p.city = s.city AND r >= lo AND (r < hi OR hi = 50)) SELECT p_brand, round(sum(s2 * area) / sum(area), 6) AS arf FROM j GROUP BY p_brand")
 def noncircular_arf(spark, sf):
-    p = table(spark, sf, "part").where("p_size < 50").selectExpr("p_brand", f"{CITY.format('p_partkey')} as city", "cast(p_size as double) as r", "p_retailprice as area")
+    p = table(spark, sf, "part").selectExpr("p_brand", f"{CITY.format('p_partkey')} as city", "cast(p_size as double) as r", "p_retailprice as area")
     return arf.noncircular_factor(p, ["p_brand"]).withColumn("arf", F.round("arf", 6))
 
 
@@ -166,10 +166,10 @@ def apply_arf(spark, sf):
     return arf.apply_factor(table(spark, sf, "supplier").withColumnRenamed("s_acctbal", "depth"), f, "s_nationkey", 2).select("s_suppkey", "s_nationkey", "depth_reduced")
 
 
-@query("SELECT s_nationkey AS k, 'missing' AS problem FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey < 60) GROUP BY 1 UNION ALL SELECT c_nationkey, 'extra' FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey < 60 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1")
+@query("WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 5000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000) SELECT k, 'missing' AS problem FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'extra' FROM b WHERE k NOT IN (SELECT k FROM a)")
 def arf_missing_extra(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
-    return arf.unmatched(s, table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY' and c_custkey < 60").select(F.col("c_nationkey").alias("k")), "k")
+    s = table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k")
+    return arf.unmatched(s.where("s_acctbal < 5000"), s.where("s_acctbal > 3000"), "k")
 
 
 # --- networks: part p drains to p div 2 ---
@@ -222,10 +222,10 @@ def stream_summary(spark, sf):
     return s.withColumn("length", F.round("length", 2))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') b ON a.k = b.k")
 def key_reconciliation(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
-    return network.reconcile(a, table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k")), "k")
+    a = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return network.reconcile(a, table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("SELECT p_brand, p_partkey AS idx, p_size AS \"order\", p_retailprice AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice, p_partkey) AS n FROM part) WHERE n = 1")
@@ -258,12 +258,12 @@ def component_exists(spark, sf):
     return params.known_components(table(spark, sf, "orders"), "o_custkey", known, "c_custkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS old FROM supplier WHERE s_suppkey % 2 = 0), c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 4 = 0 THEN concat(s_nationkey, '.0') ELSE CAST(s_nationkey + 1 AS VARCHAR) END AS v FROM supplier WHERE s_suppkey % 5 < 3), n AS (SELECT * FROM c WHERE v IS NOT NULL)
+@query("""WITH o AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS old FROM supplier WHERE s_acctbal > 3000), c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 4 = 0 THEN concat(s_nationkey, '.0') ELSE CAST(s_nationkey + 1 AS VARCHAR) END AS v FROM supplier WHERE s_acctbal < 7000), n AS (SELECT * FROM c WHERE v IS NOT NULL)
 SELECT coalesce(o.k, n.k) AS k, old, CASE WHEN n.k IS NULL OR o.k IS NOT NULL AND TRY_CAST(old AS DOUBLE) = TRY_CAST(v AS DOUBLE) THEN old ELSE v END AS value, CASE WHEN n.k IS NULL THEN 'kept' WHEN o.k IS NULL THEN 'inserted' WHEN TRY_CAST(old AS DOUBLE) = TRY_CAST(v AS DOUBLE) THEN 'unchanged' ELSE 'updated' END AS status FROM o FULL JOIN n ON o.k = n.k""")
 def param_upsert(spark, sf):
     s = table(spark, sf, "supplier")
-    old = s.where("s_suppkey % 2 = 0").selectExpr("s_suppkey as k", "cast(s_nationkey as string) as value")
-    new = s.where("s_suppkey % 5 < 3").selectExpr("s_suppkey as k", "case when s_suppkey % 3 = 0 then null when s_suppkey % 4 = 0 then concat(s_nationkey, '.0') else cast(s_nationkey + 1 as string) end as value")
+    old = s.where("s_acctbal > 3000").selectExpr("s_suppkey as k", "cast(s_nationkey as string) as value")
+    new = s.where("s_acctbal < 7000").selectExpr("s_suppkey as k", "case when s_suppkey % 3 = 0 then null when s_suppkey % 4 = 0 then concat(s_nationkey, '.0') else cast(s_nationkey + 1 as string) end as value")
     return params.upsert(old, new, ["k"], insert=True)
 
 
@@ -380,9 +380,9 @@ def grid_cells(spark, sf):
     return transfer.cells(b, 2.0).groupBy("row", "col").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area"))
 
 
-@query("SELECT n, CASE n WHEN 1 THEN 'assigned' ELSE CASE WHEN n IS NULL THEN 'missing' ELSE 'ambiguous' END END AS status, count(*) AS k FROM (SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) ON c_custkey = o_custkey) GROUP BY ALL")
+@query("SELECT n, CASE n WHEN 1 THEN 'assigned' ELSE CASE WHEN n IS NULL THEN 'missing' ELSE 'ambiguous' END END AS status, count(*) AS k FROM (SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey) GROUP BY ALL")
 def assignment_check(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0").selectExpr("o_custkey as id", "o_orderkey as area_id")
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as id", "o_orderkey as area_id")
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     n = o.groupBy("id").agg(F.count("*").alias("n"))
     return transfer.assignments(o, p).join(n, "id", "left").groupBy("n", "status").agg(F.count("*").alias("k"))
@@ -408,22 +408,23 @@ def overlap_metrics(spark, sf):
 
 
 def fingerprints(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 200").select("label", F.col("vec_id").alias("id"), F.posexplode("embedding").alias("pos", "value"))
-    e = e.withColumn("value", F.col("value").cast("double"))
-    return e.where("id % 2 = 0"), e.where("id % 2 = 1")
+    """Mean vectors of each label, over even and over odd ids, as two supports of one record."""
+    e = table(spark, sf, "embeddings").select(F.lit(1).alias("g"), "label", (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("pos", "value"))
+    m = e.groupBy("g", "side", F.col("label").alias("id"), "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    return m.where("side = 0").drop("side"), m.where("side = 1").drop("side")
 
 
-@query("WITH e AS (SELECT label, vec_id AS id, embedding FROM embeddings WHERE vec_id < 200), u AS (SELECT label, id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM e) SELECT a.label, a.id AS a_id, b.id AS b_id, round(avg(pow(a.v - b.v, 2)), 6) AS cost FROM u a JOIN u b ON a.label = b.label AND a.pos = b.pos WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2, 3")
+@query("WITH u AS (SELECT label, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, side, pos, avg(v) AS v FROM u GROUP BY ALL) SELECT 1 AS g, a.label AS a_id, b.label AS b_id, round(avg(pow(a.v - b.v, 2)), 6) AS cost FROM m a JOIN m b ON a.pos = b.pos WHERE a.side = 0 AND b.side = 1 GROUP BY 2, 3")
 def fingerprint_cost(spark, sf):
     a, b = fingerprints(spark, sf)
-    return transfer.fingerprint_cost(a, b, ["label"]).withColumn("cost", F.round("cost", 6))
+    return transfer.fingerprint_cost(a, b, ["g"]).withColumn("cost", F.round("cost", 6))
 
 
 @query()
 def fingerprint_assignment(spark, sf):
-    """One-to-one assignment of least total cost in each label; tested against all permutations."""
+    """One-to-one assignment of least total cost; tested against all permutations."""
     a, b = fingerprints(spark, sf)
-    return transfer.assign(transfer.fingerprint_cost(a, b, ["label"]), ["label"])
+    return transfer.assign(transfer.fingerprint_cost(a, b, ["g"]), ["g"])
 
 
 # --- scalars, dates, logs ---

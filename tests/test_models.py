@@ -296,3 +296,48 @@ def test_streams_equal_batch(spark, tmp_path):
     assert run(stream.running_peak(src(), "event_type"), "peaks", "complete").count() == 5
     routed = run(stream.route(src(), "event_type", 0.5, 10.0, 60.0, 20.0), "routed", "append")
     assert routed.count() == e.count() and routed.where("storage < 10 or storage > 60").count() == 0
+
+
+def test_wall_clock_changes(spark):
+    from freshet.operators import checks
+
+    rows = [("spring", "2024-03-10 01:30:00"), ("spring", "2024-03-10 02:30:00"), ("spring", "2024-03-10 03:30:00"), ("fall", "2024-11-03 01:30:00"), ("fall", "2024-11-03 03:30:00"), ("calm", "2024-07-01 00:00:00"), ("calm", "2024-07-02 00:00:00")]
+    df = spark.createDataFrame(rows, "k string, s string").selectExpr("k", "cast(s as timestamp_ntz) as ts")
+    got = {r.k: r for r in checks.wall_clock(df, ["k"], "America/Chicago").collect()}
+    assert got["spring"].nonexistent == 1 and got["spring"].offsets > 1
+    assert got["fall"].ambiguous == 1
+    assert (got["calm"].nonexistent, got["calm"].ambiguous, got["calm"].offsets) == (0, 0, 1)
+
+
+def test_closed_keys(spark):
+    from freshet.operators import checks
+
+    df = spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"a": 1, "c": 3}',), (None,), ("[1]",)], "j string")
+    got = [(sorted(r.missing), r.unknown) for r in checks.closed_keys(df, "j", ["a", "b"]).collect()]
+    assert got == [([], []), (["b"], ["c"]), (["a", "b"], []), (["a", "b"], [])]
+
+
+def test_empirical_storm_and_vector(spark):
+    curves = spark.createDataFrame([("c", 25.0, 10.0), ("c", 50.0, 60.0), ("c", 75.0, 55.0)], "curve string, x double, y double")
+    storms = spark.createDataFrame([("s", "c", 2.0, 60, 15)], "storm_id string, curve string, depth double, duration_min int, interval_min int")
+    got = sorted((r.i, r.cumulative_depth) for r in hyetograph.empirical_storm(storms, curves).collect())
+    assert np.allclose([c for _, c in got], [0, 0.2, 1.2, 1.2, 2.0])
+    d = spark.createDataFrame([("s", t, float(t)) for t in hyetograph.FREQUENCY_DURATIONS if t != 30], "k string, duration int, depth double")
+    r = hyetograph.frequency_vector(d, ["k"]).first()
+    assert r.missing == [30] and r.depths[0] == 5.0 and r.depths[2] is None
+
+
+def test_within_and_cells_of_a_triangle(spark):
+    from freshet.operators import geometry
+
+    tri = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 4.0, 0.0), (1, 2, 0.0, 4.0)], "id int, ord int, x double, y double")
+    pts = [(i, random.Random(i).uniform(-1, 5), random.Random(i + 999).uniform(-1, 5)) for i in range(200)]
+    got = {r.point for r in geometry.within(spark.createDataFrame(pts, "point int, px double, py double"), tri, 1.0).collect()}
+    assert got == {i for i, x, y in pts if x > 0 and y > 0 and x + y < 4}
+    assert abs(geometry.cell_areas(tri, 1.0).agg(F.sum("area")).first()[0] - 8) < 1e-9
+
+
+def test_components_of_chains(spark):
+    e = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101)]
+    got = {r.node: r.component for r in network.components(spark.createDataFrame(e, "src long, dst long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
