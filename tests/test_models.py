@@ -341,3 +341,26 @@ def test_components_of_chains(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101)]
     got = {r.node: r.component for r in network.components(spark.createDataFrame(e, "src long, dst long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_json_documents(spark, tmp_path):
+    from freshet.sources import documents
+
+    good = {"schema": "s/1.0", "selector": "r", "units": "CMS", "data_type": "INST-VAL", "interval_minutes": 60, "timestamps": ["2026-11-18T00:00:00Z", "2026-11-18T01:00:00Z"], "values": [0, 17.5]}
+    (tmp_path / "a.json").write_text(json.dumps(good))
+    (tmp_path / "b.json").write_text(json.dumps(good | {"extra": 1}))
+    (tmp_path / "c.json").write_text(json.dumps(good | {"values": [1]}))
+    got = documents.portable_series(text.read_files(spark, str(tmp_path))).collect()
+    assert sorted((r.file[-6], r.value, r.problem) for r in got) == [("a", 0.0, None), ("a", 17.5, None), ("b", None, "unknown: extra"), ("c", None, "unequal lengths")]
+    grid = {"shape": [2, 2], "cell_size": 1000.0, "origin": [5000.0, 1000.0], "crs": "x", "row_order": "south-to-north"}
+    src = {"domain": {"grid": grid}, "times": ["2026-11-01T23:00:00Z", "2026-11-02T00:00:00Z", "2026-11-02T01:00:00Z"], "interval_seconds": 3600, "units": "MM", "data_type": "PER-CUM", "segments": [{"kind": "observed", "first_frame": 0, "frame_count": 1}, {"kind": "forecast", "first_frame": 1, "frame_count": 1}]}
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/g.json").write_text(json.dumps({"source": src, "frames": [[[0.0, 1.25], [None, 2.5]], [[4.0, 0.0], [None, 8.5]]], "mask": [[True, True], [False, True]]}))
+    rows = documents.forecast_frames(text.read_files(spark, str(tmp_path / "f"))).orderBy("start", "row", "col").collect()
+    assert [(r.kind, r.row, r.col, r.value) for r in rows] == [("observed", 0, 0, 0.0), ("observed", 0, 1, 1.25), ("observed", 1, 1, 2.5), ("forecast", 0, 0, 4.0), ("forecast", 0, 1, 0.0), ("forecast", 1, 1, 8.5)]
+    assert (rows[0].x, rows[2].y, str(rows[3].end)) == (5500.0, 2500.0, "2026-11-02 01:00:00")
+    (tmp_path / "h").mkdir()
+    v = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 1.0, 0.0), ("a", 3, 1.0, 1.0)], "n string, ord int, x double, y double")
+    (tmp_path / "h/x.geojson").write_text(sinks.collection(sinks.shapes_geojson(v, ["n"], True)).first().content)
+    f = documents.features(text.read_files(spark, str(tmp_path / "h")))
+    assert f.first().properties == {"n": "a"} and [(r.x, r.y) for r in documents.vertices(f).orderBy("ord").collect()] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
