@@ -132,6 +132,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """A bit for the hash of each key, as rows (_word, _mask): bits / 64 of them at most, whatever the number of keys.
+
+    That bound (131,072 rows, 2 MB) is what lets it be broadcast. It only spares rows that cannot match a shuffle;
+    with far more keys than bits it lets all rows through, and the join after it gives the same result.
+    """
+    h = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    return checkpoint(keys.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_mask")))
+
+
+def filtered(rows: DataFrame, table: DataFrame, columns: list[str], inside: bool = True, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key may be among the table's, or those whose key is certainly not."""
+    h = F.pmod(F.xxhash64(*[rows[c] for c in columns]), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    hit = (F.floor(h / 64) == table["_word"]) & (table["_mask"].bitwiseAND(one) != 0)
+    return rows.join(F.broadcast(table), hit, "left_semi" if inside else "left_anti")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a match among the keys; only those that may have one are shuffled. Null keys match null keys."""
+    keys = checkpoint(keys.select(*columns).distinct())
+    table = key_filter(keys, columns)
+    named = keys.select(*[F.col(c).alias(f"_k_{c}") for c in columns])
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return filtered(rows, table, columns, inside=False).unionByName(filtered(rows, table, columns).join(named, on, "left_anti"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges(src, dst)``; component is the smallest node reachable.
 

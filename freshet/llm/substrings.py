@@ -100,13 +100,17 @@ def _repeated(batches):
 
 
 def _cut(shards: int):
-    """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the place in its document."""
+    """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the places (int32) in a document.
+
+    A segment has at most WINDOW - GRAM + 1 windows, so its first and last window cover it and their hashes name it.
+    Equal segments go to the index once a task (again only for a smaller document), as far as a bounded table goes.
+    """
 
     def run(batches):
-        lowest: dict[tuple[int, int], int] = {}
+        lowest: dict[int, int] = {}
         for b in batches:
-            ids, hashes, marks = np.asarray(b.column(0)), np.asarray(b.column(2)), b.column(3)
-            out = [[] for _ in range(7)]
+            ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(2))
+            marks, cuts = np.asarray(b.column(3).values).view(U64), np.asarray(b.column(3).offsets)
             for i, _, data, offsets in common.text_blocks(b):
                 h, s, e, first = common.hash_words(data, offsets)
                 text, lo, hi, anchor = _segments(h, first)
@@ -114,28 +118,40 @@ def _cut(shards: int):
                 edges = np.searchsorted(text, np.arange(len(offsets)))
                 for k in range(len(offsets) - 1):
                     if edges[k + 1] > edges[k]:
-                        own = np.asarray(marks[i + k].values).view(U64)
-                        held[edges[k] : edges[k + 1]] = np.isin(anchor[edges[k] : edges[k + 1]], own)
-                for q in np.flatnonzero(held):
-                    k, p, n = int(text[q]), int(lo[q]), int(hi[q] - lo[q])
-                    seg = b" ".join(data[s[w] : e[w]].tobytes() for w in range(p, p + n + WINDOW))
-                    key = int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
-                    doc, shard = int(ids[i + k]), int(anchor[q] % U64(shards))
-                    out_row = (shard, 1, key, doc, int(hashes[i + k]), p - int(first[k]), None)
-                    if lowest.get((shard, key), doc + 1) > doc:
-                        lowest[(shard, key)] = doc
-                        for c, v in zip(out, (shard, 0, key, doc, None, None, seg)):
-                            c.append(v)
-                    for c, v in zip(out, out_row):
-                        c.append(v)
+                        held[edges[k] : edges[k + 1]] = np.isin(anchor[edges[k] : edges[k + 1]], marks[cuts[i + k] : cuts[i + k + 1]])
+                text, lo, hi, anchor = text[held], lo[held], hi[held], anchor[held]
+                if not len(text):
+                    continue
+                whole = common.grams(h, WINDOW)
+                key = common.mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] + (hi - lo).astype(U64)).view(np.int64)
+                doc, shard = ids[i + text], (anchor % U64(shards)).astype(np.int64)
+                order = np.lexsort((lo, text, key))
+                key, doc, shard, text, lo, hi = (v[order] for v in (key, doc, shard, text, lo, hi))
+                fresh = np.concatenate(([True], key[1:] != key[:-1]))
+                own = np.flatnonzero(fresh | np.concatenate(([True], text[1:] != text[:-1])))
+                starts = (lo - first[text]).astype(np.int32).tobytes()
+                places = [starts[4 * x : 4 * y] for x, y in zip(own.tolist(), [*own[1:].tolist(), len(key)])]
+                yield _rows(shard[own], np.ones(len(own), np.int32), key[own], doc[own], hashes[i + text[own]], places)
+                fresh = np.flatnonzero(fresh)
+                lowest_here = np.minimum.reduceat(doc, fresh)
+                doc = doc.copy()
+                doc[fresh] = lowest_here
+                new = [q for q, k, d in zip(fresh.tolist(), key[fresh].tolist(), doc[fresh].tolist()) if lowest.get(k, d + 1) > d]
+                lowest.update(zip(key[new].tolist(), doc[new].tolist()))
+                if new:
+                    words = [data[s[x] : e[y + WINDOW - 1]].tobytes() for x, y in zip(lo[new].tolist(), hi[new].tolist())]
+                    yield _rows(shard[new], np.zeros(len(new), np.int32), key[new], doc[new], np.zeros(len(new), np.int64), words)
                 if len(lowest) > 500_000:
                     lowest.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["shard", "kind", "key", "doc_id", "text_hash", "start", "words"])
 
     return run
 
 
+def _rows(shard, kind, key, doc, text_hash, data) -> pa.RecordBatch:
+    columns = [pa.array(shard), pa.array(kind), pa.array(key), pa.array(doc), pa.array(text_hash), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "key", "doc_id", "text_hash", "data"])
+
+
 class WaveletMatrix:
     """Rank over a sequence of small integers: one packed bit row a level, with a running count every 64 bits."""
 
@@ -213,36 +229,68 @@ def window_owners(words: list[np.ndarray], docs: np.ndarray) -> list[np.ndarray]
     return np.split(least[back.ravel()], np.cumsum(counts)[:-1])
 
 
+class _Shard:
+    """Distinct segments of a shard, then the owners of their windows, by key."""
+
+    def __init__(self):
+        self.words: dict[int, bytes] = {}
+        self.docs: dict[int, int] = {}
+        self.keys = None
+
+    def add(self, key: list[int], doc: list[int], words: list[bytes]) -> None:
+        for k, d, w in zip(key, doc, words):
+            self.words[k] = w
+            self.docs[k] = min(d, self.docs.get(k, d))
+
+    def close(self) -> None:
+        keys = sorted(self.words)
+        joined = b"\n".join(self.words[k] for k in keys)
+        offsets = np.concatenate(([0], np.cumsum([len(self.words[k]) + 1 for k in keys])))
+        offsets[-1] -= 1
+        h, _, _, first = common.hash_words(np.frombuffer(joined, np.uint8), offsets)
+        owners = window_owners([h[first[i] : first[i + 1]] for i in range(len(keys))], np.array([self.docs[k] for k in keys], np.int64))
+        self.keys = np.array(keys, np.int64)
+        self.counts = np.array([len(x) for x in owners])
+        self.begin = np.concatenate(([0], np.cumsum(self.counts)[:-1]))
+        self.owners = np.concatenate(owners)
+        self.words, self.docs = {}, {}
+
+    def hits(self, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of each place that a smaller document owns; last is -1 where there is none."""
+        at = np.searchsorted(self.keys, key)
+        n = self.counts[at]
+        edge = np.concatenate(([0], np.cumsum(n)[:-1]))
+        window = np.arange(int(n.sum())) - np.repeat(edge, n)
+        hit = self.owners[np.repeat(self.begin[at], n) + window] < np.repeat(doc, n)
+        return np.minimum.reduceat(np.where(hit, window, WINDOW), edge), np.maximum.reduceat(np.where(hit, window, -1), edge)
+
+
 def _search(batches):
     """From rows sorted by (shard, kind): (doc_id, text_hash, start, end) of the words to remove."""
-    shard, words, docs, owners = None, {}, {}, None
+    shard, now = None, _Shard()
     for b in batches:
-        out = [[], [], [], []]
-        col = [b.column(k).to_pylist() for k in range(7)]
-        for s, kind, key, doc, th, start, seg in zip(*col):
-            if s != shard:
-                shard, words, docs, owners = s, {}, {}, None
-            if kind == 0:
-                words[key] = seg
-                docs[key] = min(doc, docs.get(key, doc))
+        s, kind, key, doc, text_hash = (np.asarray(b.column(k)) for k in range(5))
+        if not len(s):
+            continue
+        cuts = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])))).tolist() + [len(s)]
+        out = []
+        for x, y in zip(cuts, cuts[1:]):
+            if s[x] != shard:
+                shard, now = s[x], _Shard()
+            if kind[x] == 0:
+                now.add(key[x:y].tolist(), doc[x:y].tolist(), b.column(5)[x:y].to_pylist())
                 continue
-            if owners is None:
-                keys = list(words)
-                sets = []
-                joined = b"\n".join(words[k] for k in keys)
-                offsets = np.concatenate(([0], np.cumsum([len(words[k]) + 1 for k in keys])))
-                offsets[-1] -= 1
-                h, _, _, first = common.hash_words(np.frombuffer(joined, np.uint8), offsets)
-                sets = [h[first[i] : first[i + 1]] for i in range(len(keys))]
-                owners = dict(zip(keys, window_owners(sets, np.array([docs[k] for k in keys], np.int64))))
-                words = {}
-            hit = np.flatnonzero(owners[key] < doc)
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > WINDOW)
-                for x, y in zip(hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]):
-                    for c, v in zip(out, (doc, th, start + int(x), start + int(y) + WINDOW)):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "text_hash", "start", "end"])
+            if now.keys is None:
+                now.close()
+            lo, hi = now.hits(key[x:y], doc[x:y])
+            q = np.flatnonzero(hi >= 0)
+            if len(q):
+                places = b.column(5).slice(x, y - x).take(pa.array(q)).to_pylist()
+                n = np.array([len(v) // 4 for v in places])
+                start = np.frombuffer(b"".join(places), np.int32).astype(np.int64)
+                out.append((np.repeat(doc[x:y][q], n), np.repeat(text_hash[x:y][q], n), start + np.repeat(lo[q], n), start + np.repeat(hi[q] + WINDOW, n)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(4)], names=["doc_id", "text_hash", "start", "end"])
 
 
 def _keep(batches):
@@ -280,7 +328,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = marks.where("not copied").count()
     shards = max(1, -(-total * (WINDOW + 4) // SHARD_WORDS))
     own = marks.where("not copied").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"))
-    cut = rows.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, start long, words binary")
+    own = common.checkpoint(own)
+    texts = common.filtered(rows, common.key_filter(own, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
+    cut = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
     spans = cut.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search, "doc_id long, text_hash long, start long, end long")
     return spans, copies
 
@@ -290,8 +340,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans, copies = repeated_spans(docs)
     marks = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.lit(False).alias("copied"))
     marks = marks.unionByName(copies.select("doc_id", "text_hash", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(True).alias("copied")))
+    marks = common.checkpoint(marks)
+    key = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", "text", common.unicode_hash().alias("text_hash"))
-    return rows.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    table = common.key_filter(marks, key)
+    whole = common.filtered(rows, table, key, inside=False).select("doc_id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(False).alias("copied"))
+    cut = common.filtered(rows, table, key).join(marks, key, "left").select("doc_id", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+    return whole.union(cut).mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
