@@ -1,7 +1,8 @@
 """Bracket interpolation: each query point meets the knots on either side of it.
 
-Knots and points are unioned and a window per curve carries the nearest knot before and after each point, so the
-work is one sort per curve and no range join.
+Knots and points are unioned and a window carries the nearest knot before and after each point, so the work is one
+sort and no range join. Points are dealt to shares of their curve, each with all its knots, so that one curve with
+most points does not land in one task.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ def interpolate(points: DataFrame, knots: DataFrame, curve: str, x: str = "x", y
     """
     if scale not in ("linear", "loglog"):
         raise ValueError(f"unknown scale {scale!r}")
-    back = W.partitionBy(curve).orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(curve).orderBy("_x", "_kind").rowsBetween(W.currentRow, W.unboundedFollowing)
+    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    back = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.currentRow, W.unboundedFollowing)
     here = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))
     knot = F.when(F.col("_kind") == 0, here)
-    rows = points.withColumn("_x", F.col(x).cast("double")).withColumn("_kind", F.lit(1)).withColumn("_y", F.lit(None).cast("double"))
-    known = knots.select(F.col(curve), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_kind"))
+    rows = points.withColumn("_x", F.col(x).cast("double")).withColumn("_kind", F.lit(1)).withColumn("_y", F.lit(None).cast("double")).withColumn("_share", F.pmod(F.xxhash64(*points.columns), F.lit(shares)).cast("int"))
+    known = knots.select(F.col(curve), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_kind"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
     both = rows.unionByName(known, allowMissingColumns=True)
     both = both.withColumn("_lo", F.last(knot, True).over(back)).withColumn("_hi", F.first(knot, True).over(ahead)).where("_kind = 1")
-    return both.withColumn(out, between(F.col("_x"), F.col("_lo"), F.col("_hi"), scale)).drop("_x", "_y", "_kind", "_lo", "_hi")
+    return both.withColumn(out, between(F.col("_x"), F.col("_lo"), F.col("_hi"), scale)).drop("_x", "_y", "_kind", "_share", "_lo", "_hi")
 
 
 def between(x: Column, lo: Column, hi: Column, scale: str = "linear") -> Column:

@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.interp import interpolate, segment
 
@@ -83,16 +82,11 @@ def from_curve(points: DataFrame, curve: DataFrame) -> DataFrame:
 def nearest_duration(points: DataFrame, durations: DataFrame) -> DataFrame:
     """points(id, wanted, ...) with the nearest duration of a table(duration, ordinal), the first one at ties.
 
-    Candidates are the neighbours on either side, found by one sort; no pair beyond them is formed.
+    The durations travel as one sorted array of one row; a table of durations has a few dozen entries.
     """
-    both = points.select("id", F.col("wanted").alias("v"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("o"))
-    both = both.unionByName(durations.select(F.lit(None).cast("long").alias("id"), F.col("duration").alias("v"), F.lit(0).alias("k"), F.col("duration").alias("d"), F.col("ordinal").cast("long").alias("o")))
-    knot = F.when(F.col("k") == 0, F.struct("d", "o"))
-    back, ahead = W.orderBy("v", "k").rowsBetween(W.unboundedPreceding, 0), W.orderBy("v", F.desc("k")).rowsBetween(0, W.unboundedFollowing)
-    pick = both.withColumn("a", F.last(knot, True).over(back)).withColumn("b", F.first(knot, True).over(ahead)).where("k = 1")
-    option = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["d"] - F.col("v")).alias("x"), s["o"].alias("o"), s["d"].alias("d")))
-    best = F.array_min(F.array(option(F.col("a")), option(F.col("b"))))
-    return points.join(pick.select("id", best["d"].alias("duration")), "id")
+    whole = durations.agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").cast("long").alias("o"), F.col("duration").alias("d")))).alias("_all"))
+    best = F.array_min(F.transform("_all", lambda k: F.struct(F.abs(k["d"] - F.col("wanted")).alias("x"), k["o"].alias("o"), k["d"].alias("d"))))
+    return points.join(F.broadcast(whole)).withColumn("duration", best["d"]).drop("_all")
 
 
 def apply_factor(depths: DataFrame, factors: DataFrame, key: str, digits: int = 4) -> DataFrame:

@@ -43,10 +43,24 @@ def first_peak(df: DataFrame, keys: list[str], tie: str = "ts", mask: bool = Tru
     return df.groupBy(*keys).agg(best.alias("_b"), F.count("*").alias("n_values")).where("_b is not null").select(*keys, (-F.col("_b.v")).alias("peak_value"), F.col("_b.ts").alias("peak_time"), "n_values")
 
 
+def with_previous(df: DataFrame, keys: list[str], tie: str = "ts", unit: str = "day") -> DataFrame:
+    """Rows with ``_prev``: struct(ts, tie, value) of the sample before in the key, null for the first.
+
+    Rows are sorted by key and ``unit``, so one long series spreads over tasks; only the last sample of each unit is
+    carried to the next one that has any.
+    """
+    here = F.struct(F.col("ts").alias("ts"), F.col(tie).alias("tie"), F.col("value").alias("value"))
+    rows = df.withColumn("_unit", F.date_trunc(unit, "ts"))
+    ends = rows.groupBy(*keys, "_unit").agg(F.max(here).alias("_last"))
+    ends = ends.select(*keys, "_unit", F.lag("_last").over(W.partitionBy(*keys).orderBy("_unit")).alias("_before"))
+    own = F.lag(here).over(W.partitionBy(*keys, "_unit").orderBy("ts", tie))
+    return rows.withColumn("_own", own).join(ends, [*keys, "_unit"]).withColumn("_prev", F.coalesce("_own", "_before")).drop("_own", "_before", "_unit")
+
+
 def with_steps(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame:
     """Trapezoid from the sample before: _area in value-hours, null for the first."""
-    w = W.partitionBy(*keys).orderBy("ts", tie)
-    return df.withColumn("_area", (F.col("value") + F.lag("value").over(w)) / 2 * hours(F.lag("ts").over(w), F.col("ts")))
+    area = (F.col("value") + F.col("_prev.value")) / 2 * hours(F.col("_prev.ts"), F.col("ts"))
+    return with_previous(df, keys, tie).withColumn("_area", area).drop("_prev")
 
 
 def volume_summary(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame:
@@ -61,8 +75,8 @@ def volume_summary(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame
 
 def statistics(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame:
     """Hydrograph statistics: peak and its first time, minimum, mean, median, sample deviation, volume, timing, centroid."""
-    w = W.partitionBy(*keys)
-    rows = with_steps(df, keys, tie).withColumn("_t", hours(F.min("ts").over(w), F.col("ts")))
+    origin = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    rows = with_steps(df, keys, tie).withColumn("_t", hours(origin, F.col("ts")))
     best = F.min(F.struct((-F.col("value")).alias("v"), F.col("ts").alias("ts")))
     out = rows.groupBy(*keys).agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), best.alias("_b"), F.min("value").alias("min_flow"), F.avg("value").alias("mean_flow"),
@@ -72,7 +86,7 @@ def statistics(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame:
     return out.select(
         *keys, "start_time", "end_time", hours(F.col("start_time"), F.col("end_time")).alias("duration_hours"), (-F.col("_b.v")).alias("peak_flow"), F.col("_b.ts").alias("peak_time"),
         "min_flow", "mean_flow", "median_flow", "std_flow", F.round(F.col("_v") * ACRE_FEET_PER_CFS_HOUR, 2).alias("total_volume_af"),
-        F.round(hours(F.col("start_time"), F.col("_b.ts")), 2).alias("time_to_peak_hours"), F.when(F.col("_s") != 0, F.round(F.col("_m") / F.col("_s"), 2)).alias("centroid_time"),
+        F.round(hours(F.col("start_time"), F.col("_b.ts")), 2).alias("time_to_peak_hours"), F.when(F.col("_s") != 0, F.round(F.col("_m") / F.col("_s") - hours(origin, F.col("start_time")), 2)).alias("centroid_time"),
     )
 
 
@@ -91,8 +105,8 @@ def compare_runs(df: DataFrame, run: str, runs: list[str]) -> DataFrame:
 
 def interval(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, interval_minutes, regular: whether every step is the same; one sample has no interval."""
-    step = hours(F.lag("ts").over(W.partitionBy(*keys).orderBy("ts")), F.col("ts")) * 60
-    out = df.withColumn("_d", step).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    step = hours(F.col("_prev.ts"), F.col("ts")) * 60
+    out = with_previous(df, keys).withColumn("_d", step).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
     return out.select(*keys, "n", F.col("_lo").alias("interval_minutes"), F.coalesce((F.col("_lo") == F.col("_hi")) & (F.col("_lo") > 0), F.lit(False)).alias("regular"))
 
 
@@ -101,8 +115,7 @@ def qualify(df: DataFrame, keys: list[str], sentinel: float = -1e30, final_ratio
     v = F.col("value")
     low, lost = F.coalesce(v <= sentinel, F.lit(False)), v.isNull() | F.isnan(v)
     ok = ~low & ~lost
-    w = W.partitionBy(*keys).orderBy("ts", tie)
-    rows = df.withColumn("_d", hours(F.lag("ts").over(w), F.col("ts")))
+    rows = with_previous(df, keys, tie).withColumn("_d", hours(F.col("_prev.ts"), F.col("ts")))
     best = F.min(F.when(ok, F.struct((-v).alias("v"), F.col("ts").alias("ts"), F.col(tie).alias("tie"))))
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("record_count"), F.count_if(lost).alias("missing_count"), F.count_if(low).alias("sentinel_count"), F.count_if(ok & (v < 0)).alias("negative_count"),
@@ -156,9 +169,8 @@ def collisions(mappings: DataFrame) -> DataFrame:
 
 def check_regular(df: DataFrame, keys: list[str]) -> DataFrame:
     """Problems that bar a series from being written as a regular record, by key: counts, all zero when it may be."""
-    w = W.partitionBy(*keys).orderBy("ts")
-    step = hours(F.lag("ts").over(w), F.col("ts")) * 60
-    rows = df.withColumn("_d", step).withColumn("_bad", (~F.coalesce(F.abs("value") < F.lit(float("inf")), F.lit(False)) | F.isnan("value")).cast("int"))
+    step = hours(F.col("_prev.ts"), F.col("ts")) * 60
+    rows = with_previous(df, keys).withColumn("_d", step).withColumn("_bad", (~F.coalesce(F.abs("value") < F.lit(float("inf")), F.lit(False)) | F.isnan("value")).cast("int"))
     return rows.groupBy(*keys).agg(
         F.sum("_bad").alias("non_finite"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.count_if((F.col("_d") > 0) & (F.col("_d") < 1)).alias("sub_minute"),
         F.count_if(F.col("_d").isNotNull() & (F.col("_d") != 0)).alias("_s"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"),
