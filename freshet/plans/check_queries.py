@@ -99,3 +99,30 @@ def duration_classes(spark, sf):
 def curve_totals(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_brand", "p_size * 100000 + p_partkey as duration", "p_retailprice as depth")
     return hyetograph.total_of_curve(p, ["p_brand"]).select("p_brand", F.expr("cast(duration div 100000 as int)").alias("duration"), F.round("depth", 2).alias("depth"))
+
+
+def supplier_text(spark, sf):
+    """A text file for each nation, with a block for each of its suppliers."""
+    one = F.concat(F.lit("Supplier: "), "s_name", F.lit("\n     Balance: "), F.col("s_acctbal").cast("string"), F.lit("\n     Tier: "), F.expr("if(s_acctbal > 5000, 'high', '')"), F.lit("\nEnd:\n"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("file"), "s_suppkey", one.alias("t"))
+    return s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "t"))), lambda x: x["t"]), "\n").alias("content"))
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS ordinal, s_name AS name, s_acctbal AS balance, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE '' END AS tier FROM supplier")
+def block_scan(spark, sf):
+    from ..sources import text
+
+    b = text.blocks(text.lines(supplier_text(spark, sf)))
+    return b.select("file", "ordinal", "name", F.element_at("attrs", F.lit("Balance")).cast("double").alias("balance"), F.element_at("attrs", F.lit("Tier")).alias("tier"))
+
+
+@query("SELECT s_name AS name, CASE WHEN s_acctbal < 1000 THEN 0.0::DOUBLE ELSE s_acctbal END AS balance FROM supplier")
+def block_edit(spark, sf):
+    """Balances under 1000 set to 0 in the text, which is then written out and parsed again."""
+    from ..sources import sinks, text
+
+    b = text.blocks(text.lines(supplier_text(spark, sf)))
+    low = b.select("kind", "name", F.element_at("attrs", F.lit("Balance")).cast("double").alias("v")).where("v < 1000")
+    edited = sinks.edit_blocks(b, low.select("kind", "name", F.lit("Balance").alias("k"), F.lit("0.0").alias("v")))
+    again = text.blocks(text.lines(sinks.block_text(edited)))
+    return again.select("name", F.element_at("attrs", F.lit("Balance")).cast("double").alias("balance"))
