@@ -132,17 +132,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 22
 
 
 def key_filter(keys: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
-    """A bit for the hash of each key, as rows (_word, _mask): bits / 64 of them at most, whatever the number of keys.
+    """A bit for the hash of each key, as rows (_word, _mask): always bits / 64 of them, whatever the number of keys.
 
-    That bound (131,072 rows, 2 MB) is what lets it be broadcast. It only spares rows that cannot match a shuffle;
-    with far more keys than bits it lets all rows through, and the join after it gives the same result.
+    That fixed size (65,536 rows, 1 MB) is what lets it be broadcast. It only spares rows that cannot match a
+    shuffle; with far more keys than bits it lets all rows through, and the join after it gives the same result.
     """
     h = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    return checkpoint(keys.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_mask")))
+    held = keys.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("_mask"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("_word"))
+    return checkpoint(every.join(held, "_word", "left").select("_word", F.coalesce("_mask", F.lit(0)).alias("_mask")))
 
 
 def filtered(rows: DataFrame, table: DataFrame, columns: list[str], inside: bool = True, bits: int = FILTER_BITS) -> DataFrame:

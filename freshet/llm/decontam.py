@@ -210,5 +210,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs, all their columns, without contaminated documents."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit._id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == hit._hash), "left_anti")
+    hashed = docs.withColumn("text_hash", common.unicode_hash())
+    return common.anti_join(hashed, contaminated(docs, benchmark), ["doc_id", "text_hash"]).select(*docs.columns)

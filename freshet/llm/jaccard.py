@@ -75,8 +75,8 @@ def part_keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signature(x: np.ndarray) -> np.ndarray:
-    """Token bitmap of a set, of at least four bits a token: bit (hash mod width) of each."""
-    width = 1 << max(6, int(4 * len(x) - 1).bit_length()) if len(x) else 64
+    """Token bitmap of a set, of two to four bits a token: bit (hash mod width) of each."""
+    width = 1 << max(6, int(2 * len(x) - 1).bit_length()) if len(x) else 64
     out = np.zeros(width // 64, U64)
     at = x & U64(width - 1)
     np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
@@ -346,15 +346,19 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     own = common.checkpoint(_digests(docs, words))
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "bits")).alias("r"))
     classes = classes.select("h1", "h2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.bits").alias("bits"))
-    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.max(F.struct(F.col("n_shingles").alias("size"), "bits")).alias("s"), F.count("*").alias("sets"))
+    classes = common.checkpoint(classes)
+    reps = classes.select(F.col("rep").alias("node"), F.struct(F.col("n_shingles").alias("size"), "bits").alias("s"))
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = _keys(docs, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, "block long, node long").distinct()
-    members = common.checkpoint(runs.join(reps.select("node", "s.size", "s.bits"), "node"))
-    blocks = _tasks(members.select("block", "node", "size"), "block").join(members, ["block", "node"]).select("block", "ca", "cb", "node", "size", "bits")
+    members = common.checkpoint(runs.join(reps.select("node", "s.size"), "node"))
+    blocks = _tasks(members, "block").join(reps.select("node", "s.size", "s.bits"), "node").select("block", "ca", "cb", "node", "size", "bits")
     maybe = blocks.repartition(n, "block", "ca", "cb").sortWithinPartitions("block", "ca", "cb", "node").mapInArrow(_bitmap_join(num, den), "src long, dst long")
     nodes = common.connected_components(maybe).join(reps.select("node", "s.size"), "node")
-    tasks = _tasks(common.checkpoint(nodes), "component")
-    work = tasks.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("component", "ca", "cb", "node", "text")
+    nodes = common.checkpoint(nodes)
+    tasks = _tasks(nodes, "component")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    texts = common.filtered(texts, common.key_filter(nodes, ["node"]), ["node"])
+    work = tasks.join(texts, "node").select("component", "ca", "cb", "node", "text")
     found = work.repartition(n, "component", "ca", "cb").sortWithinPartitions("component", "ca", "cb", "node").mapInArrow(_tree_join(words, num, den), "src long, dst long")
     joined = common.connected_components(found).withColumnRenamed("node", "rep")
     labels = classes.join(joined, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
@@ -373,5 +377,15 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     Rows without words stay, and of rows that repeat the same id one; a null id stays.
     """
     groups = similar_groups(docs, words, num, den)
-    drop = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return common.anti_join(docs, groups.where("component_id <> doc_id"), ["doc_id"])
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) c ON c.node = d.doc_id"""

@@ -100,9 +100,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram number, doc_id, text_hash), one for each asked-for trigram a lower-cased text has."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.select("doc_id", common.unicode_hash().alias("text_hash"), F.explode(hits).alias("trigram"))
+    low = docs.select("doc_id", common.unicode_hash().alias("text_hash"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    hits = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    return low.select("doc_id", "text_hash", F.explode(hits).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
@@ -161,10 +161,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans", "text_hash", "rules").withColumn("text_hash", common.unicode_hash())
     grams = sorted({t for r in rules for clause in trigram_query(r.pattern) for some in clause for t in some})
-    found = candidates(build_index(docs.select("doc_id", "text"), grams), rules, grams) if grams else None
-    if found is not None:
+    if grams:
+        found = common.checkpoint(candidates(build_index(docs.select("doc_id", "text"), grams), rules, grams))
+        table = common.key_filter(found, ["doc_id", "text_hash"])
         f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules")
-        rows = rows.join(f, rows.doc_id.eqNullSafe(f._id) & (rows.text_hash == f._hash), "left").drop("_id", "_hash")
+        may = common.filtered(rows, table, ["doc_id", "text_hash"])
+        may = may.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
+        rows = common.filtered(rows, table, ["doc_id", "text_hash"], inside=False).withColumn("rules", F.lit(None).cast("int")).unionByName(may)
+    else:
+        rows = rows.withColumn("rules", F.lit(None).cast("int"))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     parts = []
     for i, r in enumerate(rules):
