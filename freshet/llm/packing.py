@@ -74,10 +74,9 @@ def pack(docs: DataFrame, tokens: Column | None = None, context: int = 2048, buc
     k = F.lit(None).cast("int")
     for b in range(len(ends) - 1, -1, -1):
         k = F.when(F.col("n_tokens") <= ends[b], F.lit(b)).otherwise(k)
-    row = F.struct(k.alias("b"))
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("b") + 1)
     dealt = (
-        pieces.withColumn("b", row["b"])
+        pieces.withColumn("b", k)
         .withColumn("bucket_len", at(ends).cast("long"))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), at(shards)))
         .withColumn("rank", F.row_number().over(W.partitionBy("b", "shard").orderBy("doc_id", "piece", "start")) - 1)

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": secrets.ORACLE}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op2_media_columns": media.ORACLE, "op5_secrets": secrets.ORACLE, "op9_substring_dedup": substrings.ORACLE}

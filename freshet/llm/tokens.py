@@ -60,7 +60,7 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_above, tokens_truncated) for any limits, lengths that do not occur included."""
+    """(context_limit, docs_above, tokens_cut: those beyond it) for any limits, lengths that do not occur included."""
     asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
     return asked.join(histogram, histogram.n_tokens > asked.context_limit, "left").groupBy("context_limit").agg(
         F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_above"), F.coalesce(F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col("context_limit"))), F.lit(0)).alias("tokens_cut")
