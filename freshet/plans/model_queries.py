@@ -117,12 +117,23 @@ def partial_to_annual(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(hyetograph.partial_to_annual(F.col("p_retailprice"), pct), 4).alias("depth"))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT * FROM {SQL_KNOTS} UNION ALL SELECT 10.0, 0.59 * 2.06 + 0.41 * 0.91 UNION ALL SELECT 30.0, 0.49 * 3.78 + 0.51 * 2.06),
+a AS (SELECT ln(x) AS x0, ln(1 - y) AS y0, lead(ln(x)) OVER (ORDER BY x) AS x1, lead(ln(1 - y)) OVER (ORDER BY x) AS y1 FROM {AREAL}),
+n AS (SELECT n_name AS storm_id, n_nationkey % 5 * 16 + 17 AS pct, n_nationkey * 10.0 AS area FROM nation),
+k AS (SELECT storm_id, ln(d.x) AS x, ln(d.y * CASE WHEN area <= 0 THEN 1 ELSE 1 - exp(a.y0 + (ln(greatest(30.0, d.x)) - a.x0) / (a.x1 - a.x0) * (a.y1 - a.y0)) * (1 - exp(-0.015 * area)) END) AS y FROM n, d JOIN a ON ln(greatest(30.0, d.x)) >= a.x0 AND ln(greatest(30.0, d.x)) < a.x1),
+b AS (SELECT storm_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY storm_id ORDER BY x)),
+t AS (SELECT storm_id, pct, i, ln((i + 1) * 15.0) AS t FROM n, range(96) AS r(i)),
+c AS (SELECT t.storm_id, pct, i, exp(y0 + CASE WHEN x1 IS NULL THEN 0 ELSE (t - x0) / (x1 - x0) * (y1 - y0) END) AS c FROM t JOIN b ON t.storm_id = b.storm_id AND t.t >= b.x0 - 1e-12 AND (t.t < b.x1 - 1e-12 OR b.x1 IS NULL)),
+e AS (SELECT storm_id, i AS k, c - coalesce(lag(c) OVER (PARTITION BY storm_id ORDER BY i), 0) AS inc, least(95, CAST(floor(pct / 100.0 * 96 + 1e-9) AS BIGINT)) AS p FROM c),
+f AS (SELECT storm_id, inc, 1 + CASE WHEN k = 0 THEN p WHEN k <= 2 * least(p, 95 - p) THEN CASE WHEN k % 2 = 1 THEN p - (k + 1) // 2 ELSE p + k // 2 END WHEN p < 95 - p THEN k ELSE p - (k - (95 - p)) END AS i FROM e UNION ALL SELECT storm_id, 0, 0 FROM n)
+SELECT storm_id, CAST(i AS INT) AS i, i * 15 / 60.0::DOUBLE AS hour, round(inc, 6) AS incremental_depth, round(sum(inc) OVER (PARTITION BY storm_id ORDER BY i), 6) AS cumulative_depth FROM f""")
 def balanced_storm(spark, sf):
-    """Balanced storms for every customer nation; tested against a loop."""
+    """Balanced storms for every nation."""
     nations = table(spark, sf, "nation").select(F.col("n_name").alias("storm_id"), F.lit(1440).alias("duration_min"), F.lit(15).alias("interval_min"), (F.col("n_nationkey") % 5 * 16 + 17).alias("peak_pct"), (F.col("n_nationkey") * 10.0).alias("area_sqmi"), F.lit(1).alias("exceedance_pct"))
     depths = nations.select("storm_id", F.explode(F.array(*[F.struct(F.lit(a).alias("duration"), F.lit(b).alias("depth")) for a, b in KNOTS])).alias("k")).select("storm_id", "k.duration", "k.depth")
-    return hyetograph.balanced_storm(nations, depths)
+    out = hyetograph.balanced_storm(nations, depths)
+    return out.withColumns({c: F.round(c, 6) for c in ("incremental_depth", "cumulative_depth")})
 
 
 # --- areal reduction ---

@@ -230,11 +230,19 @@ def routing_linear(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("final_storage", "final_outflow", "total_outflow")})
 
 
-@query()
+FLOW = "CASE WHEN {s} < 50 THEN 0.002 * {s} * {s} + 0.2 * {s} ELSE 0.4 * ({s} - 50) + 15 END"
+
+
+@query(f"""
+WITH RECURSIVE h AS (SELECT event_type, ts, avg(value) AS value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, value FROM events) GROUP BY event_type, ts),
+r AS (SELECT event_type, i, ts, value AS qin, CAST(20 AS DOUBLE) AS s, CAST(20 AS DOUBLE) AS raw, CAST(0 AS DOUBLE) AS q FROM h WHERE i = 1
+UNION ALL SELECT event_type, i, ts, qin, s, raw, {FLOW.format(s="s")} FROM (SELECT h.event_type, h.i, h.ts, h.value AS qin, r.s + r.qin - r.q AS raw, greatest(0, least(200, r.s + r.qin - r.q)) AS s FROM h JOIN r ON h.event_type = r.event_type AND h.i = r.i + 1))
+SELECT event_type, ts, round(q, 5) AS value, round(s, 5) AS storage, round(raw, 5) AS unclipped_storage FROM r""")
 def routing_curve(spark, sf):
-    """A piecewise cubic curve of two pieces; tested against a loop."""
+    """A piecewise cubic curve of two pieces."""
     curve = {"x": [0.0, 50.0, 200.0], "c": [[0.0, 0.0], [0.002, 0.0], [0.2, 0.4], [0.0, 15.0]], "low": 0.0, "high": 200.0, "initial": 20.0}
-    return routing.route_samples(samples(spark, sf), "event_type", curve)
+    out = routing.route_samples(samples(spark, sf), "event_type", curve)
+    return out.withColumns({c: F.round(c, 5) for c in ("value", "storage", "unclipped_storage")})
 
 
 @query("SELECT user_id, coalesce(sum(bad), 0)::BIGINT AS non_finite, count(*) FILTER (d = 0) AS duplicates, count(*) FILTER (d > 0 AND d < 1) AS sub_minute, CASE WHEN coalesce(min(d) <> max(d), false) THEN 1 ELSE 0 END AS irregular FROM (SELECT user_id, 0 AS bad, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 6e7 AS d FROM events) GROUP BY user_id")
