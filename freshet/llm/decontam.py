@@ -54,35 +54,59 @@ def _hash_list(words: list[str]) -> np.ndarray:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased hash, start, end of every token, and each text's first token.
+    """(hash, start, end, begins, title, first): every token's lower-cased hash and place, whether it begins a text or
+    sentence, whether it is title case, and each text's first token.
 
     A token is a run of letters (bytes from 128 count as letters) or a number, points and commas between digits
-    included; a digit next to a letter starts a new token.
+    included; a digit next to a letter starts a new token. Temporary arrays cover pieces of about PIECE bytes, cut at
+    white space.
     """
-    letter, digit = _LETTER[data], _DIGIT[data]
-    inside = np.zeros(len(data), bool)
-    if len(data) > 2:
-        inside[1:-1] = _POINT[data[1:-1]] & digit[:-2] & digit[2:]
-    kind = letter.astype(np.int8) + 2 * (digit | inside).astype(np.int8)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = kind[1:] != kind[:-1]
-    edge |= cut
-    at = np.flatnonzero(edge)
-    starts, ends = at[:-1], at[1:]
-    keep = kind[starts] > 0
-    starts, ends = starts[keep], ends[keep]
-    if not len(starts):
+    parts, at, stopped, size = [], 0, True, len(data)
+    while at < size:
+        end = min(size, at + common.PIECE)
+        while end < size and not common._WS[data[end]]:
+            end += 1
+        piece = data[at:end]
+        letter, digit = _LETTER[piece], _DIGIT[piece]
+        inside = np.zeros(len(piece), bool)
+        if len(piece) > 2:
+            inside[1:-1] = _POINT[piece[1:-1]] & digit[:-2] & digit[2:]
+        kind = letter.astype(np.int8) + 2 * (digit | inside).astype(np.int8)
+        cut = np.zeros(len(piece) + 1, bool)
+        cut[offsets[(offsets >= at) & (offsets <= end)] - at] = True
+        edge = np.ones(len(piece) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge |= cut
+        places = np.flatnonzero(edge)
+        s, e = places[:-1], places[1:]
+        keep = kind[s] > 0
+        s, e = s[keep], e[keep]
+        stops = np.concatenate(([0], np.cumsum(_STOP[piece] + cut[:-1])))
+        if len(s):
+            first = np.zeros(len(piece), np.int32)
+            first[s] = np.diff(s, prepend=0)
+            pos = np.arange(len(piece), dtype=np.int32) - np.cumsum(first, dtype=np.int32)
+            v = common._BYTE[_folded(piece)] * common._POW[pos & 0xFFFF]
+            v[kind == 0] = 0
+            h = common.mix(np.add.reduceat(v, s) + (e - s).astype(U64))
+            # a stop or a text's start between the token before and this one; a start counts at its own place
+            upto = stops[s] + cut[s]
+            begins = np.concatenate(([stopped or upto[0] > 0], upto[1:] != stops[e[:-1]]))
+            capital = (piece >= 65) & (piece <= 90)
+            capital[_accented(piece) - 1] = True
+            width = 1 + (piece[s] == 0xC3)
+            following = capital[np.minimum(s + width, len(piece) - 1)] & (s + width < e)
+            title = capital[s] & ~following & (e - s > width)
+            parts.append((h, s + at, e + at, begins, title))
+            stopped = bool(stops[-1] != stops[e[-1]])
+        else:
+            stopped = stopped or bool(stops[-1])
+        at = end
+    if not parts:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64)
-    word = kind > 0
-    first = np.zeros(len(data), np.int32)
-    first[starts] = np.diff(starts, prepend=0)
-    pos = np.arange(len(data), dtype=np.int32) - np.cumsum(first, dtype=np.int32)
-    v = common._BYTE[_folded(data)] * common._POW[pos & 0xFFFF]
-    v[~word] = 0
-    return common.mix(np.add.reduceat(v, starts) + (ends - starts).astype(U64)), starts, ends, np.searchsorted(starts, offsets)
+        return np.zeros(0, U64), none, none, np.zeros(0, bool), np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+    h, s, e, begins, title = (np.concatenate(x) for x in zip(*parts))
+    return h, s, e, begins, title, np.searchsorted(s, offsets)
 
 
 _NUMBERS = _hash_list(NUMBER_WORDS)
@@ -96,21 +120,12 @@ def template(data: np.ndarray, offsets: np.ndarray):
     A name is a token with a capital followed by no capital, not at the start of a text or sentence. A unit is
     a unit word right after a number.
     """
-    h, s, e, first = _tokens(data, offsets)
+    h, s, e, begins, title, first = _tokens(data, offsets)
     kind = np.zeros(len(h), np.int8)
     if not len(h):
         return h, kind, s, e, first
     kind[_DIGIT[data[s]] | np.isin(h, _NUMBERS)] = NUMBER
-    stops = np.concatenate(([0], np.cumsum(_STOP[data], dtype=np.int32)))
-    begins = np.ones(len(h), bool)
-    begins[1:] = stops[s[1:]] != stops[e[:-1]]
-    begins[first[:-1][first[:-1] < len(h)]] = True
-    capital = (data >= 65) & (data <= 90)
-    accented = _accented(data)
-    capital[accented - 1] = True
-    size = 1 + (data[s] == 0xC3)
-    following = capital[np.minimum(s + size, len(data) - 1)] & (s + size < e)
-    kind[capital[s] & ~begins & ~following & (e - s > size) & (kind == 0)] = NAME
+    kind[title & ~begins & (kind == 0)] = NAME
     after = np.zeros(len(h), bool)
     after[1:] = kind[:-1] == NUMBER
     after[first[:-1][first[:-1] < len(h)]] = False

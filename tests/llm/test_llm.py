@@ -427,6 +427,25 @@ def test_decontamination(spark):
     assert decontam.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_templates_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(6)
+    words = ["Alice", "sold", "12", "3.5", "kg", "THE", "Éric", "über", "a1b2", "end.", "x!", "two", "days", "\n", "  ", "1,000", "Bob's", "ÉCOLE"]
+    texts = ["", "Bob", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40))]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    want = decontam.template(data, offsets)
+    one = [decontam.template(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw]
+    assert want[0].tolist() == [h for o in one for h in o[0].tolist()] and want[1].tolist() == [k for o in one for k in o[1].tolist()]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(common, "PIECE", size)
+        got = decontam.template(data, offsets)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    kinds = dict(zip(("Alice", "12", "kg"), (decontam.NAME, decontam.NUMBER, decontam.UNIT)))
+    r = b"so Alice sold 12 kg"
+    assert decontam.template(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[1].tolist() == [0, kinds["Alice"], 0, kinds["12"], kinds["kg"]]
+
+
 def test_inconsistent_slots_do_not_count(spark):
     bench = spark.createDataFrame([(1, "take 5 apples and give 5 pears to the man who wants 5 plums today please sir")], "item_id long, text string")
     docs = table(spark, [(1, "take 6 apples and give 7 pears to the man who wants 8 plums today please sir"), (2, "take 6 apples and give 6 pears to the man who wants 6 plums today please sir")])
