@@ -183,9 +183,13 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows of docs with every span's text replaced by ``[kind]``; overlapping spans become one, named by the first."""
+    """Rows of docs with every span's text replaced by ``[kind]``; overlapping spans become one, named by the first.
+
+    Columns of docs that have a working column's name (spans, rules, text_hash) come back as they were.
+    """
     columns = docs.columns
-    found = scan(docs, rules)
+    own = {c: f"_own_{c}" for c in columns if c in ("spans", "rules", "text_hash", "_id", "_hash")}
+    found = scan(docs.withColumnsRenamed(own), rules)
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -196,7 +200,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     done = F.aggregate("spans", empty, put)
     clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return found.withColumn("text", clean).select(*columns)
+    return found.withColumn("text", clean).select(*[F.col(own.get(c, c)).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -487,6 +487,17 @@ def test_stage_edges(spark, k):
         assert out.columns == d.columns and out.count() <= d.count()
 
 
+def test_columns_with_working_names_come_back(spark):
+    import corpus_pipeline
+
+    docs = table(spark, [*edge_rows(), (50, "password = hunter22 " + "word " * 30)]).withColumns({c: F.lit(f"own {c}") for c in ("text_hash", "rules", "spans", "component_id", "score", "node", "bits", "size", "h", "window")})
+    bench = spark.createDataFrame([(1, "nothing here is in any document of the test at all")], "item_id long, text string")
+    for out in (secrets.redact(docs), decontam.clean(docs, bench), jaccard.keep_one(docs), quality.stage(spark, docs, SF)):
+        assert out.columns == docs.columns and out.count() > 5
+        assert out.where(" or ".join(f"{c} <> 'own {c}'" for c in ("text_hash", "rules", "spans", "score", "node", "bits"))).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 10
+
+
 @pytest.mark.parametrize("op", [jaccard, media, secrets, substrings])
 def test_oracles(spark, op):
     import duckdb
