@@ -15,16 +15,19 @@ from freshet.llm import common, decontam, jaccard, packing, quality, secrets
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier keeps."""
+    common.bound_batches(spark)
     return quality.stage(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked on five-word shingles at a similarity of 0.8 or more."""
+    common.bound_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, verbatim or re-parameterised."""
+    common.bound_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
