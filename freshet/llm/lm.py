@@ -2,7 +2,7 @@
 
 A token is a word (lower-cased) of the corpus vocabulary or one of a few hash buckets. The network reads the two
 tokens on either side and predicts the one between through a two-level softmax. Training is by rounds of local
-steps in every task over masked positions of all documents, with parameter averaging by slices; scoring sums the
+steps in every task that together mask every position of all documents once, with parameter averaging by slices; scoring sums the
 conditional log-probabilities of all positions.
 """
 
@@ -57,19 +57,26 @@ def token_ids(h: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) -> np.nda
     return out
 
 
-def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The 2 * REACH neighbours of each token; SIZE stands for places outside its text."""
+def contexts(ids: np.ndarray, first: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+    """The 2 * REACH neighbours of each token, or of those picked; SIZE stands for places outside its text."""
     pad = 2 * REACH
     lens = np.diff(first)
     place = np.arange(len(ids)) + np.repeat(np.arange(len(lens)) * pad, lens) + REACH
     wide = np.full(len(ids) + pad * (len(lens) + 1), SIZE, np.int32)
     wide[place] = ids
+    place = place if pick is None else place[pick]
     return np.stack([wide[place + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def _log_picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one column of each row."""
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x[np.arange(len(x)), at] - np.log(np.exp(x).sum(axis=1))
 
 
 def log_probabilities(p: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -77,46 +84,59 @@ def log_probabilities(p: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids), np.float32)
     for s in range(0, len(ids), STEP):
         c, t = ctx[s : s + STEP], ids[s : s + STEP]
+        order, cut = _by_group(t)
+        c, t = c[order], t[order]
         hid = np.tanh(p["embed"][c].reshape(len(c), -1) @ p["into"] + p["bias"])
-        g, m = t // GROUPS, t % GROUPS
-        part = _log_softmax(hid @ p["group"] + p["gbias"])[np.arange(len(t)), g]
-        order = np.argsort(g, kind="stable")
-        cut = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        for k in range(GROUPS):
-            i = order[cut[k] : cut[k + 1]]
-            if len(i):
-                part[i] += _log_softmax(hid[i] @ p["member"][k] + p["mbias"][k])[np.arange(len(i)), m[i]]
-        out[s : s + STEP] = part
+        part = _log_picked(hid @ p["group"] + p["gbias"], t // GROUPS)
+        out[s : s + STEP][order] = part + _log_picked(_member_logits(p, hid, cut, t // GROUPS), t % GROUPS)
+    return out
+
+
+def _by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their token's group, and where each group begins in it."""
+    g = (ids // GROUPS).astype(np.int16)  # 16 bits are sorted by radix
+    order = np.argsort(g, kind="stable")
+    return order, np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
+
+
+def _member_logits(p: dict, hid: np.ndarray, cut: list[int], g: np.ndarray) -> np.ndarray:
+    """Logits within the group of each row; the rows are in the order of their groups."""
+    out = p["mbias"][g]
+    for k in range(GROUPS):
+        i, j = cut[k], cut[k + 1]
+        if i < j:
+            out[i:j] += hid[i:j] @ p["member"][k]
     return out
 
 
 def train_step(p: dict, squares: dict, ctx: np.ndarray, ids: np.ndarray, rate: float = 0.1) -> None:
     """One Adagrad step on the mean loss of the rows."""
     n = len(ids)
+    order, cut = _by_group(ids)
+    ctx, ids = ctx[order], ids[order]
+    rows = np.arange(n)
     x = p["embed"][ctx].reshape(n, -1)
     hid = np.tanh(x @ p["into"] + p["bias"])
     g, m = ids // GROUPS, ids % GROUPS
-    dg = np.exp(_log_softmax(hid @ p["group"] + p["gbias"]))
-    dg[np.arange(n), g] -= 1
+    dg = _softmax(hid @ p["group"] + p["gbias"])
+    dg[rows, g] -= 1
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     grad["group"], grad["gbias"] = hid.T @ dg, dg.sum(0)
     dh = dg @ p["group"].T
-    order = np.argsort(g, kind="stable")
-    cut = np.searchsorted(g[order], np.arange(GROUPS + 1))
+    dm = _softmax(_member_logits(p, hid, cut, g))
+    dm[rows, m] -= 1
     for k in range(GROUPS):
-        i = order[cut[k] : cut[k + 1]]
-        if len(i):
-            dm = np.exp(_log_softmax(hid[i] @ p["member"][k] + p["mbias"][k]))
-            dm[np.arange(len(i)), m[i]] -= 1
-            grad["member"][k], grad["mbias"][k] = hid[i].T @ dm, dm.sum(0)
-            dh[i] += dm @ p["member"][k].T
+        i, j = cut[k], cut[k + 1]
+        if i < j:
+            grad["member"][k], grad["mbias"][k] = hid[i:j].T @ dm[i:j], dm[i:j].sum(0)
+            dh[i:j] += dm[i:j] @ p["member"][k].T
     dh *= 1 - hid * hid
     grad["into"], grad["bias"] = x.T @ dh, dh.sum(0)
     dx = (dh @ p["into"].T).reshape(-1, DIM)
-    flat = ctx.ravel()
+    flat = ctx.ravel().astype(np.int16)
     order = np.argsort(flat, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-    grad["embed"][flat[order][at]] = np.add.reduceat(dx[order], at, axis=0)
+    grad["embed"][flat[order[at]]] = np.add.reduceat(dx[order], at, axis=0)
     for k in p:
         q = grad[k] / n
         squares[k] += q * q
@@ -136,9 +156,14 @@ def vocabulary_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, mask: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parameters, vocabulary, ranks). Every text gives one masked position in ``mask`` (by a hash, other ones each
-    round) to training. The driver gets the SIZE - BUCKETS most frequent words' hashes and, each round, one averaged
+def turn_of(h: np.ndarray, place: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that masks each position."""
+    return (common.mix(h + place.astype(U64)) % U64(rounds)).astype(np.int64)
+
+
+def train(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parameters, vocabulary, ranks). Every position of every text is masked in exactly one of the rounds (by a hash
+    of word and place), so all are trained on. The driver gets the SIZE - BUCKETS most frequent words' hashes and, each round, one averaged
     parameter vector; the averages are formed by slices on the executors."""
     top = vocabulary_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()
     words = np.array([r[0] for r in top], np.int64).view(U64)
@@ -161,10 +186,10 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8) -> tuple[np.ndarray,
                     h, _, _, first = common.hash_words(data, offsets, lower=True)
                     ids = token_ids(h, vocabulary, rank)
                     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-                    pick = np.flatnonzero(common.mix(h + place.astype(U64)) % U64(mask) == turn % mask)
+                    pick = np.flatnonzero(turn_of(h, place, rounds) == turn)
                     if not len(pick):
                         continue
-                    wait.append((contexts(ids, first)[pick], ids[pick]))
+                    wait.append((contexts(ids, first, pick), ids[pick]))
                     size += len(pick)
                     if size >= 4 * STEP:
                         c, t = (np.concatenate(x) for x in zip(*wait))

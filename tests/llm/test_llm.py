@@ -1,8 +1,10 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +303,20 @@ def test_lm_scores(spark):
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).count() == 0
 
 
+def test_lm_trains_on_every_position(spark, monkeypatch, tmp_path):
+    docs = table(spark, edge_rows() + [(50 + i, f"alpha w{i} beta gamma w{i} delta") for i in range(40)])
+    step = lm.train_step
+
+    def counted(p, squares, ctx, ids, *rest):
+        with open(tmp_path / f"{os.getpid()}-{time.monotonic_ns()}", "w") as f:
+            f.write(str(len(ids)))
+        step(p, squares, ctx, ids, *rest)
+
+    monkeypatch.setattr(lm, "train_step", counted)
+    model = lm.train(docs)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == lm.score(docs, model).agg(F.sum("n_tokens")).first()[0]
+
+
 # --- 7 ---
 
 
