@@ -3,7 +3,7 @@
 A token is a word (lower-cased) of the corpus vocabulary or one of a few hash buckets. The network reads the two
 tokens on either side and predicts the one between through a two-level softmax. Training is by rounds of local
 steps in every task that together mask every position of all documents once, with parameter averaging by slices; scoring sums the
-conditional log-probabilities of all positions.
+conditional log-probabilities of all positions, a bucket's words each with their share of its count in the corpus.
 """
 
 from __future__ import annotations
@@ -161,11 +161,11 @@ def turn_of(h: np.ndarray, place: np.ndarray, rounds: int) -> np.ndarray:
     return (common.mix(h + place.astype(U64)) % U64(rounds)).astype(np.int64)
 
 
-def train(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, rounds: int = 2, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(parameters, vocabulary, ranks). Every position of every text is masked in exactly one of the rounds (by a hash
     of word and place), so all are trained on. The driver gets the SIZE - BUCKETS most frequent words' hashes and, each round, one averaged
     parameter vector; the averages are formed by slices on the executors."""
-    top = vocabulary_counts(docs).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()
+    top = (vocabulary_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()
     words = np.array([r[0] for r in top], np.int64).view(U64)
     order = np.argsort(words)
     vocabulary, rank = words[order], order.astype(np.int32)
@@ -227,29 +227,68 @@ def train(docs: DataFrame, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.
     return flat, vocabulary, rank
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob (summed over all positions), mean_log_prob for every row.
 
+    ``counts`` is the vocabulary_counts of the trained corpus (of docs, if not given). A word of a hash bucket has the
+    bucket's probability times its share n / (N + 1) of the bucket's N counted words; the share that is left, 1 / (N + 1),
+    is for words that the corpus lacks. The scan gives one row per Arrow batch of texts with its distinct bucket words and
+    the texts they stand in; only these words meet the counts, and their logarithms go back to their batch.
     Null and empty texts have no tokens, a sum of 0 and a null mean.
     """
     flat, vocabulary, rank = model
+    counts = common.checkpoint(vocabulary_counts(docs)) if counts is None else counts
+    # the remainder of the word as an unsigned number
+    bucket = F.pmod(F.pmod("word", F.lit(BUCKETS)) + F.when(F.col("word") < 0, (1 << 64) % BUCKETS).otherwise(0), F.lit(BUCKETS))
+    rare = counts.where(~F.col("word").isin(vocabulary.view(np.int64).tolist())) if len(vocabulary) else counts
+    held = np.zeros(BUCKETS)
+    for k, n in rare.groupBy(bucket.alias("bucket")).agg(F.sum("n")).collect():
+        held[k] = n
+    rest = np.concatenate((np.zeros(SIZE - BUCKETS), np.log(held + 1)))
 
     def run(batches):
         p = unpack(flat.copy())
         for b in batches:
-            n, total = [], []
-            for _, _, data, offsets in common.text_blocks(b):
+            lens, total, hashes, texts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+            for i, j, data, offsets in common.text_blocks(b):
                 h, _, _, first = common.hash_words(data, offsets, lower=True)
                 ids = token_ids(h, vocabulary, rank)
-                run_sum = np.concatenate(([0.0], np.cumsum(log_probabilities(p, contexts(ids, first), ids), dtype=np.float64)))
-                n += np.diff(first).tolist()
-                total += (run_sum[first[1:]] - run_sum[first[:-1]]).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
-
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+                run_sum = np.concatenate(([0.0], np.cumsum(log_probabilities(p, contexts(ids, first), ids) - rest[ids], dtype=np.float64)))
+                other = ids >= SIZE - BUCKETS
+                lens.append(np.diff(first))
+                total.append(run_sum[first[1:]] - run_sum[first[:-1]])
+                hashes.append(h[other])
+                texts.append(np.repeat(np.arange(i, j, dtype=np.int32), np.diff(first))[other])
+            h, text = np.concatenate(hashes), np.concatenate(texts)
+            order = np.argsort(h, kind="stable")
+            words, at = np.unique(h[order], return_index=True)
+            ends = np.append(at, len(h)).astype(np.int32) * 4
+            places = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(text[order])])
+            columns = [b.column(0), pa.array(np.concatenate(lens), pa.int64()), pa.array(np.concatenate(total)), pa.array(words.view(np.int64)), places]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["doc_id", "n_tokens", "log_prob", "word", "places"])
+
+    def whole(texts: pa.Table, words: pa.Table) -> pa.Table:
+        doc_id, n, total = (texts.column(c).combine_chunks().flatten() for c in ("doc_id", "n_tokens", "log_prob"))
+        total = total.to_numpy().copy()
+        if words.num_rows:
+            v = words.column("v").to_numpy()
+            raw = words.column("places").to_pylist()
+            v = np.repeat(v, [len(x) // 4 for x in raw])
+            order = np.argsort(v, kind="stable")  # the same sum whatever the order of arrival
+            total += np.bincount(np.frombuffer(b"".join(raw), np.int32)[order], v[order], len(total))
+        return pa.table({"doc_id": doc_id, "n_tokens": n, "log_prob": total})
+
+    blocks = docs.select("doc_id", "text").mapInArrow(run, "doc_id array<long>, n_tokens array<long>, log_prob array<double>, word array<long>, places array<binary>")
+    blocks = common.checkpoint(blocks.withColumn("block", F.monotonically_increasing_id()))
+    words = blocks.select("block", F.explode(F.arrays_zip("word", "places")).alias("z")).select("block", "z.word", "z.places")
+    # a word that occurs once adds log 1
+    words = words.join(counts.where("n > 1"), "word").select(F.col("block").alias("home"), F.log("n").alias("v"), "places")
+    texts = blocks.select("block", "doc_id", "n_tokens", "log_prob")
+    out = texts.groupBy("block").cogroup(words.groupBy("home")).applyInArrow(whole, "doc_id long, n_tokens long, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    return score(docs, train(docs))
+    counts = common.checkpoint(vocabulary_counts(docs))
+    return score(docs, train(docs, counts=counts), counts)

@@ -317,6 +317,20 @@ def test_lm_trains_on_every_position(spark, monkeypatch, tmp_path):
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == lm.score(docs, model).agg(F.sum("n_tokens")).first()[0]
 
 
+def test_lm_tells_the_words_of_a_bucket_apart(spark):
+    made = [f"w{i}" for i in range(6000)]
+    raw = " ".join(made).encode()
+    h = common.hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True)[0]
+    alike = [w for w, x in zip(made, h) if x % np.uint64(lm.BUCKETS) == h[0] % np.uint64(lm.BUCKETS)]
+    often, once, lacking = alike[:3]
+    corpus = table(spark, [(1, f"{often} " * 20 + once), (2, None), (3, once)])
+    model = (lm.start(), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    docs = table(spark, [(1, f"a {often} b"), (2, f"a {once} b"), (3, f"a {lacking} b"), (3, f"a {lacking} b"), (4, ""), (None, often)])
+    got = sorted((r.doc_id or 0, r.n_tokens, r.log_prob) for r in lm.score(docs, model, lm.vocabulary_counts(corpus)).collect())
+    assert [x[:2] for x in got] == [(0, 1), (1, 3), (2, 3), (3, 3), (3, 3), (4, 0)] and got[3] == got[4]
+    assert abs(got[1][2] - got[2][2] - np.log(20 / 2)) < 1e-4 and abs(got[2][2] - got[3][2] - np.log(2)) < 1e-4
+
+
 # --- 7 ---
 
 
