@@ -193,8 +193,9 @@ def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, li
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, item_windows, kind) for each document that holds a benchmark item.
 
-    A pair counts when consistent windows cover at least ``coverage`` of the item's windows; kind is 'verbatim' or
-    're-parameterised' (some slot differs, each item value always for the same document value).
+    A pair counts when windows that are equal word for word, or consistent, cover at least ``coverage`` of the item's
+    windows; kind is 'verbatim' or 're-parameterised' (some slot differs). In a consistent window each item value stands
+    for the same document value in all windows of its alignment.
     While the benchmark has at most ``local_windows`` windows their hashes travel to the document scan, so only
     windows that will meet are shuffled; a larger benchmark is joined through a plain shuffle of all windows.
     Null and empty texts, documents or items, have no windows. Repeated rows are one document with their id.
@@ -207,14 +208,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     right = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = common.checkpoint(seen.join(right, "window").withColumn("shift", F.col("pos") - F.col("item_pos")).drop("window", "pos"))
     pair = ["doc_id", "text_hash", "item_id", "shift"]
-    slots = met.select(*pair, F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))).alias("z")).groupBy(*pair, F.col("z.i").alias("i")).agg(F.min("z.d").alias("lo"), F.max("z.d").alias("hi"))
-    bad = slots.groupBy(*pair).agg(F.max((F.col("lo") != F.col("hi")).cast("int")).alias("bad"), F.max((F.col("i") != F.col("hi")).cast("int")).alias("changed"))
-    bad = bad.select(*[F.col(c).alias(f"_{c}") for c in pair], "bad", "changed")
+    zipped = F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))
+    # windows that equal the item's word for word are evidence whatever the other windows hold
+    met = met.withColumn("changed", (F.col("slots") != F.col("item_slots")).cast("int"))
+    slots = met.select(*pair, F.explode(zipped).alias("z")).groupBy(*pair, F.col("z.i").alias("i")).agg(F.min("z.d").alias("lo"), F.max("z.d").alias("hi"))
+    torn = slots.where("lo <> hi").groupBy(*pair).agg(F.collect_set("i").alias("torn"))
+    torn = torn.select(*[F.col(c).alias(f"_{c}") for c in pair], "torn")
     on = F.lit(True)
     for c in pair:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    rows = met.join(bad, on, "left").select(*pair, "item_pos", F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("changed", F.lit(0)).alias("changed"))
-    pairs = rows.where("bad = 0").groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.max("changed").alias("changed"))
+    rows = met.join(torn, on, "left").where((F.col("changed") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
+    pairs = rows.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.max("changed").alias("changed"))
     done = pairs.join(sizes, "item_id").where(F.col("n_windows") >= F.greatest(F.lit(1.0), F.col("item_windows") * coverage))
     return done.select("doc_id", "text_hash", "item_id", "n_windows", "item_windows", F.when(F.col("changed") == 1, "re-parameterised").otherwise("verbatim").alias("kind"))
 

@@ -482,6 +482,14 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in decontam.contaminated(docs, bench).collect()] == [2]
 
 
+def test_one_conflicting_slot_leaves_the_exact_windows(spark):
+    item = "when the old miller had 2 sacks of barley on his cart he went slowly down the road to the market in town and there he sold them all for 2 coins before noon"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = table(spark, [(1, item.replace("2 coins", "3 coins"))])
+    assert [(r.doc_id, r.kind) for r in decontam.contaminated(docs, bench).collect()] == [(1, "verbatim")]
+    assert decontam.clean(docs, bench).count() == 0
+
+
 def test_decontamination_on_the_given_table(spark):
     norm = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     docs = [tuple(r) for r in documents(spark, "/root/testdata/sf0.1").select("doc_id", "text").collect()]
