@@ -115,7 +115,7 @@ _PLACE = common.mix(np.arange(1, 5, dtype=U64))
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """(template hash, kind, start, end, first): the tokens with placeholders for numbers, names and units.
+    """(template hash, kind, start, end, first, word hash): the tokens with placeholders for numbers, names and units.
 
     A name is a token with a capital followed by no capital, not at the start of a text or sentence. A unit is
     a unit word right after a number.
@@ -123,7 +123,7 @@ def template(data: np.ndarray, offsets: np.ndarray):
     h, s, e, begins, title, first = _tokens(data, offsets)
     kind = np.zeros(len(h), np.int8)
     if not len(h):
-        return h, kind, s, e, first
+        return h, kind, s, e, first, h
     kind[_DIGIT[data[s]] | np.isin(h, _NUMBERS)] = NUMBER
     kind[title & ~begins & (kind == 0)] = NAME
     after = np.zeros(len(h), bool)
@@ -134,14 +134,16 @@ def template(data: np.ndarray, offsets: np.ndarray):
     t = h.copy()
     held = kind > 0
     t[held] = _PLACE[kind[held]]
-    return t, kind, s, e, first
+    return t, kind, s, e, first, h
 
 
-def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, literals: int) -> DataFrame:
-    """(key, text_hash, pos, n_windows, window, slots): all windows of each text, or those whose hash is wanted.
+def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, literals: int, short: list[int] | None = None) -> DataFrame:
+    """(key, text_hash, pos, width, window, slots, exact): all windows of each text, or those whose hash is wanted.
 
-    A text with fewer than ``size`` tokens is one window. A window needs ``literals`` ordinary tokens at least (all
-    that there are, in a shorter text).
+    Windows have ``size`` tokens or one of the ``short`` widths; with short None, a text with fewer than ``size`` tokens
+    is one window. A window with fewer than ``literals`` ordinary tokens (fewer than all, in a shorter one) says too little
+    as a template: it is exact, its hash is that of its words and it has no slots. Other short windows are given both
+    ways, since a single one may begin a sentence here and not there.
     """
     bits = None
     if wanted is not None:
@@ -151,43 +153,38 @@ def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, li
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             keys, hashes = b.column(0), b.column(2)
             for i, j, data, offsets in common.text_blocks(b):
-                t, kind, s, e, first = template(data, offsets)
-                g = common.grams(t, size)
+                t, kind, s, e, first, words = template(data, offsets)
                 plain = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-                if len(g):
-                    ok = plain[size : size + len(g)] - plain[: len(g)] >= literals
-                    if bits is not None:
-                        ok &= bits[(g & U64((1 << 22) - 1)).astype(np.int64)]
-                    at = np.flatnonzero(ok)
+                lens = np.diff(first)
+                narrow = [(w, also) for w in (range(1, size) if short is None else short) for also in (False, True)]
+                for width, also in (*narrow, (size, False)):
+                    g = common.grams(t, width)
+                    if not len(g):
+                        continue
+                    exact = plain[width : width + len(g)] - plain[: len(g)] < min(literals, width)
+                    known = ~exact if also else np.ones(len(g), bool)
+                    exact |= also
+                    g = np.where(exact, common.mix(common.grams(words, width)), g)
+                    at = np.flatnonzero(known if bits is None else known & bits[(g & U64((1 << 22) - 1)).astype(np.int64)])
                     if wanted is not None and len(at):
                         at = at[np.isin(g[at], wanted)]
-                else:
-                    at = np.zeros(0, np.int64)
-                text = np.searchsorted(first, at, "right") - 1
-                good = at + size <= first[np.minimum(text + 1, len(first) - 1)]
-                at, text = at[good], text[good]
-                found = [(int(p), int(k), int(g[p]), size) for p, k in zip(at, text)]
-                lens = np.diff(first)
-                for k in np.flatnonzero((lens > 0) & (lens < size)):
-                    p, n = int(first[k]), int(lens[k])
-                    h = int(common.grams(t[p : p + n], n)[0])
-                    if plain[p + n] - plain[p] >= min(literals, n) and (wanted is None or h in wanted_set):
-                        found.append((p, int(k), h, n))
-                for p, k, h, n in found:
-                    slots = [f"{kind[q]}:" + _folded(data[s[q] : e[q]]).tobytes().decode("utf-8", "replace") for q in range(p, p + n) if kind[q]]
-                    total = int(first[k + 1] - first[k])
-                    row = (keys[i + k].as_py(), hashes[i + k].as_py(), p - int(first[k]), max(1, total - size + 1), np.uint64(h).astype(np.int64).item(), slots)
-                    for c, v in zip(out, row):
-                        c.append(v)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[key, "text_hash", "pos", "n_windows", "window", "slots"])
-
-    wanted_set = set() if wanted is None else {int(x) for x in wanted}
+                    text = np.searchsorted(first, at, "right") - 1
+                    good = at + width <= first[np.minimum(text + 1, len(first) - 1)]
+                    if short is None and width < size:
+                        good &= lens[np.minimum(text, len(lens) - 1)] == width
+                    for p, k in zip(at[good].tolist(), text[good].tolist()):
+                        slots = [] if exact[p] else [f"{kind[q]}:" + _folded(data[s[q] : e[q]]).tobytes().decode("utf-8", "replace") for q in range(p, p + width) if kind[q]]
+                        row = (keys[i + k].as_py(), hashes[i + k].as_py(), p - int(first[k]), width, g[p].astype(np.int64).item(), slots, bool(exact[p]))
+                        for c, v in zip(out, row):
+                            c.append(v)
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[key, "text_hash", "pos", "width", "window", "slots", "exact"])
+
     rows = docs.select(key, "text", common.unicode_hash().alias("text_hash"))
-    return rows.mapInArrow(run, f"{key} long, text_hash long, pos long, n_windows long, window long, slots array<string>")
+    return rows.mapInArrow(run, f"{key} long, text_hash long, pos long, width long, window long, slots array<string>, exact boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
@@ -195,7 +192,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
 
     A pair counts when windows that are equal word for word, or consistent, cover at least ``coverage`` of the item's
     windows; kind is 'verbatim' or 're-parameterised' (some slot differs). In a consistent window each item value stands
-    for the same document value in all windows of its alignment.
+    for the same document value in all windows of its alignment. Of the windows that are templates alone, the same
+    coverage is enough: a copy with other values cannot meet the exact ones. An item with fewer than ``size`` tokens is
+    looked up whole, wherever it stands in a document.
     While the benchmark has at most ``local_windows`` windows their hashes travel to the document scan, so only
     windows that will meet are shuffled; a larger benchmark is joined through a plain shuffle of all windows.
     Null and empty texts, documents or items, have no windows. Repeated rows are one document with their id.
@@ -203,9 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     items = common.checkpoint(_windows(benchmark, "item_id", None, size, literals))
     n = items.count()
     wanted = np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(U64) if n <= local_windows else None
-    seen = _windows(docs, "doc_id", wanted, size, literals).select("doc_id", "text_hash", "window", "slots", "pos")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"))
-    right = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    short = sorted(r[0] for r in items.where(F.col("width") < size).select("width").distinct().collect())  # size - 1 at most
+    seen = _windows(docs, "doc_id", wanted, size, literals, short).select("doc_id", "text_hash", "window", "slots", "pos")
+    sizes = items.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("item_templates"))
+    right = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "exact")
     met = common.checkpoint(seen.join(right, "window").withColumn("shift", F.col("pos") - F.col("item_pos")).drop("window", "pos"))
     pair = ["doc_id", "text_hash", "item_id", "shift"]
     zipped = F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))
@@ -218,8 +218,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     for c in pair:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     rows = met.join(torn, on, "left").where((F.col("changed") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
-    pairs = rows.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.max("changed").alias("changed"))
-    done = pairs.join(sizes, "item_id").where(F.col("n_windows") >= F.greatest(F.lit(1.0), F.col("item_windows") * coverage))
+    pairs = rows.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_templates"), F.max("changed").alias("changed"))
+    enough = lambda n, of: F.col(n) >= F.greatest(F.lit(1.0), F.col(of) * coverage)
+    done = pairs.join(sizes, "item_id").where(enough("n_windows", "item_windows") | enough("n_templates", "item_templates"))
     return done.select("doc_id", "text_hash", "item_id", "n_windows", "item_windows", F.when(F.col("changed") == 1, "re-parameterised").otherwise("verbatim").alias("kind"))
 
 

@@ -490,6 +490,16 @@ def test_one_conflicting_slot_leaves_the_exact_windows(spark):
     assert decontam.clean(docs, bench).count() == 0
 
 
+def test_short_items_and_items_of_numbers_are_found(spark):
+    short, numbers = "What is the capital of France?", "12 km + 7 km - 3 km = 16 km and 4 kg + 5 kg = 9 kg"
+    bench = spark.createDataFrame([(1, short), (2, numbers)], "item_id long, text string")
+    rows = [(1, f"so they asked him again today {short.lower()} and he did not know it"), (2, f"we write {numbers} on the board today"), (3, "we write " + numbers.replace("7", "8").replace("16", "17").replace("5", "6").replace("12", "13").replace("9", "10") + " there"), (4, short), (5, "what is the capital of the old man in town")]
+    for local in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id, r.kind) for r in decontam.contaminated(table(spark, rows), bench, local_windows=local).collect()}
+        assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (4, 1, "verbatim")}
+    assert {r.doc_id for r in decontam.clean(table(spark, rows), bench).collect()} == {3, 5}
+
+
 def test_decontamination_on_the_given_table(spark):
     norm = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     docs = [tuple(r) for r in documents(spark, "/root/testdata/sf0.1").select("doc_id", "text").collect()]
