@@ -27,19 +27,22 @@ def edges(elements: DataFrame) -> DataFrame:
 
 
 def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(target, node): every node upstream of each target, found by breadth-first rounds; cycles end.
+    """(target, node): every node upstream of each target, found by breadth-first rounds; cycles end and a chain longer
+    than ``max_depth`` raises.
 
     Each round joins the newest nodes only and drops those already found, so diamonds are walked once.
     """
     e = checkpointed(edge.select("src", "dst").distinct())
     new = checkpointed(targets.groupBy("target").agg(F.min("target").alias("node")))  # an alias would be carried on as a constraint by every round
     seen = new
-    for _ in range(max_depth):
+    for _ in range(max_depth + 1):
         step = new.join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
         new = checkpointed(step.join(seen, ["target", "node"], "left_anti"))
         if new.isEmpty():
             break
         seen = checkpointed(seen.union(new))
+    else:
+        raise RuntimeError(f"closure is not complete after {max_depth} rounds")
     return seen
 
 

@@ -364,3 +364,13 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "h/x.geojson").write_text(sinks.collection(sinks.shapes_geojson(v, ["n"], True)).first().content)
     f = documents.features(text.read_files(spark, str(tmp_path / "h")))
     assert f.first().properties == {"n": "a"} and [(r.x, r.y) for r in documents.vertices(f).orderBy("ord").collect()] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+
+
+def test_closure_is_whole_or_raises(spark):
+    from freshet.operators import network
+
+    chain = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "src string, dst string")
+    target = spark.createDataFrame([("a",)], "target string")
+    assert network.closure(chain, target, max_depth=3).count() == 4
+    with pytest.raises(RuntimeError):
+        network.closure(chain, target, max_depth=2)
