@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,16 @@ def unicode_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir where it is set; only a session without one gets a folder of its own."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A local session without one gets a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+    if (set_ := sc.getConf().get("spark.checkpoint.dir")) is not None:
+        return set_.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-checkpoints-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -155,15 +161,45 @@ def filtered(rows: DataFrame, table: DataFrame, columns: list[str], inside: bool
     return rows.join(F.broadcast(table), hit, "left_semi" if inside else "left_anti")
 
 
-def anti_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows without a match among the keys; only those that may have one are shuffled. Null keys match null keys."""
-    keys = checkpoint(keys.select(*columns).distinct())
-    table = key_filter(keys, columns)
-    named = keys.select(*[F.col(c).alias(f"_k_{c}") for c in columns])
-    on = F.lit(True)
-    for c in columns:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return filtered(rows, table, columns, inside=False).unionByName(filtered(rows, table, columns).join(named, on, "left_anti"))
+def anti_join(rows: DataFrame, keys: DataFrame, on: list[str | Column]) -> DataFrame:
+    """Rows without a match among the keys, whose columns stand for those of ``on`` in order. Null keys match null keys.
+
+    Only rows that may have a match are shuffled. A row travels as one struct, so its columns may have any names.
+    """
+    names = [f"k{i}" for i in range(len(on))]
+    keys = checkpoint(keys.toDF(*names).distinct())
+    table = key_filter(keys, names)
+    named = keys.toDF(*[f"x{i}" for i in range(len(on))])
+    held = rows.select(F.struct("*").alias("row"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(on, names)])
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"x{i}"))
+    free = filtered(held, table, names, inside=False).select("row.*")
+    return free.unionByName(filtered(held, table, names).join(named, same, "left_anti").select("row.*"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also where it is used inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def prefixes(values: Column, zero: Column, join: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For each element of an array the fold of those before it, ``zero`` for the first.
+
+    A fold that appends to an array copies it at every step, so it runs over blocks, then over the blocks' folds.
+    """
+
+    def folds(xs: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.filter(F.array(start), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(xs, empty, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+
+    def whole(xs: Column) -> Column:
+        return let(blocks(xs), lambda bs: let(folds(F.transform(bs, lambda b: F.aggregate(b, zero, join)), zero), lambda starts: F.flatten(F.zip_with(bs, starts, folds))))
+
+    return let(values, lambda xs: F.when(F.size(xs) <= block, folds(xs, zero)).otherwise(whole(xs)))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -230,5 +230,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs, all their columns, without contaminated documents."""
-    hit = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id", F.col("text_hash").alias("_text_hash"))
-    return common.anti_join(docs.withColumn("_text_hash", common.unicode_hash()), hit, ["doc_id", "_text_hash"]).select(*docs.columns)
+    hit = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id", "text_hash")
+    return common.anti_join(docs, hit, ["doc_id", common.unicode_hash()])

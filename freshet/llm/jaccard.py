@@ -377,7 +377,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     Rows without words stay, and of rows that repeat the same id one; a null id stays.
     """
     groups = similar_groups(docs, words, num, den)
-    return common.anti_join(docs, groups.where("component_id <> doc_id"), ["doc_id"])
+    return common.anti_join(docs, groups.where("component_id <> doc_id").select("doc_id"), ["doc_id"])
 
 
 ORACLE = r"""

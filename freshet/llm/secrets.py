@@ -132,82 +132,101 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
     return seen.select("doc_id", "text_hash", mask.alias("rules")).where("rules > 0")
 
 
-def _spans(rule: Rule, order: int) -> Column:
+SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+
+
+def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule: struct(start, rank, kind, end), code points, end exclusive.
 
     The text between matches (split) and the matches (extract all) follow each other, so running sums of
     their lengths are the places.
     """
-    text, pattern = F.col("text"), F.lit(rule.pattern)
+    pattern = F.lit(rule.pattern)
     parts = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, pattern, 0), lambda x: F.length(x))
     held = F.transform(F.regexp_extract_all(text, pattern, rule.group), lambda x: F.length(x)) if rule.group else whole
-    zipped = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("gap"), whole.alias("len"), held.alias("held"))
-    step = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["held"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["len"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return step["out"]
+
+    def placed(m: Column) -> Column:
+        """m: array of struct(gap, len, held) in order of the matches."""
+        at = common.prefixes(F.transform(m, lambda x: x["gap"] + x["len"]), F.lit(0), lambda a, b: a + b)
+        return F.filter(
+            F.zip_with(m, at, lambda x, a: F.when(x["held"] >= rule.least, F.struct((a + x["gap"]).alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), (a + x["gap"] + x["len"]).alias("end")))),
+            lambda s: s.isNotNull(),
+        )
+
+    sliced = common.let(F.struct(parts.alias("p"), whole.alias("w"), held.alias("h")), lambda z: F.arrays_zip(F.slice(z["p"], F.lit(1), F.size(z["w"])).alias("gap"), z["w"].alias("len"), z["h"].alias("held")))
+    return common.let(sliced, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of docs with ``spans``: array of struct(start, rank, kind, end) by start, then rank.
+    """(row, spans): every row of docs as a struct with its columns, and its spans, an array of struct(start, rank, kind,
+    end) by start, then rank.
 
-    Null text is empty. Rows with the same id and text get the same spans; a null id matches its own postings.
+    Null text is empty. Rows with the same id and text get the same spans; a null id matches its own postings. Work
+    follows the text's length plus its matches, so long texts with very many secrets are no special case.
     """
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans", "text_hash", "rules").withColumn("text_hash", common.unicode_hash())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), common.unicode_hash().alias("hash"))
     grams = sorted({t for r in rules for clause in trigram_query(r.pattern) for some in clause for t in some})
+    asked = F.lit(None).cast("int").alias("asked")
     if grams:
-        found = common.checkpoint(candidates(build_index(docs.select("doc_id", "text"), grams), rules, grams))
-        table = common.key_filter(found, ["doc_id", "text_hash"])
-        f = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rules")
-        may = common.filtered(rows, table, ["doc_id", "text_hash"])
-        may = may.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
-        rows = common.filtered(rows, table, ["doc_id", "text_hash"], inside=False).withColumn("rules", F.lit(None).cast("int")).unionByName(may)
+        found = common.checkpoint(candidates(build_index(docs.select("doc_id", "text"), grams), rules, grams).toDF("id", "hash", "asked"))
+        table = common.key_filter(found, ["id", "hash"])
+        f = found.toDF("_id", "_hash", "asked")
+        may = common.filtered(rows, table, ["id", "hash"]).join(f, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").select("row", "asked")
+        rows = common.filtered(rows, table, ["id", "hash"], inside=False).select("row", asked).unionByName(may)
     else:
-        rows = rows.withColumn("rules", F.lit(None).cast("int"))
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
+        rows = rows.select("row", asked)
+    text, none = F.coalesce(F.col("row.text"), F.lit("")), F.expr(f"cast(array() as array<{SPAN}>)")
     parts = []
     for i, r in enumerate(rules):
-        asked = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) > 0 if trigram_query(r.pattern) else F.lit(True)
-        parts.append(F.when(asked & F.col("text").rlike(r.pattern), _spans(r, i)).otherwise(none))
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("text_hash", "rules")
+        holds = F.coalesce(F.col("asked"), F.lit(0)).bitwiseAND(F.lit(1 << i)) > 0 if trigram_query(r.pattern) else F.lit(True)
+        parts.append(F.when(holds & text.rlike(r.pattern), _spans(text, r, i)).otherwise(none))
+    return rows.select("row", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+CUT = 1024
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each span as ``[kind]``. It is cut into blocks of CUT characters once, so that a gap between two
+    spans is read from the blocks it lies in and not from the text's start."""
+
+    def put(z: Column) -> Column:
+        blocks = z["blocks"]
+
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / CUT).cast("int")
+            own = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / CUT).cast("int") - first + 1), "")
+            return F.when(b <= a, F.lit("")).otherwise(F.substring(own, a - first * CUT + 1, b - a))
+
+        pieces = F.zip_with(z["spans"], z["before"], lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), between(F.array_max(F.transform(z["spans"], lambda s: s["end"])), z["size"]))
+
+    before = common.prefixes(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), 0)
+    return common.let(F.struct(blocks.alias("blocks"), spans.alias("spans"), before.alias("before"), F.length(text).alias("size")), put)
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of docs with every span's text replaced by ``[kind]``; overlapping spans become one, named by the first.
 
-    Columns of docs that have a working column's name (spans, rules, text_hash) come back as they were.
+    All other columns come back as they were, whatever their names. Null text comes back empty; rows that repeat an id or
+    a text are each redacted.
     """
-    columns = docs.columns
-    own = {c: f"_own_{c}" for c in columns if c in ("spans", "rules", "text_hash", "_id", "_hash")}
-    found = scan(docs.withColumnsRenamed(own), rules)
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-
-    def put(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", empty, put)
-    clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return found.withColumn("text", clean).select(*[F.col(own.get(c, c)).alias(c) for c in columns])
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    clean = F.when(F.size("spans") == 0, text).otherwise(_replaced(text, F.col("spans")))
+    return scan(docs, rules).select(*[clean.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(common.documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def _oracle() -> str:

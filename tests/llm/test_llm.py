@@ -250,7 +250,7 @@ SECRETS = [
 
 def test_secrets_equal_regular_expressions(spark):
     rows = edge_rows() + list(enumerate(SECRETS, 100)) + [tuple(r) for r in documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()]
-    got = secrets.scan(table(spark, rows).drop("spans")).select("doc_id", "spans").collect()
+    got = secrets.scan(table(spark, rows)).select("row.doc_id", "spans").collect()
     key = lambda x: str(x)
     have = sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in got), key=key)
     assert have == sorted(((i, brute_spans(t)) for i, t in rows), key=key)
@@ -262,12 +262,34 @@ def test_trigram_queries():
     assert frozenset({"tok", "oke", "ken"}) in q["assign"][0] and len(q["assign"]) == 1
 
 
+def brute_redacted(text):
+    at, out, text = 0, [], text or ""
+    for a, _, kind, b in brute_spans(text):
+        if a >= at:
+            out.append(text[at:a] + f"[{kind}]")
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def test_redact(spark):
-    got = {r.doc_id: r.text for r in secrets.redact(table(spark, list(enumerate(SECRETS)) + [(9, None), (10, "clean")])).collect()}
+    rows = list(enumerate(SECRETS)) + [(9, None), (10, "clean")] + [(20 + i, t) for i, (_, t) in enumerate(edge_rows())]
+    got = {r.doc_id: r.text for r in secrets.redact(table(spark, rows)).collect()}
+    assert got == {i: brute_redacted(t) for i, t in rows}
     assert got[10] == "clean" and got[9] == "" and got[3] == "[assign] [hex]"
     assert "hunter22" not in got[0] and "AKIAABC" not in got[1]
 
 
+def test_very_many_secrets_in_one_text(spark):
+    rng = random.Random(2)
+    text = " ".join("wörd \U0001f600 " * rng.randint(1, 4) + rng.choice(["", "token=", "secret: "]) + f"{rng.getrandbits(128):032x}" for _ in range(100_000))
+    docs = table(spark, [(1, text), (2, "x")]).repartition(1)
+    began = time.monotonic()
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(docs).select("row.doc_id", "spans").collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert spans == {1: brute_spans(text), 2: []} and clean == {1: brute_redacted(text), 2: "x"}
+
+
 def test_secrets_stay_native(spark):
     plan = secrets.query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -535,14 +557,19 @@ def test_stage_edges(spark, k):
         assert out.columns == d.columns and out.count() <= d.count()
 
 
-def test_columns_with_working_names_come_back(spark):
+WORKING = "text_hash rules spans component_id score node bits size h window row id hash asked k0 x0 key word places shard batch_id piece n_tokens tokens".split()
+
+
+@pytest.mark.parametrize("spell", [str, str.upper, "_{}".format, "_k_{}".format])
+def test_columns_with_working_names_come_back(spark, spell):
     import corpus_pipeline
 
-    docs = table(spark, [*edge_rows(), (50, "password = hunter22 " + "word " * 30)]).withColumns({c: F.lit(f"own {c}") for c in ("text_hash", "rules", "spans", "component_id", "score", "node", "bits", "size", "h", "window")})
+    names = [spell(c) for c in [*WORKING, *(["_text_hash", "_id", "_hash"] if spell is str else ["doc_id"] if spell("a")[0] == "_" else [])]]
+    docs = spark.createDataFrame([*edge_rows(), (50, "password = hunter22 " + "word " * 30)], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in names})
     bench = spark.createDataFrame([(1, "nothing here is in any document of the test at all")], "item_id long, text string")
     for out in (secrets.redact(docs), decontam.clean(docs, bench), jaccard.keep_one(docs), quality.stage(spark, docs, SF)):
         assert out.columns == docs.columns and out.count() > 5
-        assert out.where(" or ".join(f"{c} <> 'own {c}'" for c in ("text_hash", "rules", "spans", "score", "node", "bits"))).count() == 0
+        assert out.where(" or ".join(f"{c} <> 'own {c}'" for c in names)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 10
 
 
