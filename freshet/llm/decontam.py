@@ -3,6 +3,8 @@
 Numbers, names and units become typed placeholders; windows of the resulting template are hash-joined between
 documents and benchmark items. Windows that meet must also agree on their slots: one item value always stands
 for one document value, so a question with other numbers or names is caught and a chance meeting is not.
+
+A capital at the start of a sentence may begin a name or an ordinary word, so texts are read in both ways.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 from .common import U64
@@ -18,11 +21,20 @@ from .common import U64
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
-LOCAL_WINDOWS = 1 << 20
+RUN = 13
+WINDOW_BITS = 1 << 26
+WORD_BITS = 1 << 22
 
 # Number words and unit words, English, German, French and Spanish.
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve eins zwei drei vier sechs sieben acht neun zehn deux trois quatre cinq huit neuf dix uno dos tres cuatro cinco seis siete ocho nueve diez".split()
-UNIT_WORDS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent usd eur dollars euros cents meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters mph kmh".split()
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen "
+    "eins zwei drei vier sechs sieben acht neun zehn elf zwölf zwanzig dreißig hundert tausend deux trois quatre cinq huit neuf dix onze douze vingt trente cent mille uno dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cien mil"
+).split()
+UNIT_WORDS = (
+    "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year percent usd eur gbp dollars dollar euros euro cents cent pounds pound pence "
+    "inches inch feet foot yards yard miles mile meter meters metre metres centimeters centimetres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ounces ounce tons tonnes liter liters litre litres gallons gallon pints cups degrees mph kmh kph watts volts "
+    "stunden minuten sekunden tage wochen jahre heures secondes jours semaines ans horas minutos segundos semanas años"
+).split()
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
@@ -114,72 +126,124 @@ _UNITS = _hash_list(UNIT_WORDS)
 _PLACE = common.mix(np.arange(1, 5, dtype=U64))
 
 
-def template(data: np.ndarray, offsets: np.ndarray):
-    """(template hash, kind, start, end, first, word hash): the tokens with placeholders for numbers, names and units.
+def readings(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> list[tuple]:
+    """Two readings (template hash, kind, start, end, first, word hash, place): the tokens with placeholders for numbers,
+    names and units, the place being the token's number in its text.
 
-    A name is a token with a capital followed by no capital, not at the start of a text or sentence. A unit is
-    a unit word right after a number.
+    A name is a title-case token; a number and a unit are digits or words of the lists, a unit
+    right after a number (or up to three letters joined to its digits). Title case at the start of a text or sentence is an
+    ordinary word in the first reading and, unless its word is among ``known`` (a bit set), a name in the second. There, also,
+    names next to each other, by one space or hyphen, are one, and a number word goes with the number before it.
     """
     h, s, e, begins, title, first = _tokens(data, offsets)
-    kind = np.zeros(len(h), np.int8)
-    if not len(h):
-        return h, kind, s, e, first, h
-    kind[_DIGIT[data[s]] | np.isin(h, _NUMBERS)] = NUMBER
-    kind[title & ~begins & (kind == 0)] = NAME
+    out = []
+    number = _DIGIT[data[s]] | np.isin(h, _NUMBERS)
     after = np.zeros(len(h), bool)
-    after[1:] = kind[:-1] == NUMBER
+    after[1:] = number[:-1]
     after[first[:-1][first[:-1] < len(h)]] = False
-    at = np.flatnonzero(after & (kind != NUMBER))
-    kind[at[np.isin(h[at], _UNITS)]] = UNIT
-    t = h.copy()
-    held = kind > 0
-    t[held] = _PLACE[kind[held]]
-    return t, kind, s, e, first, h
+    joined = np.zeros(len(h), bool)
+    joined[1:] = after[1:] & (s[1:] == e[:-1]) & (e[1:] - s[1:] <= 3)
+    unit = after & ~number & (joined | np.isin(h, _UNITS))
+    near = np.zeros(len(h), bool)
+    near[1:] = (s[1:] - e[:-1] == 1) & ((data[e[:-1]] == 32) | (data[e[:-1]] == 45)) if len(h) else False
+    near[first[:-1][first[:-1] < len(h)]] = False
+    for both in (False, True):
+        name = title & ~begins if not both else title & ~(begins & has(known, h)) if known is not None else title
+        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.int8)
+        if not len(h):
+            out.append((h, kind, s, e, first, h, s))
+            continue
+        more = np.zeros(len(h), bool)
+        if both:
+            more[1:] = near[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | (kind[1:] == NUMBER) & ~_DIGIT[data[s[1:]]])
+        keep = np.flatnonzero(~more)
+        turn = np.arange(len(h)) - np.repeat(keep, np.diff(np.append(keep, len(h))))
+        words = np.add.reduceat(common.mix(h + turn.astype(U64) * U64(0xD6E8FEB86659FD93)), keep)
+        kind = kind[keep]
+        t = words.copy()
+        t[kind > 0] = _PLACE[kind[kind > 0]]
+        own = np.searchsorted(keep, first)
+        place = keep - np.repeat(first[:-1], np.diff(own))
+        out.append((t, kind, s[keep], e[np.append(keep[1:], len(h)) - 1], own, words, place))
+    return out
+
+
+def bit_set(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and masks of a bit set over column h: bits / 64 of them at most, whatever the number of rows."""
+    low = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = hashes.groupBy(F.shiftrightunsigned(low, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("m")).collect()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(U64)
+
+
+def dense(words: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, U64)
+    out[words[0]] = words[1]
+    return out
+
+
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bit set."""
+    at = h & U64(64 * len(bits) - 1)
+    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
 
 
-def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, literals: int, short: list[int] | None = None) -> DataFrame:
-    """(key, text_hash, pos, width, window, slots, exact): all windows of each text, or those whose hash is wanted.
+def _both_ways(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit set of the benchmark's words that open a sentence in title case and also stand in lower case."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, offsets in common.text_blocks(b):
+                h, _, _, begins, title, _ = _tokens(data, offsets)
+                for x, opens in ((h[title & begins], True), (h[~title], False)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(x).view(np.int64)), pa.array([opens] * len(np.unique(x)), pa.bool_())], names=["h", "opens"])
+
+    words = benchmark.select("text").mapInArrow(run, "h long, opens boolean").groupBy("h").agg(F.max("opens").alias("opens"), F.min("opens").alias("always"))
+    return bit_set(words.where("opens and not always"), WORD_BITS)
+
+
+def _windows(docs: DataFrame, key: str, wanted: tuple | None, known: tuple, size: int, literals: int, short: list[int] | None = None) -> DataFrame:
+    """(key, text_hash, pos, width, window, slots, exact): all windows of each text, or those whose hash may be wanted.
 
     Windows have ``size`` tokens or one of the ``short`` widths; with short None, a text with fewer than ``size`` tokens
-    is one window. A window with fewer than ``literals`` ordinary tokens (fewer than all, in a shorter one) says too little
-    as a template: it is exact, its hash is that of its words and it has no slots. Other short windows are given both
-    ways, since a single one may begin a sentence here and not there.
+    is one window. Of the second reading only the windows that differ from the first are given. A window with fewer than
+    ``literals`` ordinary tokens (fewer than all, in a shorter one) says too little as a template: it is exact, its hash is
+    that of its words and it has no slots. Other short windows are given both ways.
     """
-    bits = None
-    if wanted is not None:
-        wanted = np.sort(wanted)
-        bits = np.zeros(1 << 22, bool)
-        bits[(wanted & U64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(batches):
+        words_known = dense(known, WORD_BITS)
+        bits = None if wanted is None else dense(wanted, WINDOW_BITS)
         for b in batches:
             out = [[], [], [], [], [], [], []]
             keys, hashes = b.column(0), b.column(2)
             for i, j, data, offsets in common.text_blocks(b):
-                t, kind, s, e, first, words = template(data, offsets)
-                plain = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-                lens = np.diff(first)
-                narrow = [(w, also) for w in (range(1, size) if short is None else short) for also in (False, True)]
-                for width, also in (*narrow, (size, False)):
-                    g = common.grams(t, width)
-                    if not len(g):
-                        continue
-                    exact = plain[width : width + len(g)] - plain[: len(g)] < min(literals, width)
-                    known = ~exact if also else np.ones(len(g), bool)
-                    exact |= also
-                    g = np.where(exact, common.mix(common.grams(words, width)), g)
-                    at = np.flatnonzero(known if bits is None else known & bits[(g & U64((1 << 22) - 1)).astype(np.int64)])
-                    if wanted is not None and len(at):
-                        at = at[np.isin(g[at], wanted)]
-                    text = np.searchsorted(first, at, "right") - 1
-                    good = at + width <= first[np.minimum(text + 1, len(first) - 1)]
-                    if short is None and width < size:
-                        good &= lens[np.minimum(text, len(lens) - 1)] == width
-                    for p, k in zip(at[good].tolist(), text[good].tolist()):
-                        slots = [] if exact[p] else [f"{kind[q]}:" + _folded(data[s[q] : e[q]]).tobytes().decode("utf-8", "replace") for q in range(p, p + width) if kind[q]]
-                        row = (keys[i + k].as_py(), hashes[i + k].as_py(), p - int(first[k]), width, g[p].astype(np.int64).item(), slots, bool(exact[p]))
-                        for c, v in zip(out, row):
-                            c.append(v)
+                read = readings(data, offsets, words_known)
+                was = _kinds_by_token(read[0], len(data))
+                for second, (t, kind, s, e, first, words, place) in enumerate(read):
+                    plain = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+                    new = np.concatenate(([0], np.cumsum((was[s] != kind) | (np.diff(place, append=0) > 1)))) if second else None
+                    lens = np.diff(first)
+                    narrow = [(w, also) for w in (range(1, size) if short is None else short) for also in (False, True)]
+                    for width, also in (*narrow, (size, False)):
+                        g = common.grams(t, width)
+                        if not len(g):
+                            continue
+                        exact = plain[width : width + len(g)] - plain[: len(g)] < min(literals, width)
+                        good = ~exact if also else np.ones(len(g), bool)
+                        if second:
+                            good &= new[width : width + len(g)] > new[: len(g)]
+                        exact = exact | also
+                        g = np.where(exact, common.mix(common.grams(words, width)), g)
+                        at = np.flatnonzero(good if bits is None else good & has(bits, g))
+                        text = np.searchsorted(first, at, "right") - 1
+                        good = at + width <= first[np.minimum(text + 1, len(first) - 1)]
+                        if short is None and width < size:
+                            good &= lens[np.minimum(text, len(lens) - 1)] == width
+                        for p, k in zip(at[good].tolist(), text[good].tolist()):
+                            slots = [] if exact[p] else [f"{kind[q]}:" + _folded(data[s[q] : e[q]]).tobytes().decode("utf-8", "replace") for q in range(p, p + width) if kind[q]]
+                            row = (keys[i + k].as_py(), hashes[i + k].as_py(), int(place[p]), width, g[p].astype(np.int64).item(), slots, bool(exact[p]))
+                            for c, v in zip(out, row):
+                                c.append(v)
             kinds = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[key, "text_hash", "pos", "width", "window", "slots", "exact"])
 
@@ -187,25 +251,33 @@ def _windows(docs: DataFrame, key: str, wanted: np.ndarray | None, size: int, li
     return rows.mapInArrow(run, f"{key} long, text_hash long, pos long, width long, window long, slots array<string>, exact boolean")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
+def _kinds_by_token(reading: tuple, size: int) -> np.ndarray:
+    """Kind of the reading's token that begins at each byte; -1 where none does."""
+    out = np.full(size + 1, -1, np.int8)
+    out[reading[2]] = reading[1]
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, item_windows, kind) for each document that holds a benchmark item.
 
     A pair counts when windows that are equal word for word, or consistent, cover at least ``coverage`` of the item's
-    windows; kind is 'verbatim' or 're-parameterised' (some slot differs). In a consistent window each item value stands
-    for the same document value in all windows of its alignment. Of the windows that are templates alone, the same
-    coverage is enough: a copy with other values cannot meet the exact ones. An item with fewer than ``size`` tokens is
-    looked up whole, wherever it stands in a document.
-    While the benchmark has at most ``local_windows`` windows their hashes travel to the document scan, so only
-    windows that will meet are shuffled; a larger benchmark is joined through a plain shuffle of all windows.
+    windows, or when windows equal word for word stand for a passage of ``run`` tokens; kind is 'verbatim' or
+    're-parameterised' (some window differs in its slots). In a consistent window each item value stands for the same document value in
+    all windows of its alignment. Of the windows that are templates alone, the same coverage is enough: a copy with other
+    values cannot meet the exact ones. An item with fewer than ``size`` tokens is looked up whole, wherever it stands in
+    a document.
+    A bit set of fixed size of the item windows travels to the document scan, so few windows but those that meet are
+    shuffled; with a benchmark of very many windows it lets more through, and the join gives the same rows.
     Null and empty texts, documents or items, have no windows. Repeated rows are one document with their id.
     """
-    items = common.checkpoint(_windows(benchmark, "item_id", None, size, literals))
-    n = items.count()
-    wanted = np.array([r[0] for r in items.select("window").distinct().collect()], np.int64).view(U64) if n <= local_windows else None
+    known = _both_ways(benchmark)
+    items = common.checkpoint(_windows(benchmark, "item_id", None, known, size, literals))
+    wanted = bit_set(items.select(F.col("window").alias("h")), WINDOW_BITS)
     short = sorted(r[0] for r in items.where(F.col("width") < size).select("width").distinct().collect())  # size - 1 at most
-    seen = _windows(docs, "doc_id", wanted, size, literals, short).select("doc_id", "text_hash", "window", "slots", "pos")
+    seen = _windows(docs, "doc_id", wanted, known, size, literals, short).select("doc_id", "text_hash", "window", "slots", "pos")
     sizes = items.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("item_templates"))
-    right = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "exact")
+    right = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "exact").distinct()
     met = common.checkpoint(seen.join(right, "window").withColumn("shift", F.col("pos") - F.col("item_pos")).drop("window", "pos"))
     pair = ["doc_id", "text_hash", "item_id", "shift"]
     zipped = F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))
@@ -218,10 +290,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     for c in pair:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     rows = met.join(torn, on, "left").where((F.col("changed") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
-    pairs = rows.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_templates"), F.max("changed").alias("changed"))
+    # at most an item's windows in each set
+    rows = rows.withColumn("equal", F.size(F.collect_set(F.when(F.col("changed") == 0, F.col("item_pos"))).over(W.partitionBy(*pair))))
+    pairs = rows.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_templates"),
+        F.countDistinct(F.when(F.col("changed") == 0, F.col("item_pos"))).alias("n_equal"), F.max("equal").alias("equal"),
+    )
     enough = lambda n, of: F.col(n) >= F.greatest(F.lit(1.0), F.col(of) * coverage)
-    done = pairs.join(sizes, "item_id").where(enough("n_windows", "item_windows") | enough("n_templates", "item_templates"))
-    return done.select("doc_id", "text_hash", "item_id", "n_windows", "item_windows", F.when(F.col("changed") == 1, "re-parameterised").otherwise("verbatim").alias("kind"))
+    long = F.col("equal") >= max(1, run - size + 1)
+    done = pairs.join(sizes, "item_id").where(enough("n_windows", "item_windows") | enough("n_templates", "item_templates") | long)
+    return done.select("doc_id", "text_hash", "item_id", "n_windows", "item_windows", F.when(F.col("n_equal") < F.col("n_windows"), "re-parameterised").otherwise("verbatim").alias("kind"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

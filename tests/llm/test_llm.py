@@ -426,8 +426,10 @@ def brute_dedup(rows):
     return sorted(out, key=str)
 
 
-def test_substrings_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [substrings.HOT, 6])
+def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(9)
     passages = [prose(rng, n) for n in (13, 14, 20, 60, 12)]
     rows = edge_rows()
@@ -462,7 +464,7 @@ def test_fm_index_counts():
 # --- 10 ---
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(11)
     item = "If Alice buys 12 apples for 30 dollars and then Bob sells 5 of them how many apples are left over today"
     bench = spark.createDataFrame([(1, item), (2, prose(rng, 25)), (3, None), (4, ""), (5, "tiny item"), (6, "1 2 3 4 5 6 7 8 9 10")], "item_id long, text string")
@@ -470,8 +472,9 @@ def test_decontamination(spark):
     torn = "If Alice buys 12 apples for 30 dollars and then " + prose(rng, 12)
     rows = edge_rows() + [(20, f"{prose(rng, 30)}. {item}. {prose(rng, 9)}"), (21, f"{prose(rng, 9)}. {changed}."), (22, torn), (23, "So " + item.lower()), (24, "9 9 9 9 9 9 9 9 9 9 9")]
     want = {(20, 1, "verbatim"), (21, 1, "re-parameterised")}
-    for local in (1 << 20, 0):  # the hashes at the scan, or a plain shuffle join
-        got = {(r.doc_id, r.item_id, r.kind) for r in decontam.contaminated(table(spark, rows), bench, local_windows=local).collect()}
+    for bits in (1 << 26, 64):  # few windows pass the scan, or most of them
+        monkeypatch.setattr(decontam, "WINDOW_BITS", bits)
+        got = {(r.doc_id, r.item_id, r.kind) for r in decontam.contaminated(table(spark, rows), bench).collect()}
         assert want <= got and not {d for d, *_ in got} & {22, 24, *range(1, 12)}
     kept = decontam.clean(table(spark, rows), bench)
     assert not {20, 21} & {r.doc_id for r in kept.collect()} and kept.columns == table(spark, rows).columns
@@ -486,16 +489,127 @@ def test_templates_do_not_depend_on_pieces(monkeypatch):
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-    want = decontam.template(data, offsets)
-    one = [decontam.template(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw]
-    assert want[0].tolist() == [h for o in one for h in o[0].tolist()] and want[1].tolist() == [k for o in one for k in o[1].tolist()]
+    want = decontam.readings(data, offsets)
+    one = [decontam.readings(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw]
+    for k in range(2):
+        for part in (0, 1, 6):
+            assert want[k][part].tolist() == [x for o in one for x in o[k][part].tolist()]
     for size in (1, 7, 64):
         monkeypatch.setattr(common, "PIECE", size)
-        got = decontam.template(data, offsets)
-        assert all(np.array_equal(a, b) for a, b in zip(got, want))
-    kinds = dict(zip(("Alice", "12", "kg"), (decontam.NAME, decontam.NUMBER, decontam.UNIT)))
-    r = b"so Alice sold 12 kg"
-    assert decontam.template(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[1].tolist() == [0, kinds["Alice"], 0, kinds["12"], kinds["kg"]]
+        got = decontam.readings(data, offsets)
+        assert all(np.array_equal(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
+    r = np.frombuffer(b"Mary Ann sold twenty five kg. Bob has 3km left", np.uint8)
+    first, second = decontam.readings(r, np.array([0, len(r)]))
+    assert first[1].tolist() == [0, 2, 0, 1, 1, 3, 0, 0, 1, 3, 0] and second[1].tolist() == [2, 0, 1, 3, 2, 0, 1, 3, 0] and second[6].tolist() == [0, 2, 3, 5, 6, 7, 8, 9, 10]
+
+
+FIRST = "Alice Bob Carla Deepak Elena Farid Greta Hiro Ines Jonas Kemi Liam Mira Noor Oskar Priya Quinn Rosa Sven Tara".split()
+LAST = ["", "", "", " Smith", " Okafor", " Lindqvist"]
+PROBLEMS = [
+    "{a} has {i} red pencils and buys {j} more at the shop for {k} dollars each. {a} then gives {l} of them to {b}. How many pencils does {a} keep in the end?",
+    "{a} drives {i} kilometers to the coast every day for {j} weeks. {b} only drives {k} kilometers on the same road. How much farther does {a} drive in total than {b}?",
+    "{a} baked {i} trays of muffins with {j} muffins on every tray for the school fair. {b} sold {k} muffins before noon and dropped {l} on the floor. How many muffins were left to sell?",
+    "A farmer named {a} fills {i} baskets with {j} kg of apples in each basket. {b} carries away {k} baskets to the market. How many kg of apples stay on the farm?",
+    "{a} reads {i} pages of a long novel on each weekday and {j} pages on each day of the weekend. {b} reads {k} pages every day. How many pages do they read together after {l} weeks?",
+    "The price of a ticket to the garden show is {i} euros for adults and {j} euros for children. {a} takes {k} adults and {l} children along with {b}. How much does {a} pay in all?",
+]
+
+
+def problem(rng, k):
+    used = set()
+
+    def draw():
+        x = rng.randint(2, 99)
+        while x in used:
+            x = rng.randint(2, 99)
+        used.add(x)
+        return x
+
+    a, b = rng.sample(FIRST, 2)
+    tail = " ".join(prose(random.Random(k), 9).split())  # what makes each item a question of its own
+    return PROBLEMS[k % len(PROBLEMS)].format(a=a + rng.choice(LAST), b=b, i=draw(), j=draw(), k=draw(), l=draw()) + f" Note that {tail} at the end."
+
+
+def brute_contaminated(docs, items, size=8, literals=4, coverage=0.5, run=13):
+    """Pairs (document, item) by dictionaries and regular expressions, for ASCII texts of items with ``size`` tokens or more."""
+    token = re.compile(r"[A-Za-z\x80-\U0010ffff]+|[0-9](?:[0-9]|(?<=[0-9])[.,](?=[0-9]))*")
+
+    def tokens_of(text):
+        out, end, begins = [], 0, True
+        for m in token.finditer(text):
+            begins = begins or bool(re.search(r"[\n!.:?]", text[end : m.start()]))
+            w = m.group()
+            out.append((w.lower(), m.start(), m.end(), begins, w[0].isupper() and len(w) > 1 and not w[1].isupper()))
+            end, begins = m.end(), False
+        return out
+
+    opening = {t[0] for x in items.values() for t in tokens_of(x) if t[3] and t[4]} & {t[0] for x in items.values() for t in tokens_of(x) if not t[4]}
+
+    def read(text, second):
+        out, toks = [], tokens_of(text)
+        digits = [t[0][0].isdigit() or t[0] in decontam.NUMBER_WORDS for t in toks]
+        for p, (w, a, b, begins, title) in enumerate(toks):
+            after = p > 0 and digits[p - 1]
+            if digits[p]:
+                kind = 1
+            elif after and (w in decontam.UNIT_WORDS or a == toks[p - 1][2] and b - a <= 3):
+                kind = 3
+            else:
+                kind = 2 if title and (not begins or second and w not in opening) else 0
+            if second and out and kind == out[-1][1] and text[out[-1][3] : a] in (" ", "-") and (kind == 2 or kind == 1 and not w[0].isdigit()):
+                out[-1] = (out[-1][0], kind, out[-1][2], b)
+            else:
+                out.append((p, kind, a, b))
+        return [(p, k, text[a:b].lower()) for p, k, a, b in out]
+
+    def windows_of(text):
+        for second in (False, True):
+            r = read(text, second)
+            for x in range(len(r) - size + 1):
+                w = r[x : x + size]
+                exact = sum(k == 0 for _, k, _ in w) < literals
+                yield w[0][0], exact, tuple((0, v) if exact or k == 0 else (k, "") for _, k, v in w) + (exact,), tuple(() if exact else ((k, v) for _, k, v in w if k))
+
+    found, held = set(), defaultdict(set)
+    total, templates = defaultdict(set), defaultdict(set)
+    for i, text in items.items():
+        for pos, exact, key, slots in windows_of(text):
+            held[key].add((i, pos, slots))
+            total[i].add(pos)
+            if not exact:
+                templates[i].add(pos)
+    for d, text in docs.items():
+        met = defaultdict(list)
+        for pos, exact, key, slots in windows_of(text):
+            for i, at, own in held.get(key, ()):
+                met[i, pos - at].append((at, exact, slots, own))
+        seen, some, equal = defaultdict(set), defaultdict(set), Counter()
+        for (i, shift), rows in met.items():
+            stands = defaultdict(set)
+            for _, _, slots, own in rows:
+                for x, y in zip(own, slots):
+                    stands[x].add(y)
+            kept = [r for r in rows if r[2] == r[3] or all(len(stands[x]) == 1 for x in r[3])]
+            seen[i] |= {r[0] for r in kept}
+            some[i] |= {r[0] for r in kept if not r[1]}
+            equal[i] = max(equal[i], len({r[0] for r in kept if r[2] == r[3]}))
+        found |= {(d, i) for i in seen if len(seen[i]) >= max(1, coverage * len(total[i])) or len(some[i]) >= max(1, coverage * len(templates[i])) or equal[i] > run - size}
+    return found
+
+
+def test_reparameterised_questions(spark):
+    rng = random.Random(17)
+    items = {k: problem(rng, k) for k in range(200)}
+    held = {k: f"{prose(rng, 40)}. {problem(rng, k)} {prose(rng, 30)}" for k in range(200)}
+    clean = {1000 + k: f"{prose(rng, 40)}. {problem(rng, 5000 + 6 * k + 1).split(' How ')[0].replace('drives', 'walks').replace('kilometers', 'blocks')} {prose(rng, 30)}" for k in range(200)}
+    partial = {2000 + k: f"{prose(rng, 20)} {' '.join(items[k].split()[5:20])} {prose(rng, 20)}" for k in range(20)}
+    docs = held | clean | partial
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, list(docs.items())), bench).collect()}
+    assert got == brute_contaminated(docs, items)
+    assert len({k for k in range(200) if (k, k) in got}) >= 180
+    assert len({d for d, _ in got if 1000 <= d < 2000}) <= 4
+    assert {d for d, _ in got if d >= 2000} == set(partial)
 
 
 def test_inconsistent_slots_do_not_count(spark):
@@ -512,12 +626,13 @@ def test_one_conflicting_slot_leaves_the_exact_windows(spark):
     assert decontam.clean(docs, bench).count() == 0
 
 
-def test_short_items_and_items_of_numbers_are_found(spark):
+def test_short_items_and_items_of_numbers_are_found(spark, monkeypatch):
     short, numbers = "What is the capital of France?", "12 km + 7 km - 3 km = 16 km and 4 kg + 5 kg = 9 kg"
     bench = spark.createDataFrame([(1, short), (2, numbers)], "item_id long, text string")
     rows = [(1, f"so they asked him again today {short.lower()} and he did not know it"), (2, f"we write {numbers} on the board today"), (3, "we write " + numbers.replace("7", "8").replace("16", "17").replace("5", "6").replace("12", "13").replace("9", "10") + " there"), (4, short), (5, "what is the capital of the old man in town")]
-    for local in (1 << 20, 0):
-        got = {(r.doc_id, r.item_id, r.kind) for r in decontam.contaminated(table(spark, rows), bench, local_windows=local).collect()}
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(decontam, "WINDOW_BITS", bits)
+        got = {(r.doc_id, r.item_id, r.kind) for r in decontam.contaminated(table(spark, rows), bench).collect()}
         assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (4, 1, "verbatim")}
     assert {r.doc_id for r in decontam.clean(table(spark, rows), bench).collect()} == {3, 5}
 
