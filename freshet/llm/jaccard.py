@@ -21,6 +21,7 @@ from . import common
 from .common import U64
 
 LEVEL = 1.5
+SEEDS = 12
 CHUNK_DOCS = 2048
 CHUNK_SHINGLES = 4_000_000
 FANOUT = 8
@@ -37,22 +38,29 @@ def _parts(level: int, num: int, den: int) -> tuple[int, int]:
     """(parts, empties) of a level for a threshold num/den.
 
     Sets that meet in the level differ in D shingles at most, so of parts = D + 1 + empties parts at least
-    empties + 1 are equal: a set with no more than ``empties`` empty parts need not be looked up by them.
-    empties is chosen so that hardly any set has more.
+    empties + 1 are equal. empties is the number for which a set has the fewest keys: more parts mean more keys,
+    fewer mean that more sets have too many empty parts and are dealt out again.
     """
-    top = _level(level + 1) - 1
     low = max(1, math.floor(_level(level) * num / den))
-    d = 2 * top * (den - num) // (den + num)
-    for e in range(4 * d + 8):
+    d = 2 * (_level(level + 1) - 1) * (den - num) // (den + num)
+
+    def keys(e: int) -> float:
         k = d + 1 + e
-        mean = k * (1 - 1 / k) ** low if k > 1 else 0.0
-        if e + 1 > mean + 3 * math.sqrt(mean) and mean < (e + 1) ** 2 / 4 + 0.05:
-            return k, e
-    return d + 1, 0
+        p = (1 - 1 / k) ** low
+        fits = 0.5 * math.erfc((k * p - e - 0.5) / math.sqrt(2 * k * p * (1 - p) + 1e-9))  # share of sets with few enough empty parts
+        return k * (1 - p) / max(1e-9, fits)
+
+    best = min(range(0, 2 * d + 2, 1 + d // 64), key=keys)
+    return d + 1 + best, best
 
 
 def part_keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys under which the sorted set ``x`` is looked up; sets that reach num/den share one at least, unless equal."""
+    """Keys under which the sorted set ``x`` is looked up; sets that reach num/den share one at least, unless equal.
+
+    Only parts that hold something are keys. If two linked sets share none, then the equal parts, more than ``empties``,
+    are empty in both; such sets both deal out their shingles again by the next seed, and so on. What is left after SEEDS
+    deals, next to nothing, has one key for the level.
+    """
     n = len(x)
     if n == 0 or 2 * n * (den - num) // (den + num) == 0 and 2 * math.floor(n * den / num) * (den - num) // (den + num) == 0:
         return np.zeros(0, U64)
@@ -62,15 +70,23 @@ def part_keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
     levels = [own]
     if n * den >= _level(own + 1) * num:  # it can link with a set of the next level; they meet there
         levels.append(own + 1)
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(common.mix(x))))
     out = []
     for level in levels:
         k, e = _parts(level, num, den)
-        part = ((x >> U64(32)) * U64(k)) >> U64(32)
-        cut = np.searchsorted(part, np.arange(k + 1, dtype=U64))
-        key = common.mix((sums[cut[1:]] - sums[cut[:-1]]) + common.mix(np.arange(k, dtype=U64) + U64(level << 32)))
-        held = cut[1:] > cut[:-1]
-        out.append(key[held] if k - int(held.sum()) <= e else key)
+        for seed in range(SEEDS + 1):
+            base = U64((level << 32) + (seed << 24))
+            if seed == SEEDS:
+                out.append(common.mix(np.array([base])))
+                break
+            y = x if seed == 0 else np.sort(common.mix(x + U64(seed)))
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum(common.mix(y))))
+            part = ((y >> U64(32)) * U64(k)) >> U64(32)
+            cut = np.searchsorted(part, np.arange(k + 1, dtype=U64))
+            held = cut[1:] > cut[:-1]
+            key = common.mix((sums[cut[1:]] - sums[cut[:-1]]) + common.mix(np.arange(k, dtype=U64) + base))
+            out.append(key[held])
+            if k - int(held.sum()) <= e:
+                break
     return np.concatenate(out)
 
 
@@ -349,7 +365,10 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     classes = common.checkpoint(classes)
     reps = classes.select(F.col("rep").alias("node"), F.struct(F.col("n_shingles").alias("size"), "bits").alias("s"))
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = _keys(docs, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, "block long, node long").distinct()
+    # keys for one document of each class; only rows that may be copies are shuffled to leave them out
+    copies = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n_shingles").join(classes.drop("bits"), ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id")
+    firsts = common.anti_join(docs.select("doc_id", "text"), copies, ["doc_id"])
+    runs = _keys(firsts, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, "block long, node long").distinct()
     members = common.checkpoint(runs.join(reps.select("node", "s.size"), "node"))
     blocks = _tasks(members, "block").join(reps.select("node", "s.size", "s.bits"), "node").select("block", "ca", "cb", "node", "size", "bits")
     maybe = blocks.repartition(n, "block", "ca", "cb").sortWithinPartitions("block", "ca", "cb", "node").mapInArrow(_bitmap_join(num, den), "src long, dst long")
