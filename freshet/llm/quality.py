@@ -66,12 +66,12 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calibration_docs: int = 2000, blocks_per_doc: int = 40) -> dict:
+def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calibration_docs: int = 2000, dictionary_blocks: int = 16_384) -> dict:
     """Dictionaries and calibration from ``labels(doc_id, quality)`` joined to ``docs``.
 
-    The sample is bounded: for each class, the ``dictionary_docs`` labelled ids of smallest hash give at most
-    ``blocks_per_doc`` evenly spaced blocks each to the driver, and the next ``calibration_docs`` give two
-    figures each. Calibration weights restore the classes' shares among all labels. With one class or none,
+    The sample is bounded: for each class, the ``dictionary_docs`` labelled ids of smallest hash build the dictionary, from
+    all their blocks or, with more than ``dictionary_blocks`` of them, those of smallest hash; the next
+    ``calibration_docs`` give two figures each, from whole texts. Calibration weights restore the classes' shares among all labels. With one class or none,
     every score is the share of label 1 (0.5 without labels). Null ids and labels are left out.
     """
     lab = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()
@@ -90,24 +90,18 @@ def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calib
 
     def pieces(batches):
         for b in batches:
-            kinds, out = [], []
             for i, _, data, offsets in common.text_blocks(b, limit=1):
-                size = int(offsets[1])
-                starts = np.arange(0, size, BLOCK)
-                if len(starts) > blocks_per_doc:
-                    starts = starts[np.linspace(0, len(starts) - 1, blocks_per_doc).astype(int)]
-                for at in starts:
-                    kinds.append(b.column(2)[i].as_py())
-                    out.append(data[at : min(size, at + BLOCK)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], names=["quality", "piece"])
-
-    blocks = chosen.where("builds").select("doc_id", "text", "quality").mapInArrow(pieces, "quality int, piece binary").collect()
+                for base in range(0, int(offsets[1]), 1024 * BLOCK):
+                    out = [data[at : min(int(offsets[1]), at + BLOCK)].tobytes() for at in range(base, min(int(offsets[1]), base + 1024 * BLOCK), BLOCK)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(2)[i].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["quality", "piece"])
+
+    blocks = chosen.where("builds").select("doc_id", "text", "quality").mapInArrow(pieces, "quality int, piece binary")
     for q, name in ((0, "bad"), (1, "good")):
-        own = sorted(bytes(r[1]) for r in blocks if r[0] == q)
+        own = sorted(bytes(r[0]) for r in blocks.where(F.col("quality") == q).orderBy(F.xxhash64("piece"), "piece").limit(dictionary_blocks).select("piece").collect())
         try:
             model[name] = zstandard.train_dictionary(DICTIONARY_BYTES, own).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too little text for the trainer: the text itself is the dictionary
-            model[name] = b"".join(own)[-DICTIONARY_BYTES:]
+            model[name] = b"".join(own)
     seen = _features(chosen.where("not builds"), model["good"], model["bad"]).join(F.broadcast(sample), "doc_id").select("quality", "difference", "ratio").collect()
     y = np.array([r[0] for r in seen], float)
     if len(set(y)) < 2:
@@ -142,7 +136,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of docs that the classifier keeps (score of 0.3 or more), with all their columns."""
+    """Rows of docs that the classifier keeps (score of 0.3 or more), with all their columns.
+
+    Null and empty texts are scored as one empty block, null ids and repeated rows as they come. With labels of one class
+    only, all rows stay or all go, by that class.
+    """
     model = fitted(spark, docs, sf_dir)
     good, bad = model["good"], model["bad"]
     if model["beta"] is None:
