@@ -22,6 +22,7 @@ WINDOW = 13
 GRAM = 4
 DEPTH = 16
 SHARD_WORDS = 400_000
+HOT = 20_000
 
 
 def _segments(h: np.ndarray, first: np.ndarray):
@@ -103,6 +104,9 @@ def _cut(shards: int):
     """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the places (int32) in a document.
 
     A segment has at most WINDOW - GRAM + 1 windows, so its first and last window cover it and their hashes name it.
+    At a hot anchor (more than one split) a segment is cut into its windows, each dealt to a shard by its own hash; the
+    places go to one of the splits by their document, the words to every one, so neither many different segments nor many
+    places of one passage meet in one task.
     Equal segments go to the index once a task (again only for a smaller document), as far as a bounded table goes.
     """
 
@@ -110,28 +114,43 @@ def _cut(shards: int):
         lowest: dict[int, int] = {}
         for b in batches:
             ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(2))
-            marks, cuts = np.asarray(b.column(3).values).view(U64), np.asarray(b.column(3).offsets)
+            marks, cuts = np.asarray(b.column(3).values.field(0)).view(U64), np.asarray(b.column(3).offsets)
+            parts = np.asarray(b.column(3).values.field(1))
             for i, _, data, offsets in common.text_blocks(b):
                 h, s, e, first = common.hash_words(data, offsets)
                 text, lo, hi, anchor = _segments(h, first)
-                held = np.zeros(len(text), bool)
+                splits = np.zeros(len(text), np.int64)
                 edges = np.searchsorted(text, np.arange(len(offsets)))
                 for k in range(len(offsets) - 1):
-                    if edges[k + 1] > edges[k]:
-                        held[edges[k] : edges[k + 1]] = np.isin(anchor[edges[k] : edges[k + 1]], marks[cuts[i + k] : cuts[i + k + 1]])
-                text, lo, hi, anchor = text[held], lo[held], hi[held], anchor[held]
+                    x, y = edges[k], edges[k + 1]
+                    if y > x:
+                        own = marks[cuts[i + k] : cuts[i + k + 1]]
+                        order = np.argsort(own)
+                        at = np.minimum(np.searchsorted(own[order], anchor[x:y]), len(own) - 1)
+                        splits[x:y] = np.where(own[order][at] == anchor[x:y], parts[cuts[i + k] : cuts[i + k + 1]][order][at], 0)
+                held = splits > 0
+                text, lo, hi, anchor, splits = text[held], lo[held], hi[held], anchor[held], splits[held]
                 if not len(text):
                     continue
+                n = np.where(splits > 1, hi - lo + 1, 1)
+                if (n > 1).any():
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    hot = np.repeat(splits > 1, n)
+                    text, anchor, splits = np.repeat(text, n), np.repeat(anchor, n), np.repeat(splits, n)
+                    lo = np.repeat(lo, n) + step
+                    hi = np.where(hot, lo, np.repeat(hi, n))
                 whole = common.grams(h, WINDOW)
                 key = common.mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] + (hi - lo).astype(U64)).view(np.int64)
-                doc, shard = ids[i + text], (anchor % U64(shards)).astype(np.int64)
+                doc = ids[i + text]
+                spot = np.where(splits > 1, common.mix(key.view(U64)), anchor)  # shard of split 0; the next splits follow by steps of their own
                 order = np.lexsort((lo, text, key))
-                key, doc, shard, text, lo, hi = (v[order] for v in (key, doc, shard, text, lo, hi))
+                key, doc, spot, splits, text, lo, hi = (v[order] for v in (key, doc, spot, splits, text, lo, hi))
                 fresh = np.concatenate(([True], key[1:] != key[:-1]))
                 own = np.flatnonzero(fresh | np.concatenate(([True], text[1:] != text[:-1])))
                 starts = (lo - first[text]).astype(np.int32).tobytes()
                 places = [starts[4 * x : 4 * y] for x, y in zip(own.tolist(), [*own[1:].tolist(), len(key)])]
-                yield _rows(shard[own], np.ones(len(own), np.int32), key[own], doc[own], hashes[i + text[own]], places)
+                split = common.mix(doc[own].astype(np.int64).view(U64)) % splits[own].astype(U64)
+                yield _rows(_shard(spot[own], split, shards), np.ones(len(own), np.int32), key[own], doc[own], hashes[i + text[own]], places)
                 fresh = np.flatnonzero(fresh)
                 lowest_here = np.minimum.reduceat(doc, fresh)
                 doc = doc.copy()
@@ -140,13 +159,21 @@ def _cut(shards: int):
                 lowest.update(zip(key[new].tolist(), doc[new].tolist()))
                 if new:
                     words = [data[s[x] : e[y + WINDOW - 1]].tobytes() for x, y in zip(lo[new].tolist(), hi[new].tolist())]
-                    yield _rows(shard[new], np.zeros(len(new), np.int32), key[new], doc[new], np.zeros(len(new), np.int64), words)
+                    new = np.array(new)
+                    for split in range(int(splits[new].max())):
+                        to = np.flatnonzero(splits[new] > split)
+                        at = new[to]
+                        yield _rows(_shard(spot[at], np.full(len(at), split, U64), shards), np.zeros(len(at), np.int32), key[at], doc[at], np.zeros(len(at), np.int64), [words[t] for t in to.tolist()])
                 if len(lowest) > 500_000:
                     lowest.clear()
 
     return run
 
 
+def _shard(spot: np.ndarray, split: np.ndarray, shards: int) -> np.ndarray:
+    return (np.where(split > 0, common.mix(spot + split.astype(U64)), spot) % U64(shards)).astype(np.int64)
+
+
 def _rows(shard, kind, key, doc, text_hash, data) -> pa.RecordBatch:
     columns = [pa.array(shard), pa.array(kind), pa.array(key), pa.array(doc), pa.array(text_hash), pa.array(data, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "key", "doc_id", "text_hash", "data"])
@@ -317,17 +344,20 @@ def _keep(batches):
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans, copies): (doc_id, text_hash, start, end) in words, and (doc_id, text_hash) of later exact copies.
 
-    Rows with null id or fewer than 13 words take no part. Of equal texts the smallest id stands for all; hot
-    passages travel once a task to their shard, their places as small rows that are streamed there.
+    Rows with null id or fewer than 13 words take no part. Of equal texts the smallest id stands for all. Repeated
+    segments travel once a task to their shard, their places as small rows that are streamed there; an anchor of more than
+    HOT texts is spread over many shards (see _cut).
     """
     rows = docs.select("doc_id", "text", common.unicode_hash().alias("text_hash")).where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.mapInArrow(_anchors, "anchor long, text_hash long, doc_id long, lead boolean").repartition(n, "anchor").sortWithinPartitions("anchor", "text_hash", "doc_id")
     marks = common.checkpoint(found.mapInArrow(_repeated, "doc_id long, text_hash long, anchor long, copied boolean"))
     copies = marks.where("copied").select("doc_id", "text_hash").distinct()
-    total = marks.where("not copied").count()
+    marks = marks.where("not copied")
+    hot = common.checkpoint(marks.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", (F.ceil(F.col("count") / HOT) + 1).cast("long").alias("splits"), "count"))
+    total = marks.count() + (WINDOW - GRAM) * (hot.agg(F.sum("count")).first()[0] or 0)
     shards = max(1, -(-total * (WINDOW + 4) // SHARD_WORDS))
-    own = marks.where("not copied").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"))
+    own = marks.join(hot.select("anchor", "splits"), "anchor", "left").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", F.coalesce("splits", F.lit(1).cast("long")).alias("splits"))).alias("anchors"))
     own = common.checkpoint(own)
     texts = common.filtered(rows, common.key_filter(own, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
     cut = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
