@@ -85,6 +85,13 @@ def cumulative_storm(storms: DataFrame, knots: DataFrame, curve: str, scale: flo
     return frame(rows, F.col("interval_min"))
 
 
+def all_types(storms: DataFrame, knots: DataFrame, types: list[str]) -> DataFrame:
+    """cumulative_storm of each of storms(storm_id, depth, duration_min, interval_min) under every one of the curves named."""
+    every = storms.withColumn("curve", F.explode(F.array(*[F.lit(t) for t in types])))
+    own = every.withColumn("storm_id", F.struct("storm_id", "curve"))
+    return cumulative_storm(own, knots, "curve").select("storm_id.storm_id", "storm_id.curve", "i", "hour", "incremental_depth", "cumulative_depth")
+
+
 def pattern_storm(storms: DataFrame, pattern: DataFrame, count: int, native_percent: float = 67.0) -> DataFrame:
     """storms(storm_id, depth, interval_min, peak_pct) under an incremental pattern(storm_id, i, weight): resampled when
     its length differs, shifted when the peak is over half a percent off, with a zero row at time 0."""

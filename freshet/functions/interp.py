@@ -1,8 +1,8 @@
 """Bracket interpolation: each query point meets the knots on either side of it.
 
 Knots and points are unioned and a window carries the nearest knot before and after each point, so the work is one
-sort and no range join. Points are dealt to shares of their curve, each with all its knots, so that one curve with
-most points does not land in one task.
+sort and no range join. A curve with more than SHARE points is dealt to several shares, each with all its knots, so that
+one curve with most points does not land in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.network import checkpointed
+
+
+SHARE = 1_000_000
+
 
 def interpolate(points: DataFrame, knots: DataFrame, curve: str, x: str = "x", y: str = "y", scale: str = "linear", out: str = "y") -> DataFrame:
     """``points(curve, x, ...)`` with ``out`` read off ``knots(curve, x, y)``.
@@ -19,13 +24,20 @@ def interpolate(points: DataFrame, knots: DataFrame, curve: str, x: str = "x", y
     """
     if scale not in ("linear", "loglog"):
         raise ValueError(f"unknown scale {scale!r}")
-    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = checkpointed(points.groupBy(curve).count().where(F.col("count") > SHARE).select(F.col(curve).alias("_c"), F.ceil(F.col("count") / SHARE).cast("int").alias("_n")))
+    if hot.isEmpty():
+        points, knots = points.withColumn("_share", F.lit(0)), knots.withColumn("_share", F.lit(0))
+    else:
+        n = F.coalesce("_n", F.lit(1))
+        same = lambda df: df.join(hot, F.col(curve).eqNullSafe(F.col("_c")), "left").drop("_c")
+        points = same(points).withColumn("_share", F.pmod(F.xxhash64(*points.columns), n).cast("int")).drop("_n")
+        knots = same(knots).withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
     back = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.currentRow, W.unboundedFollowing)
     here = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))
     knot = F.when(F.col("_kind") == 0, here)
-    rows = points.withColumn("_x", F.col(x).cast("double")).withColumn("_kind", F.lit(1)).withColumn("_y", F.lit(None).cast("double")).withColumn("_share", F.pmod(F.xxhash64(*points.columns), F.lit(shares)).cast("int"))
-    known = knots.select(F.col(curve), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_kind"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
+    rows = points.withColumn("_x", F.col(x).cast("double")).withColumn("_kind", F.lit(1)).withColumn("_y", F.lit(None).cast("double"))
+    known = knots.select(F.col(curve), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_kind"), "_share")
     both = rows.unionByName(known, allowMissingColumns=True)
     both = both.withColumn("_lo", F.last(knot, True).over(back)).withColumn("_hi", F.first(knot, True).over(ahead)).where("_kind = 1")
     return both.withColumn(out, between(F.col("_x"), F.col("_lo"), F.col("_hi"), scale)).drop("_x", "_y", "_kind", "_share", "_lo", "_hi")

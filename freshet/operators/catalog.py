@@ -8,12 +8,12 @@ from pyspark.sql import Window as W
 
 PARTS = ("a", "b", "c", "d", "e", "f")
 
-# Result categories and the pattern of the pathname that each stands for; '*' takes suffixes of the C part.
+# Result types and the C part of the pathname that each stands for, as a regular expression.
 RESULT_TYPES = {
-    "flow": "FLOW*", "flow-observed": "FLOW-OBSERVED", "flow-direct": "FLOW-DIRECT", "flow-base": "FLOW-BASE", "flow-combine": "FLOW-COMBINE",
-    "precipitation": "PRECIP*", "precip-inc": "PRECIP-INC", "precip-cum": "PRECIP-CUM", "precip-excess": "PRECIP-EXCESS", "precip-loss": "PRECIP-LOSS",
-    "stage": "STAGE", "storage": "STORAGE*", "storage-gw": "STORAGE-GW", "storage-soil": "STORAGE-SOIL", "elevation": "ELEV",
-    "outflow": "OUTFLOW*", "inflow": "INFLOW*", "excess": "EXCESS*", "baseflow": "BASEFLOW", "infiltration": "INFILTRATION", "et": "ET",
+    "flow": "FLOW[^/]*", "flow-total": "FLOW", "flow-observed": "FLOW-OBSERVED", "flow-direct": "FLOW-DIRECT", "flow-base": "FLOW-BASE", "flow-combine": "FLOW-COMBINE",
+    "precipitation": "PRECIP[^/]*", "precip-inc": "PRECIP-INC", "precip-cum": "PRECIP-CUM", "precip-excess": "PRECIP-EXCESS", "precip-loss": "PRECIP-LOSS",
+    "stage": "STAGE", "storage": "STORAGE[^/]*", "storage-gw": "STORAGE-GW", "storage-soil": "STORAGE-SOIL", "elevation": "ELEV",
+    "outflow": "OUTFLOW[^/]*", "inflow": "INFLOW[^/]*", "excess": "EXCESS[^/]*", "baseflow": "BASEFLOW", "infiltration": "INFILTRATION", "et": "ET[^/]*",
 }
 
 
@@ -49,13 +49,11 @@ def is_table() -> Column:
 
 
 def matches_type(kind: str) -> Column:
-    """Whether the path is of the result type; an unknown type fits all, flow-total is C = FLOW exactly."""
+    """Whether the path is of the result type, case ignored; an unknown type fits all, flow-total is C = FLOW exactly."""
     key = kind.lower()
     if key == "flow-total":
-        return F.upper("c") == "FLOW"
-    if key not in RESULT_TYPES:
-        return F.lit(True)
-    return F.col("path").rlike("(?i)/" + RESULT_TYPES[key].replace("*", "[^/]*") + "/")
+        return F.upper("c") == RESULT_TYPES[key]
+    return F.col("path").rlike(f"(?i)/{RESULT_TYPES[key]}/") if key in RESULT_TYPES else F.lit(True)
 
 
 def select_results(df: DataFrame, kind: str = "flow", elements: list[str] | None = None, run: str | None = None, exclude_tables: bool = True) -> DataFrame:
@@ -94,3 +92,9 @@ def one_match(df: DataFrame, keys: list[str], which: str = "last") -> DataFrame:
 def statistics(df: DataFrame, group: str, top: int = 3) -> DataFrame:
     """The ``top`` most frequent values of a column, ties by name."""
     return df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(top)
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, n_distinct): rows with a value and different values of each column, one pass for all of them."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("z")).select("z.*")
+    return long.groupBy("name", "v").agg(F.count("v").alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.count("v").alias("n_distinct"))

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Signs of a version upgrade in a message, and what each suggests; signs of a run that never ran.
-UPGRADE = {
-    "dss file.*version": "store version", "unknown.*method": "unknown method", "deprecated": "deprecated feature",
-    "not.*supported": "not supported", "cannot.*open.*project": "project format", "unable.*load": "component format",
-}
+# Patterns of a version upgrade in a message, case ignored, with the issue that each stands for; signs of a
+# run that never ran.
+UPGRADE = (
+    ("DSS file.*version", "DSS file version incompatibility"),
+    ("Unknown.*method", "Unknown method - may need parameter update"),
+    ("deprecated", "Deprecated feature"),
+    ("not.*supported", "Feature not supported in this version"),
+    ("cannot.*open.*project", "Project file format incompatibility"),
+    ("unable.*load", "Unable to load component - format change"),
+)
 FATAL = ("Exit status = 1", "Exit code 1", "Error opening project", "Error during computation")
 
 
@@ -52,9 +57,10 @@ def block_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def upgrade_issues(msgs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, issues: sorted suggestions of UPGRADE that a message matches; rows without one are left out."""
-    found = F.array_compact(F.array(*[F.when(F.lower("message").rlike(p), F.lit(what)) for p, what in UPGRADE.items()]))
-    return msgs.select(*keys, F.explode(found).alias("issue")).groupBy(*keys).agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    """keys, issues: those of UPGRADE that some message matches, in its order; keys without one are left out."""
+    hits = [F.max(F.col("message").rlike(f"(?i){p}")) for p, _ in UPGRADE]
+    issues = F.array_compact(F.array(*[F.when(h, F.lit(what)) for h, (_, what) in zip(hits, UPGRADE)]))
+    return msgs.groupBy(*keys).agg(issues.alias("issues")).where(F.size("issues") > 0)
 
 
 def fatal(line: Column) -> Column:
@@ -71,7 +77,14 @@ def closed_keys(documents: DataFrame, column: str, wanted: list[str]) -> DataFra
     return documents.withColumn("missing", F.array_except(want, keys)).withColumn("unknown", F.array_except(keys, want)).withColumn("repeated", F.size(keys) != F.size(F.array_distinct(keys)))
 
 
-def content_digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """sha256 of each key's rows as canonical lines in order of the columns."""
+def content_digest(df: DataFrame, keys: list[str], columns: list[str], digits: int = 3) -> DataFrame:
+    """sha256 of each key's rows as canonical lines, in whatever order they come, and their number.
+
+    Lines are dealt to 16 ** ``digits`` chunks by the first digits of their md5; a chunk's sorted lines have a digest, and
+    the key's digest is that of the sorted 'chunk:digest' list, so a key with most rows is never gathered in one place.
+    """
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.select(*keys, line.alias("_l")).groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_l")), "\n").cast("binary"), 256).alias("sha256"), F.count("*").alias("n"))
+    rows = df.select(*keys, line.alias("_l")).withColumn("_c", F.substring(F.md5(F.col("_l").cast("binary")), 1, digits))
+    sha = lambda c, sep: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), sep).cast("binary"), 256)
+    chunks = rows.groupBy(*keys, "_c").agg(sha("_l", "\n").alias("_s"), F.count("*").alias("_n"))
+    return chunks.select(*keys, F.concat_ws(":", "_c", "_s").alias("_d"), "_n").groupBy(*keys).agg(sha("_d", ",").alias("sha256"), F.sum("_n").alias("n"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Codes of a finished run, and exit codes that count as success.
+# Codes of a finished run, exit codes that count as success, the line of a project's version change.
 FINISHED = (10185, 15302)
 GOOD_EXIT = (0, -1)
+UPDATED = r'WARNING 10021:\s+Project "([^"]+)" was updated from Version ([\d.]+) to Version ([\d.]+)'
 PATTERN = r"^\s*(NOTE|WARNING|ERROR)\s+(\d+):\s*(.*)$"
 
 
@@ -30,3 +31,11 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     cols = ["type", "code", "message"]
     a, b = old.select(*cols).distinct(), new.select(*cols).distinct()
     return a.exceptAll(b).withColumn("change", F.lit("resolved")).union(b.exceptAll(a).withColumn("change", F.lit("new")))
+
+
+def version_changes(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """keys, project, from_version, to_version of each key's first line, by pos, that reports a version change; other keys
+    have no row."""
+    hits = lines.where(F.col(line).rlike(UPDATED))
+    first = hits.groupBy(*keys).agg(F.min_by(line, "pos").alias("_l"))
+    return first.select(*keys, *[F.regexp_extract("_l", UPDATED, i).alias(c) for i, c in enumerate(("project", "from_version", "to_version"), 1)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 # Element kinds whose Downstream makes an edge, and the one that also diverts.
 LINKED = ("Subbasin", "Junction", "Reach", "Diversion")
 DIVERTING = "Diversion"
+MERGE = 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage in spark.checkpoint.dir; only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-checkpoints-"))
     return df.checkpoint()
 
@@ -30,20 +35,20 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
     """(target, node): every node upstream of each target, found by breadth-first rounds; cycles end and a chain longer
     than ``max_depth`` raises.
 
-    Each round joins the newest nodes only and drops those already found, so diamonds are walked once.
+    Each round joins the newest nodes only and drops those already found, so diamonds are walked once. A round writes
+    its new nodes; what was found before is rewritten once in ``MERGE`` rounds, to keep the plan short.
     """
     e = checkpointed(edge.select("src", "dst").distinct())
     new = checkpointed(targets.groupBy("target").agg(F.min("target").alias("node")))  # an alias would be carried on as a constraint by every round
-    seen = new
+    parts = [new]
     for _ in range(max_depth + 1):
+        seen = reduce(DataFrame.union, parts)
         step = new.join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
         new = checkpointed(step.join(seen, ["target", "node"], "left_anti"))
         if new.isEmpty():
-            break
-        seen = checkpointed(seen.union(new))
-    else:
-        raise RuntimeError(f"closure is not complete after {max_depth} rounds")
-    return seen
+            return seen
+        parts = [checkpointed(seen), new] if len(parts) >= MERGE else [*parts, new]
+    raise RuntimeError(f"closure is not complete after {max_depth} rounds")
 
 
 def upstream(edge: DataFrame, targets: DataFrame) -> DataFrame:
@@ -68,10 +73,12 @@ def area_table(edge: DataFrame, areas: DataFrame, junctions: DataFrame) -> DataF
     return out.orderBy("area", "target")
 
 
-def tree_closure(spark, edge_view: str, root, depth: int = 100) -> DataFrame:
-    """The same for a tree, as a recursive query over a view(src, dst)."""
+def tree_closure(spark, edge_view: str, root) -> DataFrame:
+    """The same for a tree, as a recursive query over a view(src, dst); a tree deeper than the session's
+    spark.sql.cteRecursionLevelLimit raises."""
     return spark.sql(
-        f"WITH RECURSIVE up(node, level) AS (SELECT {root!r}, 0 UNION ALL SELECT e.src, up.level + 1 FROM {edge_view} e JOIN up ON e.dst = up.node WHERE up.level < {int(depth)}) SELECT DISTINCT node FROM up"
+        "WITH RECURSIVE up(node) AS (SELECT :root UNION ALL SELECT e.src FROM IDENTIFIER(:edges) e JOIN up ON e.dst = up.node) SELECT DISTINCT node FROM up",
+        args={"root": root, "edges": edge_view},
     )
 
 
@@ -93,12 +100,26 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full").select(key, F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "left").otherwise("right").alias("side"))
 
 
-def nearest_outlet(crossings: DataFrame, group: list[str]) -> DataFrame:
-    """crossings(group, idx, order, distance): among those of the highest order the nearest, ties by idx."""
-    from pyspark.sql import Window as W
+def nearest_outlet(crossings: DataFrame, group: list[str], farthest: bool = False) -> DataFrame:
+    """crossings(group, idx, order, distance): among those of the highest order the nearest (or farthest), ties by idx.
 
-    w = W.partitionBy(*group).orderBy(F.desc("order"), "distance", "idx")
-    return crossings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    One aggregate; a single crossing is its group's outlet whatever its order.
+    """
+    d = -F.col("distance") if farthest else F.col("distance")
+    best = F.min_by(F.struct(*[c for c in crossings.columns if c not in group]), F.struct(-F.col("order"), d, F.col("idx")))
+    return crossings.groupBy(*group).agg(best.alias("_b")).select(*group, "_b.*").select(*crossings.columns)
+
+
+def max_order(links: DataFrame) -> DataFrame:
+    """Links, their length and the highest order of the network in one row; without links zeros and a null order."""
+    return links.agg(F.count("*").alias("n_links"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"), F.max("order").alias("max_order"))
+
+
+def area_closure(subbasins: DataFrame, boundary: DataFrame, key: list[str]) -> DataFrame:
+    """subbasins(key, area) against boundary(key, area): sums, difference and percent of the boundary (null for area 0)."""
+    own = subbasins.groupBy(*key).agg(F.sum("area").alias("subbasin_area"))
+    d = F.coalesce("subbasin_area", F.lit(0.0)) - F.col("boundary_area")
+    return boundary.withColumnRenamed("area", "boundary_area").join(own, key, "left").select(*key, F.coalesce("subbasin_area", F.lit(0.0)).alias("subbasin_area"), "boundary_area", d.alias("difference"), F.when(F.col("boundary_area") != 0, d / F.col("boundary_area") * 100).alias("percent"))
 
 
 def dedupe_points(points: DataFrame, digits: int = 6) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 # Keys of an element's text block, and the typed columns they become.
 SUBBASIN = {
-    "area": ("Area", "double"), "downstream": ("Downstream", "string"), "canvas_x": ("Canvas X", "double"), "canvas_y": ("Canvas Y", "double"),
-    "loss_method": ("LossRate", "string"), "transform_method": ("Transform", "string"), "baseflow_method": ("Baseflow", "string"), "curve_number": ("Curve Number", "double"),
-    "initial_abstraction": ("Initial Abstraction", "double"), "percent_impervious": ("Percent Impervious Area", "double"), "lag": ("Lag", "double"), "lag_time": ("Lag Time", "double"),
-    "time_of_concentration": ("Time of Concentration", "double"), "storage_coefficient": ("Storage Coefficient", "double"), "divert_to": ("Divert To", "string"),
+    "area": ("Area", "double"), "downstream": ("Downstream", "string"),
+    "loss_method": ("LossRate", "string"), "initial_deficit": ("Initial Deficit", "double"), "maximum_deficit": ("Maximum Deficit", "double"), "constant_rate": ("Constant Rate", "double"),
+    "percolation_rate": ("Percolation Rate", "double"), "percent_impervious": ("Percent Impervious Area", "double"), "curve_number": ("Curve Number", "double"), "initial_abstraction": ("Initial Abstraction", "double"),
+    "transform_method": ("Transform", "string"), "time_of_concentration": ("Time of Concentration", "double"), "storage_coefficient": ("Storage Coefficient", "double"), "lag_time": ("Lag Time", "double"),
+    "snyder_tp": ("Snyder Tp", "double"), "snyder_cp": ("Snyder Cp", "double"),
+    "baseflow_method": ("Baseflow", "string"), "recession_factor": ("Recession Factor", "double"), "initial_discharge": ("Initial Discharge", "double"), "gw1_initial": ("GW 1 Initial", "double"), "gw1_coefficient": ("GW 1 Coefficient", "double"),
+    "canvas_x": ("Canvas X", "double"), "canvas_y": ("Canvas Y", "double"),
+    "lag": ("Lag", "double"), "divert_to": ("Divert To", "string"),
 }
 
 
@@ -25,6 +29,31 @@ def elements(blocks: DataFrame) -> DataFrame:
     return typed(blocks, SUBBASIN)
 
 
+def subbasin_detail(blocks: DataFrame) -> DataFrame:
+    """file, name and the 23 detail columns of each subbasin block; a block may name its loss method by LossRate or Loss."""
+    own = elements(blocks.where("kind = 'Subbasin'")).withColumn("loss_method", F.coalesce("loss_method", F.element_at("attrs", F.lit("Loss"))))
+    return own.select("file", "name", *[c for c in SUBBASIN if c not in ("lag", "divert_to")])
+
+
+def with_geometry(geometry: DataFrame, parameters: DataFrame, key: str) -> DataFrame:
+    """Rows of geometry with the parameters of their key; a parameter column that geometry has already is left out."""
+    held = {c.lower() for c in geometry.columns}
+    return geometry.join(parameters.select(key, *[c for c in parameters.columns if c.lower() not in held]), key, "left")
+
+
+def gages(df: DataFrame, gage_type: str | None = None, dss_file: str | None = None) -> DataFrame:
+    """gages(gage, gage_type, dss_file, path) of a type and of a file, case ignored; all with neither."""
+    for column, value in (("gage_type", gage_type), ("dss_file", dss_file)):
+        if value is not None:
+            df = df.where(F.lower(column) == value.lower())
+    return df
+
+
+def folded_order(df: DataFrame, column: str) -> DataFrame:
+    """Rows ordered by a name without regard to case, equal names by their spelling."""
+    return df.orderBy(F.lower(column), column)
+
+
 def basin_summary(blocks: DataFrame, keys: list[str] = ["file"]) -> DataFrame:
     """Element counts, true and unanchored area totals, and the distinct methods of each basin file.
 

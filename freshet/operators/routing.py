@@ -1,50 +1,85 @@
 """Storage routing of hourly inflow through a piecewise cubic storage-outflow curve.
 
-Each step needs the clipped state before it, so a series is folded in order; series are independent of each other.
+Each step needs the clipped state before it, so a series is folded in order; series are independent of each other. The
+fold is a JVM expression: hours within a day, then days, so that no long array is copied at every step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import resample
+from .series import resample, with_previous
 
 
-def route(hourly: DataFrame, key: str, curve: dict) -> DataFrame:
-    """key, ts, value, storage, unclipped_storage of hourly(key, ts, value).
+def curve_pieces(curve: dict) -> list[tuple[float, list[float]]]:
+    """(start, coefficients in descending powers of the distance from it) of each piece of
+    curve: breakpoints x, coefficients c (four rows), low, high, initial."""
+    x, c = [float(v) for v in curve["x"]], [[float(v) for v in row] for row in curve["c"]]
+    rising = all(a < b for a, b in zip(x, x[1:]))
+    if len(x) < 2 or len(c) != 4 or any(len(row) != len(x) - 1 for row in c) or not rising or (curve["low"], curve["high"]) != (x[0], x[-1]):
+        raise ValueError("the curve needs increasing breakpoints, four coefficient rows and bounds at its ends")
+    if not all(math.isfinite(v) for row in [x, *c] for v in row):
+        raise ValueError("the curve needs finite figures")
+    return [(start, [row[k] for row in c]) for k, start in enumerate(x[:-1])]
 
-    curve: breakpoints x, coefficients c (four rows, descending powers), low, high, initial. The first outflow is
-    the curve's value at the low bound, not at the initial storage.
-    """
-    import numpy as np
-    import pandas as pd
 
-    x, c = np.asarray(curve["x"], float), np.asarray(curve["c"], float)
-    low, high, initial = float(curve["low"]), float(curve["high"]), float(curve["initial"])
-    if x.ndim != 1 or len(x) < 2 or c.shape != (4, len(x) - 1) or not (np.diff(x) > 0).all() or (low, high) != (x[0], x[-1]):
-        raise ValueError("the curve needs increasing breakpoints, four coefficient rows and bounds at its ends")
+def outflow(storage: Column, curve: dict) -> Column:
+    """The curve's value; the first and the last piece hold beyond their ends."""
+    out = None
+    for start, powers in curve_pieces(curve):
+        d = storage - start
+        value = F.lit(powers[0])
+        for p in powers[1:]:
+            value = value * d + p
+        out = value if out is None else F.when(storage >= start, value).otherwise(out)
+    return out
 
-    def outflow(s: float) -> float:
-        k = min(max(int(np.searchsorted(x, s, side="right")) - 1, 0), len(x) - 2)
-        return float(np.polyval(c[:, k], s - x[k]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        state, flow = initial, outflow(low)
-        rows = [(flow, initial, initial)]
-        for q in pdf["value"].to_numpy(float)[:-1]:
-            raw = state + q - flow
-            state = min(max(raw, low), high)
-            flow = outflow(state)
-            rows.append((flow, state, raw))
-        out = pd.DataFrame(rows, columns=["value", "storage", "unclipped_storage"])
-        out.insert(0, "ts", pdf["ts"].to_numpy())
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
+def route(hourly: DataFrame, key: str, curve: dict) -> DataFrame:
+    """key, ts, value, storage, unclipped_storage of hourly(key, ts, value), a row for each hour with inflow.
 
-    kind = dict(hourly.dtypes)[key]
-    return hourly.select(key, "ts", "value").groupBy(key).applyInPandas(run, f"{key} {kind}, ts timestamp_ntz, value double, storage double, unclipped_storage double")
+    The first outflow is the curve's value at the low bound, not at the initial storage. A series is one row of days while
+    it is folded; a key with null inflow gets nulls from the next hour on.
+    """
+    low, high, initial = (float(curve[k]) for k in ("low", "high", "initial"))
+    sample = F.struct("ts", "value")
+    days = hourly.select(key, "ts", F.col("value").cast("double").alias("value")).groupBy(key, F.date_trunc("day", "ts").alias("_d")).agg(F.array_sort(F.collect_list(sample)).alias("_h"))
+    series = days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_d", "_h"))).alias("_s"))
+    hour = "struct<ts:timestamp_ntz,value:double,storage:double,unclipped_storage:double>"
+    none = F.expr(f"cast(array() as array<{hour}>)")
+    start = F.struct(F.lit(initial).alias("s"), F.lit(initial).alias("raw"), outflow(F.lit(low), curve).alias("q"))
+
+    def next_hour(at, x):
+        raw = at["s"] + x["value"] - at["q"]
+        state = F.when(raw.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), raw)))
+        return F.element_at(F.transform(F.array(F.struct(state.alias("s"), raw.alias("raw"))), lambda z: F.struct(z["s"].alias("s"), z["raw"].alias("raw"), outflow(z["s"], curve).alias("q"))), 1)
+
+    def through_day(acc, day):
+        first = F.struct(acc["at"].alias("at"), none.alias("out"))
+        row = lambda at, x: F.struct(x["ts"].alias("ts"), at["q"].alias("value"), at["s"].alias("storage"), at["raw"].alias("unclipped_storage"))
+        done = F.aggregate(day["_h"], first, lambda a, x: F.struct(next_hour(a["at"], x).alias("at"), F.concat(a["out"], F.array(row(a["at"], x))).alias("out")))
+        return F.element_at(F.transform(F.array(done), lambda z: F.struct(z["at"].alias("at"), F.concat(acc["out"], F.array(z["out"])).alias("out"))), 1)
+
+    folded = F.aggregate("_s", F.struct(start.alias("at"), F.expr(f"cast(array() as array<array<{hour}>>)").alias("out")), through_day, lambda acc: F.flatten(acc["out"]))
+    return series.select(key, F.explode(folded).alias("z")).select(key, "z.*")
+
+
+def inflow_problems(samples: DataFrame, key: str) -> DataFrame:
+    """Counts, by key, of what bars samples(key, ts, value) from being routed, all zero when it may be: unaligned (first or
+    last stamp off the hour), irregular (steps that differ, or are no whole minutes dividing the hour), bad_values
+    (missing, not finite or negative) and short (fewer than two samples)."""
+    step = F.timestamp_diff("MICROSECOND", F.col("_prev.ts"), F.col("ts"))
+    off = lambda c: (F.date_trunc("hour", c).cast("timestamp_ntz") != c).cast("int")
+    v = F.col("value")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < 0)
+    rows = with_previous(samples, [key]).withColumn("_d", step)
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad_values"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
+    minute = 60_000_000
+    whole = (F.col("lo") > 0) & (F.col("lo") == F.col("hi")) & (F.col("lo") % minute == 0) & (60 * minute % F.when(F.col("lo") > 0, F.col("lo")) == 0)
+    return out.select(key, (off(F.col("a")) + off(F.col("z"))).alias("unaligned"), (~F.coalesce(whole, F.lit(False))).cast("int").alias("irregular"), "bad_values", (F.col("n") < 2).cast("int").alias("short"))
 
 
 def route_linear(hourly: DataFrame, key: str, ratio: float, low: float, high: float, initial: float) -> DataFrame:
@@ -61,8 +96,13 @@ def route_linear(hourly: DataFrame, key: str, ratio: float, low: float, high: fl
     return folded.select(key, F.col("_f.s").alias("final_storage"), F.col("_f.q").alias("final_outflow"), (F.col("_f.out") + F.col("_f.q")).alias("total_outflow"), F.col("_f.clips").cast("long").alias("clips"))
 
 
-def route_samples(samples: DataFrame, key: str, curve: dict) -> DataFrame:
-    """Sub-hourly samples(key, ts, value) averaged by hour (left closed), then routed."""
+def route_samples(samples: DataFrame, key: str, curve: dict, check: bool = True) -> DataFrame:
+    """Sub-hourly samples(key, ts, value) averaged by hour (left closed), then routed. With ``check``, series that
+    inflow_problems names are refused."""
+    if check:
+        bad = inflow_problems(samples, key).where("unaligned + irregular + bad_values + short > 0").limit(5).collect()
+        if bad:
+            raise ValueError(f"series that cannot be routed: {bad}")
     return route(resample(samples, [key]).select(key, "ts", "value"), key, curve)
 
 

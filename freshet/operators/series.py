@@ -99,8 +99,8 @@ def total_precipitation(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_runs(df: DataFrame, run: str, runs: list[str]) -> DataFrame:
-    """Full outer alignment on ts: one column for each run, null where it has no sample."""
-    return df.groupBy("ts").pivot(run, runs).agg(F.first("value"))
+    """Full outer alignment on ts: one column for each run, null where it has no sample; of repeated stamps the largest value."""
+    return df.groupBy("ts").pivot(run, runs).agg(F.max("value"))
 
 
 def interval(df: DataFrame, keys: list[str]) -> DataFrame:

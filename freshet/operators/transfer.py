@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # Metres in a depth unit, cubic metres in an acre-foot, km in a degree at the equator and of latitude.
 METRES = {"IN": 0.0254, "MM": 0.001}
@@ -46,44 +48,66 @@ def volume_effect(cells: DataFrame, keys: list[str], unit: str = "MM") -> DataFr
     return out.select("*", total.alias("total_m3"), (total / ACRE_FOOT_M3).alias("total_acft"), F.when(total == 0, 0.0).otherwise(F.col("filled_m3") / total * 100).alias("filled_pct"))
 
 
+def largest_step_residual(pairs: DataFrame) -> DataFrame:
+    """(subbasin, step, residual): the step with the largest absolute residual of each subbasin, ties by step."""
+    r = F.col("target") - F.col("source")
+    by_step = pairs.groupBy("subbasin", "step").agg(F.sum(r).alias("residual"))
+    best = F.min_by(F.struct("step", "residual"), F.struct(-F.abs("residual"), F.col("step")))
+    return by_step.groupBy("subbasin").agg(best.alias("_b")).select("subbasin", "_b.*")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and one column for each of ``shares``: the percentile of the non-null values, linear between ranks.
+
+    Exact: values are counted first, so equal ones travel once, and ranks come from a running sum that is sorted and can
+    spill; no group's values are held in memory.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    ranked = n.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_total", F.sum("_n").over(w))
+    at = {name: (F.col("_total") - 1) * p for name, p in shares.items()}
+    first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    out = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *[first(f(x)).alias(f"_{side}_{name}") for name, x in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    return out.select(*keys, *[(F.col(f"_lo_{k}") + (x - F.floor(x)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, x in at.items()])
+
+
 def distance_metrics(df: DataFrame, keys: list[str], d: str = "distance") -> DataFrame:
-    p = F.percentile(d, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    out = df.groupBy(*keys).agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), p.alias("_p"))
-    return out.select(*keys, "min", "max", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))])
+    """keys, min, max, mean and the exact percentiles p50, p90, p95, p99 of the distances."""
+    out = df.groupBy(*keys).agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"))
+    return out.join(percentiles(df, keys, d, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}), keys, "left")
 
 
 def nearest(points: DataFrame, targets: DataFrame, size: float, rings: int = 1) -> DataFrame:
-    """points(id, x, y) with the nearest of targets(tid, tx, ty), ties by tid, by grid buckets.
+    """Every row of points(x, y, ...) with tid and distance of the nearest of targets(tid, tx, ty), ties by tid.
 
-    A point meets the targets of the buckets around its own; a hit within ``rings * size`` is certain to be the
-    nearest. Points without one go on to rings twice as wide, until none is left or the rings hold every target.
+    A point meets the targets of the grid buckets around its own; a hit within ``rings * size`` is certain to be the
+    nearest. Points without one go on to rings twice as wide, until none is left or the rings hold every target. Repeated
+    points each come back; a point with a null coordinate, or any point without targets, has nulls.
     """
     from .network import checkpointed
 
+    lost = [F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("distance")]
+    targets = targets.where("tx is not null and ty is not null")
     bounds = targets.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    if bounds[0] is None:
-        return points.select("*", F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("distance"))
     seen = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if seen[0] is None:
-        return points.select("*", F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("distance"))
+    if bounds[0] is None or seen[0] is None or seen[2] is None:
+        return points.select("*", *lost)
     reach = math.hypot(max(bounds[1], seen[1]) - min(bounds[0], seen[0]), max(bounds[3], seen[3]) - min(bounds[2], seen[2]))
-    left, found = points, None
+    rows = checkpointed(points.select(F.monotonically_increasing_id().alias("k"), F.struct("*").alias("row")))  # numbers that stay the same
+    left = rows.select("k", F.col("row.x").alias("x"), F.col("row.y").alias("y")).where("x is not null and y is not null")
+    found = []
     while True:
         b = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
-        t = targets.withColumn("bx", b("tx")).withColumn("by", b("ty"))
+        t = targets.select("tid", "tx", "ty", b("tx").alias("bx"), b("ty").alias("by"))
         span = F.sequence(F.lit(-rings), F.lit(rings))
-        p = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumn("bx", b("x") + F.col("_dx")).withColumn("by", b("y") + F.col("_dy")).drop("_dx", "_dy")
+        p = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).select("k", "x", "y", (b("x") + F.col("_dx")).alias("bx"), (b("y") + F.col("_dy")).alias("by"))
         d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
-        hit = p.join(t, ["bx", "by"]).groupBy(*points.columns).agg(F.min(F.struct(d.alias("distance"), F.col("tid"))).alias("_h")).select(*points.columns, "_h.tid", "_h.distance")
+        hit = p.join(t, ["bx", "by"]).groupBy("k").agg(F.min(F.struct(d.alias("distance"), F.col("tid"))).alias("h")).select("k", "h.tid", "h.distance")
         whole = rings * size > reach
-        hit = hit if whole else hit.where(F.col("distance") <= rings * size)
-        hit = checkpointed(hit)
-        found = hit if found is None else found.union(hit)
-        if whole:
-            return found
-        left = checkpointed(left.join(hit.select(*points.columns), points.columns, "left_anti"))
-        if left.isEmpty():
-            return found
+        found.append(checkpointed(hit if whole else hit.where(F.col("distance") <= rings * size)))
+        left = checkpointed(left.join(found[-1], "k", "left_anti"))
+        if whole or left.isEmpty():
+            return rows.join(reduce(DataFrame.union, found), "k", "left").select("row.*", "tid", "distance")
         size *= 2
 
 
@@ -121,16 +145,12 @@ def assignments(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 def travel_length(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Kilometres from each cell(keys, lon, lat) to (out_lon, out_lat); the longitude scale is that of the cells' mean latitude."""
-    from pyspark.sql import Window as W
-
     kx = KM_PER_DEGREE_X * F.cos(F.radians(F.avg("lat").over(W.partitionBy(*keys))))
     return cells.withColumn("length_km", F.sqrt(F.pow((F.col("lon") - F.col("out_lon")) * kx, 2) + F.pow((F.col("lat") - F.col("out_lat")) * KM_PER_DEGREE_Y, 2)))
 
 
 def polygon_measures(points: DataFrame, keys: list[str]) -> DataFrame:
     """Shoelace area and centroid of closed rings given as points(keys, ord, x, y)."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*keys).orderBy("ord")
     nx, ny = F.coalesce(F.lead("x").over(w), F.first("x").over(w)), F.coalesce(F.lead("y").over(w), F.first("y").over(w))
     c = points.withColumn("_nx", nx).withColumn("_ny", ny).withColumn("_c", F.col("x") * F.col("_ny") - F.col("_nx") * F.col("y"))

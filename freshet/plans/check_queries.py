@@ -19,10 +19,19 @@ def contiguity(spark, sf):
     return checks.gaps(r, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, 0::BIGINT AS nonexistent, 0::BIGINT AS ambiguous, 1::BIGINT AS offsets FROM events GROUP BY 1")
+@query(
+    """WITH o AS (SELECT o_orderpriority, date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 30 MINUTE * (o_orderkey % 48) AS ts FROM orders),
+f AS (SELECT *, year(ts) AS y, dayofweek(ts) AS d FROM o),
+c AS (SELECT *, month(ts) = 4 AND d = 0 AND day(ts) <= 7 AS spring, month(ts) = 10 AND d = 0 AND day(ts) >= 25 AS autumn FROM f),
+k AS (SELECT *, spring AND hour(ts) = 2 AS skipped, autumn AND hour(ts) = 1 AS twice,
+  CASE WHEN month(ts) BETWEEN 5 AND 9 THEN TRUE WHEN month(ts) IN (1, 2, 3, 11, 12) THEN FALSE
+    WHEN month(ts) = 4 THEN day(ts) - d > 7 OR day(ts) - d BETWEEN 1 AND 7 AND NOT (spring AND hour(ts) < 2) ELSE day(ts) - d < 25 OR autumn AND hour(ts) < 1 END AS summer FROM c)
+SELECT o_orderpriority, count(*) FILTER (skipped) AS nonexistent, count(*) FILTER (twice) AS ambiguous, count(DISTINCT summer) AS offsets FROM k GROUP BY 1"""
+)
 def wall_clock(spark, sf):
-    """January lies in one offset; spring and autumn changes are in the tests."""
-    return checks.wall_clock(samples(spark, sf), ["event_type"], "America/Chicago")
+    """Half-hour stamps of the order dates, whose years change their clocks in April and October."""
+    o = table(spark, sf, "orders").selectExpr("o_orderpriority", "cast(timestampadd(MINUTE, 30 * (o_orderkey % 48), cast(o_orderdate as date)) as timestamp_ntz) as ts")
+    return checks.wall_clock(o, ["o_orderpriority"], "America/Chicago")
 
 
 @query("WITH h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS v FROM events GROUP BY 1, 2), w AS (SELECT DISTINCT event_type, i FROM events, range(49) AS r(i)) SELECT w.event_type, TIMESTAMP '2030-06-01' + INTERVAL 1 HOUR * w.i AS ts, round(v, 6) AS value FROM w LEFT JOIN h ON w.event_type = h.event_type AND h.ts = TIMESTAMP '2024-01-03' + INTERVAL 1 HOUR * w.i")
@@ -42,10 +51,26 @@ def block_differences(spark, sf):
     return checks.block_differences(a, b).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, 'deprecated feature;not supported' AS issues FROM events WHERE event_type = 'error' GROUP BY 1")
+SAID = ["DSS file has an old VERSION", "unknown loss Method", "Option Deprecated", "is NOT now supported", "Cannot open the Project", "unable to load gage", "all well", "version of a DSS file", "supported, but not here"]
+SQL_SAID = "[" + ", ".join(f"'{m}'" for m in SAID) + "]"
+
+
+@query(
+    f"""WITH m AS (SELECT user_id, lower({SQL_SAID}[(event_id * 7 + user_id) % 41 % 9 + 1]) AS m FROM events WHERE (event_id * 7 + user_id) % 41 % 9 < CASE WHEN user_id % 3 = 0 THEN 9 ELSE user_id % 9 + 1 END),
+h AS (SELECT user_id, bool_or(m LIKE '%dss file%version%') AS a, bool_or(m LIKE '%unknown%method%') AS b, bool_or(m LIKE '%deprecated%') AS c, bool_or(m LIKE '%not%supported%') AS d, bool_or(m LIKE '%cannot%open%project%') AS e, bool_or(m LIKE '%unable%load%') AS f FROM m GROUP BY 1)
+SELECT user_id, concat_ws(';', CASE WHEN a THEN 'DSS file version incompatibility' END, CASE WHEN b THEN 'Unknown method - may need parameter update' END, CASE WHEN c THEN 'Deprecated feature' END,
+  CASE WHEN d THEN 'Feature not supported in this version' END, CASE WHEN e THEN 'Project file format incompatibility' END, CASE WHEN f THEN 'Unable to load component - format change' END) AS issues FROM h WHERE a OR b OR c OR d OR e OR f"""
+)
 def upgrade_issues(spark, sf):
-    m = log_table(spark, sf).where("type = 'ERROR'").withColumn("message", F.concat(F.lit("Deprecated: not now supported "), "message"))
-    return checks.upgrade_issues(m, ["user_id"]).select("user_id", F.concat_ws(";", "issues").alias("issues"))
+    said = F.array(*[F.lit(m) for m in SAID])
+    m = table(spark, sf, "events").withColumn("_k", F.expr("cast((event_id * 7 + user_id) % 41 % 9 as int)")).where("_k < if(user_id % 3 = 0, 9, user_id % 9 + 1)")
+    return checks.upgrade_issues(m.select("user_id", F.get(said, F.col("_k")).alias("message")), ["user_id"]).select("user_id", F.concat_ws(";", "issues").alias("issues"))
+
+
+@query("SELECT user_id, event_id % 5 = 0 OR event_id % 7 = 0 AS fatal, count(*) AS n FROM events GROUP BY ALL")
+def fatal_lines(spark, sf):
+    line = F.expr("case when event_id % 5 = 0 then 'run: Exit status = 1' when event_id % 7 = 0 then 'ERROR 1: Error during computation of it' else 'exit status = 10' end")
+    return table(spark, sf, "events").select("user_id", checks.fatal(line).alias("fatal")).groupBy("user_id", "fatal").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS n_missing, count(*) FILTER (event_id % 4 = 0) AS n_unknown FROM events")
@@ -55,7 +80,11 @@ def closed_keys(spark, sf):
     return out.agg(F.count("*").alias("n"), F.count_if(F.size("missing") > 0).alias("n_missing"), F.count_if(F.size("unknown") > 0).alias("n_unknown"))
 
 
-@query("SELECT l_shipmode, sha256(array_to_string(list_sort(list(l)), chr(10))) AS sha256, count(*) AS n FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, concat_ws(',', l_orderkey, l_linenumber, l_partkey) AS l FROM lineitem) GROUP BY 1")
+@query(
+    """WITH l AS (SELECT l_returnflag || l_linestatus AS l_shipmode, concat_ws(',', l_orderkey, l_linenumber, l_partkey) AS l FROM lineitem),
+c AS (SELECT l_shipmode, md5(l)[1:3] AS c, sha256(array_to_string(list_sort(list(l)), chr(10))) AS s, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT l_shipmode, sha256(array_to_string(list_sort(list(c || ':' || s)), ',')) AS sha256, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1"""
+)
 def content_digest(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("l_shipmode", F.concat("l_returnflag", "l_linestatus"))
     return checks.content_digest(li, ["l_shipmode"], ["l_orderkey", "l_linenumber", "l_partkey"])

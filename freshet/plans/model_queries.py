@@ -260,7 +260,7 @@ def run_config_join(spark, sf):
     basins = table(spark, sf, "customer").selectExpr("c_custkey as basin", "c_name", "c_nationkey as met")
     mets = table(spark, sf, "nation").selectExpr("n_nationkey as met", "n_name", "n_regionkey as control")
     controls = table(spark, sf, "region").selectExpr("r_regionkey as control", "r_name")
-    return runs.join(basins, "basin", "left").join(mets, "met", "left").join(controls, "control", "left").select("o_orderkey", "c_name", "n_name", "r_name")
+    return params.configuration(runs, basins, mets, controls).select("o_orderkey", "c_name", "n_name", "r_name")
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
@@ -431,13 +431,6 @@ def fingerprint_cost(spark, sf):
     return transfer.fingerprint_cost(a, b, ["g"]).withColumn("cost", F.round("cost", 6))
 
 
-@query()
-def fingerprint_assignment(spark, sf):
-    """One-to-one assignment of least total cost; tested against all permutations."""
-    a, b = fingerprints(spark, sf)
-    return transfer.assign(transfer.fingerprint_cost(a, b, ["g"]), ["g"])
-
-
 # --- scalars, dates, logs ---
 
 

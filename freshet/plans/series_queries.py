@@ -47,11 +47,17 @@ def select_flow_total(spark, sf):
     return cat.select_results(catalog(spark, sf), "flow-total", ["user1", "User2", "USER30"], "RUN 1").select("ordinal", "path")
 
 
-@query(f"{SQL_CATALOG}, t AS (SELECT * FROM (VALUES ('flow', '/FLOW[^/]*/'), ('flow-direct', '/FLOW-DIRECT/'), ('precipitation', '/PRECIP[^/]*/'), ('precip-inc', '/PRECIP-INC/')) AS t(kind, re)) SELECT kind, count(*) AS n FROM p, t WHERE regexp_matches(path, re) AND c <> 'TABLE' GROUP BY kind")
+C_NAMES = "FLOW FLOW-OBSERVED FLOW-DIRECT FLOW-BASE FLOW-COMBINE FLOWS PRECIP PRECIP-INC PRECIP-CUM PRECIP-EXCESS PRECIP-LOSS STAGE STAGE-X STORAGE STORAGE-GW STORAGE-SOIL ELEV ELEVATION OUTFLOW OUTFLOW-2 INFLOW EXCESS EXCESS-PRECIP BASEFLOW INFILTRATION ET ET-CANOPY ETX MET TABLE".split()
+SQL_TYPES = "(VALUES " + ", ".join(f"('{k}', '{p}')" for k, p in cat.RESULT_TYPES.items()) + ") AS t(kind, re)"
+
+
+@query(f"WITH p AS (SELECT concat('//USER', user_id, '/', [{', '.join(repr(c) for c in C_NAMES)}][event_id % {len(C_NAMES)} + 1], '//1HOUR/RUN:Run ', user_id % 3, '/') AS path FROM events) SELECT kind, count(*) AS n FROM p, {SQL_TYPES} WHERE regexp_matches(path, '(?i)/' || re || '/') AND NOT contains(path, '/TABLE/') GROUP BY kind")
 def result_types(spark, sf):
-    c = catalog(spark, sf)
-    parts = [cat.select_results(c, k).select(F.lit(k).alias("kind")) for k in ("flow", "flow-direct", "precipitation", "precip-inc")]
-    return params.export(parts).groupBy("kind").agg(F.count("*").alias("n"))
+    """Every result type on C parts with and without suffixes; C parts are in mixed case."""
+    names = F.array(*[F.lit(c.lower() if i % 3 == 1 else c) for i, c in enumerate(C_NAMES)])
+    e = table(spark, sf, "events").select("user_id", F.get(names, (F.col("event_id") % len(C_NAMES)).cast("int")).alias("c")).selectExpr(f"{PATH} as path")
+    kinds = F.array(*[F.when(cat.matches_type(k), F.lit(k)) for k in cat.RESULT_TYPES])
+    return cat.parse(e).where(~cat.is_table()).select(F.explode(F.array_compact(kinds)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"{SQL_CATALOG} SELECT ordinal, path FROM (SELECT *, row_number() OVER (PARTITION BY upper(b), upper(run_name) ORDER BY CASE c WHEN 'PRECIP-INC' THEN 0 ELSE 1 END, ordinal) AS n FROM p WHERE c IN ('PRECIP-INC', 'PRECIP')) WHERE n = 1")
@@ -210,13 +216,10 @@ def storm_percentile(spark, sf):
     return storms.storm_catalog(rain(spark, sf), ["event_type"], 4, 0.1, percentile=50).select("event_type", "start_time", "total_depth_in", "rank")
 
 
-@query(f"{RAIN} SELECT total_depth_in, count(*) AS n, min(rank) AS rank FROM (SELECT *, rank() OVER (ORDER BY total_depth_in DESC) AS rank FROM f) GROUP BY 1")
+@query(f"{RAIN} SELECT event_type, total_depth_in, count(*) AS n, min(rank) AS rank FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY total_depth_in DESC) AS rank FROM f) GROUP BY 1, 2")
 def storm_rank(spark, sf):
-    s = storms.storm_catalog(rain(spark, sf), ["event_type"], 4, 0.1).groupBy("total_depth_in").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
-    higher = F.sum("n").over(W.orderBy(F.desc("total_depth_in")).rowsBetween(W.unboundedPreceding, -1))
-    return s.select("total_depth_in", "n", (F.coalesce(higher, F.lit(0)) + 1).alias("rank"))
+    s = storms.storm_catalog(rain(spark, sf), ["event_type"], 4, 0.1)
+    return s.groupBy("event_type", "total_depth_in").agg(F.count("*").alias("n"), F.min("rank").alias("rank"))
 
 
 @query("""
@@ -241,10 +244,38 @@ SELECT event_type, ts, round(q, 5) AS value, round(s, 5) AS storage, round(raw,
 def routing_curve(spark, sf):
     """A piecewise cubic curve of two pieces."""
     curve = {"x": [0.0, 50.0, 200.0], "c": [[0.0, 0.0], [0.002, 0.0], [0.2, 0.4], [0.0, 15.0]], "low": 0.0, "high": 200.0, "initial": 20.0}
-    out = routing.route_samples(samples(spark, sf), "event_type", curve)
+    out = routing.route_samples(samples(spark, sf), "event_type", curve, check=False)
     return out.withColumns({c: F.round(c, 5) for c in ("value", "storage", "unclipped_storage")})
 
 
 @query("SELECT user_id, coalesce(sum(bad), 0)::BIGINT AS non_finite, count(*) FILTER (d = 0) AS duplicates, count(*) FILTER (d > 0 AND d < 1) AS sub_minute, CASE WHEN coalesce(min(d) <> max(d), false) THEN 1 ELSE 0 END AS irregular FROM (SELECT user_id, 0 AS bad, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 6e7 AS d FROM events) GROUP BY user_id")
 def writable_series(spark, sf):
     return series.check_regular(samples(spark, sf), ["user_id"])
+
+
+@query("SELECT user_id, CASE WHEN date_trunc('hour', min(ts)) <> min(ts) THEN 1 ELSE 0 END + CASE WHEN date_trunc('hour', max(ts)) <> max(ts) THEN 1 ELSE 0 END AS unaligned, CASE WHEN coalesce(min(d) = max(d) AND min(d) > 0 AND min(d) % 60000000 = 0 AND 3600000000 % nullif(min(d), 0) = 0, false) THEN 0 ELSE 1 END AS irregular, count(*) FILTER (v IS NULL OR v < 0) AS bad_values, CASE WHEN count(*) < 2 THEN 1 ELSE 0 END AS short FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS d FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN ts ELSE TIMESTAMP '2024-01-01' + INTERVAL 15 MINUTE * ((event_id - 1) // 7) END AS ts, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN -value ELSE value END AS v FROM events)) GROUP BY 1")
+def routing_input_checks(spark, sf):
+    e = samples(spark, sf).selectExpr("user_id", "if(user_id % 2 = 0, cast(ts as timestamp_ntz), timestampadd(MINUTE, 15 * ((event_id - 1) div 7), timestamp_ntz'2024-01-01 00:00:00')) as ts", "case when event_id % 97 = 0 then null when event_id % 89 = 0 then -value else value end as value")
+    return routing.inflow_problems(e, "user_id")
+
+
+@query("WITH k AS (SELECT user_id, event_type, c, min(event_id) AS ordinal FROM (SELECT user_id, event_id, event_type, " + C_PART + " AS c FROM events) GROUP BY ALL), p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY CASE c WHEN 'PRECIP-INC' THEN 0 ELSE 1 END, ordinal) AS n FROM k WHERE c IN ('PRECIP-INC', 'PRECIP')) SELECT user_id, event_type, round(sum(value), 2) AS total_depth, round(max(value), 2) AS max_intensity, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 2) AS duration_hours FROM events JOIN p USING (user_id, event_type) WHERE n = 1 GROUP BY ALL")
+def precip_summary_preferred(spark, sf):
+    """The summary of each element and run on its one preferred path."""
+    e = samples(spark, sf)
+    keyed = e.selectExpr("event_id", "user_id", "event_type", f"{C_PART} as c").groupBy("user_id", "event_type", "c").agg(F.min("event_id").alias("ordinal"))
+    paths = cat.parse(keyed.selectExpr("user_id", "event_type", "ordinal", f"{PATH} as path"))
+    chosen = cat.prefer_interval_precip(paths).select("user_id", "event_type")
+    return series.precipitation_summary(e.join(chosen, ["user_id", "event_type"]), ["user_id", "event_type"])
+
+
+@query("SELECT user_id, max(value) AS peak_value, arg_min(ts, (-value, ts)) AS peak_time, count(*) AS n_values FROM (SELECT user_id, ts, CASE WHEN event_id % 7 = 0 THEN -901.0 WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events) GROUP BY 1")
+def peak_raw(spark, sf):
+    """Peaks without the mask: markers count as values."""
+    v = F.when(F.col("event_id") % 7 == 0, -901.0).when(F.col("event_id") % 13 == 0, None).otherwise(F.col("value"))
+    return series.first_peak(samples(spark, sf).withColumn("value", v), ["user_id"], "event_id", mask=False)
+
+
+@query(f"{SQL_CATALOG} SELECT 'b' AS name, count(*) AS n, count(DISTINCT b) AS n_distinct FROM p UNION ALL SELECT 'c', count(*), count(DISTINCT c) FROM p UNION ALL SELECT 'run_name', count(*), count(DISTINCT run_name) FROM p")
+def catalog_summary(spark, sf):
+    return cat.summary(catalog(spark, sf), ["b", "c", "run_name"])

@@ -102,7 +102,7 @@ def temporal_distributions(files: DataFrame) -> DataFrame:
     rows = lines(files).withColumn("quartile", F.last(F.when(title != "", title), True).over(w)).withColumn("_h", F.last(head, True).over(w))
     cells = F.transform(F.split("line", ","), lambda x: F.trim(x).try_cast("double"))
     data = rows.where(F.col("_h").isNotNull() & F.col("line").rlike(r"^\s*[0-9.]+\s*,")).withColumn("_c", cells)
-    return data.select("file", "quartile", F.col("_c")[0].alias("hours"), F.posexplode(F.slice("_c", 2, 20)).alias("_p", "cum_pct"), "_h").select("file", "quartile", "hours", F.trim(F.get("_h", F.col("_p") + 1)).alias("probability"), "cum_pct").where("probability is not null")
+    return data.select("file", "quartile", F.col("_c")[0].alias("hours"), F.posexplode(F.slice("_c", F.lit(2), F.size("_c") - 1)).alias("_p", "cum_pct"), "_h").select("file", "quartile", "hours", F.trim(F.get("_h", F.col("_p") + 1)).alias("probability"), "cum_pct").where("probability is not null")
 
 
 def point_frequencies(files: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def depth_table(files: DataFrame) -> DataFrame:
 
     w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = F.transform(F.split(F.regexp_extract("line", r"^[^:]*:(.*)$", 1), ","), lambda x: F.trim(x).try_cast("double"))
-    own = F.slice(cells, 2, 50)
+    own = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
     rows = lines(files).withColumn("_a", F.last(F.when(F.col("line").startswith("by duration for ARI"), own), True).over(w))
     label = F.regexp_extract("line", r"^(\d+)-(min|hr|day):", 0)
     minutes = interval_minutes(F.replace(F.replace(F.replace(label, F.lit("-"), F.lit(" ")), F.lit("hr"), F.lit("HOUR")), F.lit(":"), F.lit("")))

@@ -374,3 +374,71 @@ def test_closure_is_whole_or_raises(spark):
     assert network.closure(chain, target, max_depth=3).count() == 4
     with pytest.raises(RuntimeError):
         network.closure(chain, target, max_depth=2)
+
+
+def test_nearest_keeps_repeated_and_null_points(spark):
+    from freshet.operators import transfer
+
+    p = spark.createDataFrame([(1.0, 1.0, "a"), (1.0, 1.0, "a"), (None, 2.0, "b"), (9.0, 9.0, "c")], "x double, y double, k string")
+    t = spark.createDataFrame([(1, 0.0, 0.0), (2, 8.0, 8.0), (3, None, 1.0)], "tid long, tx double, ty double")
+    got = sorted(((r.k, r.tid) for r in transfer.nearest(p, t, 1.0).collect()), key=str)
+    assert got == [("a", 1), ("a", 1), ("b", None), ("c", 2)]
+    assert transfer.nearest(p, t.limit(0), 1.0).where("tid is null").count() == 4
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    from freshet.operators import transfer
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(v)) for k in range(3) for v in rng.integers(0, 40, 50 * k + 1) / 3]
+    got = {r.k: r for r in transfer.percentiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for k in range(3):
+        own = [v for g, v in rows if g == k]
+        assert np.allclose([got[k].p10, got[k].p50, got[k].p99], np.percentile(own, [10, 50, 99]))
+
+
+def test_series_that_cannot_be_routed(spark):
+    from freshet.operators import routing
+
+    curve = {"x": [0.0, 50.0, 200.0], "c": [[0.0, 0.0], [0.002, 0.0], [0.2, 0.4], [0.0, 15.0]], "low": 0.0, "high": 200.0, "initial": 20.0}
+    stamp = lambda *t: [("k", f"2024-01-01 {x}", 1.0) for x in t]
+    frame = lambda rows: spark.createDataFrame(rows, "key string, ts string, value double").selectExpr("key", "cast(ts as timestamp_ntz) as ts", "value")
+    good = frame(stamp("00:00:00", "00:30:00", "01:00:00", "01:30:00", "02:00:00"))
+    out = routing.route_samples(good, "key", curve)
+    assert out.count() == 3 and routing.diagnostics(out, "key").first().clips == 0
+    for bad in (stamp("00:00:00", "00:30:00", "02:00:00"), stamp("00:10:00", "00:20:00"), stamp("00:00:00", "00:07:00", "00:14:00"), stamp("00:00:00"), [("k", "2024-01-01 00:00:00", -1.0), ("k", "2024-01-01 01:00:00", 1.0)]):
+        with pytest.raises(ValueError):
+            routing.route_samples(frame(bad), "key", curve)
+    with pytest.raises(ValueError):
+        routing.route_samples(good, "key", curve | {"low": -1.0})
+
+
+def test_tree_closure_is_whole_or_raises(spark):
+    from freshet.operators import network
+
+    spark.createDataFrame([(i + 1, i) for i in range(150)], "src int, dst int").createOrReplaceTempView("chain")
+    spark.createDataFrame([(2, 1), (3, 1), (4, 3), (9, 8)], "src int, dst int").createOrReplaceTempView("tree")
+    assert sorted(r.node for r in network.tree_closure(spark, "tree", 1).collect()) == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="RECURSION"):
+        network.tree_closure(spark, "chain", 0).collect()
+
+
+def test_hot_curves_are_shared_out(spark, monkeypatch):
+    from freshet.functions import interp
+
+    pts = spark.range(200).selectExpr("if(id % 4 = 0, 'b', 'a') as c", "id / 10d as x")
+    knots = spark.createDataFrame([("a", 0.0, 0.0), ("a", 7.0, 14.0), ("a", 20.0, 1.0), ("b", 5.0, 5.0)], "c string, x double, y double")
+    want = sorted(map(tuple, interp.interpolate(pts, knots, "c").collect()))
+    monkeypatch.setattr(interp, "SHARE", 20)
+    assert sorted(map(tuple, interp.interpolate(pts, knots, "c").collect())) == want
+
+
+def test_digest_does_not_depend_on_order(spark):
+    from freshet.operators import checks
+
+    df = spark.range(500).selectExpr("id % 2 as g", "id as v")
+    one = sorted(map(tuple, checks.content_digest(df, ["g"], ["v"]).collect()))
+    two = sorted(map(tuple, checks.content_digest(df.orderBy(df.v.desc()).repartition(7), ["g"], ["v"]).collect()))
+    assert one == two and one != sorted(map(tuple, checks.content_digest(df.where("v <> 3"), ["g"], ["v"]).collect()))
