@@ -25,6 +25,7 @@ HIDDEN = 32
 REACH = 2
 SLICES = 16
 STEP = 8192
+ROWS = 2048
 
 SHAPES = {"embed": (SIZE + 1, DIM), "into": (2 * REACH * DIM, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "gbias": (GROUPS,), "member": (GROUPS, HIDDEN, GROUPS), "mbias": (GROUPS, GROUPS)}
 TOTAL = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -68,15 +69,25 @@ def contexts(ids: np.ndarray, first: np.ndarray, pick: np.ndarray | None = None)
     return np.stack([wide[place + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
 
 
+TOP = np.float32(80)  # e ** 80 still fits 32 bits; only a diverged network has larger logits
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the rows and their sums."""
+    e = np.exp(np.clip(x, -TOP, TOP))
+    return e, e.sum(axis=1)  # the same for equal rows, wherever they lie
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    e, total = _exp(x)
+    e /= total[:, None]
+    return e
 
 
 def _log_picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax at one column of each row."""
-    x = x - x.max(axis=1, keepdims=True)
-    return x[np.arange(len(x)), at] - np.log(np.exp(x).sum(axis=1))
+    e, total = _exp(x)
+    return np.log(e[np.arange(len(x)), at] / total)
 
 
 def log_probabilities(p: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -85,8 +96,8 @@ def log_probabilities(p: dict, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
     for s in range(0, len(ids), STEP):
         c, t = ctx[s : s + STEP], ids[s : s + STEP]
         order, cut = _by_group(t)
-        c, t = c[order], t[order]
-        hid = np.tanh(p["embed"][c].reshape(len(c), -1) @ p["into"] + p["bias"])
+        c, t = np.take(c, order, axis=0), t[order]
+        hid = np.tanh(np.take(p["embed"], c, axis=0).reshape(len(c), -1) @ p["into"] + p["bias"])
         part = _log_picked(hid @ p["group"] + p["gbias"], t // GROUPS)
         out[s : s + STEP][order] = part + _log_picked(_member_logits(p, hid, cut, t // GROUPS), t % GROUPS)
     return out
@@ -101,7 +112,7 @@ def _by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _member_logits(p: dict, hid: np.ndarray, cut: list[int], g: np.ndarray) -> np.ndarray:
     """Logits within the group of each row; the rows are in the order of their groups."""
-    out = p["mbias"][g]
+    out = np.take(p["mbias"], g, axis=0)
     for k in range(GROUPS):
         i, j = cut[k], cut[k + 1]
         if i < j:
@@ -113,9 +124,9 @@ def train_step(p: dict, squares: dict, ctx: np.ndarray, ids: np.ndarray, rate: f
     """One Adagrad step on the mean loss of the rows."""
     n = len(ids)
     order, cut = _by_group(ids)
-    ctx, ids = ctx[order], ids[order]
+    ctx, ids = np.take(ctx, order, axis=0), ids[order]
     rows = np.arange(n)
-    x = p["embed"][ctx].reshape(n, -1)
+    x = np.take(p["embed"], ctx, axis=0).reshape(n, -1)
     hid = np.tanh(x @ p["into"] + p["bias"])
     g, m = ids // GROUPS, ids % GROUPS
     dg = _softmax(hid @ p["group"] + p["gbias"])
@@ -136,7 +147,7 @@ def train_step(p: dict, squares: dict, ctx: np.ndarray, ids: np.ndarray, rate: f
     flat = ctx.ravel().astype(np.int16)
     order = np.argsort(flat, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-    grad["embed"][flat[order[at]]] = np.add.reduceat(dx[order], at, axis=0)
+    grad["embed"][flat[order[at]]] = np.add.reduceat(np.take(dx, order, axis=0), at, axis=0)
     for k in p:
         q = grad[k] / n
         squares[k] += q * q
@@ -194,13 +205,13 @@ def train(docs: DataFrame, rounds: int = 2, counts: DataFrame | None = None) ->
                     if size >= 4 * STEP:
                         c, t = (np.concatenate(x) for x in zip(*wait))
                         mixed = np.random.default_rng(seen).permutation(len(t))
-                        for s in range(0, len(t), STEP // 8):
-                            train_step(p, squares, c[mixed[s : s + STEP // 8]], t[mixed[s : s + STEP // 8]])
+                        for s in range(0, len(t), ROWS):
+                            train_step(p, squares, np.take(c, mixed[s : s + ROWS], axis=0), t[mixed[s : s + ROWS]])
                         seen, wait, size = seen + len(t), [], 0
             if size:
                 c, t = (np.concatenate(x) for x in zip(*wait))
-                for s in range(0, len(t), STEP // 8):
-                    train_step(p, squares, c[s : s + STEP // 8], t[s : s + STEP // 8])
+                for s in range(0, len(t), ROWS):
+                    train_step(p, squares, c[s : s + ROWS], t[s : s + ROWS])
                 seen += len(t)
             if seen:
                 parts = np.array_split(own, SLICES)
