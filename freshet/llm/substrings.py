@@ -21,7 +21,7 @@ from .common import U64
 WINDOW = 13
 GRAM = 4
 DEPTH = 16
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 HOT = 20_000
 
 
@@ -114,8 +114,9 @@ def _cut(shards: int):
         lowest: dict[int, int] = {}
         for b in batches:
             ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(2))
-            marks, cuts = np.asarray(b.column(3).values.field(0)).view(U64), np.asarray(b.column(3).offsets)
-            parts = np.asarray(b.column(3).values.field(1))
+            marks, cuts = np.asarray(b.column(3).values).view(U64), np.asarray(b.column(3).offsets)
+            hot, hot_cuts = b.column(4).values, np.asarray(b.column(4).offsets)
+            hot_marks, hot_splits = np.asarray(hot.field(0)).view(U64), np.asarray(hot.field(1))
             for i, _, data, offsets in common.text_blocks(b):
                 h, s, e, first = common.hash_words(data, offsets)
                 text, lo, hi, anchor = _segments(h, first)
@@ -124,10 +125,9 @@ def _cut(shards: int):
                 for k in range(len(offsets) - 1):
                     x, y = edges[k], edges[k + 1]
                     if y > x:
-                        own = marks[cuts[i + k] : cuts[i + k + 1]]
-                        order = np.argsort(own)
-                        at = np.minimum(np.searchsorted(own[order], anchor[x:y]), len(own) - 1)
-                        splits[x:y] = np.where(own[order][at] == anchor[x:y], parts[cuts[i + k] : cuts[i + k + 1]][order][at], 0)
+                        splits[x:y] = np.isin(anchor[x:y], marks[cuts[i + k] : cuts[i + k + 1]])
+                        for q in range(hot_cuts[i + k], hot_cuts[i + k + 1]):
+                            splits[x:y][anchor[x:y] == hot_marks[q]] = hot_splits[q]
                 held = splits > 0
                 text, lo, hi, anchor, splits = text[held], lo[held], hi[held], anchor[held], splits[held]
                 if not len(text):
@@ -357,10 +357,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = common.checkpoint(marks.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", (F.ceil(F.col("count") / HOT) + 1).cast("long").alias("splits"), "count"))
     total = marks.count() + (WINDOW - GRAM) * (hot.agg(F.sum("count")).first()[0] or 0)
     shards = max(1, -(-total * (WINDOW + 4) // SHARD_WORDS))
-    own = marks.join(hot.select("anchor", "splits"), "anchor", "left").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", F.coalesce("splits", F.lit(1).cast("long")).alias("splits"))).alias("anchors"))
+    own = marks.join(hot.select("anchor", "splits"), "anchor", "left").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("splits").isNotNull(), F.struct("anchor", "splits"))).alias("hot"))
     own = common.checkpoint(own)
     texts = common.filtered(rows, common.key_filter(own, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
-    cut = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
+    cut = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors", "hot").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
     spans = cut.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search, "doc_id long, text_hash long, start long, end long")
     return spans, copies
 
