@@ -69,33 +69,39 @@ def with_features(parts: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffixes(rows: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
-    return rows.join(F.broadcast(stats), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior))).withColumn("suffix_docs", F.coalesce("suffix_docs", F.lit(0.0)))
+def _with_suffixes(rows: DataFrame, stats: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
+    """Rows with suffix_rate and suffix_docs from stats(suffix, n, s). A labelled row leaves out its ``own`` label, or the
+    trees would learn to read it there and find nothing in new suffixes."""
+    less = F.lit(0.0) if own is None else F.lit(1.0)
+    n, s = F.coalesce("n", F.lit(0.0)) - less, F.coalesce("s", F.lit(0.0)) - (F.lit(0.0) if own is None else own)
+    return rows.join(stats, "suffix", "left").withColumn("suffix_rate", (s + 5 * prior) / (n + 5)).withColumn("suffix_docs", F.log1p(n)).drop("n", "s")
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, sample: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row of ``pages(page_id, url)``.
 
-    The trees are trained on ``labelled(url, label)`` (1: block), or without it on the urls that the rules
-    decide. Of those, the ``sample`` distinct urls of smallest hash are used; the suffix statistics come from
-    the same bounded sample, hence may be broadcast. With one class only (or none) the method allows all.
+    The trees are trained on ``labelled(url, label)`` (1: block; a url labelled both ways has the label of
+    most of its rows, block at a tie), or without it
+    on the urls that the rules decide. Suffix statistics are counted over all of those urls; the trees see the ``sample``
+    distinct urls of smallest hash. With one class only (or none) the method allows all. Null and repeated urls and null
+    ids are judged row by row; an empty table gives no rows.
     """
     rows = with_features(with_parts(pages)).withColumn("fit", rule_of(rules))
     if labelled is None:
-        known = rows.where("fit is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("double"))
+        told = rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("double").alias("label"))
     else:
-        known = with_features(with_parts(labelled.select(F.lit(0).alias("page_id"), "url"))).join(labelled.select("url", F.col("label").cast("double").alias("label")).distinct(), "url")
-    known = known.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample).drop("fit", "page_id")
-    known = common.checkpoint(known)
-    count = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        told = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
+    told = common.checkpoint(told.groupBy("url").agg((F.avg("label") >= 0.5).cast("double").alias("label")))
+    known = with_features(with_parts(told.withColumn("page_id", F.lit(0)))).join(told.withColumnRenamed("url", "_url"), F.col("url").eqNullSafe(F.col("_url"))).drop("_url", "page_id")
+    count = told.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     columns = ["page_id", "host", "path", F.col("fit.rule").alias("rule")]
     if not 0 < count[1] < count[0]:
         return rows.select(*columns, F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("block_score"))
     prior = count[1] / count[0]
-    stats = known.groupBy("suffix").agg(((F.sum("label") + 5 * prior) / (F.count("*") + 5)).alias("suffix_rate"), F.log1p(F.count("*").cast("double")).alias("suffix_docs"))
-    stats = common.checkpoint(stats)
+    stats = common.checkpoint(known.groupBy("suffix").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("s")))
+    known = common.checkpoint(known.orderBy(F.xxhash64("url"), "url").limit(sample))  # the bounded sample for the trees
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(assembler.transform(_with_suffixes(known, stats, prior)))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(assembler.transform(_with_suffixes(known, stats, prior, F.col("label"))))
     scored = model.transform(assembler.transform(_with_suffixes(rows, stats, prior)))
     p = vector_to_array("probability")[1]
     return scored.select(*columns, F.coalesce("fit.verdict", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("block_score"))
