@@ -1,6 +1,6 @@
 """Packing: optimal length buckets and token-budget batches.
 
-Documents are cut into pieces of at most ``context`` tokens (the last one holds the rest), so the global
+Encoded documents are cut into pieces of at most ``context`` tokens (the last one holds the rest), so the global
 histogram has ``context`` entries at most whatever the input's size. Dynamic programming over it picks the
 bucket boundaries that minimise padding; inside a bucket, batches hold as many pieces as the token budget allows.
 """
@@ -8,17 +8,11 @@ bucket boundaries that minimise padding; inside a bucket, batches hold as many p
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import common
-
-
-def word_tokens(text: str = "text") -> Column:
-    """Words of the text plus one end token; null and empty texts have the end token alone."""
-    clean = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return (F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit(""))) + F.when(clean == "", 1).otherwise(2)).cast("long")
+from . import common, tokens
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -47,30 +41,35 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, tokens: Column | None = None, context: int = 2048, buckets: int = 16, budget: int = 65536, per_shard: int = 100_000) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, n_tokens, bucket_len, padding, batch_id, slot.
+def histogram(sizes: DataFrame, context: int) -> dict[int, int]:
+    """Pieces by length of documents with n_tokens tokens: whole ones of ``context`` and the rests, ``context`` entries at most."""
+    n = F.col("n_tokens")
+    rests = sizes.where("n_tokens > 0").groupBy((n % context).alias("rest")).agg(F.count("*").alias("docs"), F.sum(F.floor(n / context)).alias("whole")).collect()
+    out = {int(r.rest): int(r.docs) for r in rests if r.rest}
+    if whole := sum(int(r.whole) for r in rests):
+        out[context] = whole
+    return out
+
 
-    ``tokens`` counts a row's tokens (default: words and an end token). A batch has at most
-    ``budget // bucket_len`` pieces, all of one bucket. A bucket is dealt to shards of about ``per_shard``
-    pieces by a hash of (doc_id, piece), so a bucket with most rows is never ranked in one task; each shard
-    leaves one short batch at most. Null ids are kept; an empty table gives no rows.
+def pack(encoded: DataFrame, context: int = 2048, buckets: int = 16, budget: int = 65536, per_shard: int = 20_000) -> DataFrame:
+    """One row for each piece of encoded(doc_id, token_ids): doc_id, piece, start, n_tokens, token_ids, bucket_len,
+    padding, batch_id, slot. The pieces of a document, one after another, are its tokens.
+
+    A batch has at most ``budget // bucket_len`` pieces, all of one bucket. A bucket is dealt to shards of about
+    ``per_shard`` pieces by a hash of the piece, so a bucket with most rows is never ranked in one task; each shard leaves
+    one short batch at most. Slots follow doc_id, piece and tokens; rows equal in all three are interchangeable. Null ids
+    and repeated rows are kept as they are; null or empty token lists give no piece, an empty table no rows.
+    The lengths are counted in a first pass over ``encoded``, which is not stored for the second.
     """
-    n = (word_tokens() if tokens is None else tokens).cast("long")
-    pieces = (
-        docs.select("doc_id", n.alias("total"))
-        .where("total > 0")
-        .select("doc_id", "total", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(context).cast("long"))).alias("piece", "start"))
-        .select("doc_id", F.col("piece").cast("long"), "start", F.least(F.lit(context), F.col("total") - F.col("start")).cast("long").alias("n_tokens"))
-    )
-    pieces = common.checkpoint(pieces)
-    hist = pieces.groupBy("n_tokens").count().collect()  # context rows at most
-    if not hist:
-        return pieces.selectExpr("doc_id", "piece", "start", "n_tokens", "n_tokens as bucket_len", "0L as padding", "cast(null as string) as batch_id", "0L as slot")
-    lengths = np.array([r[0] for r in hist])
-    counts = np.array([r[1] for r in hist])
-    ends = optimal_boundaries(lengths, counts, buckets)
+    hist = histogram(encoded.select(F.size("token_ids").alias("n_tokens")), context)
+    lengths = np.array(sorted(hist), np.int64)
+    counts = np.array([hist[x] for x in lengths.tolist()], np.int64)
+    ends = optimal_boundaries(lengths, counts, buckets) or [context]
     bucket = np.searchsorted(ends, lengths)
     shards = [max(1, -(-int(counts[bucket == b].sum()) // per_shard)) for b in range(len(ends))]
+    starts = F.sequence(F.lit(0), F.size("token_ids") - 1, F.lit(context))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("token_ids", s + 1, F.lit(context)).alias("ids")))
+    pieces = encoded.where(F.size("token_ids") > 0).select("doc_id", F.posexplode(cut).alias("piece", "z")).select("doc_id", F.col("piece").cast("long"), F.col("z.start").cast("long").alias("start"), F.size("z.ids").cast("long").alias("n_tokens"), F.col("z.ids").alias("token_ids"))
     k = F.lit(None).cast("int")
     for b in range(len(ends) - 1, -1, -1):
         k = F.when(F.col("n_tokens") <= ends[b], F.lit(b)).otherwise(k)
@@ -78,12 +77,12 @@ def pack(docs: DataFrame, tokens: Column | None = None, context: int = 2048, buc
     dealt = (
         pieces.withColumn("b", k)
         .withColumn("bucket_len", at(ends).cast("long"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), at(shards)))
-        .withColumn("rank", F.row_number().over(W.partitionBy("b", "shard").orderBy("doc_id", "piece", "start")) - 1)
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "token_ids"), at(shards)))
+        .withColumn("rank", F.row_number().over(W.partitionBy("b", "shard").orderBy("doc_id", "piece", "token_ids")) - 1)
     )
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     return dealt.select(
-        "doc_id", "piece", "start", "n_tokens", "bucket_len",
+        "doc_id", "piece", "start", "n_tokens", "token_ids", "bucket_len",
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
         F.concat_ws("-", "bucket_len", "shard", F.floor(F.col("rank") / room)).alias("batch_id"),
         (F.col("rank") % room).cast("long").alias("slot"),
@@ -91,4 +90,4 @@ def pack(docs: DataFrame, tokens: Column | None = None, context: int = 2048, buc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.documents(spark, sf_dir))
+    return pack(tokens.encoded(common.documents(spark, sf_dir)))

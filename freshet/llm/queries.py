@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontam, jaccard, lm, media, packing, quality, secrets, substrings, tokens, urls
+from . import decontam, jaccard, lm, media, packing, pipeline, quality, secrets, substrings, tokens, urls
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_substring_dedup": substrings.query,
         "op10_decontamination": decontam.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +20,76 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+PART = 1 << 20
+FLUSH = 1 << 21
+# A place between a character that is no white space and a space before a letter: the pattern always cuts there, so both
+# sides may be encoded on their own.
+_SEAM = re.compile(r"(?<=\S)(?= [^\W\d_])")
+
+
+def parts_of(text: str, size: int = PART):
+    """The text in parts of about ``size`` characters whose encodings, one after another, are that of the whole text."""
+    at = 0
+    while len(text) - at > size and (seam := _SEAM.search(text, at + size)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
+def _encoder(vocabulary: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text") -> DataFrame:
     """doc_id and n_tokens of every row's whole text; null and empty texts have none. The file must lie on every machine."""
 
     def run(batches):
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoder(vocabulary)
         for b in batches:
-            n = [len(encode(x)) if x else 0 for x in (v.as_py() for v in b.column(1))]
+            n = [sum(len(encode(x)) for x in parts_of(v)) if v else 0 for v in (v.as_py() for v in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text", end: int | None = None) -> DataFrame:
+    """doc_id and token_ids (array of int) of every row's whole text, then the token ``end`` (default: the id after the
+    vocabulary's last). Null and empty texts have that one alone."""
+
+    def run(batches):
+        encode = _encoder(vocabulary)
+        last = end
+        if last is None:
+            with open(vocabulary, "rb") as f:
+                last = 1 + max(int(line.split()[1]) for line in f)
+        for b in batches:
+            ids, cuts, values, held = b.column(0), [0], [], 0
+
+            def out(first: int, upto: int) -> pa.RecordBatch:
+                flat = pa.array(np.concatenate(values), pa.int32())
+                return pa.RecordBatch.from_arrays([ids[first:upto], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names=["doc_id", "token_ids"])
+
+            first = 0
+            for k, v in enumerate(b.column(1)):
+                for x in parts_of(v.as_py() or ""):
+                    values.append(np.array(encode(x), np.int32))
+                    held += len(values[-1])
+                values.append(np.array([last], np.int32))
+                held += 1
+                cuts.append(held)
+                if held >= FLUSH:
+                    yield out(first, k + 1)
+                    first, cuts, values, held = k + 1, [0], [], 0
+            if len(cuts) > 1:
+                yield out(first, b.num_rows)
+
+    return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")
+
+
 def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     """One row for each length that occurs, with figures for a context limit of that length.
 
@@ -60,11 +117,20 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_above, tokens_cut: those beyond it) for any limits, lengths that do not occur included."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    return asked.join(histogram, histogram.n_tokens > asked.context_limit, "left").groupBy("context_limit").agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_above"), F.coalesce(F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col("context_limit"))), F.lit(0)).alias("tokens_cut")
-    )
+    """(context_limit, docs_above, tokens_cut: those beyond it) for any limits, lengths that do not occur included.
+
+    Read off the suffix sums: the figures of the longest length up to the limit hold for it. Limits below every length
+    (and an empty histogram) are answered from the totals.
+    """
+    found = []
+    for limit in sorted({int(x) for x in limits}):
+        at = F.max_by(F.struct("docs_above", "tokens_upto"), "n_tokens")
+        row = histogram.where(F.col("n_tokens") <= limit).agg(at.alias("r"))
+        every = histogram.agg(F.max("total_docs").alias("d"), F.max("total_tokens").alias("t"))
+        above = F.coalesce("r.docs_above", "d", F.lit(0))
+        cut = F.coalesce(F.col("t") - F.col("r.tokens_upto"), "t", F.lit(0)) - above * limit
+        found.append(row.join(every).select(F.lit(limit).cast("long").alias("context_limit"), above.alias("docs_above"), cut.alias("tokens_cut")))  # one row each
+    return reduce(DataFrame.union, found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
