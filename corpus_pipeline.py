@@ -1,63 +1,8 @@
-"""A training corpus from raw documents, in five stages.
+"""A training corpus from raw documents, in five stages (see freshet/llm/pipeline.py).
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each of STAGES takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 """
 
-from __future__ import annotations
+from freshet.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from freshet.llm import common, decontam, jaccard, packing, quality, secrets
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier keeps."""
-    common.bound_batches(spark)
-    return quality.stage(spark, docs, sf_dir)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked on five-word shingles at a similarity of 0.8 or more."""
-    common.bound_batches(spark)
-    return jaccard.keep_one(docs)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or re-parameterised."""
-    common.bound_batches(spark)
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind in brackets; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in length buckets and token-budget batches."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("secret scans", secret_scan),
-    ("packing", pack),
-]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and reread as the next one's docs."""
-    common.ensure_checkpoint_dir(spark)
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()).rstrip("/") + f"/pipeline-{uuid.uuid4()}"
-    docs = common.documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
