@@ -288,14 +288,48 @@ def _runs(batches):
     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(docs, pa.int64())], names=["block", "node"])
 
 
-def _tasks(members: DataFrame, group: str) -> DataFrame:
-    """(group, ca, cb, node) of members(group, node, size): a group beyond the limits is split into chunks by a hash,
-    and every pair of its chunks is one task."""
+def _placed(members: DataFrame, group: str) -> DataFrame:
+    """members(group, node, size) of groups of two or more, with the chunk c of m that a hash deals each to."""
     heavy = members.groupBy(group).agg(F.count("*").alias("k"), F.sum("size").alias("w"))
-    chunks = F.greatest(F.ceil(F.col("k") / CHUNK_DOCS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int")
-    placed = members.join(heavy.where("k > 1").select(group, chunks.alias("m")), group).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    tasks = placed.select(group, "node", "c", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).where("m = 1 or o <> c")
-    return tasks.select(group, F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), "node")
+    return members.join(heavy.where("k > 1").select(group, _chunks("k", "w").alias("m")), group).withColumn("c", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+
+
+def _chunks(k: str, w: str):
+    return F.greatest(F.ceil(F.col(k) / CHUNK_DOCS), F.ceil(F.col(w) / CHUNK_SHINGLES)).cast("int")
+
+
+def _first_tasks(placed: DataFrame, group: str) -> DataFrame:
+    """(group, ca, cb, node): each chunk together with the group's chunk 0, so the tasks' rows are twice the group's."""
+    lead = placed.where("m > 1 and c = 0").select(group, F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("cb"), "node")
+    every = lead.union(placed.where("m = 1 or c > 0").select(group, F.col("c").alias("cb"), "node"))
+    return every.select(group, F.lit(0).alias("ca"), "cb", "node")
+
+
+def _rest_tasks(placed: DataFrame, linked: DataFrame, group: str) -> DataFrame:
+    """The same for what the first tasks leave open in groups of several chunks: the members outside the group's largest
+    component, in chunks of their own, against every chunk. In a large group of near copies those are few."""
+    hot = placed.where("m > 1").join(linked.toDF("node", "found"), "node", "left").select(group, "node", "size", "c", "m", F.coalesce("found", "node").alias("own"))
+    top = hot.groupBy(group, "own").count().groupBy(group).agg(F.max_by("own", F.struct("count", -F.col("own"))).alias("top"))
+    rest = hot.join(top, group).where("own <> top")
+    n = rest.groupBy(group).agg(F.count("*").alias("k"), F.sum("size").alias("w")).select(group, _chunks("k", "w").alias("r"))
+    left = rest.join(n, group).select(group, F.pmod(F.xxhash64("node"), F.col("r")).cast("int").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("cb"), "node")
+    right = hot.join(n, group).select(group, F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("ca"), F.col("c").alias("cb"), "node")
+    return left.union(right).distinct()
+
+
+def _components(members: DataFrame, group: str, work) -> DataFrame:
+    """(node, component) by the links that ``work`` finds in tasks(group, ca, cb, node), each a part of one group.
+
+    Two members of a group either meet in a task or are in one component already, so no pair is lost and a large group is
+    not taken in all pairs of its chunks.
+    """
+    placed = _placed(members, group)
+    linked = common.connected_components(work(_first_tasks(placed, group)))
+    if placed.where("m > 1").isEmpty():
+        return linked
+    linked = common.checkpoint(linked)
+    more = work(_rest_tasks(placed, linked, group))
+    return common.connected_components(more.union(linked.select("node", "component")))
 
 
 def _edges(ids: list, root: np.ndarray) -> pa.RecordBatch:
@@ -353,9 +387,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
     Words are split at ASCII white space and A-Z lower-cased; a text shorter than ``words`` is one shingle.
     Without words n_shingles is 0 and the component the document itself. Rows that share an id are one node;
-    a null id has no component. Equal sets are linked at once and count as one set from there on. Candidate
-    clusters beyond ``CHUNK_DOCS`` sets or ``CHUNK_SHINGLES`` shingles are split into chunks, every pair of
-    chunks being one task, so no group has to fit in a task and no link is lost.
+    a null id has no component. Equal sets are linked at once and count as one set from there on. Blocks and candidate
+    clusters beyond ``CHUNK_DOCS`` sets or ``CHUNK_SHINGLES`` shingles are split into chunks (see _components), so no group
+    has to fit in a task and no link is lost.
     """
     if 4 * num < 3 * den:
         raise ValueError("the level scheme holds for thresholds of 0.75 or more")
@@ -370,16 +404,22 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     firsts = common.anti_join(docs.select("doc_id", "text"), copies, ["doc_id"])
     runs = _keys(firsts, words, num, den).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, "block long, node long").distinct()
     members = common.checkpoint(runs.join(reps.select("node", "s.size"), "node"))
-    blocks = _tasks(members, "block").join(reps.select("node", "s.size", "s.bits"), "node").select("block", "ca", "cb", "node", "size", "bits")
-    maybe = blocks.repartition(n, "block", "ca", "cb").sortWithinPartitions("block", "ca", "cb", "node").mapInArrow(_bitmap_join(num, den), "src long, dst long")
-    nodes = common.connected_components(maybe).join(reps.select("node", "s.size"), "node")
+    dealt = lambda rows, group: rows.repartition(n, group, "ca", "cb").sortWithinPartitions(group, "ca", "cb", "node")
+
+    def possible(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(reps.select("node", "s.size", "s.bits"), "node").select("block", "ca", "cb", "node", "size", "bits")
+        return dealt(rows, "block").mapInArrow(_bitmap_join(num, den), "src long, dst long")
+
+    nodes = _components(members, "block", possible).join(reps.select("node", "s.size"), "node")
     nodes = common.checkpoint(nodes)
-    tasks = _tasks(nodes, "component")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
     texts = common.filtered(texts, common.key_filter(nodes, ["node"]), ["node"])
-    work = tasks.join(texts, "node").select("component", "ca", "cb", "node", "text")
-    found = work.repartition(n, "component", "ca", "cb").sortWithinPartitions("component", "ca", "cb", "node").mapInArrow(_tree_join(words, num, den), "src long, dst long")
-    joined = common.connected_components(found).withColumnRenamed("node", "rep")
+
+    def verified(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(texts, "node").select("component", "ca", "cb", "node", "text")
+        return dealt(rows, "component").mapInArrow(_tree_join(words, num, den), "src long, dst long")
+
+    joined = _components(nodes.select("component", "node", "size"), "component", verified).withColumnRenamed("node", "rep")
     labels = classes.join(joined, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     same_id = own.where("doc_id is not null").drop("bits")
     out = same_id.join(labels, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
