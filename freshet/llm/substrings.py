@@ -224,8 +224,8 @@ class FMIndex:
             nxt[:-step] = rank[step:] + 1 if step < len(rank) else 0
             rank = np.unique(rank * (int(rank.max()) + 2) + nxt, return_inverse=True)[1]
             step *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.sequence = seq
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        self.sequence = seq.astype(np.int32)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=self.sigma))))
         self.bwt = WaveletMatrix(seq[self.suffixes - 1], self.sigma)
 
