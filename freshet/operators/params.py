@@ -20,6 +20,31 @@ SUBBASIN = {
 }
 
 
+# Keys of a frequency storm's parameters and the typed columns they become; yes stands for true.
+FREQUENCY = {
+    "exceedance_frequency": ("Exceedance Frequency", "double"), "storm_size": ("Storm Size", "double"), "total_duration": ("Total Duration", "int"), "time_interval": ("Time Interval", "int"),
+    "peak_position": ("Percent of Duration Before Peak Rainfall", "int"), "convert_from_annual": ("Convert From Annual Series", "boolean"), "convert_to_annual": ("Convert to Annual Series", "boolean"),
+    "storm_type": ("Storm Type", "string"), "depth_area_reduction_method": ("Depth-Area Reduction Method", "string"), "uniform_depth_duration_curve": ("Uniform Depth Duration Curve", "boolean"),
+    "single_hypothetical_storm_size": ("Single Hypothetical Storm Size", "boolean"), "user_specified_storm_area": ("User Specified Storm Area", "boolean"),
+}
+
+
+def frequency_parameters(blocks: DataFrame) -> DataFrame:
+    """file, method, the columns of FREQUENCY and depths (in order) of met blocks 'Precip Method Parameters'.
+
+    The first key may be spelt Exceedence too. Blank settings are null, but the two annual series ones false.
+    """
+    own = blocks.where("kind = 'Precip Method Parameters'")
+    get = lambda k: F.nullif(F.element_at("attrs", F.lit(k)), F.lit(""))
+    as_type = {"boolean": lambda v: F.lower(v) == "yes", "string": lambda v: v}
+    out = {c: as_type.get(t, lambda v, t=t: v.try_cast(t))(get(k)) for c, (k, t) in FREQUENCY.items()}
+    out["exceedance_frequency"] = F.coalesce(out["exceedance_frequency"], get("Exceedence Frequency").try_cast("double"))
+    for c in ("convert_from_annual", "convert_to_annual"):
+        out[c] = F.coalesce(out[c], F.lit(False))
+    depths = F.transform(F.filter("lines", lambda x: (x["k"] == "Depth") & x["v"].try_cast("double").isNotNull()), lambda x: x["v"].cast("double"))
+    return own.select("file", F.col("name").alias("method"), *[v.alias(c) for c, v in out.items()], depths.alias("depths"))
+
+
 def typed(blocks: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Blocks with attribute keys as typed columns; text that is no number gives null."""
     return blocks.withColumns({c: F.expr(f"try_cast(element_at(attrs, '{k}') as {t})") for c, (k, t) in columns.items()})

@@ -222,6 +222,26 @@ def version_change(spark, sf):
     return logs.version_changes(table(spark, sf, "events").select("user_id", F.col("event_id").alias("pos"), line.alias("line")), ["user_id"])
 
 
+@query("SELECT 'n' || n_nationkey AS file, 'Frequency Based' AS method, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey + 0.5 END::DOUBLE AS exceedance_frequency, CAST(1440 AS INT) AS total_duration, NULL::INT AS time_interval, n_nationkey % 2 = 0 AS convert_to_annual, FALSE AS convert_from_annual, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey % 4 = 1 END AS user_specified_storm_area, (n_nationkey * 3 + 3.0)::DOUBLE AS depth_total, CAST(3 AS BIGINT) AS n_depths FROM nation")
+def frequency_parameters(spark, sf):
+    n = lambda e: F.expr(f"cast({e} as string)")
+    body = F.concat_ws(
+        "\n", F.lit("Precip Method Parameters: Frequency Based"), F.concat(F.expr("if(n_nationkey % 2 = 0, '     Exceedence', '     Exceedance')"), F.lit(" Frequency: "), F.expr("if(n_nationkey % 3 > 0, cast(n_nationkey + 0.5d as string), '')")),
+        F.lit("     Total Duration: 1440"), F.lit("     Time Interval: "), F.concat(F.lit("     Convert to Annual Series: "), F.expr("if(n_nationkey % 2 = 0, 'YES', 'No')")), F.concat(F.lit("     User Specified Storm Area: "), F.expr("case n_nationkey % 4 when 0 then '' when 1 then 'yes' else 'no' end")),
+        *[F.concat(F.lit("     Depth: "), n(f"n_nationkey + {i}")) for i in range(3)], F.lit("     Depth: "), F.lit("End:"),
+    )
+    files = table(spark, sf, "nation").select(F.expr("concat('n', n_nationkey)").alias("file"), body.alias("content"))
+    out = params.frequency_parameters(text.blocks(text.lines(files)))
+    total = F.aggregate("depths", F.lit(0.0), lambda a, x: a + x)
+    return out.select("file", "method", "exceedance_frequency", "total_duration", "time_interval", "convert_to_annual", "convert_from_annual", "user_specified_storm_area", total.alias("depth_total"), F.size("depths").cast("long").alias("n_depths"))
+
+
+@query(f"SELECT '//TX/' || quartile || '/24HR//' || probability || '/' AS path, CAST(h AS INT) AS ord, h * 2.0::DOUBLE AS x, round(v / 100, 6)::DOUBLE AS y FROM {SQL_DISTRIBUTION} WHERE n = 3")
+def temporal_import(spark, sf):
+    rows = text.temporal_distributions(distribution_files(spark, sf).where("file = 'n3'"))
+    return rounded(text.paired_distributions(rows, "TX", 24), "y")
+
+
 # --- networks, transfers, features ---
 
 

@@ -34,6 +34,20 @@ def read_grid(spark: SparkSession, path: str, box: tuple[float, float, float, fl
     return df.where(F.col("t") <= end) if end else df
 
 
+def read_results(spark: SparkSession, path: str, variables: list[str] | None = None, elements: list[str] | None = None) -> DataFrame:
+    """Landed results(element, variable, ts, value) of a run; both filters reach the Parquet scan."""
+    df = spark.read.parquet(f"{path}/results").select("element", "variable", "ts", "value")
+    for column, names in (("variable", variables), ("element", elements)):
+        df = df if names is None else df.where(F.col(column).isin(names))
+    return df
+
+
+def sqlite_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file) of the SQLite files below a folder, in order; only their names are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sqlite").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("file")).orderBy("file")
+
+
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """(layer, n) of a SQLite file, one row for each user table."""
     spark.dataSource.register(SqliteSource)

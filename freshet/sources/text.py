@@ -5,7 +5,7 @@ Files are read through Spark's binary reader, so any store that Spark can open w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -63,10 +63,13 @@ def read_blocks(spark: SparkSession, path: str | list[str], glob: str | None = N
 
 
 def load_project(spark: SparkSession, folder: str, views: bool = True) -> dict[str, DataFrame]:
-    """The eight tables of a project folder: project, basins, subbasins, mets, controls, runs, gages, tables."""
+    """The nine tables of a project folder: project, basins, subbasins, mets, controls, runs, gages, tables, and grids, the
+    SQLite files that make it a gridded model."""
     from ..functions.units import parse_datetime
     from ..operators import params
 
+    from .tables import sqlite_files
+
     own = {kind: read_blocks(spark, folder, f"*.{kind}") for kind in ("hms", "basin", "met", "control", "run", "gage", "pdata")}
     get = lambda k: F.element_at("attrs", F.lit(k))
     try_num = lambda k: get(k).try_cast("double")
@@ -81,6 +84,7 @@ def load_project(spark: SparkSession, folder: str, views: bool = True) -> dict[s
         "gages": own["gage"].where("kind = 'Gage'").select("file", F.col("name").alias("gage"), get("Gage Type").alias("gage_type"), get("Filename").alias("dss_file"), get("Pathname").alias("path")),
         "tables": own["pdata"].where("kind = 'Table'").select("file", F.col("name").alias("table"), get("Table Type").alias("table_type"), get("DSS File").alias("dss_file"), get("Pathname").alias("path")),
     }
+    out["grids"] = sqlite_files(spark, folder)
     if views:
         for name, df in out.items():
             df.createOrReplaceTempView(name)
@@ -105,6 +109,31 @@ def temporal_distributions(files: DataFrame) -> DataFrame:
     return data.select("file", "quartile", F.col("_c")[0].alias("hours"), F.posexplode(F.slice("_c", F.lit(2), F.size("_c") - 1)).alias("_p", "cum_pct"), "_h").select("file", "quartile", "hours", F.trim(F.get("_h", F.col("_p") + 1)).alias("probability"), "cum_pct").where("probability is not null")
 
 
+def paired_distributions(rows: DataFrame, region: str, hours: int) -> DataFrame:
+    """paired(path, ord, x, y) of temporal_distributions rows, as sinks.write_paired takes it: hours against fractions."""
+    named = F.regexp_replace(F.upper("quartile"), " ", "-")
+    path = F.concat(F.lit(f"//{region}/"), named, F.lit(f"/{hours}HR//"), "probability", F.lit("/"))
+    place = F.row_number().over(W.partitionBy("file", "quartile", "probability").orderBy("hours")) - 1
+    return rows.select(path.alias("path"), place.alias("ord"), F.col("hours").alias("x"), (F.col("cum_pct") / 100).alias("y"))
+
+
+def epsg(wkt: Column) -> Column:
+    """The EPSG code that a coordinate system's text ends with; null without one."""
+    return F.nullif(F.regexp_extract(wkt, r'AUTHORITY\["EPSG",\s*"(\d+)"\]\s*\]?\s*$', 1), F.lit("")).try_cast("int")
+
+
+def project_crs(spark: SparkSession, folder: str) -> DataFrame:
+    """(rank, file, wkt, epsg): coordinate systems of a project folder in order of trust, rank 1 first: its SQLite grids,
+    then .prj files. A project without either gives no rows."""
+    from .tables import read_layer, sqlite_files
+
+    found = read_files(spark, folder, "*.prj").select(F.lit(1).alias("k"), "file", F.trim("content").alias("wkt"))
+    for path in (r.file for r in sqlite_files(spark, folder).collect()):  # the grids of one project
+        own = read_layer(spark, path, "spatial_ref_sys").select(F.lit(0).alias("k"), F.lit(path).alias("file"), F.trim(F.get_json_object("row", "$.srtext")).alias("wkt"))
+        found = found.union(own)
+    return found.where("wkt <> ''").select(F.row_number().over(W.orderBy("k", "file", "wkt")).alias("rank"), "file", "wkt", epsg(F.col("wkt")).alias("epsg"))
+
+
 def point_frequencies(files: DataFrame) -> DataFrame:
     """(file, duration_row, ari_col, depth) of a response with the assignment quantiles = [[...], ...]."""
     raw = F.regexp_replace(F.regexp_extract("content", r"(?s)quantiles\s*=\s*(\[\[.*?\]\])\s*;", 1), "'", '"')

@@ -442,3 +442,46 @@ def test_digest_does_not_depend_on_order(spark):
     one = sorted(map(tuple, checks.content_digest(df, ["g"], ["v"]).collect()))
     two = sorted(map(tuple, checks.content_digest(df.orderBy(df.v.desc()).repartition(7), ["g"], ["v"]).collect()))
     assert one == two and one != sorted(map(tuple, checks.content_digest(df.where("v <> 3"), ["g"], ["v"]).collect()))
+
+
+def test_project_grids_and_coordinate_systems(spark, tmp_path):
+    from freshet.sources import tables, text
+
+    wkt = 'PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4269"]],AUTHORITY["EPSG","{}"]]'
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "a.prj").write_text(wkt.format(5070))
+    (tmp_path / "p.hms").write_text("Project: p\nEnd:\n")
+    con = sqlite3.connect(tmp_path / "grid.sqlite")
+    con.execute("create table spatial_ref_sys (srid int, srtext text)")
+    con.execute("insert into spatial_ref_sys values (1, ?)", (wkt.format(2278),))
+    con.commit()
+    con.close()
+    assert [(r.rank, r.epsg) for r in text.project_crs(spark, str(tmp_path)).orderBy("rank").collect()] == [(1, 2278), (2, 5070)]
+    assert [r.file for r in tables.sqlite_files(spark, str(tmp_path)).collect()] == [str(tmp_path / "grid.sqlite")]
+    assert text.load_project(spark, str(tmp_path), views=False)["grids"].count() == 1
+
+
+def test_landed_results(spark, tmp_path):
+    from freshet.sources import tables
+
+    spark.sql("select 'a' as element, 'excess' as variable, timestamp_ntz'2024-01-01 00:00:00' as ts, 1d as value, 2 as other union all select 'b', 'precip', timestamp_ntz'2024-01-01 00:00:00', 3d, 4").write.parquet(f"{tmp_path}/results")
+    assert [r.element for r in tables.read_results(spark, str(tmp_path), ["excess"]).collect()] == ["a"]
+    assert tables.read_results(spark, str(tmp_path), elements=["a", "b"]).columns == ["element", "variable", "ts", "value"]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from freshet.sources import sinks, tables
+
+    df = spark.createDataFrame([(1, "x, y"), (2, None)], "a int, b string")
+    sinks.write_csv(df, f"{tmp_path}/c")
+    assert sorted(map(tuple, sinks.read_csv(spark, f"{tmp_path}/c", "a int, b string").collect())) == [(1, "x, y"), (2, None)]
+    df.write.parquet(f"{tmp_path}/catalog")
+    assert tables.read_catalog(spark, str(tmp_path)).count() == 2
+
+
+def test_format_date(spark):
+    from freshet.functions import units
+
+    df = spark.sql("select timestamp_ntz'2024-03-05 06:07:00' as t union all select timestamp_ntz'2024-12-31 00:00:00'")
+    shown = [tuple(r) for r in df.select("t", units.format_date(df.t).alias("s")).collect()]
+    assert len({s for _, s in shown}) == 2 and all(str(t.year) in s for t, s in shown)
