@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LINKED = ("Subbasin", "Junction", "Reach", "Diversion")
 DIVERTING = "Diversion"
 MERGE = 16
+FRONTIER = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,17 +36,19 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
     """(target, node): every node upstream of each target, found by breadth-first rounds; cycles end and a chain longer
     than ``max_depth`` raises.
 
-    Each round joins the newest nodes only and drops those already found, so diamonds are walked once. A round writes
-    its new nodes; what was found before is rewritten once in ``MERGE`` rounds, to keep the plan short.
+    Each round joins the newest nodes only and drops those already found, so diamonds are walked once. While they are at
+    most ``FRONTIER`` rows they are broadcast, and the edges stay where they are; more are joined through a shuffle. A round
+    writes its new nodes; what was found before is rewritten once in ``MERGE`` rounds, to keep the plan short.
     """
     e = checkpointed(edge.select("src", "dst").distinct())
     new = checkpointed(targets.groupBy("target").agg(F.min("target").alias("node")))  # an alias would be carried on as a constraint by every round
-    parts = [new]
+    parts, n = [new], new.count()
     for _ in range(max_depth + 1):
         seen = reduce(DataFrame.union, parts)
-        step = new.join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
+        step = (F.broadcast(new) if n <= FRONTIER else new).join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
         new = checkpointed(step.join(seen, ["target", "node"], "left_anti"))
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             return seen
         parts = [checkpointed(seen), new] if len(parts) >= MERGE else [*parts, new]
     raise RuntimeError(f"closure is not complete after {max_depth} rounds")

@@ -86,8 +86,16 @@ def shapes_geojson(vertices: DataFrame, keys: list[str], closed: bool) -> DataFr
     return g.select(feature("Polygon" if closed else "LineString", coords, F.struct(*keys)).alias("feature"))
 
 
-def collection(features: DataFrame) -> DataFrame:
-    """All features as one document; for layers that a reader opens whole."""
+def write_features(features: DataFrame, path: str) -> None:
+    """One feature a line, for layers of any size."""
+    features.select("feature").write.mode("overwrite").text(path)
+
+
+def collection(features: DataFrame, limit: int = 100_000) -> DataFrame:
+    """All features as one document, for layers that a reader opens whole; a layer of more than ``limit`` is refused, see
+    write_features."""
+    if features.limit(limit + 1).count() > limit:
+        raise Rejected(f"more than {limit} features for one document")
     return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("feature")), ","), F.lit("]}")).alias("content"))
 
 

@@ -485,3 +485,13 @@ def test_format_date(spark):
     df = spark.sql("select timestamp_ntz'2024-03-05 06:07:00' as t union all select timestamp_ntz'2024-12-31 00:00:00'")
     shown = [tuple(r) for r in df.select("t", units.format_date(df.t).alias("s")).collect()]
     assert len({s for _, s in shown}) == 2 and all(str(t.year) in s for t, s in shown)
+
+
+def test_features_by_line_and_refused_collections(spark, tmp_path):
+    from freshet.sources import sinks
+
+    f = sinks.points_geojson(spark.createDataFrame([(1.0, 2.0, "a"), (3.0, 4.0, "b")], "x double, y double, k string"), ["k"])
+    sinks.write_features(f, f"{tmp_path}/f")
+    assert sorted(json.loads(r.value)["properties"]["k"] for r in spark.read.text(f"{tmp_path}/f").collect()) == ["a", "b"]
+    with pytest.raises(sinks.Rejected):
+        sinks.collection(f, limit=1)
