@@ -307,6 +307,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs, all their columns, without contaminated documents."""
+    """Rows of docs, all their columns, without contaminated documents.
+
+    Null and empty texts stay; rows that repeat an id go or stay by their own text, a null id too.
+    """
     hit = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id", "text_hash")
     return common.anti_join(docs, hit, ["doc_id", common.unicode_hash()])

@@ -245,7 +245,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], cou
     bucket's probability times its share n / (N + 1) of the bucket's N counted words; the share that is left, 1 / (N + 1),
     is for words that the corpus lacks. The scan gives one row per Arrow batch of texts with its distinct bucket words and
     the texts they stand in; only these words meet the counts, and their logarithms go back to their batch.
-    Null and empty texts have no tokens, a sum of 0 and a null mean.
+    Null and empty texts have no tokens, a sum of 0 and a null mean. Rows are scored as they come: repeated texts alike,
+    null ids too.
     """
     flat, vocabulary, rank = model
     counts = common.checkpoint(vocabulary_counts(docs)) if counts is None else counts

@@ -736,6 +736,15 @@ def test_stage_edges(spark, k):
         assert out.columns == d.columns and out.count() <= d.count()
 
 
+def test_last_stage_edges(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in edge_rows()], DOC)
+    out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert {r.doc_id for r in out.collect()} == {i for i, _ in edge_rows()}
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
+
+
 WORKING = "text_hash rules spans component_id score node bits size h window row id hash asked k0 x0 key word places shard batch_id piece n_tokens tokens".split()
 
 
