@@ -101,7 +101,8 @@ def _repeated(batches):
 
 
 def _cut(shards: int):
-    """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the places (int32) in a document.
+    """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the places in a document, as runs (first
+    and last, int32) of places no more than WINDOW apart.
 
     A segment has at most WINDOW - GRAM + 1 windows, so its first and last window cover it and their hashes name it.
     At a hot anchor (more than one split) a segment is cut into its windows, each dealt to a shard by its own hash; the
@@ -146,9 +147,13 @@ def _cut(shards: int):
                 order = np.lexsort((lo, text, key))
                 key, doc, spot, splits, text, lo, hi = (v[order] for v in (key, doc, spot, splits, text, lo, hi))
                 fresh = np.concatenate(([True], key[1:] != key[:-1]))
-                own = np.flatnonzero(fresh | np.concatenate(([True], text[1:] != text[:-1])))
-                starts = (lo - first[text]).astype(np.int32).tobytes()
-                places = [starts[4 * x : 4 * y] for x, y in zip(own.tolist(), [*own[1:].tolist(), len(key)])]
+                each = fresh | np.concatenate(([True], text[1:] != text[:-1]))
+                own = np.flatnonzero(each)
+                run = np.flatnonzero(each | np.concatenate(([True], np.diff(lo) > WINDOW)))  # what nearer places remove is one piece
+                ends = np.append(run[1:], len(key)) - 1
+                pairs = np.stack([lo[run] - first[text[run]], lo[ends] - first[text[run]]], 1).astype(np.int32).tobytes()
+                at = np.append(np.searchsorted(run, own), len(run)).tolist()
+                places = [pairs[8 * x : 8 * y] for x, y in zip(at, at[1:])]
                 split = common.mix(doc[own].astype(np.int64).view(U64)) % splits[own].astype(U64)
                 yield _rows(_shard(spot[own], split, shards), np.ones(len(own), np.int32), key[own], doc[own], hashes[i + text[own]], places)
                 fresh = np.flatnonzero(fresh)
@@ -313,9 +318,9 @@ def _search(batches):
             q = np.flatnonzero(hi >= 0)
             if len(q):
                 places = b.column(5).slice(x, y - x).take(pa.array(q)).to_pylist()
-                n = np.array([len(v) // 4 for v in places])
-                start = np.frombuffer(b"".join(places), np.int32).astype(np.int64)
-                out.append((np.repeat(doc[x:y][q], n), np.repeat(text_hash[x:y][q], n), start + np.repeat(lo[q], n), start + np.repeat(hi[q] + WINDOW, n)))
+                n = np.array([len(v) // 8 for v in places])
+                ends = np.frombuffer(b"".join(places), np.int32).astype(np.int64).reshape(-1, 2)
+                out.append((np.repeat(doc[x:y][q], n), np.repeat(text_hash[x:y][q], n), ends[:, 0] + np.repeat(lo[q], n), ends[:, 1] + np.repeat(hi[q] + WINDOW, n)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(4)], names=["doc_id", "text_hash", "start", "end"])
 
