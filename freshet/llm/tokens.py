@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,9 @@ def parts_of(text: str, size: int = PART):
     yield text[at:]
 
 
+@lru_cache(1)
 def _encoder(vocabulary: str):
+    """Encoder of a vocabulary, made once in a worker; its file is only read here."""
     import tiktoken
 
     with open(vocabulary, "rb") as f:
@@ -62,10 +64,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text",
 
     def run(batches):
         encode = _encoder(vocabulary)
-        last = end
-        if last is None:
-            with open(vocabulary, "rb") as f:
-                last = 1 + max(int(line.split()[1]) for line in f)
+        last = end if end is not None else encode.__self__.n_vocab
         for b in batches:
             ids, cuts, values, held = b.column(0), [0], [], 0
 
