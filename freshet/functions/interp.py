@@ -33,13 +33,14 @@ def interpolate(points: DataFrame, knots: DataFrame, curve: str, x: str = "x", y
         points = same(points).withColumn("_share", F.pmod(F.xxhash64(*points.columns), n).cast("int")).drop("_n")
         knots = same(knots).withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
     back = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(curve, "_share").orderBy("_x", "_kind").rowsBetween(W.currentRow, W.unboundedFollowing)
+    # downwards: a frame to the end of the partition would be read anew for every row
+    ahead = W.partitionBy(curve, "_share").orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
     here = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))
     knot = F.when(F.col("_kind") == 0, here)
     rows = points.withColumn("_x", F.col(x).cast("double")).withColumn("_kind", F.lit(1)).withColumn("_y", F.lit(None).cast("double"))
     known = knots.select(F.col(curve), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(0).alias("_kind"), "_share")
     both = rows.unionByName(known, allowMissingColumns=True)
-    both = both.withColumn("_lo", F.last(knot, True).over(back)).withColumn("_hi", F.first(knot, True).over(ahead)).where("_kind = 1")
+    both = both.withColumn("_lo", F.last(knot, True).over(back)).withColumn("_hi", F.last(knot, True).over(ahead)).where("_kind = 1")
     return both.withColumn(out, between(F.col("_x"), F.col("_lo"), F.col("_hi"), scale)).drop("_x", "_y", "_kind", "_share", "_lo", "_hi")
 
 
