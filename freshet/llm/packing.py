@@ -59,9 +59,9 @@ def pack(encoded: DataFrame, context: int = 2048, buckets: int = 16, budget: int
     ``per_shard`` pieces by a hash of the piece, so a bucket with most rows is never ranked in one task; each shard leaves
     one short batch at most. Slots follow doc_id, piece and tokens; rows equal in all three are interchangeable. Null ids
     and repeated rows are kept as they are; null or empty token lists give no piece, an empty table no rows.
-    The encoded documents are written once, in the checkpoint folder, and read twice: for their lengths, then for the pieces.
+    The encoded documents are written once, as Parquet in the checkpoint folder, and read twice: for their lengths, then for the pieces.
     """
-    encoded = common.checkpoint(encoded.select("doc_id", "token_ids"))
+    encoded = common.stored(encoded.select("doc_id", "token_ids"))
     hist = histogram(encoded.select(F.size("token_ids").alias("n_tokens")), context)
     lengths = np.array(sorted(hist), np.int64)
     counts = np.array([hist[x] for x in lengths.tolist()], np.int64)
