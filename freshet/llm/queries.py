@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, lm, media, packing, pipeline, quality, secrets, substrings, tokens, urls
+from . import decontam, fingerprint, jaccard, lm, media, negatives, packing, periodic, pipeline, quality, secrets, substrings, tokens, urls
 
 
 def queries() -> dict:
@@ -17,9 +17,20 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_substring_dedup": substrings.query,
         "op10_decontamination": decontam.query,
+        "op11_hard_negatives": negatives.query,
+        "op12_periodic_runs": periodic.query,
+        "op13_fingerprints": fingerprint.query,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard.ORACLE, "op2_media_columns": media.ORACLE, "op5_secrets": secrets.ORACLE, "op9_substring_dedup": substrings.ORACLE}
+    return {
+        "op1_ngram_jaccard": jaccard.ORACLE,
+        "op2_media_columns": media.ORACLE,
+        "op5_secrets": secrets.ORACLE,
+        "op9_substring_dedup": substrings.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
+        "op12_periodic_runs": periodic.ORACLE,
+        "op13_fingerprints": fingerprint.ORACLE,
+    }
