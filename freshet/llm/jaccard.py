@@ -386,11 +386,40 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id for every row: documents linked at Jaccard similarity num/den or more.
 
     Words are split at ASCII white space and A-Z lower-cased; a text shorter than ``words`` is one shingle.
-    Without words n_shingles is 0 and the component the document itself. Rows that share an id are one node;
-    a null id has no component. Equal sets are linked at once and count as one set from there on. Blocks and candidate
-    clusters beyond ``CHUNK_DOCS`` sets or ``CHUNK_SHINGLES`` shingles are split into chunks (see _components), so no group
-    has to fit in a task and no link is lost.
+    Without words n_shingles is 0 and the component the document itself. Rows that share an id are one node, which has the
+    links of all its texts; a null id has no component. Equal sets are linked at once and count as one set from there on.
+    Blocks and candidate clusters beyond ``CHUNK_DOCS`` sets or ``CHUNK_SHINGLES`` shingles are split into chunks (see
+    _components), so no group has to fit in a task and no link is lost.
     """
+    repeated = common.checkpoint(_repeated(docs))
+    if repeated.isEmpty():
+        return _groups(docs, words, num, den)
+    single, again = _numbered(docs.select("doc_id", "text"), repeated)
+    again = again.select(F.col("node").alias("doc_id"), "row.text", F.col("row.doc_id").alias("id"))
+    found = _groups(single.union(again.drop("id")), words, num, den).join(again.select("doc_id", "id"), "doc_id", "left").withColumn("id", F.coalesce("id", "doc_id"))
+    found = common.checkpoint(found.select("id", "n_shingles", F.col("component_id").alias("group")))
+    held = found.where("id is not null")
+    ties = held.join(held.groupBy("group").agg(F.min("id").alias("dst")), "group").select(F.col("id").alias("src"), "dst").distinct()
+    joined = common.connected_components(ties).withColumnRenamed("node", "id")
+    return found.join(joined, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The ids, nulls apart, that several rows have."""
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+
+
+def _numbered(docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id does not repeat, and (row, node) for the others: each as a struct with a number beyond all ids."""
+    single = common.anti_join(docs, repeated, ["doc_id"])
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    start = high + 1 if high < 1 << 62 else low - (1 << 61)
+    held = docs.select(F.struct("*").alias("row")).join(repeated, F.col("row.doc_id") == F.col("doc_id"), "left_semi")
+    return single, common.checkpoint(held.select("row", (F.lit(start) + F.monotonically_increasing_id()).alias("node")))
+
+
+def _groups(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """similar_groups for ids that do not repeat, nulls apart."""
     if 4 * num < 3 * den:
         raise ValueError("the level scheme holds for thresholds of 0.75 or more")
     own = common.checkpoint(_digests(docs, words))
@@ -421,8 +450,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
     joined = _components(nodes.select("component", "node", "size"), "component", verified).withColumnRenamed("node", "rep")
     labels = classes.join(joined, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    same_id = own.where("doc_id is not null").drop("bits")
-    out = same_id.join(labels, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = own.where("doc_id is not null").drop("bits").join(labels, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.union(own.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
 
 
@@ -431,12 +459,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of docs, all their columns: of each group of near duplicates the row of smallest doc_id stays.
+    """Rows of docs, all their columns: of each group of near duplicates one row stays, that of smallest doc_id.
 
-    Rows without words stay, and of rows that repeat the same id one; a null id stays.
+    Rows are judged one by one by their own text, whatever others have the same id: rows whose id repeats count as later than
+    all others, in no order of their own, so each group keeps exactly one row and none is lost. Of equal rows one stays.
+    Rows without words stay, and so do rows with a null id.
     """
-    groups = similar_groups(docs, words, num, den)
-    return common.anti_join(docs, groups.where("component_id <> doc_id").select("doc_id"), ["doc_id"])
+    repeated = common.checkpoint(_repeated(docs))
+    if repeated.isEmpty():
+        groups = _groups(docs, words, num, den)
+        return common.anti_join(docs, groups.where("component_id <> doc_id").select("doc_id"), ["doc_id"])
+    single, again = _numbered(docs, repeated)
+    every = single.select("doc_id", "text").union(again.select(F.col("node").alias("doc_id"), "row.text"))
+    gone = common.checkpoint(_groups(every, words, num, den).where("component_id <> doc_id").select("doc_id"))
+    return common.anti_join(single, gone, ["doc_id"]).unionByName(common.anti_join(again, gone, ["node"]).select("row.*"))
 
 
 ORACLE = r"""

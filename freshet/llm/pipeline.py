@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked on five-word shingles at a similarity of 0.8 or more; texts without words stay,
-    and of rows that repeat an id one."""
+    """One document of each group linked on five-word shingles at a similarity of 0.8 or more; texts without words stay.
+    Rows that repeat an id are judged by their own texts."""
     common.bound_batches(spark)
     return jaccard.keep_one(docs)
 

@@ -36,14 +36,44 @@ def parts_of(text: str, size: int = PART):
     yield text[at:]
 
 
-@lru_cache(1)
-def _encoder(vocabulary: str):
-    """Encoder of a vocabulary, made once in a worker; its file is only read here."""
-    import tiktoken
+LONG_RUN = 1 << 16
+# White space as the pattern understands it; the pattern takes a run of it whole, but for the last character before a word.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+class Encoder:
+    """Token ids of texts of any kind and length, by a vocabulary file that is only read here.
+
+    Matching the pattern needs stack for each character of a run of white space, so a run of ``LONG_RUN`` or more goes to the
+    vocabulary's merges by itself, as the one piece that the pattern would make of it.
+    """
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def __init__(self, vocabulary: str):
+        import tiktoken
+
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        by = lambda pattern: tiktoken.Encoding(os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern, self.piece = by(PATTERN), by("(?s:.+)")
+        self.size = self.pattern.n_vocab
+
+    def parts(self, text: str):
+        """The ids of the whole text, in lists of which each holds about a part of ``PART`` characters or one long run."""
+        at = 0
+        for run in _LONG_RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            if run.start() > at:
+                yield from map(self.pattern.encode_ordinary, parts_of(text[at : run.start()]))
+            yield self.piece.encode_ordinary(text[run.start() : end])
+            at = end
+        if at < len(text):
+            yield from map(self.pattern.encode_ordinary, parts_of(text[at:] if at else text))
+
+
+@lru_cache(1)
+def _encoder(vocabulary: str) -> Encoder:
+    """Made once in a worker."""
+    return Encoder(vocabulary)
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text") -> DataFrame:
@@ -52,7 +82,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, column: str =
     def run(batches):
         encode = _encoder(vocabulary)
         for b in batches:
-            n = [sum(len(encode(x)) for x in parts_of(v)) if v else 0 for v in (v.as_py() for v in b.column(1))]
+            n = [sum(map(len, encode.parts(v))) if v else 0 for v in (v.as_py() for v in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
@@ -64,7 +94,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text",
 
     def run(batches):
         encode = _encoder(vocabulary)
-        last = end if end is not None else encode.__self__.n_vocab
+        last = end if end is not None else encode.size
         for b in batches:
             ids, cuts, values, held = b.column(0), [0], [], 0
 
@@ -74,8 +104,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, column: str = "text",
 
             first = 0
             for k, v in enumerate(b.column(1)):
-                for x in parts_of(v.as_py() or ""):
-                    values.append(np.array(encode(x), np.int32))
+                for x in encode.parts(v.as_py() or ""):
+                    values.append(np.array(x, np.int32))
                     held += len(values[-1])
                 values.append(np.array([last], np.int32))
                 held += 1

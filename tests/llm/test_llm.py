@@ -190,7 +190,7 @@ def test_boundaries_are_optimal():
 
 def test_packing_keeps_every_token(spark):
     rows = [r for r in edge_rows()] + [tuple(r) for r in documents(spark).select("doc_id", "text").collect()]
-    encode, end = tokens._encoder(tokens.VOCABULARY), 50256
+    encode, end = tokens._encoder(tokens.VOCABULARY).pattern.encode_ordinary, 50256
     got = packing.pack(tokens.encoded(table(spark, rows)), context=256, buckets=5, budget=1024, per_shard=20).collect()
     own = defaultdict(list)
     for r in got:
@@ -222,7 +222,7 @@ def test_packing_keeps_every_token(spark):
 
 def test_parts_encode_as_the_whole():
     rng = random.Random(4)
-    encode = tokens._encoder(tokens.VOCABULARY)
+    encode = tokens._encoder(tokens.VOCABULARY).pattern.encode_ordinary
     for _ in range(40):
         text = "".join(rng.choice(["the", " a", "  ", "\n", " é", "9", " 9", "'s", "!", " !", "_x", " _x", "你好", " 你", "\t", "Word "]) for _ in range(rng.randint(0, 300)))
         for size in (1, 7, 50):
