@@ -35,7 +35,7 @@ _POW = np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, U64))
 
 def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE):
     """Yield (first row, last row, bytes, offsets) for runs of rows of about ``limit`` bytes; null is empty text."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = batch.column([n.lower() for n in batch.schema.names].index(column))  # Spark's names do not mind case
     col = col.cast(pa.large_binary()) if col.null_count == 0 else pa.array([x or b"" for x in col.cast(pa.large_binary()).to_pylist()], pa.large_binary())
     n = len(col)
     if not n:

@@ -25,7 +25,7 @@ RUN = 13
 WINDOW_BITS = 1 << 26
 WORD_BITS = 1 << 22
 
-# Number words and unit words, English, German, French and Spanish.
+# Number words, unit words and pronouns of one person, English, German, French and Spanish.
 NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen "
     "eins zwei drei vier sechs sieben acht neun zehn elf zwölf zwanzig dreißig hundert tausend deux trois quatre cinq huit neuf dix onze douze vingt trente cent mille uno dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cien mil"
@@ -36,7 +36,9 @@ UNIT_WORDS = (
     "stunden minuten sekunden tage wochen jahre heures secondes jours semaines ans horas minutos segundos semanas años"
 ).split()
 
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+PRONOUNS = "he she him her his hers himself herself il elle lui él ella er sie ihm ihr ihn sein seine seinen seinem seiner ihre ihren ihrem ihrer".split()
+
+LITERAL, NUMBER, NAME, UNIT, PRONOUN = 0, 1, 2, 3, 4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -123,7 +125,8 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
 
 _NUMBERS = _hash_list(NUMBER_WORDS)
 _UNITS = _hash_list(UNIT_WORDS)
-_PLACE = common.mix(np.arange(1, 5, dtype=U64))
+_PRONOUNS = _hash_list(PRONOUNS)
+_PLACE = common.mix(np.arange(1, 6, dtype=U64))
 
 
 def readings(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> list[tuple]:
@@ -131,7 +134,8 @@ def readings(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = N
     names and units, the place being the token's number in its text.
 
     A name is a title-case token; a number and a unit are digits or words of the lists, a unit
-    right after a number (or up to three letters joined to its digits). Title case at the start of a text or sentence is an
+    right after a number (or up to three letters joined to its digits). A pronoun of one person is a slot too, also in title case: it goes
+    with the name it stands for. Title case at the start of a text or sentence is an
     ordinary word in the first reading and, unless its word is among ``known`` (a bit set), a name in the second. There, also,
     names next to each other, by one space or hyphen, are one, and a number word goes with the number before it.
     """
@@ -144,12 +148,13 @@ def readings(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = N
     joined = np.zeros(len(h), bool)
     joined[1:] = after[1:] & (s[1:] == e[:-1]) & (e[1:] - s[1:] <= 3)
     unit = after & ~number & (joined | np.isin(h, _UNITS))
+    pronoun = np.isin(h, _PRONOUNS)
     near = np.zeros(len(h), bool)
     near[1:] = (s[1:] - e[:-1] == 1) & ((data[e[:-1]] == 32) | (data[e[:-1]] == 45)) if len(h) else False
     near[first[:-1][first[:-1] < len(h)]] = False
     for both in (False, True):
         name = title & ~begins if not both else title & ~(begins & has(known, h)) if known is not None else title
-        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.int8)
+        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(pronoun, PRONOUN, np.where(name, NAME, LITERAL)))).astype(np.int8)
         if not len(h):
             out.append((h, kind, s, e, first, h, s))
             continue
@@ -220,7 +225,7 @@ def _windows(docs: DataFrame, key: str, wanted: tuple | None, known: tuple, size
                 read = readings(data, offsets, words_known)
                 was = _kinds_by_token(read[0], len(data))
                 for second, (t, kind, s, e, first, words, place) in enumerate(read):
-                    plain = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+                    plain = np.concatenate(([0], np.cumsum((kind == LITERAL) | (kind == PRONOUN))))
                     new = np.concatenate(([0], np.cumsum((was[s] != kind) | (np.diff(place, append=0) > 1)))) if second else None
                     lens = np.diff(first)
                     narrow = [(w, also) for w in (range(1, size) if short is None else short) for also in (False, True)]
@@ -264,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     A pair counts when windows that are equal word for word, or consistent, cover at least ``coverage`` of the item's
     windows, or when windows equal word for word stand for a passage of ``run`` tokens; kind is 'verbatim' or
     're-parameterised' (some window differs in its slots). In a consistent window each item value stands for the same document value in
-    all windows of its alignment. Of the windows that are templates alone, the same coverage is enough: a copy with other
+    all windows of its alignment, pronouns apart. Of the windows that are templates alone, the same coverage is enough: a copy with other
     values cannot meet the exact ones. An item with fewer than ``size`` tokens is looked up whole, wherever it stands in
     a document.
     A bit set of fixed size of the item windows travels to the document scan, so few windows but those that meet are
@@ -283,7 +288,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     zipped = F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("i"))
     # windows that equal the item's word for word are evidence whatever the other windows hold
     met = met.withColumn("changed", (F.col("slots") != F.col("item_slots")).cast("int"))
-    slots = met.select(*pair, F.explode(zipped).alias("z")).groupBy(*pair, F.col("z.i").alias("i")).agg(F.min("z.d").alias("lo"), F.max("z.d").alias("hi"))
+    # a pronoun follows its name, whose slots are compared: one form of it may stand for several
+    named = F.filter(zipped, lambda z: ~z["i"].startswith(f"{PRONOUN}:"))
+    slots = met.select(*pair, F.explode(named).alias("z")).groupBy(*pair, F.col("z.i").alias("i")).agg(F.min("z.d").alias("lo"), F.max("z.d").alias("hi"))
     torn = slots.where("lo <> hi").groupBy(*pair).agg(F.collect_set("i").alias("torn"))
     torn = torn.select(*[F.col(c).alias(f"_{c}") for c in pair], "torn")
     on = F.lit(True)

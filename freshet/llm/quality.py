@@ -66,15 +66,17 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calibration_docs: int = 2000, dictionary_blocks: int = 16_384) -> dict:
+def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calibration_docs: int = 2000) -> dict:
     """Dictionaries and calibration from ``labels(doc_id, quality)`` joined to ``docs``.
 
-    The sample is bounded: for each class, the ``dictionary_docs`` labelled ids of smallest hash build the dictionary, from
-    all their blocks or, with more than ``dictionary_blocks`` of them, those of smallest hash; the next
-    ``calibration_docs`` give two figures each, from whole texts. Calibration weights restore the classes' shares among all labels. With one class or none,
-    every score is the share of label 1 (0.5 without labels). Null ids and labels are left out.
+    The sample of labelled rows is bounded by two parameters: for each class, the ``dictionary_docs`` labelled ids of smallest
+    hash build the dictionary from all blocks of their whole texts; the next ``calibration_docs`` give two figures each,
+    from whole texts. Calibration weights restore the classes' shares among all labels. An id that is labelled both 0
+    and 1 says nothing and is left out, as null ids and labels are; repeated labels count once. With one class or none, every
+    score is the share of label 1 (0.5 without labels).
     """
-    lab = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()
+    lab = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    lab = lab.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
     model = {"good": b"", "bad": b"", "beta": None, "share": counts.get(1, 0) / sum(counts.values()) if counts else 0.5}
     if len(counts) < 2:
@@ -97,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, dictionary_docs: int = 1000, calib
 
     blocks = chosen.where("builds").select("doc_id", "text", "quality").mapInArrow(pieces, "quality int, piece binary")
     for q, name in ((0, "bad"), (1, "good")):
-        own = sorted(bytes(r[0]) for r in blocks.where(F.col("quality") == q).orderBy(F.xxhash64("piece"), "piece").limit(dictionary_blocks).select("piece").collect())
+        own = sorted(bytes(r[0]) for r in blocks.where(F.col("quality") == q).select("piece").collect())
         try:
             model[name] = zstandard.train_dictionary(DICTIONARY_BYTES, own).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too little text for the trainer: the text itself is the dictionary

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import U64
+from .decontam import bit_set, dense, has
 
 WINDOW = 13
 GRAM = 4
 DEPTH = 16
 SHARD_WORDS = 100_000
 HOT = 20_000
+BITS = 1 << 24
 
 
 def _segments(h: np.ndarray, first: np.ndarray):
@@ -100,50 +102,82 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.bool_())], names=["doc_id", "text_hash", "anchor", "copied"])
 
 
-def _cut(shards: int):
+def _marked(b, i: int, first: np.ndarray, text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """For each segment of the texts from row i on, how many splits its anchor has; 0 without a mark on its text."""
+    marks, cuts = np.asarray(b.column(3).values).view(U64), np.asarray(b.column(3).offsets)
+    hot, hot_cuts = b.column(4).values, np.asarray(b.column(4).offsets)
+    hot_marks, hot_splits = np.asarray(hot.field(0)).view(U64), np.asarray(hot.field(1))
+    splits = np.zeros(len(text), np.int64)
+    edges = np.searchsorted(text, np.arange(len(first)))
+    for k in range(len(first) - 1):
+        x, y = edges[k], edges[k + 1]
+        if y > x:
+            splits[x:y] = np.isin(anchor[x:y], marks[cuts[i + k] : cuts[i + k + 1]])
+            for q in range(hot_cuts[i + k], hot_cuts[i + k + 1]):
+                splits[x:y][anchor[x:y] == hot_marks[q]] = hot_splits[q]
+    return splits
+
+
+def _names(whole: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Keys of segments by the hashes of their first and last window and their number of windows."""
+    return common.mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] + (hi - lo).astype(U64)).view(np.int64)
+
+
+def _hot_windows(batches):
+    """Keys of the single windows at hot anchors, once for each text."""
+    for b in batches:
+        for i, _, data, offsets in common.text_blocks(b):
+            h, _, _, first = common.hash_words(data, offsets)
+            text, lo, hi, anchor = _segments(h, first)
+            held = _marked(b, i, first, text, anchor) > 1
+            text, lo, hi = text[held], lo[held], hi[held]
+            n = hi - lo + 1
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(np.stack((np.repeat(text, n), _names(common.grams(h, WINDOW), at, at)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1])], names=["h"])
+
+
+def _cut(shards: int, repeated: tuple, frequent: tuple):
     """Segments at the marked anchors: kind 0 has the words, for the index, kind 1 the places in a document, as runs (first
     and last, int32) of places no more than WINDOW apart.
 
     A segment has at most WINDOW - GRAM + 1 windows, so its first and last window cover it and their hashes name it.
-    At a hot anchor (more than one split) a segment is cut into its windows, each dealt to a shard by its own hash; the
-    places go to one of the splits by their document, the words to every one, so neither many different segments nor many
-    places of one passage meet in one task.
+    At a hot anchor (more than one split) a segment is cut into its windows, each dealt to the one shard of its own hash, words
+    and places; windows that no other text has stay behind. Only a window that is hot itself is split: its places by their
+    document, its words to every split. ``repeated`` and ``frequent`` are bit sets of fixed size over the windows at hot
+    anchors that several texts, or more than HOT, have; where one says so wrongly, more rows travel and nothing else changes.
     Equal segments go to the index once a task (again only for a smaller document), as far as a bounded table goes.
     """
 
     def run(batches):
+        several, often = dense(repeated, BITS), dense(frequent, BITS)
         lowest: dict[int, int] = {}
         for b in batches:
             ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(2))
-            marks, cuts = np.asarray(b.column(3).values).view(U64), np.asarray(b.column(3).offsets)
-            hot, hot_cuts = b.column(4).values, np.asarray(b.column(4).offsets)
-            hot_marks, hot_splits = np.asarray(hot.field(0)).view(U64), np.asarray(hot.field(1))
             for i, _, data, offsets in common.text_blocks(b):
                 h, s, e, first = common.hash_words(data, offsets)
                 text, lo, hi, anchor = _segments(h, first)
-                splits = np.zeros(len(text), np.int64)
-                edges = np.searchsorted(text, np.arange(len(offsets)))
-                for k in range(len(offsets) - 1):
-                    x, y = edges[k], edges[k + 1]
-                    if y > x:
-                        splits[x:y] = np.isin(anchor[x:y], marks[cuts[i + k] : cuts[i + k + 1]])
-                        for q in range(hot_cuts[i + k], hot_cuts[i + k + 1]):
-                            splits[x:y][anchor[x:y] == hot_marks[q]] = hot_splits[q]
+                splits = _marked(b, i, first, text, anchor)
                 held = splits > 0
                 text, lo, hi, anchor, splits = text[held], lo[held], hi[held], anchor[held], splits[held]
                 if not len(text):
                     continue
-                n = np.where(splits > 1, hi - lo + 1, 1)
-                if (n > 1).any():
+                alone = splits > 1
+                n = np.where(alone, hi - lo + 1, 1)
+                if alone.any():
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    hot = np.repeat(splits > 1, n)
-                    text, anchor, splits = np.repeat(text, n), np.repeat(anchor, n), np.repeat(splits, n)
+                    text, anchor, splits, alone = (np.repeat(v, n) for v in (text, anchor, splits, alone))
                     lo = np.repeat(lo, n) + step
-                    hi = np.where(hot, lo, np.repeat(hi, n))
-                whole = common.grams(h, WINDOW)
-                key = common.mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] + (hi - lo).astype(U64)).view(np.int64)
+                    hi = np.where(alone, lo, np.repeat(hi, n))
+                key = _names(common.grams(h, WINDOW), lo, hi)
+                if alone.any():
+                    held = ~alone | has(several, key.view(U64))
+                    text, lo, hi, anchor, splits, alone, key = (v[held] for v in (text, lo, hi, anchor, splits, alone, key))
+                    splits = np.where(alone & ~has(often, key.view(U64)), 1, splits)
+                    if not len(text):
+                        continue
                 doc = ids[i + text]
-                spot = np.where(splits > 1, common.mix(key.view(U64)), anchor)  # shard of split 0; the next splits follow by steps of their own
+                spot = np.where(alone, common.mix(key.view(U64)), anchor)  # shard of split 0; the next splits follow by steps of their own
                 order = np.lexsort((lo, text, key))
                 key, doc, spot, splits, text, lo, hi = (v[order] for v in (key, doc, spot, splits, text, lo, hi))
                 fresh = np.concatenate(([True], key[1:] != key[:-1]))
@@ -350,8 +384,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans, copies): (doc_id, text_hash, start, end) in words, and (doc_id, text_hash) of later exact copies.
 
     Rows with null id or fewer than 13 words take no part. Of equal texts the smallest id stands for all. Repeated
-    segments travel once a task to their shard, their places as small rows that are streamed there; an anchor of more than
-    HOT texts is spread over many shards (see _cut).
+    segments travel once a task to their shard, their places as small rows that are streamed there; the windows at an anchor of
+    more than HOT texts are spread over the shards one by one (see _cut).
     """
     rows = docs.select("doc_id", "text", common.unicode_hash().alias("text_hash")).where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -365,7 +399,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = marks.join(hot.select("anchor", "splits"), "anchor", "left").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("splits").isNotNull(), F.struct("anchor", "splits"))).alias("hot"))
     own = common.checkpoint(own)
     texts = common.filtered(rows, common.key_filter(own, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
-    cut = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors", "hot").mapInArrow(_cut(shards), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
+    marked = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors", "hot")
+    counts = hot.sparkSession.createDataFrame([], "h long, n long")
+    if not hot.isEmpty():
+        counts = common.checkpoint(marked.where(F.size("hot") > 0).mapInArrow(_hot_windows, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    repeated, frequent = bit_set(counts, BITS), bit_set(counts.where(F.col("n") > HOT), BITS)
+    cut = marked.mapInArrow(_cut(shards, repeated, frequent), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
     spans = cut.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search, "doc_id long, text_hash long, start long, end long")
     return spans, copies
 

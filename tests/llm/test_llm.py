@@ -504,6 +504,25 @@ def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     assert got == brute_dedup(rows)
 
 
+def test_texts_that_share_one_gram_send_few_rows(spark, monkeypatch):
+    """A hot anchor in many texts: the rows that travel follow the texts, not their square."""
+    monkeypatch.setattr(substrings, "HOT", 100)
+    rng = random.Random(3)
+    rows = [(i, f"{prose(rng, 12)} the same four words {prose(rng, 12)}") for i in range(1600)]
+    cut, sent = substrings._cut, []
+    monkeypatch.setattr(substrings, "_cut", lambda *a: sent.append(a) or cut(*a))
+    for n in (400, 800, 1600):
+        assert substrings.repeated_spans(table(spark, rows[:n]))[0].count() == 0
+    passage = prose(rng, 15)
+    some = [(i, f"{prose(rng, 12)} {passage} {t}") for i, t in rows[:300]]
+    got = sorted((tuple(r) for r in substrings.dedup(table(spark, some)).collect()), key=str)
+    assert got == brute_dedup(some)
+    seen = []
+    for n, (_, repeated, frequent) in zip((400, 800, 1600), sent):
+        seen.append((n, len(repeated[0]), len(frequent[0])))
+    assert all(r == 0 and f == 0 for _, r, f in seen), seen
+
+
 def test_substrings_on_the_given_table(spark):
     rows = [tuple(r) for r in documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in substrings.query(spark, "/root/testdata/sf0.01").collect()), key=str)
@@ -617,6 +636,8 @@ def brute_contaminated(docs, items, size=8, literals=4, coverage=0.5, run=13):
                 kind = 1
             elif after and (w in decontam.UNIT_WORDS or a == toks[p - 1][2] and b - a <= 3):
                 kind = 3
+            elif w in decontam.PRONOUNS:
+                kind = 4
             else:
                 kind = 2 if title and (not begins or second and w not in opening) else 0
             if second and out and kind == out[-1][1] and text[out[-1][3] : a] in (" ", "-") and (kind == 2 or kind == 1 and not w[0].isdigit()):
@@ -630,7 +651,7 @@ def brute_contaminated(docs, items, size=8, literals=4, coverage=0.5, run=13):
             r = read(text, second)
             for x in range(len(r) - size + 1):
                 w = r[x : x + size]
-                exact = sum(k == 0 for _, k, _ in w) < literals
+                exact = sum(k in (0, 4) for _, k, _ in w) < literals
                 yield w[0][0], exact, tuple((0, v) if exact or k == 0 else (k, "") for _, k, v in w) + (exact,), tuple(() if exact else ((k, v) for _, k, v in w if k))
 
     found, held = set(), defaultdict(set)
@@ -652,7 +673,7 @@ def brute_contaminated(docs, items, size=8, literals=4, coverage=0.5, run=13):
             for _, _, slots, own in rows:
                 for x, y in zip(own, slots):
                     stands[x].add(y)
-            kept = [r for r in rows if r[2] == r[3] or all(len(stands[x]) == 1 for x in r[3])]
+            kept = [r for r in rows if r[2] == r[3] or all(len(stands[x]) == 1 for x in r[3] if x[0] != 4)]
             seen[i] |= {r[0] for r in kept}
             some[i] |= {r[0] for r in kept if not r[1]}
             equal[i] = max(equal[i], len({r[0] for r in kept if r[2] == r[3]}))
@@ -675,6 +696,49 @@ def test_reparameterised_questions(spark):
     assert {d for d, _ in got if d >= 2000} == set(partial)
 
 
+PRONOUN_PROBLEMS = [
+    "{a} has {i} red pencils and {p} buys {j} more at the shop for {k} dollars each. Then {p} gives {l} of {q} pencils to {b}. How many pencils does {p} keep in the end?",
+    "{a} drives {i} kilometers to the coast every day for {j} weeks in {q} old car. {b} tells {r} that {k} kilometers on the same road are enough. How much farther does {p} drive?",
+    "{a} baked {i} trays of muffins with {j} muffins on every tray for {q} school. On the way {p} sold {k} muffins and dropped {l} on the floor. How many were left to {r}?",
+    "When {a} fills {i} baskets with {j} kg of apples each, {b} helps {r} and carries away {k} baskets to the market. How many kg of apples stay on {q} farm?",
+    "{a} reads {i} pages of a long novel on each weekday and {p} reads {j} pages on each day of the weekend. How many pages does {p} read after {l} weeks in {q} chair?",
+    "For {i} euros {a} may enter the garden show and take {q} dog along. If {p} stays for {k} hours and pays {l} euros for lunch, how much does {p} spend on {q} day there?",
+    "{a} saved {i} cents every day until {p} had {j} dollars. {b} gave {r} another {k} dollars. How many days did it take {r} to reach {q} goal by {q} own saving?",
+    "If {q} train leaves at {i} and {a} walks {j} minutes to the station, {p} has {k} minutes for {q} coffee. How early must {p} leave {q} house to drink {l} cups?",
+]
+
+
+CLEAN = [
+    "{a} has {i} blue marbles and she lost {j} of her marbles in the grass behind the barn. He found them later and gave {i} back to her.",
+    "On the way to the coast {a} saw {i} horses, and he told his friends that {j} of them were white. How did they know?",
+    "Every day {a} takes his dog along the river for {i} minutes before he has breakfast with his {j} cousins in the garden.",
+    "How many pages does a novel need? {a} wrote {i} pages in {j} weeks and she was glad that her editor liked them.",
+]
+
+
+def test_reparameterised_questions_with_other_pronouns(spark):
+    """Other names, numbers and pronouns, and no 13 words in a row that a copy shares with its item."""
+    rng = random.Random(23)
+
+    def asked(k, male):
+        a, b = rng.sample(FIRST, 2)
+        p, q, r = ("he", "his", "him") if male else ("she", "her", "her")
+        return PRONOUN_PROBLEMS[k % len(PRONOUN_PROBLEMS)].format(a=a + rng.choice(LAST), b=b, p=p, q=q, r=r, **dict(zip("ijkl", rng.sample(range(2, 99), 4))))
+
+    items = {k: asked(k, k // 8 % 2 == 0) for k in range(64)}
+    docs = {k: f"{prose(rng, 40)}. {asked(k, k // 8 % 2 == 1)} {prose(rng, 30)}" for k in range(64)}
+    others = {1000 + k: f"{prose(rng, 20)}. {rng.choice(CLEAN).format(a=rng.choice(FIRST), i=rng.randint(2, 99), j=rng.randint(2, 99))} {prose(rng, 30)}" for k in range(64)}
+    held = {i: {tuple(w[x : x + 13]) for w in [re.findall(r"\w+", t.lower())] for x in range(len(w) - 12)} for i, t in items.items()}
+    for k, t in docs.items():
+        w = re.findall(r"\w+", t.lower())
+        assert not held[k] & {tuple(w[x : x + 13]) for x in range(len(w) - 12)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, list((docs | others).items())), bench).collect()}
+    assert got == brute_contaminated(docs | others, items)
+    assert sum((k, k) in got for k in docs) >= 58, sum((k, k) in got for k in docs)
+    assert not {d for d, _ in got if d >= 1000}
+
+
 def test_inconsistent_slots_do_not_count(spark):
     bench = spark.createDataFrame([(1, "take 5 apples and give 5 pears to the man who wants 5 plums today please sir")], "item_id long, text string")
     docs = table(spark, [(1, "take 6 apples and give 7 pears to the man who wants 8 plums today please sir"), (2, "take 6 apples and give 6 pears to the man who wants 6 plums today please sir")])
