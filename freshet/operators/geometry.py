@@ -1,62 +1,29 @@
-"""Polygons as vertices(id, ord, x, y): containment and areas inside grid cells."""
+"""Points in polygons given as vertices(id, part, ring, ord, x, y)."""
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from . import overlay
 
-def sides(vertices: DataFrame) -> DataFrame:
-    """(id, x1, y1, x2, y2): the sides of each ring, closed if it is not."""
-    w = W.partitionBy("id").orderBy("ord")
-    nx, ny = F.coalesce(F.lead("x").over(w), F.first("x").over(w)), F.coalesce(F.lead("y").over(w), F.first("y").over(w))
-    return vertices.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), nx.alias("x2"), ny.alias("y2"))
 
+def within(points: DataFrame, vertices: DataFrame, band: float, boundary: str = "half-open") -> DataFrame:
+    """(point, id) for points(point, px, py) inside polygons, holes left out, by crossings of a ray to the right.
 
-def within(points: DataFrame, vertices: DataFrame, band: float) -> DataFrame:
-    """(point, id) for points(point, px, py) inside polygons, by crossings of a ray to the right.
-
-    Sides and points meet in bands of y, so a point sees only the sides that its ray could cross. A point on a side
-    counts by the half-open rule: in for the lower and left ones.
+    Sides and points meet in bands of y, so a point sees only the sides that its ray could cross. ``boundary`` says what counts
+    for a point on a side: 'half-open' (in for the lower and left ones, so that areas that share a side share no point),
+    'covers' (in) or 'contains' (out). Points without coordinates are in no polygon.
     """
-    s = sides(vertices).where("y1 <> y2")
-    lo, hi = F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
-    s = s.withColumn("band", F.explode(F.sequence(lo, hi)))
+    if boundary not in ("half-open", "covers", "contains"):
+        raise ValueError(boundary)
+    s = overlay.sides(vertices, level=boundary != "half-open")
+    s = s.withColumn("band", F.explode(F.sequence(F.floor(F.col("y1") / band), F.floor(F.col("y2") / band))))
     p = points.withColumn("band", F.floor(F.col("py") / band))
-    cross = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return p.join(s, "band").where(cross).groupBy("point", "id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point", "id")
-
-
-def cell_areas(vertices: DataFrame, size: float, least: float = 0.0) -> DataFrame:
-    """(id, col, row, area): the area of each polygon inside each grid cell, those over ``least``.
-
-    Cells come from the bounding box; each is clipped on its own, so a large polygon spreads over tasks.
-    """
-    import numpy as np
-
-    @F.pandas_udf(T.DoubleType())
-    def clipped(ring: pd.Series, col: pd.Series, row: pd.Series) -> pd.Series:
-        def area(r, c, w):
-            pts = [(p["x"], p["y"]) for p in r]
-            for axis, edge, keep in ((0, c * size, 1), (0, (c + 1) * size, -1), (1, w * size, 1), (1, (w + 1) * size, -1)):
-                out = []
-                for a, b in zip(pts, pts[1:] + pts[:1]):
-                    ia, ib = keep * (a[axis] - edge) >= 0, keep * (b[axis] - edge) >= 0
-                    if ia:
-                        out.append(a)
-                    if ia != ib:
-                        t = (edge - a[axis]) / (b[axis] - a[axis])
-                        out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-                pts = out
-                if not pts:
-                    return 0.0
-            x, y = np.array(pts).T
-            return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-
-        return pd.Series([area(*v) for v in zip(ring, col, row)])
-
-    span = lambda lo, hi: F.sequence(F.floor(F.min(lo) / size), F.floor(F.max(hi) / size))
-    g = vertices.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"), span("x", "x").alias("cols"), span("y", "y").alias("rows"))
-    cells = g.select("id", "ring", F.explode("cols").alias("col"), "rows").select("id", "ring", "col", F.explode("rows").alias("row"))
-    return cells.select("id", "col", "row", clipped("ring", "col", "row").alias("area")).where(F.col("area") > least)
+    px, py, x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))
+    beside = (y1 <= py) & (py <= y2) & (F.least(x1, x2) <= px) & (px <= F.greatest(x1, x2))
+    on = beside & ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
+    cross = (y1 <= py) & (py < y2) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    met = p.join(s, "band").where(cross if boundary == "half-open" else cross | on)
+    met = met.groupBy("point", "id").agg(F.count_if(cross).alias("n"), F.max(on).alias("on"))
+    inside = F.col("n") % 2 == 1
+    kept = {"half-open": inside, "covers": inside | F.col("on"), "contains": inside & ~F.col("on")}[boundary]
+    return met.where(kept).select("point", "id")

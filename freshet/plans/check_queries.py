@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import hyetograph
-from ..operators import checks, geometry, network
+from ..operators import checks, geometry, network, overlay
 from .model_queries import log_table
 from .registry import query, table
 from .series_queries import samples
@@ -105,7 +105,7 @@ def points_within(spark, sf):
 
 @query("WITH s AS (SELECT s_suppkey AS id, s_suppkey % 7 * 3.0 AS x, s_suppkey % 5 * 4.0 AS y FROM supplier), c AS (SELECT id, col, \"row\", greatest(0, least(col + 1, x + 2.5) - greatest(col, x)) * greatest(0, least(\"row\" + 1, y + 3.5) - greatest(\"row\", y)) AS a FROM s, range(30) AS a(col), range(30) AS b(\"row\")) SELECT id, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(a) AS DOUBLE), 6) AS area FROM c WHERE a > 0 GROUP BY id")
 def polygon_cells(spark, sf):
-    return geometry.cell_areas(squares(spark, sf), 1.0).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area"))
+    return overlay.cell_areas(squares(spark, sf), 1.0).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("area"), 6).alias("area"))
 
 
 @query("WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 AS b FROM customer UNION SELECT c_custkey, c_custkey - CASE WHEN c_custkey % 100 = 0 AND c_custkey % 300 > 0 THEN 100 ELSE 0 END FROM customer), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a) SELECT node, min(seen) AS component FROM r GROUP BY node")

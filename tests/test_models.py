@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import hyetograph, units
 from freshet.functions.interp import interpolate
-from freshet.operators import arf, network, params, routing, series, transfer
+from freshet.operators import arf, network, overlay, params, routing, series, transfer
 from freshet.plans import model_queries, series_queries
 from freshet.sources import sinks, tables, text
 from freshet.streaming import series as stream
@@ -334,7 +334,7 @@ def test_within_and_cells_of_a_triangle(spark):
     pts = [(i, random.Random(i).uniform(-1, 5), random.Random(i + 999).uniform(-1, 5)) for i in range(200)]
     got = {r.point for r in geometry.within(spark.createDataFrame(pts, "point int, px double, py double"), tri, 1.0).collect()}
     assert got == {i for i, x, y in pts if x > 0 and y > 0 and x + y < 4}
-    assert abs(geometry.cell_areas(tri, 1.0).agg(F.sum("area")).first()[0] - 8) < 1e-9
+    assert abs(overlay.cell_areas(tri, 1.0).agg(F.sum("area")).first()[0] - 8) < 1e-9
 
 
 def test_components_of_chains(spark):
