@@ -123,18 +123,26 @@ def _names(whole: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return common.mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] + (hi - lo).astype(U64)).view(np.int64)
 
 
-def _hot_windows(batches):
-    """Keys of the single windows at hot anchors, once for each text."""
-    for b in batches:
-        for i, _, data, offsets in common.text_blocks(b):
-            h, _, _, first = common.hash_words(data, offsets)
-            text, lo, hi, anchor = _segments(h, first)
-            held = _marked(b, i, first, text, anchor) > 1
-            text, lo, hi = text[held], lo[held], hi[held]
-            n = hi - lo + 1
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs = np.unique(np.stack((np.repeat(text, n), _names(common.grams(h, WINDOW), at, at)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1])], names=["h"])
+def _hot_windows(hot: tuple):
+    """(h, text_hash): the single windows at anchors that may be in the bit set ``hot``, each once for its text."""
+
+    def run(batches):
+        bits = dense(hot, BITS)
+        for b in batches:
+            hashes = np.asarray(b.column(2))
+            for i, _, data, offsets in common.text_blocks(b):
+                h, _, _, first = common.hash_words(data, offsets)
+                text, lo, hi, anchor = _segments(h, first)
+                held = has(bits, anchor)
+                text, lo, hi = text[held], lo[held], hi[held]
+                if not len(text):
+                    continue
+                n = hi - lo + 1
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pairs = np.unique(np.stack((np.repeat(text, n), _names(common.grams(h, WINDOW), at, at)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(hashes[i + pairs[:, 0]])], names=["h", "text_hash"])
+
+    return run
 
 
 def _cut(shards: int, repeated: tuple, frequent: tuple):
@@ -399,11 +407,13 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = marks.join(hot.select("anchor", "splits"), "anchor", "left").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("splits").isNotNull(), F.struct("anchor", "splits"))).alias("hot"))
     own = common.checkpoint(own)
     texts = common.filtered(rows, common.key_filter(own, ["doc_id", "text_hash"]), ["doc_id", "text_hash"])
-    marked = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors", "hot")
     counts = hot.sparkSession.createDataFrame([], "h long, n long")
     if not hot.isEmpty():
-        counts = common.checkpoint(marked.where(F.size("hot") > 0).mapInArrow(_hot_windows, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        windows = rows.mapInArrow(_hot_windows(bit_set(hot.select(F.col("anchor").alias("h")), BITS)), "h long, text_hash long")
+        seen = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+        counts = common.checkpoint(seen.where("low <> high").select("h", "n"))  # copies of one text do not count as several
     repeated, frequent = bit_set(counts, BITS), bit_set(counts.where(F.col("n") > HOT), BITS)
+    marked = texts.join(own, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "anchors", "hot")
     cut = marked.mapInArrow(_cut(shards, repeated, frequent), "shard long, kind int, key long, doc_id long, text_hash long, data binary")
     spans = cut.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search, "doc_id long, text_hash long, start long, end long")
     return spans, copies
