@@ -54,12 +54,60 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
     raise RuntimeError(f"closure is not complete after {max_depth} rounds")
 
 
+def owners(edge: DataFrame, stops: DataFrame) -> DataFrame:
+    """(node, owner): the first of stops(node) at or downstream of each node; nodes that reach none are left out.
+
+    Nodes with several ways down must be stops themselves. Pointers are doubled, so rounds follow the logarithm of the longest
+    way to a stop; nodes on or above a cycle without a stop are given up after as many rounds as all nodes could need.
+    """
+    way = edge.groupBy("src").agg(F.min("dst").alias("dst"))
+    nodes = edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct()
+    stop = stops.select("node").distinct().withColumn("stop", F.lit(True))
+    state = nodes.join(way, F.col("node") == F.col("src"), "left").join(stop, "node", "left")
+    state = checkpointed(state.select("node", F.when(F.col("stop"), F.col("node")).otherwise(F.col("dst")).alias("at"), (F.col("stop").isNotNull() | F.col("dst").isNull()).alias("done")))
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("not done").isEmpty():
+            break
+        ahead = state.select(F.col("node").alias("_p"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        moved = state.where("not done").join(ahead, F.col("at") == F.col("_p")).select("node", F.col("_at").alias("at"), F.col("_done").alias("done"))
+        state = checkpointed(state.where("done").union(moved))
+    return state.where("done and at is not null").select("node", F.col("at").alias("owner"))
+
+
+def chained(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(target, node) of all chains of pairs(target, node), by joining the pairs with themselves: a round doubles the length."""
+    found, n = checkpointed(pairs.distinct()), -1
+    for _ in range(max_rounds):
+        count = found.count()
+        if count == n:
+            return found
+        n = count
+        far = found.select(F.col("target").alias("node"), F.col("node").alias("_n"))
+        found = checkpointed(found.union(found.join(far, "node").select("target", F.col("_n").alias("node"))).distinct())
+    raise RuntimeError("chained: no fixed point")
+
+
 def upstream(edge: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, name, kind): a row for each edge whose head is the target or upstream of it, so an element with two
-    such edges is listed twice and a cycle lists the target itself."""
+    such edges is listed twice and a cycle lists the target itself.
+
+    Every node belongs to the first target or diversion downstream of it (see owners). What lies upstream of a target are
+    the nodes of those that lie upstream of it, so only these few are followed: by doubling, or by breadth-first rounds
+    where there are diversions.
+    """
     edge = checkpointed(edge)
-    c = closure(edge, targets)
-    return edge.join(c, edge.dst == c.node).select("target", F.col("src").alias("name"), F.col("src_type").alias("kind"))
+    split = edge.groupBy("src").agg(F.countDistinct("dst").alias("ways")).where("ways > 1").select(F.col("src").alias("node"))
+    split = checkpointed(split)
+    wanted = targets.select("target").where("target is not null").distinct()
+    stops = checkpointed(wanted.select(F.col("target").alias("node")).union(split).distinct())
+    owner = checkpointed(owners(edge, stops))
+    heads = edge.join(owner, edge.dst == owner.node).select("src", "src_type", "owner")
+    steps = heads.join(stops, heads.src == stops.node, "left_semi").select("src", F.col("owner").alias("dst")).distinct()
+    if split.isEmpty():
+        c = chained(steps.select(F.col("dst").alias("target"), F.col("src").alias("node"))).union(wanted.select("target", F.col("target").alias("node"))).distinct()
+    else:
+        c = closure(steps, wanted)
+    return heads.join(c, heads.owner == c.node).select("target", F.col("src").alias("name"), F.col("src_type").alias("kind"))
 
 
 def contributing_area(edge: DataFrame, areas: DataFrame, targets: DataFrame) -> DataFrame:

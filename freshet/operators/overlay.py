@@ -161,3 +161,64 @@ def coverage(cells: DataFrame, mask: DataFrame, rows: int, cols: int, polygons:
     out = per.rollup(*keys).agg(total("area"), total("covered"), total("nodata"), total("outside"), F.count("*").alias("n"), F.grouping_id().alias("_g"))
     whole_or_all = F.col("_g").isin(0, (1 << len(keys)) - 1)
     return out.where(whole_or_all).select(*keys, "area", "covered", "nodata", "outside", F.when(F.col("area") > 0, F.col("covered") / F.col("area")).alias("coverage"), "n")
+
+
+def directed(vertices: DataFrame, group: str) -> DataFrame:
+    """(group, ax, ay, bx, by): all sides, level ones too, with the polygon to their left."""
+    extra = [group] if group != "id" else []
+    v = vertices
+    for c in ("part", "ring"):
+        if c not in v.columns:
+            v = v.withColumn(c, F.lit(0))
+    v = v.where("x is not null and y is not null")
+    ordered, ring = W.partitionBy(*RING).orderBy("ord"), W.partitionBy(*RING)
+    nxt = lambda c: F.coalesce(F.lead(c).over(ordered), F.first(c).over(ordered)).alias(f"n{c}")
+    ends = v.select(*RING, *extra, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), nxt("x"), nxt("y"))
+    turn = F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).over(ring) * F.when(F.col("ring") == 0, 1).otherwise(-1)
+    ends = ends.withColumn("turn", turn).where("turn <> 0 and (x <> nx or y <> ny)")
+    pick = lambda a, b: F.when(F.col("turn") > 0, F.col(a)).otherwise(F.col(b))
+    return ends.select(F.col(group).alias("group"), pick("x", "nx").alias("ax"), pick("y", "ny").alias("ay"), pick("nx", "x").alias("bx"), pick("ny", "y").alias("by"))
+
+
+def dissolve(vertices: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
+    """(group, ring, hole, ord, x, y): the outlines and holes of the union of the polygons of each group of a coverage.
+
+    In a coverage neighbours share whole sides: those have a polygon on either hand and cancel. What is left is chained to
+    rings: at a corner where several sides leave, the leftmost turn is taken, so areas that touch in a point stay apart.
+    A ring's number is its smallest side, found by pointer doubling, and so is each side's place in its ring: rounds follow
+    the logarithm of the longest ring. Outlines run anticlockwise, holes clockwise. Polygons of a group that overlap or
+    sides that are shared in part are not noded first; a chain that does not close raises.
+    """
+    d = directed(vertices, group)
+    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    net = d.groupBy("group", F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).agg(F.sum(F.when(a < b, 1).otherwise(-1)).alias("n")).where("n <> 0")
+    pick = lambda u, v: F.when(F.col("n") > 0, F.col(u)).otherwise(F.col(v))
+    s = checkpointed(net.select("group", pick("p", "q").alias("a"), pick("q", "p").alias("b")).withColumn("k", F.monotonically_increasing_id()))
+    heading = lambda u, v: F.atan2(v["y"] - u["y"], v["x"] - u["x"])
+    leaves = s.select(F.col("group").alias("_g"), F.col("a").alias("_b"), F.col("k").alias("next"), heading(F.col("a"), F.col("b")).alias("out"))
+    turn = F.pmod(F.col("out") - heading(F.col("a"), F.col("b")) + F.lit(3.141592653589793), F.lit(6.283185307179586))
+    at = checkpointed(s.join(leaves, F.col("group").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b"))).groupBy("k").agg(F.max_by("next", turn).alias("next")))
+    if at.count() != s.count() or at.select("next").distinct().count() != at.count():
+        raise ValueError("the sides of a group do not close to rings: the polygons overlap or share sides in part")
+    low = _doubled(at.select("k", "next", F.col("k").alias("v")), lambda own, ahead: F.least(own, ahead), max_rounds).select("k", F.col("v").alias("ring"))
+    open_ = at.join(low, "k").select("k", "ring", F.when(F.col("next") == F.col("ring"), F.lit(None).cast("long")).otherwise(F.col("next")).alias("next"), F.lit(1).cast("long").alias("v"))
+    places = _doubled(open_.select("k", "next", "v"), lambda own, ahead: own + ahead, max_rounds).select("k", F.col("v").alias("left"))
+    rings = s.join(low, "k").join(places, "k")
+    size = F.max("left").over(W.partitionBy("ring"))
+    area = F.sum(F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")).over(W.partitionBy("ring"))
+    return rings.select("group", "ring", (area < 0).alias("hole"), (size - F.col("left")).cast("int").alias("ord"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+
+
+def _doubled(rows: DataFrame, join, max_rounds: int) -> DataFrame:
+    """rows(k, next, v) with v joined over all that follow, by pointer doubling; a chain ends at a null next, and a ring, whose
+    join must not mind repeats, when no value changes."""
+    rows = checkpointed(rows)
+    for _ in range(max_rounds):
+        ahead = rows.select(F.col("k").alias("next"), F.col("next").alias("_n"), F.col("v").alias("_v"))
+        new = rows.join(ahead, "next", "left").select("k", F.when(F.col("next").isNotNull(), F.col("_n")).alias("next"), F.coalesce(join(F.col("v"), F.col("_v")), F.col("v")).alias("v"), F.col("v").alias("was"))
+        new = checkpointed(new)
+        same = new.where("v <> was").isEmpty()
+        rows = new.select("k", "next", "v")
+        if same:
+            return rows
+    raise RuntimeError("pointer doubling: no fixed point")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import hyetograph
-from ..operators import checks, geometry, network, overlay
+from ..operators import checks, contracts, geometry, network, overlay
 from .model_queries import log_table
 from .registry import query, table
 from .series_queries import samples
@@ -155,3 +155,44 @@ def block_edit(spark, sf):
     edited = sinks.edit_blocks(b, low.select("kind", "name", F.lit("Balance").alias("k"), F.lit("0.0").alias("v")))
     again = text.blocks(text.lines(sinks.block_text(edited)))
     return again.select("name", F.element_at("attrs", F.lit("Balance")).cast("double").alias("balance"))
+
+
+CONTRACT = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["schema", "k", "user"],
+    "properties": {
+        "schema": {"const": "events/1"},
+        "k": {"type": "integer", "minimum": 0, "maximum": 79},
+        "user": {"$ref": "#/$defs/user"},
+        "tags": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "string", "minLength": 1}},
+    },
+    "$defs": {"user": {"type": "object", "additionalProperties": False, "required": ["id", "kind"], "properties": {"id": {"type": "integer", "exclusiveMinimum": -1}, "kind": {"enum": ["a", "b"]}}}},
+}
+# What each document, by event_id % 11, has in place of a good one's parts: the number, the user, the tags, what follows them.
+PLANTED = {1: ("{k}", "good", "good", ', "z": 1'), 2: ("none", "good", "good", ""), 3: ('"{k}"', "good", "good", ""), 4: ("{k}", '{{"id": {u}, "kind": "a", "x": null}}', "good", ""), 5: ("{k}", "good", "good", ', "k": 1'), 6: ("{k}", "good", '["p", 3, ""]', ""), 7: ("{k}", '{{"id": {u}, "kind": "c"}}', "good", ""), 8: ("{k}", "good", "good", ', "'), 9: ("{k}", '{{"kind": "b", "kind": "b", "id": 1}}', "good", ""), 10: ("{k}.5", "[1]", "[]", "")}
+
+
+@query(
+    """WITH e AS (SELECT event_id % 11 AS c, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+v AS (SELECT CASE c WHEN 5 THEN ['$: repeated key'] WHEN 9 THEN ['$: repeated key'] WHEN 8 THEN ['$: malformed'] ELSE list_sort(list_filter(list_concat(
+  CASE WHEN c = 10 AND k >= 79 THEN ['$.k: above 79'] WHEN c NOT IN (2, 3, 10) AND k > 79 THEN ['$.k: above 79'] ELSE [] END,
+  CASE c WHEN 1 THEN ['$.z: unknown'] WHEN 2 THEN ['$.k: missing'] WHEN 3 THEN ['$.k: not integer'] WHEN 4 THEN ['$.user.x: unknown'] WHEN 6 THEN ['$.tags[1]: not string', '$.tags[2]: shorter than 1']
+    WHEN 7 THEN ['$.user.kind: not one of "a", "b"'] WHEN 10 THEN ['$.k: not integer', '$.tags: fewer than 1 items', '$.user: not object'] ELSE [] END), lambda x: x IS NOT NULL)) END AS p FROM e)
+SELECT array_to_string(p, '; ') AS problems, count(*) AS n FROM v GROUP BY 1"""
+)
+def contract_violations(spark, sf):
+    """Documents built from the events' properties, ten in eleven with a planted fault, against a closed nested contract."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("c", F.col("event_id") % 11)
+    user, tags = '{{"id": {u}, "kind": "b"}}', '["p", "q"]'
+
+    def document(k, u, t, more):
+        whole = '{{"schema": "events/1"' + ("" if k == "none" else f', "k": {k}') + f', "user": {user if u == "good" else u}, "tags": {tags if t == "good" else t}{more}' + "}}"
+        parts = whole.replace("{{", "\0").replace("}}", "\1").replace("{k}", "\2k\2").replace("{u}", "\2u\2").split("\2")
+        return F.concat(*[F.col("k") if x == "k" else F.col("user_id").cast("string") if x == "u" else F.lit(x.replace("\0", "{").replace("\1", "}")) for x in parts if x])
+
+    text = document("{k}", "good", "good", "")
+    for c, planted in PLANTED.items():
+        text = F.when(F.col("c") == c, document(*planted)).otherwise(text)
+    found = contracts.check(e.select(text.alias("text")), "text", CONTRACT)
+    return found.groupBy(F.array_join("violations", "; ").alias("problems")).agg(F.count("*").alias("n"))

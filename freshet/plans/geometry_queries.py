@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import projection
-from ..operators import geometry, overlay, transfer
+from ..operators import fingerprints, geometry, overlay, transfer
 from .registry import query, table
 
 # A frame is a diamond with a diamond hole; in u = x + y and v = x - y both are squares, which the SQL uses.
@@ -139,3 +140,39 @@ def reprojection(spark, sf):
     for name, code in (("utm", 26914), ("lambert", 2278)):
         p = projection.inverse(projection.forward(p, projection.crs(code), x="px", y="py"), projection.crs(code), "px", "py", f"{name}_lon", f"{name}_lat")
     return p.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), *[F.round(f"{name}_{c}", 9).alias(f"{name}_{c}") for name in ("albers", "utm", "lambert") for c in ("lon", "lat")])
+
+
+LATTICE = "c_custkey % 60 AS x, c_custkey // 60 AS y, c_nationkey % 3 AS zone"
+
+
+@query(
+    f"""WITH c AS (SELECT {LATTICE} FROM customer WHERE c_custkey % 11 <> 0),
+w AS (SELECT zone, x + dx AS wx, y + dy AS wy, dx + 2 * dy AS corner FROM c, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS d(dx, dy)),
+q AS (SELECT zone, wx, wy, count(*) AS n, sum(corner) AS s FROM w GROUP BY ALL),
+e AS (SELECT zone, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND s = 3 THEN 2 ELSE 0 END) // 4 AS euler FROM q GROUP BY zone),
+a AS (SELECT zone, count(*) AS n FROM c GROUP BY zone),
+j AS (SELECT u.zone, count(*) AS n FROM c u JOIN c v ON u.zone = v.zone AND (v.x = u.x + 1 AND v.y = u.y OR v.x = u.x AND v.y = u.y + 1) GROUP BY u.zone)
+SELECT a.zone, CAST(a.n AS DOUBLE) AS area, CAST(4 * a.n - 2 * coalesce(j.n, 0) AS BIGINT) AS sides, CAST(e.euler AS BIGINT) AS outlines_less_holes FROM a JOIN e ON e.zone = a.zone LEFT JOIN j ON j.zone = a.zone"""
+)
+def dissolved_zones(spark, sf):
+    """Unit squares of a lattice dissolved by zone: area, length of the outlines, and outlines less holes (the Euler number)."""
+    c = table(spark, sf, "customer").where("c_custkey % 11 <> 0").selectExpr("c_custkey as id", "c_custkey % 60 as x0", "c_custkey div 60 as y0", "c_nationkey % 3 as zone")
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("dx"), F.lit(b).alias("dy")) for i, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]))
+    v = c.withColumn("c", corner).select("id", "zone", "c.ord", (F.col("x0") + F.col("c.dx")).alias("x"), (F.col("y0") + F.col("c.dy")).alias("y"))
+    rings = overlay.dissolve(v, "zone")
+    nxt = lambda k: F.coalesce(F.lead(k).over(W.partitionBy("ring").orderBy("ord")), F.first(k).over(W.partitionBy("ring").orderBy("ord")))
+    per = rings.withColumn("cross", F.col("x") * nxt("y") - nxt("x") * F.col("y")).groupBy("group", "ring", "hole").agg((F.sum("cross") / 2).alias("area"), F.count("*").alias("sides"))
+    return per.groupBy(F.col("group").alias("zone")).agg(F.sum("area").alias("area"), F.sum("sides").alias("sides"), (F.count_if(~F.col("hole")) - F.count_if(F.col("hole"))).alias("outlines_less_holes"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, embedding[1:6] AS v FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) <= 0.05),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
+g AS (SELECT node, min(seen) AS g FROM r GROUP BY node), m AS (SELECT g.g, count(DISTINCT g.node) AS n, max(l.label) - min(l.label) AS spread FROM g JOIN embeddings l ON l.vec_id = g.node GROUP BY g.g)
+SELECT g AS "group", n, CAST(spread AS DOUBLE) AS spread, spread > 0 AS ambiguous FROM m"""
+)
+def ambiguous_fingerprints(spark, sf):
+    """Groups of vectors whose first six components are within 0.05 of each other, and whether their results (labels) differ."""
+    e = table(spark, sf, "embeddings")
+    groups = fingerprints.near_groups(e.selectExpr("vec_id as id", "cast(slice(embedding, 1, 6) as array<double>) as v"), 0.05)
+    return fingerprints.ambiguities(groups, e.selectExpr("vec_id as id", "array(cast(label as double)) as v"), 0.0)

@@ -52,12 +52,20 @@ def features(files: DataFrame) -> DataFrame:
 
 
 def vertices(feature_rows: DataFrame) -> DataFrame:
-    """(file, id, ord, x, y) of the outer ring of each polygon feature, of a line's points or of one point."""
-    c = F.col("coordinates")
-    ring = (
-        F.when(F.col("geometry_type") == "Polygon", F.from_json(c, "array<array<array<double>>>")[0])
-        .when(F.col("geometry_type") == "LineString", F.from_json(c, "array<array<double>>"))
-        .when(F.col("geometry_type") == "Point", F.array(F.from_json(c, "array<double>")))
+    """(file, id, part, ring, ord, x, y) of polygons, lines and points, single or multiple: ring 0 of a polygon's part is its
+    outline, the others are holes; a line or a point is ring 0 of its part. Null and other geometries have no rows."""
+    c, kind = F.col("coordinates"), F.col("geometry_type")
+    point = "array<double>"
+    deep = lambda n: f"{'array<' * n}{point}{'>' * n}"
+    shape = (
+        F.when(kind == "MultiPolygon", F.from_json(c, deep(3)))
+        .when(kind == "Polygon", F.array(F.from_json(c, deep(2))))
+        .when(kind == "MultiLineString", F.transform(F.from_json(c, deep(2)), lambda line: F.array(line)))
+        .when(kind == "LineString", F.array(F.array(F.from_json(c, deep(1)))))
+        .when(kind == "MultiPoint", F.transform(F.from_json(c, deep(1)), lambda p: F.array(F.array(p))))
+        .when(kind == "Point", F.array(F.array(F.array(F.from_json(c, point)))))
     )
-    rows = feature_rows.select("file", F.col("ord").alias("id"), F.posexplode(ring).alias("ord", "p"))
-    return rows.select("file", "id", "ord", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    rows = feature_rows.select("file", F.col("ord").alias("id"), F.posexplode(shape).alias("part", "_r"))
+    rows = rows.select("file", "id", "part", F.posexplode("_r").alias("ring", "_p"))
+    rows = rows.select("file", "id", "part", "ring", F.posexplode("_p").alias("ord", "p"))
+    return rows.select("file", "id", "part", "ring", "ord", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))

@@ -60,13 +60,21 @@ def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return spark.read.format("sqlite_layers").option("path", path).option("layer", layer).load()
 
 
+def layer_vertices(spark: SparkSession, path: str, layer: str, column: str = "geometry") -> DataFrame:
+    """(id, part, ring, ord, x, y, problem) of a layer's geometries, id being the rowid; attributes are in read_layer."""
+    from . import wkb
+
+    rows = read_layer(spark, path, layer)
+    return wkb.vertices(rows.select(F.col("rowid").alias("id"), F.unbase64(F.get_json_object("row", f"$['{column}']")).alias("blob")), "blob")
+
+
 class _Layer(InputPartition):
-    def __init__(self, layer: str):
-        self.layer = layer
+    def __init__(self, layer: str, low: int, high: int):
+        self.layer, self.low, self.high = layer, low, high
 
 
 class SqliteSource(DataSource):
-    """Tables of a SQLite file that every machine can open; a table is a partition."""
+    """Tables of a SQLite file that every machine can open; a partition is a range of ``rows`` rowids (50,000) of a table."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,7 +89,7 @@ class SqliteSource(DataSource):
 
 class _SqliteReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.layer = options["path"], options.get("layer")
+        self.path, self.layer, self.rows = options["path"], options.get("layer"), int(options.get("rows", "50000"))
 
     def _open(self):
         import sqlite3
@@ -89,20 +97,26 @@ class _SqliteReader(DataSourceReader):
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self):
-        if self.layer:
-            return [_Layer(self.layer)]
         con = self._open()
-        names = [r[0] for r in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
+        names = [self.layer] if self.layer else [r[0] for r in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
+        out = []
+        for n in names:
+            low, high = con.execute(f"select min(rowid), max(rowid) from {self._quoted(n)}").fetchone()
+            if low is not None:
+                out += [_Layer(n, at, min(high, at + self.rows - 1)) for at in range(low, high + 1, self.rows)]
         con.close()
-        return [_Layer(n) for n in names]
+        return out or [_Layer(n, 1, 0) for n in names[:1]]
+
+    @staticmethod
+    def _quoted(name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
 
     def read(self, partition):
         import base64
         import json
 
         con = self._open()
-        quoted = partition.layer.replace('"', '""')
-        cur = con.execute(f'select rowid, * from "{quoted}"')
+        cur = con.execute(f"select rowid, * from {self._quoted(partition.layer)} where rowid between ? and ?", (partition.low, partition.high))
         names = [d[0] for d in cur.description][1:]
         plain = lambda v: base64.b64encode(v).decode() if isinstance(v, bytes) else v
         for r in cur:

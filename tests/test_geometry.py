@@ -162,3 +162,101 @@ def test_equal_area_projection_keeps_areas(spark):
     flat = projection.forward(v, projection.crs(5070), "x", "y", "px", "py").select("id", "part", "ring", "ord", F.col("px").alias("x"), F.col("py").alias("y"))
     a = {r.id: r.area for r in overlay.areas(flat).collect()}
     assert abs(a[1] / a[2] - 1) < 1e-5
+
+
+# --- dissolve, near-equal fingerprints, networks ---
+
+
+def cells_of(zones):
+    return [(k, 0, 0, i, float(x + dx), float(y + dy), z) for k, ((x, y), z) in enumerate(zones.items()) for i, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)) if k % 2 else ((0, 1), (1, 1), (1, 0), (0, 0)))]
+
+
+def ring_area(points):
+    return sum(a * d - c * b for (a, b), (c, d) in zip(points, points[1:] + points[:1])) / 2
+
+
+def test_dissolve_finds_outlines_and_holes(spark):
+    """A frame with two holes that touch in a point, a cell inside one of them, and two cells that touch in a point."""
+    frame = {(x, y): "f" for x in range(5) for y in range(5) if (x, y) not in ((1, 1), (2, 2), (3, 3))}
+    zones = frame | {(2, 2): "g", (9, 9): "h", (10, 10): "h", (7, 0): None}
+    v = spark.createDataFrame(cells_of(zones), VERTICES + ", zone string")
+    rings = {}
+    for r in overlay.dissolve(v, "zone").orderBy("ring", "ord").collect():
+        rings.setdefault((r.group, r.ring, r.hole), []).append((r.ord, r.x, r.y))
+    seen = {}
+    for (g, _, hole), points in rings.items():
+        assert [o for o, _, _ in points] == list(range(len(points)))
+        assert all(abs(a - c) + abs(b - d) == 1 for (_, a, b), (_, c, d) in zip(points, points[1:] + points[:1]))
+        area = ring_area([(x, y) for _, x, y in points])
+        assert (area < 0) == hole
+        seen.setdefault(g, []).append(area)
+    assert sorted(seen["f"])[-1] == 25 and sum(seen["f"]) == 22
+    assert seen["g"] == [1] and sorted(seen["h"]) == [1, 1] and seen[None] == [1]
+    assert overlay.dissolve(v.limit(0), "zone").count() == 0
+    torn = spark.createDataFrame([(1, 0, 0, i, float(x), float(y), "z") for i, (x, y) in enumerate(((0, 0), (2, 0), (2, 2), (0, 2)))], VERTICES + ", zone string")
+    assert overlay.dissolve(torn.union(torn.withColumn("id", F.lit(2))), "zone").select("ring").distinct().count() == 1
+
+
+def test_dissolve_of_a_long_snake(spark):
+    """Rings of very different lengths: rounds follow the logarithm."""
+    snake = {(x, 2 * y): "s" for y in range(12) for x in range(30)} | {((29 if y % 2 == 0 else 0), 2 * y + 1): "s" for y in range(11)}
+    rings = overlay.dissolve(spark.createDataFrame(cells_of(snake), VERTICES + ", zone string"), "zone", max_rounds=14)
+    points = [(r.x, r.y) for r in rings.orderBy("ord").collect()]
+    assert ring_area(points) == len(snake) and len(points) == 2 * len(snake) + 2
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.01, 0.3])
+def test_near_pairs_equal_all_pairs(spark, tolerance):
+    from freshet.operators import fingerprints
+
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    rows = [(i, [x + rng.choice([0, 0, tolerance, tolerance * 1.01, -tolerance / 2]) for x in rng.choice(base)]) for i in range(250)]
+    rows += [(900, None), (None, base[0]), (901, [float("nan")] * 6), (902, base[0][:3]), (903, base[0][:3]), (904, [None] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)]
+    close = {(a, b) for a, v in good for b, w in good if a < b and len(v) == len(w) and max(abs(x - y) for x, y in zip(v, w)) <= tolerance}
+    assert {tuple(r) for r in fingerprints.near_pairs(df, tolerance).collect()} == close
+    root = {i: i for i, _ in good}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in close:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    linked = {i for p in close for i in p}
+    groups = fingerprints.near_groups(df, tolerance)
+    assert {tuple(r) for r in groups.collect()} == {(i, find(i)) for i in linked}
+    results = spark.createDataFrame([(i, [float(find(i) if i % 7 else i)]) for i, _ in good], "id long, v array<double>")
+    got = {r.group: (r.n, r.ambiguous) for r in fingerprints.ambiguities(groups, results, 0.5).collect()}
+    for g, (n, bad) in got.items():
+        own = [i for i in linked if find(i) == g]
+        values = [find(i) if i % 7 else i for i in own]
+        assert n == len(own) and bad == (max(values) - min(values) > 0.5)
+    plan = fingerprints.near_pairs(df, tolerance)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("seed,diversions", [(0, 0), (1, 0), (2, 12), (3, 3)])
+def test_upstream_of_random_networks(spark, seed, diversions):
+    """Long chains, trees, diversions and cycles against a walk."""
+    from freshet.operators import network
+
+    rng = random.Random(seed)
+    edge = [(i, "Reach" if i % 3 else "Subbasin", max(0, i - rng.choice([1, 1, 1, 2, 9]))) for i in range(1, 150)]
+    edge += [(200 + k, "Junction", 200 + (k + 1) % 5) for k in range(5)] + [(210, "Subbasin", 201)]
+    edge += [(rng.randrange(20, 150), "Diversion", rng.randrange(0, 20)) for _ in range(diversions)]
+    targets = [0, 5, 20, 60, 149, 202, 777, None]
+    df = spark.createDataFrame(edge, "src long, src_type string, dst long")
+    got = sorted(tuple(r) for r in network.upstream(df, spark.createDataFrame([(t,) for t in targets], "target long")).collect())
+    want = []
+    for t in targets:
+        reach, new = {t}, [t]
+        while new:
+            new = list({s for s, _, d in edge if d in new} - reach)
+            reach |= set(new)
+        want += [(t, s, k) for s, k, d in edge if d in reach and t is not None]
+    assert got == sorted(want)
