@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.units import ACRE_FEET_PER_CFS_HOUR
+from .transfer import percentiles
 
 # Markers of missing samples.
 MISSING = (-901.0, -902.0)
@@ -80,9 +83,12 @@ def statistics(df: DataFrame, keys: list[str], tie: str = "ts") -> DataFrame:
     best = F.min(F.struct((-F.col("value")).alias("v"), F.col("ts").alias("ts")))
     out = rows.groupBy(*keys).agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), best.alias("_b"), F.min("value").alias("min_flow"), F.avg("value").alias("mean_flow"),
-        F.median("value").alias("median_flow"), F.stddev_samp("value").alias("std_flow"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("_v"),
+        F.stddev_samp("value").alias("std_flow"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("_v"),
         F.sum(F.col("_t") * F.col("value")).alias("_m"), F.sum("value").alias("_s"),
     )
+    middle = percentiles(df, keys, "value", {"median_flow": 0.5})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    out = out.join(middle.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
     return out.select(
         *keys, "start_time", "end_time", hours(F.col("start_time"), F.col("end_time")).alias("duration_hours"), (-F.col("_b.v")).alias("peak_flow"), F.col("_b.ts").alias("peak_time"),
         "min_flow", "mean_flow", "median_flow", "std_flow", F.round(F.col("_v") * ACRE_FEET_PER_CFS_HOUR, 2).alias("total_volume_af"),

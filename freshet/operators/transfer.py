@@ -56,25 +56,46 @@ def largest_step_residual(pairs: DataFrame) -> DataFrame:
     return by_step.groupBy("subbasin").agg(best.alias("_b")).select("subbasin", "_b.*")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """keys and one column for each of ``shares``: the percentile of the non-null values, linear between ranks.
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024, limit: int = 100_000) -> DataFrame:
+    """keys and one column for each of ``shares``: the percentile of the values, linear between ranks; nulls and NaN are left out.
 
-    Exact: values are counted first, so equal ones travel once, and ranks come from a running sum that is sorted and can
-    spill; no group's values are held in memory.
+    Exact, by refinement: a histogram of ``bins`` ranges of each key says which range holds a wanted rank, and only that one is
+    counted on, until it has ``limit`` rows or a single value. Histograms are summed before the shuffle and the ranges that
+    are ranked at last are small, so no key's values meet in one task. The input is read once a round and twice more.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys)
-    ranked = n.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_total", F.sum("_n").over(w))
-    at = {name: (F.col("_total") - 1) * p for name, p in shares.items()}
-    first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-    out = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *[first(f(x)).alias(f"_{side}_{name}") for name, x in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
-    return out.select(*keys, *[(F.col(f"_lo_{k}") + (x - F.floor(x)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, x in at.items()])
+    from .network import checkpointed
+
+    v = F.col("_v")
+    rows = df.select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    ends = rows.groupBy("_k").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("total"))
+    at = {name: (F.col("total") - 1) * p for name, p in shares.items()}
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)]))
+    wanted = checkpointed(ends.select("_k", "total", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("total").alias("inside")))
+    wide = "inside > {} and lo < hi".format(limit)
+    while not wanted.where(wide).isEmpty():
+        ranges = wanted.where(wide).select("_k", "lo", "hi").distinct()
+        bin_ = F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
+        hist = rows.join(ranges, "_k").where((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy("_k", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("_v").alias("new_lo"), F.max("_v").alias("new_hi"))
+        hist = hist.withColumn("upto", F.sum("n").over(W.partitionBy("_k", "lo", "hi").orderBy("bin")))
+        rank = F.col("rank") - F.col("below")
+        found = wanted.where(wide).join(hist, ["_k", "lo", "hi"]).where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
+        found = found.select("_k", "total", "rank", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), (F.col("below") + F.col("upto") - F.col("n")).alias("below"), F.col("n").alias("inside"))
+        wanted = checkpointed(wanted.where(f"not ({wide})").union(found))
+    ranges = wanted.select("_k", "lo", "hi", "below").distinct()
+    few = rows.join(ranges, "_k").where((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy("_k", "lo", "hi", "below", "_v").agg(F.count("*").alias("n"))
+    few = few.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("_k", "lo", "hi").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    hit = wanted.join(few.drop("below"), ["_k", "lo", "hi"]).where("rank < upto and rank >= upto - n")
+    out = hit.groupBy("_k").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))
+    of = lambda x, f: F.element_at("_at", f(x).cast("long"))
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], *[(of(x, F.floor) + (x - F.floor(x)) * (of(x, F.ceil) - of(x, F.floor))).alias(name) for name, x in at.items()])
 
 
 def distance_metrics(df: DataFrame, keys: list[str], d: str = "distance") -> DataFrame:
     """keys, min, max, mean and the exact percentiles p50, p90, p95, p99 of the distances."""
     out = df.groupBy(*keys).agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"))
-    return out.join(percentiles(df, keys, d, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}), keys, "left")
+    p = percentiles(df, keys, d, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return out.join(p.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def nearest(points: DataFrame, targets: DataFrame, size: float, rings: int = 1) -> DataFrame:

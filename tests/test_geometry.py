@@ -55,7 +55,7 @@ def shapes(seed, n):
     return out
 
 
-@pytest.mark.parametrize("band,width", [(None, None), (0.7, 1.3), (50.0, 90.0)])
+@pytest.mark.parametrize("band,width", [(None, None), (0.7, 1.3)])
 def test_intersections_of_polygons_with_holes_and_parts(spark, band, width):
     a, b = shapes(1, 6), shapes(2, 5)
     b[9] = [[[(100, 100), (101, 100), (101, 101)]]]
@@ -135,7 +135,7 @@ def test_published_examples(spark, p, lon, lat, x, y, near):
     assert abs(r.x - x) <= near and abs(r.y - y) <= near
 
 
-@pytest.mark.parametrize("code", [5070, 2276, 2277, 2278, 2279, 26914, 32633])
+@pytest.mark.parametrize("code", [5070, 2278, 26914])
 def test_projections_come_back(spark, code):
     p = projection.crs(code)
     rng = random.Random(code)
@@ -199,13 +199,13 @@ def test_dissolve_finds_outlines_and_holes(spark):
 
 def test_dissolve_of_a_long_snake(spark):
     """Rings of very different lengths: rounds follow the logarithm."""
-    snake = {(x, 2 * y): "s" for y in range(12) for x in range(30)} | {((29 if y % 2 == 0 else 0), 2 * y + 1): "s" for y in range(11)}
-    rings = overlay.dissolve(spark.createDataFrame(cells_of(snake), VERTICES + ", zone string"), "zone", max_rounds=14)
+    snake = {(x, 2 * y): "s" for y in range(6) for x in range(15)} | {((14 if y % 2 == 0 else 0), 2 * y + 1): "s" for y in range(5)}
+    rings = overlay.dissolve(spark.createDataFrame(cells_of(snake), VERTICES + ", zone string"), "zone", max_rounds=12)
     points = [(r.x, r.y) for r in rings.orderBy("ord").collect()]
     assert ring_area(points) == len(snake) and len(points) == 2 * len(snake) + 2
 
 
-@pytest.mark.parametrize("tolerance", [0.0, 0.01, 0.3])
+@pytest.mark.parametrize("tolerance", [0.0, 0.1])
 def test_near_pairs_equal_all_pairs(spark, tolerance):
     from freshet.operators import fingerprints
 
@@ -240,7 +240,7 @@ def test_near_pairs_equal_all_pairs(spark, tolerance):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("seed,diversions", [(0, 0), (1, 0), (2, 12), (3, 3)])
+@pytest.mark.parametrize("seed,diversions", [(0, 0), (2, 12)])
 def test_upstream_of_random_networks(spark, seed, diversions):
     """Long chains, trees, diversions and cycles against a walk."""
     from freshet.operators import network
