@@ -20,30 +20,34 @@ KNOWN = {
 
 
 class _At:
-    """A place in a document: a variant, the path from it, and how the place is called."""
+    """A place in a document: its variant with its kind and keys, worked out once, and how the place is called."""
 
-    def __init__(self, root: Column, path: str, name: Column):
-        self.root, self.path, self.name = root, path, name
+    def __init__(self, bound: Column, name: Column):
+        self.value, self.kind, self.keys, self.name = bound["v"], bound["kind"], bound["keys"], name
 
     def get(self, kind: str) -> Column:
-        return F.try_variant_get(self.root, self.path, kind)
+        return F.try_variant_get(self.value, "$", kind)
 
-    def key(self, key: str) -> _At:
-        return _At(self.root, f"{self.path}['{key}']", F.concat(self.name, F.lit(f".{key}")))
-
-    def kind(self) -> Column:
-        """object, array, string, number, integer, boolean, null, or a null where there is nothing."""
-        shape = F.schema_of_variant(self.get("variant"))
-        number = self.get("double")
-        return (
-            F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null")
-            .when(shape.isNotNull(), F.when(number == F.floor(number), "integer").otherwise("number"))
-        )
+    def key(self, key: str) -> tuple[Column, Column]:
+        return F.try_variant_get(self.value, f"$['{key}']", "variant"), F.concat(self.name, F.lit(f".{key}"))
 
     def says(self, broken: Column, problem: str) -> Column:
         return F.when(broken, F.concat(self.name, F.lit(f": {problem}")))
 
 
+def _bound(value: Column) -> Column:
+    """The variant with its kind (object, array, string, number, integer, boolean, null, or a null where there is nothing) and keys."""
+    shape = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    kind = (
+        F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null")
+        .when(shape.isNotNull(), F.when(number == F.floor(number), "integer").otherwise("number"))
+    )
+    keyed = F.struct(value.alias("v"), kind.alias("kind"))
+    keys = lambda z: F.when(z["kind"] == "object", F.map_keys(F.try_variant_get(z["v"], "$", "map<string,variant>")))
+    return F.element_at(F.transform(F.array(keyed), lambda z: F.struct(z["v"].alias("v"), z["kind"].alias("kind"), keys(z).alias("keys"))), 1)
+
+
 def _literal(value) -> tuple[str, Column]:
     """Kind and value of a constant of a schema."""
     if value is None:
@@ -60,10 +64,10 @@ def _literal(value) -> tuple[str, Column]:
 def _equals(at: _At, value) -> Column:
     kind, literal = _literal(value)
     if kind == "null":
-        return at.kind() == "null"
+        return at.kind == "null"
     if kind == "number":
-        return F.coalesce(at.kind().isin("number", "integer") & (at.get("double") == literal), F.lit(False))
-    return F.coalesce((at.kind() == kind) & (at.get(kind) == literal), F.lit(False))
+        return F.coalesce(at.kind.isin("number", "integer") & (at.get("double") == literal), F.lit(False))
+    return F.coalesce((at.kind == kind) & (at.get(kind) == literal), F.lit(False))
 
 
 def _none() -> Column:
@@ -80,7 +84,7 @@ def _broken(at: _At, schema, root: dict) -> list[Column]:
         raise ValueError(f"no rule for {sorted(odd)}")
     one: list[Column] = []
     more: list[Column] = []
-    kind = at.kind()
+    kind = at.kind
     number, text = kind.isin("number", "integer"), kind == "string"
     if "$ref" in schema:
         target = root
@@ -112,7 +116,7 @@ def _broken(at: _At, schema, root: dict) -> list[Column]:
     if schema.get("format") == "date-time":
         one.append(at.says(text & ~at.get("string").rlike(DATE_TIME), "not a date-time"))
     is_object, is_array = kind == "object", kind == "array"
-    keys = F.when(is_object, F.map_keys(at.get("map<string,variant>")))
+    keys = at.keys
     named = schema.get("properties", {})
     for key in schema.get("required", []):
         one.append(F.when(is_object & ~F.array_contains(keys, key), F.concat(at.name, F.lit(f".{key}: missing"))))
@@ -124,18 +128,17 @@ def _broken(at: _At, schema, root: dict) -> list[Column]:
         more.append(F.when(is_object, F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(at.name, F.lit("."), k, F.lit(": unknown")))))
     elif isinstance(extra, dict):
         pairs = F.filter(F.map_entries(at.get("map<string,variant>")), lambda e: ~F.array_contains(known, e["key"]))
-        more.append(F.when(is_object, F.flatten(F.transform(pairs, lambda e: _all(_At(e["value"], "$", F.concat(at.name, F.lit("."), e["key"])), extra, root)))))
+        more.append(F.when(is_object, F.flatten(F.transform(pairs, lambda e: _all(e["value"], F.concat(at.name, F.lit("."), e["key"]), extra, root)))))
     for key, sub in named.items():
-        child = at.key(key)
-        more.append(F.when(is_object & F.array_contains(keys, key), _all(child, sub, root)))
+        more.append(F.when(is_object & F.array_contains(keys, key), _all(*at.key(key), sub, root)))
     items = at.get("array<variant>")
-    place = lambda x, i: _At(x, "$", F.concat(at.name, F.lit("["), i.cast("string"), F.lit("]")))
+    place = lambda i: F.concat(at.name, F.lit("["), i.cast("string"), F.lit("]"))
     first = schema.get("prefixItems", [])
     for n, sub in enumerate(first):
-        inner = _At(at.root, f"{at.path}[{n}]", F.concat(at.name, F.lit(f"[{n}]")))
-        more.append(F.when(is_array & (F.size(items) > n), _all(inner, sub, root)))
+        inner = F.try_variant_get(at.value, f"$[{n}]", "variant"), F.concat(at.name, F.lit(f"[{n}]"))
+        more.append(F.when(is_array & (F.size(items) > n), _all(*inner, sub, root)))
     if "items" in schema and schema["items"] is not True:
-        rest = F.flatten(F.transform(items, lambda x, i: F.when(i >= len(first), _all(place(x, i), schema["items"], root)).otherwise(_none())))
+        rest = F.flatten(F.transform(items, lambda x, i: F.when(i >= len(first), _all(x, place(i), schema["items"], root)).otherwise(_none())))
         more.append(F.when(is_array, rest))
     if "minItems" in schema:
         one.append(at.says(is_array & (F.size(items) < schema["minItems"]), f"fewer than {schema['minItems']} items"))
@@ -146,7 +149,7 @@ def _broken(at: _At, schema, root: dict) -> list[Column]:
         one.append(at.says(is_array & (F.size(F.array_distinct(texts)) < F.size(texts)), "repeated items"))
     for sub in schema.get("allOf", []):
         more += _broken(at, sub, root)
-    fits = lambda sub: F.size(_all(at, sub, root)) == 0
+    fits = lambda sub: F.size(_joined(at, sub, root)) == 0
     for rule, least, most, problem in (("anyOf", 1, None, "fits none of the choices"), ("oneOf", 1, 1, "does not fit exactly one choice")):
         if rule in schema:
             n = sum((fits(sub).cast("int") for sub in schema[rule]), F.lit(0))
@@ -155,22 +158,26 @@ def _broken(at: _At, schema, root: dict) -> list[Column]:
         one.append(at.says(fits(schema["not"]), "fits what it must not"))
     if "if" in schema:
         then, other = schema.get("then", True), schema.get("else", True)
-        more.append(F.when(fits(schema["if"]), _all(at, then, root)).otherwise(_all(at, other, root)))
+        more.append(F.when(fits(schema["if"]), _joined(at, then, root)).otherwise(_joined(at, other, root)))
     return [*([F.array_compact(F.array(*one))] if one else []), *more]
 
 
-def _all(at: _At, schema, root: dict) -> Column:
+def _joined(at: _At, schema, root: dict) -> Column:
     parts = [F.coalesce(p, _none()) for p in _broken(at, schema, root)]
     return F.concat(*parts) if parts else _none()
 
 
+def _all(value: Column, name: Column, schema, root: dict) -> Column:
+    return F.element_at(F.transform(F.array(_bound(value)), lambda z: _joined(_At(z, name), schema, root)), 1)
+
+
 def check(documents: DataFrame, column: str, schema: dict, out: str = "violations") -> DataFrame:
     """documents with what the JSON text in ``column`` breaks of a contract: sorted, distinct 'path: problem', none for a good one.
 
     A null or malformed text is '$: malformed', one with a key twice in an object, at any depth, '$: repeated key'; neither is
     looked into. Numbers are compared as doubles. A rule that the compiler does not know raises when it is compiled.
     """
-    whole = _all(_At(F.col("_variant"), "$", F.lit("$")), schema, schema)
+    whole = _all(F.col("_variant"), F.lit("$"), schema, schema)
     unread = F.when(F.get_json_object(column, "$").isNotNull(), F.lit("$: repeated key")).otherwise(F.lit("$: malformed"))
     parsed = documents.withColumn("_variant", F.try_parse_json(column))  # a step of its own: every rule reads it
     found = F.when(F.col("_variant").isNull(), F.array(unread)).otherwise(F.array_sort(F.array_distinct(whole)))

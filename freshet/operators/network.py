@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LINKED = ("Subbasin", "Junction", "Reach", "Diversion")
 DIVERTING = "Diversion"
 MERGE = 16
+HOPS = 4
 FRONTIER = 100_000
 
 
@@ -36,21 +37,28 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
     """(target, node): every node upstream of each target, found by breadth-first rounds; cycles end and a chain longer
     than ``max_depth`` raises.
 
-    Each round joins the newest nodes only and drops those already found, so diamonds are walked once. While they are at
-    most ``FRONTIER`` rows they are broadcast, and the edges stay where they are; more are joined through a shuffle. A round
-    writes its new nodes; what was found before is rewritten once in ``MERGE`` rounds, to keep the plan short.
+    Each round follows ``HOPS`` edges from the newest nodes and drops those already found, so diamonds are walked once. While
+    they are at most ``FRONTIER`` rows they are broadcast, and the edges stay where they are; more are joined through a shuffle.
+    A round writes its new nodes; what was found before is rewritten once in ``MERGE`` rounds, to keep the plan short.
     """
     e = checkpointed(edge.select("src", "dst").distinct())
     new = checkpointed(targets.groupBy("target").agg(F.min("target").alias("node")))  # an alias would be carried on as a constraint by every round
-    parts, n = [new], new.count()
-    for _ in range(max_depth + 1):
+    parts, n, left = [new], new.count(), max_depth + 1
+    while left > 0:
         seen = reduce(DataFrame.union, parts)
-        step = (F.broadcast(new) if n <= FRONTIER else new).join(e, new.node == e.dst).select("target", F.col("src").alias("node")).distinct()
-        new = checkpointed(step.join(seen, ["target", "node"], "left_anti"))
-        n = new.count()
-        if not n:
-            return seen
+        hops, at = min(HOPS, left), F.broadcast(new) if n <= FRONTIER else new
+        found = []
+        for k in range(1, hops + 1):
+            at = at.join(e.toDF("src", "node"), "node").select("target", F.col("src").alias("node")).distinct()
+            found.append(at.withColumn("hop", F.lit(k)))
+        step = reduce(DataFrame.union, found).groupBy("target", "node").agg(F.min("hop").alias("hop"))
+        near = checkpointed(step.join(seen, ["target", "node"], "left_anti"))
+        n, far = near.agg(F.count("*"), F.max("hop")).first()
+        new = near.select("target", "node")
+        if not n or far < hops:
+            return seen.union(new)
         parts = [checkpointed(seen), new] if len(parts) >= MERGE else [*parts, new]
+        left -= hops
     raise RuntimeError(f"closure is not complete after {max_depth} rounds")
 
 
@@ -65,12 +73,14 @@ def owners(edge: DataFrame, stops: DataFrame) -> DataFrame:
     stop = stops.select("node").distinct().withColumn("stop", F.lit(True))
     state = nodes.join(way, F.col("node") == F.col("src"), "left").join(stop, "node", "left")
     state = checkpointed(state.select("node", F.when(F.col("stop"), F.col("node")).otherwise(F.col("dst")).alias("at"), (F.col("stop").isNotNull() | F.col("dst").isNull()).alias("done")))
-    for _ in range(max(1, state.count()).bit_length() + 1):
-        if state.where("not done").isEmpty():
+    n, open_ = state.agg(F.count("*"), F.count_if(~F.col("done"))).first()
+    for _ in range(n.bit_length() + 1):
+        if not open_:
             break
         ahead = state.select(F.col("node").alias("_p"), F.col("at").alias("_at"), F.col("done").alias("_done"))
         moved = state.where("not done").join(ahead, F.col("at") == F.col("_p")).select("node", F.col("_at").alias("at"), F.col("_done").alias("done"))
         state = checkpointed(state.where("done").union(moved))
+        open_ = state.where("not done").count()
     return state.where("done and at is not null").select("node", F.col("at").alias("owner"))
 
 
