@@ -70,6 +70,20 @@ def fatal(line: Column) -> Column:
     return out
 
 
+# Lines that report an error, the end of a run, and the end of a script with their codes.
+ERROR_LINE = r"^ERROR\s+\d+:\s+.+$"
+RUN_END = r"^End .+;\s+Exit status\s*=\s*(\d+)$"
+SCRIPT_END = r'NOTE 12573:\s+End script\s+"[^"]+";\s+Exit code\s+(\d+)'
+
+
+def fatal_runs(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, errors, exit_code, fatal of each run's lines(keys, pos, line): fatal with an error line, a code other than 0 or a
+    line that ``fatal`` names. The code is that of the first end of a run, else of a script, else -1, which is no failure."""
+    code = lambda pattern: F.min(F.when(F.col("line").rlike(pattern), F.struct("pos", F.regexp_extract("line", pattern, 1).cast("int").alias("code"))))["code"]
+    out = lines.groupBy(*keys).agg(F.count_if(F.col("line").rlike(ERROR_LINE)).alias("errors"), F.coalesce(code(RUN_END), code(SCRIPT_END), F.lit(-1)).alias("exit_code"), F.max(F.coalesce(fatal(F.col("line")), F.lit(False))).alias("_f"))
+    return out.select(*keys, "errors", "exit_code", ((F.col("errors") > 0) | ~F.col("exit_code").isin(0, -1) | F.col("_f")).alias("fatal"))
+
+
 def closed_keys(documents: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     """missing and unknown top-level keys of a JSON object column, and repeated, whether a key occurs twice; null JSON misses all."""
     keys = F.coalesce(F.json_object_keys(column), F.expr("cast(array() as array<string>)"))

@@ -62,6 +62,13 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
     raise RuntimeError(f"closure is not complete after {max_depth} rounds")
 
 
+def _jumped(state: DataFrame) -> DataFrame:
+    """state(node, at, done) with each pointer moved on to where the one it points to points."""
+    ahead = state.select(F.col("node").alias("_p"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+    moved = state.where("not done").join(ahead, F.col("at") == F.col("_p")).select("node", F.col("_at").alias("at"), F.col("_done").alias("done"))
+    return state.where("done").union(moved)
+
+
 def owners(edge: DataFrame, stops: DataFrame) -> DataFrame:
     """(node, owner): the first of stops(node) at or downstream of each node; nodes that reach none are left out.
 
@@ -77,9 +84,7 @@ def owners(edge: DataFrame, stops: DataFrame) -> DataFrame:
     for _ in range(n.bit_length() + 1):
         if not open_:
             break
-        ahead = state.select(F.col("node").alias("_p"), F.col("at").alias("_at"), F.col("done").alias("_done"))
-        moved = state.where("not done").join(ahead, F.col("at") == F.col("_p")).select("node", F.col("_at").alias("at"), F.col("_done").alias("done"))
-        state = checkpointed(state.where("done").union(moved))
+        state = checkpointed(_jumped(_jumped(state)))
         open_ = state.where("not done").count()
     return state.where("done and at is not null").select("node", F.col("at").alias("owner"))
 

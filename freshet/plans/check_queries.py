@@ -73,6 +73,20 @@ def fatal_lines(spark, sf):
     return table(spark, sf, "events").select("user_id", checks.fatal(line).alias("fatal")).groupBy("user_id", "fatal").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH l AS (SELECT user_id, event_id AS pos, event_id % 7 AS c, user_id % 5 AS u FROM events), r AS (SELECT user_id, any_value(u) AS u, count(*) FILTER (c = 1 AND u = 0) AS errors, arg_min(CASE WHEN c = 2 THEN 3 ELSE 0 END, pos) FILTER (c IN (2, 3) AND u = 1) AS ended, arg_min(c, pos) FILTER (c >= 4 AND u IN (1, 2)) AS script, count(*) FILTER (c = 5 AND u = 3) AS said FROM l GROUP BY user_id)
+SELECT user_id, errors, CAST(coalesce(ended, script, -1) AS INT) AS exit_code, errors > 0 OR coalesce(ended, script, -1) NOT IN (0, -1) OR said > 0 AS fatal FROM r"""
+)
+def run_failures(spark, sf):
+    """Errors, exit code and failure of each user's run, its lines in the order of the events."""
+    line = F.expr(
+        """case when user_id % 5 = 0 and event_id % 7 = 1 then 'ERROR 5:  cannot go on' when user_id % 5 = 1 and event_id % 7 = 2 then 'End Model 4.1 at noon; Exit status = 3'
+when user_id % 5 = 1 and event_id % 7 = 3 then 'End Model 4.1 at noon; Exit status = 0' when user_id % 5 in (1, 2) and event_id % 7 >= 4 then concat('NOTE 12573:  End script "a"; Exit code ', event_id % 7)
+when user_id % 5 = 3 and event_id % 7 = 5 then 'then: Error during computation' else 'no ERROR 5: of its own' end"""
+    )
+    return checks.fatal_runs(table(spark, sf, "events").select("user_id", F.col("event_id").alias("pos"), line.alias("line")), ["user_id"])
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS n_missing, count(*) FILTER (event_id % 4 = 0) AS n_unknown FROM events")
 def closed_keys(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.expr("if(event_id % 3 = 0, '{', '{\"a\": 1, ')"), F.expr("if(event_id % 4 = 0, '\"c\": 2, ', '')"), F.lit('"b": 0}')).alias("j"))
@@ -131,13 +145,13 @@ def curve_totals(spark, sf):
 
 
 def supplier_text(spark, sf):
-    """A text file for each nation, with a block for each of its suppliers."""
+    """Text files of bounded size: a block for each supplier of a nation and a thousand of keys."""
     one = F.concat(F.lit("Supplier: "), "s_name", F.lit("\n     Balance: "), F.col("s_acctbal").cast("string"), F.lit("\n     Tier: "), F.expr("if(s_acctbal > 5000, 'high', '')"), F.lit("\nEnd:\n"))
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("file"), "s_suppkey", one.alias("t"))
+    s = table(spark, sf, "supplier").select(F.expr("concat(s_nationkey, '-', s_suppkey div 1000)").alias("file"), "s_suppkey", one.alias("t"))
     return s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "t"))), lambda x: x["t"]), "\n").alias("content"))
 
 
-@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS ordinal, s_name AS name, s_acctbal AS balance, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE '' END AS tier FROM supplier")
+@query("SELECT s_nationkey || '-' || s_suppkey // 1000 AS file, row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 1000 ORDER BY s_suppkey) AS ordinal, s_name AS name, s_acctbal AS balance, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE '' END AS tier FROM supplier")
 def block_scan(spark, sf):
     from ..sources import text
 

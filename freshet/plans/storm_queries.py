@@ -110,8 +110,11 @@ def frequency_vector(spark, sf):
 # --- model text ---
 
 
+FILE, SQL_FILE = "concat(s_nationkey, '-', s_suppkey div 1000)", "s_nationkey || '-' || s_suppkey // 1000"
+
+
 def basin_files(spark, sf):
-    """A basin file for each nation: its suppliers as subbasins, every third one followed by a reach."""
+    """Basin files of bounded size, one for a nation and a thousand of keys: suppliers as subbasins, every third one followed by a reach."""
     s = table(spark, sf, "supplier")
     line = lambda key, v: F.concat(F.lit(f"     {key}: "), v, F.lit("\n"))
     num = lambda e: F.expr(f"cast({e} as string)")
@@ -121,7 +124,7 @@ def basin_files(spark, sf):
         loss, line("Transform", F.lit("Clark")), line("Time of Concentration", num("s_suppkey % 4 + 0.25d")), line("Impervious Area", F.lit("2.0")), F.lit("End:\n"),
     )
     reach = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("\nReach: R"), num("s_suppkey"), F.lit("\n     Downstream: none\nEnd:\n"))).otherwise("")
-    each = s.select(F.col("s_nationkey").cast("string").alias("file"), F.struct("s_suppkey", F.concat(sub, reach).alias("t")).alias("z"))
+    each = s.select(F.expr(FILE).alias("file"), F.struct("s_suppkey", F.concat(sub, reach).alias("t")).alias("z"))
     return each.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("z")), lambda x: x["t"]), "\n").alias("content"))
 
 
@@ -129,12 +132,12 @@ def basin_blocks(spark, sf):
     return text.blocks(text.lines(basin_files(spark, sf)))
 
 
-@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, count(*) AS n_subbasins, count(*) FILTER (s_suppkey % 3 = 0) AS n_reaches, sum(s_suppkey % 50 + 0.5)::DOUBLE AS total_area, sum(s_suppkey % 50 + 2.5)::DOUBLE AS total_area_compat, CASE WHEN bool_or(s_suppkey % 2 = 0) THEN 'SCS' ELSE '' END AS loss_methods, 'Clark' AS transform_methods FROM supplier GROUP BY 1")
+@query(f"SELECT {SQL_FILE} AS file, count(*) AS n_subbasins, count(*) FILTER (s_suppkey % 3 = 0) AS n_reaches, sum(s_suppkey % 50 + 0.5)::DOUBLE AS total_area, sum(s_suppkey % 50 + 2.5)::DOUBLE AS total_area_compat, CASE WHEN bool_or(s_suppkey % 2 = 0) THEN 'SCS' ELSE '' END AS loss_methods, 'Clark' AS transform_methods FROM supplier GROUP BY 1")
 def basin_summary(spark, sf):
     return params.basin_summary(basin_blocks(spark, sf)).select("file", "n_subbasins", "n_reaches", "total_area", "total_area_compat", "loss_methods", "transform_methods")
 
 
-@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, s_name AS name, (s_suppkey % 50 + 0.5)::DOUBLE AS area, CAST(s_suppkey // 10 AS VARCHAR) AS downstream, CASE WHEN s_suppkey % 2 = 0 THEN 'SCS' ELSE 'Deficit' END AS loss_method, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey % 7.0 END::DOUBLE AS initial_deficit, CASE WHEN s_suppkey % 2 = 0 THEN 60.0 + s_suppkey % 30 END::DOUBLE AS curve_number, (s_suppkey % 4 + 0.25)::DOUBLE AS time_of_concentration, s_suppkey * 1.5::DOUBLE AS canvas_x, NULL::DOUBLE AS canvas_y, NULL::DOUBLE AS snyder_tp FROM supplier")
+@query(f"SELECT {SQL_FILE} AS file, s_name AS name, (s_suppkey % 50 + 0.5)::DOUBLE AS area, CAST(s_suppkey // 10 AS VARCHAR) AS downstream, CASE WHEN s_suppkey % 2 = 0 THEN 'SCS' ELSE 'Deficit' END AS loss_method, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey % 7.0 END::DOUBLE AS initial_deficit, CASE WHEN s_suppkey % 2 = 0 THEN 60.0 + s_suppkey % 30 END::DOUBLE AS curve_number, (s_suppkey % 4 + 0.25)::DOUBLE AS time_of_concentration, s_suppkey * 1.5::DOUBLE AS canvas_x, NULL::DOUBLE AS canvas_y, NULL::DOUBLE AS snyder_tp FROM supplier")
 def subbasin_detail(spark, sf):
     return params.subbasin_detail(basin_blocks(spark, sf)).select("file", "name", "area", "downstream", "loss_method", "initial_deficit", "curve_number", "time_of_concentration", "canvas_x", "canvas_y", "snyder_tp")
 
@@ -184,10 +187,10 @@ def depth_duration_table(spark, sf):
     return out.withColumn("duration", F.col("duration").cast("long")).withColumn("depth", F.round("depth", 3))
 
 
-@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, CAST(min(s_suppkey * 1.5) AS DOUBLE) AS x0, CAST(max(s_suppkey * 1.5) AS DOUBLE) AS x1, CAST(min(s_suppkey % 11 * 2.0) AS DOUBLE) AS y0, CAST(max(s_suppkey % 11 * 2.0) AS DOUBLE) AS y1 FROM supplier GROUP BY 1")
+@query(f"SELECT {SQL_FILE} AS file, CAST(min(s_suppkey * 1.5) AS DOUBLE) AS x0, CAST(max(s_suppkey * 1.5) AS DOUBLE) AS x1, CAST(min(s_suppkey % 11 * 2.0) AS DOUBLE) AS y0, CAST(max(s_suppkey % 11 * 2.0) AS DOUBLE) AS y1 FROM supplier GROUP BY 1")
 def element_bounds(spark, sf):
     s = table(spark, sf, "supplier")
-    lines = s.select(F.col("s_nationkey").cast("string").alias("file"), "s_suppkey", F.posexplode(F.array(F.concat(F.lit("Junction: "), "s_name"), F.expr("concat('     Canvas X: ', s_suppkey * 1.5d)"), F.expr("concat('     Canvas Y: ', s_suppkey % 11 * 2d)"), F.lit("End:"))).alias("p", "line"))
+    lines = s.select(F.expr(FILE).alias("file"), "s_suppkey", F.posexplode(F.array(F.concat(F.lit("Junction: "), "s_name"), F.expr("concat('     Canvas X: ', s_suppkey * 1.5d)"), F.expr("concat('     Canvas Y: ', s_suppkey % 11 * 2d)"), F.lit("End:"))).alias("p", "line"))
     files = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "p", "line"))), lambda x: x["line"]), "\n").alias("content"))
     return text.bounds(text.element_points(files), ["file"])
 
