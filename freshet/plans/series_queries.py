@@ -182,9 +182,10 @@ def linear_handoff(spark, sf):
     return series.linear_handoff(s, mappings(spark)).groupBy("mapping_id", "source", "target").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query(f"SELECT target, count(*) AS n, count(DISTINCT (source, m, b)) AS signatures FROM {SQL_MAPPINGS} GROUP BY target HAVING count(DISTINCT (source, m, b)) > 1")
+@query("SELECT o_custkey AS target, count(*) AS n, count(DISTINCT (o_orderpriority, o_orderkey % 3, o_orderstatus)) AS signatures FROM orders GROUP BY 1 HAVING count(DISTINCT (o_orderpriority, o_orderkey % 3, o_orderstatus)) > 1")
 def collision_check(spark, sf):
-    return series.collisions(mappings(spark))
+    """Customers that orders with different priorities, factors or states write to."""
+    return series.collisions(table(spark, sf, "orders").selectExpr("o_custkey as target", "o_orderpriority as source", "o_orderkey % 3 as m", "o_orderstatus as b"))
 
 
 def rain(spark, sf):

@@ -84,6 +84,20 @@ def pattern_storm(spark, sf):
     return rounded(hyetograph.pattern_storm(s, w, 12), "incremental_depth", "cumulative_depth")
 
 
+@query(
+    """WITH w AS (SELECT j, CASE WHEN 2 * j <= 16 THEN 2 * j + 1 ELSE 33 - 2 * j END + CASE WHEN 2 * j + 1 <= 16 THEN 2 * j + 2 ELSE 32 - 2 * j END AS p FROM range(12) AS r(j)),
+v AS (SELECT i, p / sum(p) OVER () AS v FROM (SELECT i, p FROM range(12) AS r(i) JOIN w ON j = least(i + 5, 11))),
+d AS (SELECT s_suppkey, s_suppkey % 9 + 1 AS depth FROM supplier)
+SELECT s_suppkey AS storm_id, CAST(i + 1 AS INT) AS i, (i + 1) * 0.5::DOUBLE AS hour, round(v * depth, 6) AS incremental_depth, round(depth * sum(v) OVER (PARTITION BY s_suppkey ORDER BY i), 6) AS cumulative_depth FROM d, v
+UNION ALL SELECT s_suppkey, 0, 0.0, 0.0, 0.0 FROM d"""
+)
+def pattern_storm_shifted(spark, sf):
+    """A pattern of 24 steps resampled to twelve, its peak moved from 67 to 33 percent."""
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey as storm_id", "s_suppkey % 9 + 1d as depth", "30 as interval_min", "33d as peak_pct")
+    w = s.select("storm_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).withColumn("weight", F.expr("if(i <= 16, i + 1, 33 - i) / 305d"))
+    return rounded(hyetograph.pattern_storm(s, w, 12), "incremental_depth", "cumulative_depth")
+
+
 SQL_EMPIRICAL = "(VALUES (0, 0.0), (20, 30.0), (40, 25.0), (60, 70.0), (80, 69.0), (100, 100.0)) AS t(x, y)"
 
 

@@ -66,3 +66,11 @@ def test_outflows_that_cannot_be(spark):
     curve = {"x": [0.0, 10.0, 20.0], "c": [[0.0, 0.0], [0.0, 0.0], [1.0, -9.0], [0.0, 10.0]], "low": 0.0, "high": 20.0, "initial": 9.0}
     with pytest.raises(Exception, match="negative or not finite outflow"):
         routing.route(rows.withColumn("value", rows.value * 10), "k", curve).collect()
+
+
+def test_folded_sort_orders_rows(spark):
+    from freshet.operators import params
+
+    names = ["beta", "Alpha", "ALPHA", "alpha", "Beta", "gamma", "GAMMA", "delta"]
+    got = [r.name for r in params.folded_order(spark.createDataFrame([(n,) for n in names], "name string").repartition(3), "name").collect()]
+    assert got == sorted(names, key=lambda n: (n.lower(), n))
