@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import hyetograph
-from ..operators import checks, contracts, geometry, network, overlay
+from ..operators import checks, contracts, digests, geometry, network, overlay
 from .model_queries import log_table
 from .registry import query, table
 from .series_queries import samples
@@ -104,6 +104,16 @@ def content_digest(spark, sf):
     return checks.content_digest(li, ["l_shipmode"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query(
+    """WITH v AS (SELECT user_id, ts, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events), b AS (SELECT *, len(bin(v)) - 1 AS e FROM v),
+h AS (SELECT user_id, ts, event_id, printf('%016x', CASE WHEN v = 0 THEN 0 ELSE (1023 + e)::BIGINT * 4503599627370496 + (v - (1::BIGINT << e::INT)) * (1::BIGINT << (52 - e)::INT) END) AS h FROM b)
+SELECT user_id, count(*) AS n, sha256(unhex(string_agg(array_to_string(list_reverse(regexp_extract_all(h, '..')), ''), '' ORDER BY ts, event_id))) AS ordinate_sha256, sha256(string_agg(strftime(ts, '%Y-%m-%dT%H:%M:%S'), chr(10) ORDER BY ts, event_id)) AS timestamp_sha256 FROM h GROUP BY user_id"""
+)
+def series_digest(spark, sf):
+    """Digests of each user's series, in hundredths, byte for byte."""
+    return digests.series_digests(samples(spark, sf).withColumn("value", F.round(F.col("value") * 100)), ["user_id"], "event_id")
+
+
 def squares(spark, sf):
     """A square for each supplier, as vertices."""
     s = table(spark, sf, "supplier").selectExpr("s_suppkey as id", "s_suppkey % 7 * 3d as x", "s_suppkey % 5 * 4d as y")

@@ -74,3 +74,26 @@ def test_folded_sort_orders_rows(spark):
     names = ["beta", "Alpha", "ALPHA", "alpha", "Beta", "gamma", "GAMMA", "delta"]
     got = [r.name for r in params.folded_order(spark.createDataFrame([(n,) for n in names], "name string").repartition(3), "name").collect()]
     assert got == sorted(names, key=lambda n: (n.lower(), n))
+
+
+def test_digests_of_known_bytes(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from freshet.operators import digests
+
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 59, 500_000)
+    series = {"a": [1.0, -2.5, None, 1e300], None: [0.0], "long": [float(k) / 3 for k in range(30_000)]}
+    rows = [(k, t0 + dt.timedelta(hours=i), v, "x") for k, vs in series.items() for i, v in enumerate(vs)]
+    random.Random(1).shuffle(rows)
+    got = {r.k: r for r in digests.series_digests(spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double, n string"), ["k"]).collect()}
+    for k, vs in series.items():
+        assert got[k].n == len(vs)
+        assert got[k].ordinate_sha256 == hashlib.sha256(np.array([np.nan if v is None else v for v in vs], "<f8").tobytes()).hexdigest()
+        stamps = "\n".join((t0 + dt.timedelta(hours=i)).isoformat(timespec="seconds") for i in range(len(vs)))
+        assert got[k].timestamp_sha256 == hashlib.sha256(stamps.encode()).hexdigest()
+    text = ['{"b": 1, "a": {"ü": [1.50, null]}}', "{", None]
+    seen = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").orderBy("i").select(digests.canonical_sha256(F.col("t")).alias("d")).collect()]
+    assert seen == [hashlib.sha256(json.dumps(json.loads(text[0]), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest(), None, None]
