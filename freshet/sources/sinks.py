@@ -99,12 +99,42 @@ def collection(features: DataFrame, limit: int = 100_000) -> DataFrame:
     return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("feature")), ","), F.lit("]}")).alias("content"))
 
 
+PRODUCT = "freshet/product/1"
+
+
+def assets(spark, path: str) -> DataFrame:
+    """(href, size_bytes, sha256) of the data files below a folder, hrefs relative to it; each file is hashed where it is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    root = f"/{path.rstrip('/').rsplit('/', 1)[-1]}/"
+    return files.select(F.substring_index("path", root, -1).alias("href"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest(df: DataFrame, summary: DataFrame, files: DataFrame) -> DataFrame:
+    """(content): one JSON document on a product: its span, columns, rows, how many series qualify, and every file with size and hash.
+
+    A series qualifies when its summary row has no false among its boolean columns. The document lists files, not rows.
+    """
+    flags = [f.name for f in summary.schema.fields if f.dataType.typeName() == "boolean"]
+    good = F.lit(True)
+    for c in flags:
+        good = good & F.coalesce(F.col(c), F.lit(False))
+    span = df.agg(F.date_format(F.min("time"), "yyyy-MM-dd'T'HH:mm:ss").alias("start"), F.date_format(F.max("time"), "yyyy-MM-dd'T'HH:mm:ss").alias("end"), F.count("*").alias("rows"))
+    status = summary.agg(F.count("*").alias("series"), F.count_if(good).alias("qualified"))
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("href", "size_bytes", "sha256"))).alias("assets"))
+    columns = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in df.dtypes])
+    doc = F.struct(F.lit(PRODUCT).alias("schema"), F.struct("start", "end").alias("time"), F.col("rows"), columns.alias("columns"), F.struct("series", "qualified", (F.col("series") == F.col("qualified")).alias("all_qualified")).alias("status"), F.col("assets"))
+    return span.join(status).join(listed).select(F.to_json(doc).alias("content"))  # one row each
+
+
 def write_product(df: DataFrame, summary: DataFrame, path: str) -> None:
-    """Long table sorted by (time, mapping_id) and its qualification, staged and then renamed, so readers see all or nothing."""
-    sc = df.sparkSession.sparkContext
+    """Long table sorted by (time, mapping_id), its qualification and a manifest of both, staged and then renamed, so readers see
+    all or nothing."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     stage = f"{path}-{uuid.uuid4()}"
     df.orderBy("time", "mapping_id").write.parquet(f"{stage}/series")
     summary.write.parquet(f"{stage}/qualification")
+    manifest(spark.read.parquet(f"{stage}/series"), spark.read.parquet(f"{stage}/qualification"), assets(spark, stage)).write.text(f"{stage}/manifest")
     hadoop = sc._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -113,6 +143,16 @@ def write_product(df: DataFrame, summary: DataFrame, path: str) -> None:
         raise Rejected(f"{path} exists")
 
 
+def product_problems(spark, path: str) -> DataFrame:
+    """(href, problem) of a product's files: missing, changed since the manifest was written, or not in it."""
+    shape = "assets array<struct<href:string,size_bytes:bigint,sha256:string>>"
+    said = spark.read.text(f"{path}/manifest").select(F.explode(F.from_json("value", shape)["assets"]).alias("a")).select("a.href", F.col("a.size_bytes").alias("_n"), F.col("a.sha256").alias("_s"))
+    there = assets(spark, path)
+    both = said.join(there, "href", "full")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("_s").isNull(), "not in the manifest").when((F.col("_n") != F.col("size_bytes")) | (F.col("_s") != F.col("sha256")), "changed")
+    return both.select("href", problem.alias("problem")).where("problem is not null")
+
+
 def digest(df: DataFrame) -> str:
     """Order-free fingerprint of a table: row count and a sum of row hashes."""
     cols = sorted(df.columns)

@@ -99,3 +99,36 @@ def test_features_keep_parts_and_holes(spark):
         got.setdefault(r.id, []).append((r.part, r.ring, r.ord, r.x, r.y))
     want = [FRAME, FRAME[:1], [[FRAME[0][0]], [FRAME[0][1]]], [[FRAME[0][0]]], [[[(1, 2)]], [[(3, 4)]]], [[[(5, 6)]]]]
     assert {k: sorted(v) for k, v in got.items()} == {k: flat(w) for k, w in enumerate(want)}
+
+
+def test_products_have_a_manifest(spark, tmp_path):
+    import datetime as dt
+    import glob
+    import hashlib
+    import os
+
+    from freshet.sources import sinks
+
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=h), m, float(h)) for h in range(6) for m in (2, 1)], "time timestamp_ntz, mapping_id int, value double")
+    summary = spark.createDataFrame([(1, True, True), (2, True, False)], "mapping_id int, valid boolean, recedes boolean")
+    path = str(tmp_path / "product")
+    sinks.write_product(df, summary, path)
+    doc = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    assert doc["time"] == {"start": "2024-01-01T00:00:00", "end": "2024-01-01T05:00:00"} and doc["rows"] == 12
+    assert doc["status"] == {"series": 2, "qualified": 1, "all_qualified": False} and [c["name"] for c in doc["columns"]] == ["time", "mapping_id", "value"]
+    files = {os.path.relpath(f, path): f for f in glob.glob(f"{path}/*/*.parquet")}
+    assert {a["href"] for a in doc["assets"]} == set(files)
+    for a in doc["assets"]:
+        raw = open(files[a["href"]], "rb").read()
+        assert (a["size_bytes"], a["sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert sinks.product_problems(spark, path).count() == 0
+    with pytest.raises(sinks.Rejected):
+        sinks.write_product(df, summary, path)
+    first, second = sorted(files)[:2]
+    os.rename(files[first], files[first].replace("part-", "other-"))
+    with open(files[second], "ab") as f:
+        f.write(b"x")
+    os.remove(os.path.join(os.path.dirname(files[second]), f".{os.path.basename(files[second])}.crc"))  # the local file system's own check
+    got = {r.href: r.problem for r in sinks.product_problems(spark, path).collect()}
+    assert got == {first: "missing", first.replace("part-", "other-"): "not in the manifest", second: "changed"}
