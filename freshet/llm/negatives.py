@@ -21,6 +21,7 @@ SAMPLE = 4096
 LEAF = 64
 GROUP = 16
 ANCHORS = 1024
+ROUTED = 8192
 LOWEST, HIGHEST = -(2**62), 2**62
 
 
@@ -251,16 +252,20 @@ class Index:
                     windows = Windows(low, high, np.full(low.shape, LOWEST), k)
                     dual_search(BoxTree(sample[2], sample[1], LEAF), sample, (ids, labels, v), windows, same)
                     groups = BoxTree(v, labels, GROUP)
-                    pairs = []
                     for g, (x, y) in enumerate(zip(groups.cuts[-1].tolist(), groups.ends[-1].tolist())):
+                        own = groups.order[x:y]
                         lo, hi = box_bounds(groups.low[-1][g][None].astype(float), groups.high[-1][g][None].astype(float), clo[some], chi[some])
-                        ok = windows.wants(groups.order[x:y], lo[0] - 1 - 1e-9 * np.abs(lo[0]), hi[0] + 1 + 1e-9 * np.abs(hi[0]))
-                        pairs += [(r, c, h) for c in some[ok].tolist() for h in range(int(chunks[c])) for r in groups.order[x:y].tolist()]
-                    for s in range(0, len(pairs), 8192):
-                        r, c, h = (np.array(z, np.int64) for z in zip(*pairs[s : s + 8192]))
-                        out = p.take(pa.array(r))
-                        floor = pa.array(windows.floor[r].tolist(), pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(h, pa.int32()), pa.array(np.ones(len(r)), pa.int32()), *out.columns, floor], names=FIELDS)
+                        wanted = some[windows.wants(own, lo[0] - 1 - 1e-9 * np.abs(lo[0]), hi[0] + 1 + 1e-9 * np.abs(hi[0]))]
+                        floors = pa.array(windows.floor[own].tolist(), pa.list_(pa.int64()))
+                        # a row for each chunk of each cell and anchor of the group, in batches of ROUTED
+                        cell, chunk = np.repeat(wanted, chunks[wanted]), np.arange(chunks[wanted].sum()) - np.repeat(np.cumsum(chunks[wanted]) - chunks[wanted], chunks[wanted])
+                        step = max(1, ROUTED // len(own))
+                        for s in range(0, len(cell), step):
+                            c, h = cell[s : s + step], chunk[s : s + step]
+                            r = np.tile(np.arange(len(own)), len(c))
+                            out = p.take(pa.array(own[r]))
+                            places = [pa.array(np.repeat(z, len(own)), pa.int32()) for z in (c, h)]
+                            yield pa.RecordBatch.from_arrays([*places, pa.array(np.ones(len(r)), pa.int32()), *out.columns, floors.take(pa.array(r))], names=FIELDS)
 
         return anchors.select("vec_id", "label", "v", "low", "high").mapInArrow(run, "cell int, chunk int, kind int, vec_id long, label long, v array<long>, low array<long>, high array<long>, floor array<long>")
 
