@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 from . import overlay
 
 
-def within(points: DataFrame, vertices: DataFrame, band: float, boundary: str = "half-open") -> DataFrame:
+def within(points: DataFrame, vertices: DataFrame, band: float | None = None, boundary: str = "half-open") -> DataFrame:
     """(point, id) for points(point, px, py) inside polygons, holes left out, by crossings of a ray to the right.
 
-    Sides and points meet in bands of y, so a point sees only the sides that its ray could cross. ``boundary`` says what counts
+    Sides and points meet in bands of y (by default as high as a side is on average), so a point sees only the sides that its
+    ray could cross. ``boundary`` says what counts
     for a point on a side: 'half-open' (in for the lower and left ones, so that areas that share a side share no point),
     'covers' (in) or 'contains' (out). Points without coordinates are in no polygon.
     """
     if boundary not in ("half-open", "covers", "contains"):
         raise ValueError(boundary)
     s = overlay.sides(vertices, level=boundary != "half-open")
+    if band is None:
+        band = overlay.scale(s)[0]
     s = s.withColumn("band", F.explode(F.sequence(F.floor(F.col("y1") / band), F.floor(F.col("y2") / band))))
     p = points.withColumn("band", F.floor(F.col("py") / band))
     px, py, x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))

@@ -260,3 +260,19 @@ def test_upstream_of_random_networks(spark, seed, diversions):
             reach |= set(new)
         want += [(t, s, k) for s, k, d in edge if d in reach and t is not None]
     assert got == sorted(want)
+
+
+def test_sizes_follow_the_data(spark):
+    """Without a bucket or band size the results are the same."""
+    from freshet.operators import transfer
+
+    rng = random.Random(8)
+    v = spark.createDataFrame(rows_of(shapes(3, 5)), VERTICES)
+    p = spark.createDataFrame([(i, rng.uniform(-2, 15), rng.uniform(-2, 15)) for i in range(150)], "point int, px double, py double")
+    assert {tuple(r) for r in geometry.within(p, v).collect()} == {tuple(r) for r in geometry.within(p, v, 2.5).collect()}
+    points = p.select("point", F.col("px").alias("x"), F.col("py").alias("y"))
+    for n in (1, 2, 60):
+        t = [(i, rng.uniform(0, 9), rng.uniform(0, 9) if n != 2 else 4.0) for i in range(n)]
+        got = {r.point: r.tid for r in transfer.nearest(points, spark.createDataFrame(t, "tid long, tx double, ty double")).collect()}
+        want = {r.point: min(t, key=lambda q: (math.dist((r.px, r.py), q[1:]), q[0]))[0] for r in p.collect()}
+        assert got == want
