@@ -13,9 +13,14 @@ LINKED = ("Subbasin", "Junction", "Reach", "Diversion")
 DIVERTING = "Diversion"
 MERGE = 16
 HOPS = 4
+SHALLOW = 15
 FRONTIER = 100_000
 
 
+class Deep(RuntimeError):
+    """A chain is longer than the rounds allowed."""
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage in spark.checkpoint.dir; only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext
@@ -59,7 +64,7 @@ def closure(edge: DataFrame, targets: DataFrame, max_depth: int = 10_000) -> Dat
             return seen.union(new)
         parts = [checkpointed(seen), new] if len(parts) >= MERGE else [*parts, new]
         left -= hops
-    raise RuntimeError(f"closure is not complete after {max_depth} rounds")
+    raise Deep(f"closure is not complete after {max_depth} rounds")
 
 
 def _jumped(state: DataFrame) -> DataFrame:
@@ -106,11 +111,17 @@ def upstream(edge: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, name, kind): a row for each edge whose head is the target or upstream of it, so an element with two
     such edges is listed twice and a cycle lists the target itself.
 
-    Every node belongs to the first target or diversion downstream of it (see owners). What lies upstream of a target are
+    A network of at most ``SHALLOW`` levels above the targets is walked in a few rounds. In a deeper one
+    every node belongs to the first target or diversion downstream of it (see owners). What lies upstream of a target are
     the nodes of those that lie upstream of it, so only these few are followed: by doubling, or by breadth-first rounds
     where there are diversions.
     """
     edge = checkpointed(edge)
+    try:
+        c = closure(edge, targets.select("target").where("target is not null").distinct(), SHALLOW)
+        return edge.join(c, edge.dst == c.node).select("target", F.col("src").alias("name"), F.col("src_type").alias("kind"))
+    except Deep:
+        pass
     split = edge.groupBy("src").agg(F.countDistinct("dst").alias("ways")).where("ways > 1").select(F.col("src").alias("node"))
     split = checkpointed(split)
     wanted = targets.select("target").where("target is not null").distinct()
