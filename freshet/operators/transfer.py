@@ -98,27 +98,35 @@ def distance_metrics(df: DataFrame, keys: list[str], d: str = "distance") -> Dat
     return out.join(p.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left").drop(*[f"_{k}" for k in keys])
 
 
-def nearest(points: DataFrame, targets: DataFrame, size: float | None = None, rings: int = 1) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, size: float | None = None, rings: int = 1, dense: int = 256) -> DataFrame:
     """Every row of points(x, y, ...) with tid and distance of the nearest of targets(tid, tx, ty), ties by tid.
 
     A point meets the targets of the grid buckets around its own; a hit within ``rings * size`` is certain to be the
     nearest. Points without one go on to rings twice as wide, until none is left or the rings hold every target. Without a
-    size, buckets hold about eight targets if these are spread evenly. Repeated
-    points each come back; a point with a null coordinate, or any point without targets, has nulls.
+    size, buckets hold about eight targets if these are spread evenly; where one holds more than ``dense`` places, a quadtree
+    takes the grid's place, in which a point meets a few small leaves however dense the targets are. Repeated
+    points each come back; a point with a null or NaN coordinate, or any point without targets, has nulls.
     """
+    from . import spatial
     from .network import checkpointed
 
     lost = [F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("distance")]
-    targets = targets.where("tx is not null and ty is not null")
+    targets = targets.where("tx is not null and ty is not null and not isnan(tx) and not isnan(ty)")
     bounds = targets.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty"), F.count("*")).first()
-    seen = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    placed = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    seen = points.where(placed).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if bounds[0] is None or seen[0] is None or seen[2] is None:
         return points.select("*", *lost)
     reach = math.hypot(max(bounds[1], seen[1]) - min(bounds[0], seen[0]), max(bounds[3], seen[3]) - min(bounds[2], seen[2]))
     if size is None:
         size = math.sqrt((bounds[1] - bounds[0]) * (bounds[3] - bounds[2]) * 8 / bounds[4]) or max(bounds[1] - bounds[0], bounds[3] - bounds[2]) * 8 / bounds[4] or 1.0
     rows = checkpointed(points.select(F.monotonically_increasing_id().alias("k"), F.struct("*").alias("row")))  # numbers that stay the same
-    left = rows.select("k", F.col("row.x").alias("x"), F.col("row.y").alias("y")).where("x is not null and y is not null")
+    left = rows.select("k", F.col("row.x").alias("x"), F.col("row.y").alias("y")).where(placed)
+    cell = lambda c: F.floor(F.col(c) / size)
+    fullest = targets.select("tx", "ty").distinct().groupBy(cell("tx"), cell("ty")).count().agg(F.max("count")).first()[0]
+    if fullest > dense:
+        out = spatial.nearest(left, targets)
+        return rows.join(out.select("k", "tid", "distance"), "k", "left").select("row.*", "tid", "distance")
     found = []
     while True:
         b = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import transfer_maps
+from ..operators import transfer, transfer_maps
 from .geometry_queries import SHARED, SUPPLIER, frames, shapes, sql_shapes
 from .registry import query, table
 
@@ -82,3 +82,15 @@ def transfer_map_check(spark, sf):
     c = c.join(s.select("subbasin", F.col("multiplier").alias("own")), "subbasin", "left")
     c = c.selectExpr("cell_id", "row_index", "column_index", "subbasin", "area", "if(subbasin is null, if(cell_id % 45 = 0, 0.5d, 0d), coalesce(own, 1d) * if(cell_id % 29 = 0, 1.5d, 1d)) as multiplier")
     return transfer_maps.check_map(c, s, customer.count() // 50, 50, CELL)
+
+
+@query(
+    """WITH t AS (SELECT c_custkey AS tid, CAST(CASE WHEN c_custkey % 20 = 0 THEN c_custkey % 97 ELSE 50 + c_custkey % 1021 * 0.000001 END AS DOUBLE) AS tx, CAST(CASE WHEN c_custkey % 20 = 0 THEN c_custkey % 89 ELSE 50 + c_custkey % 1013 * 0.000001 END AS DOUBLE) AS ty FROM customer),
+p AS (SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 101 * 0.97 ELSE 50 + o_orderkey % 2003 * 0.0000007 END AS DOUBLE) AS x, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 103 * 0.93 ELSE 50 + o_orderkey % 1999 * 0.0000006 END AS DOUBLE) AS y FROM orders)
+SELECT p.id, round(min(sqrt((p.x - t.tx) ** 2 + (p.y - t.ty) ** 2)), 9) AS distance FROM p, t GROUP BY p.id"""
+)
+def nearest_in_one_spot(spark, sf):
+    """Distance of each order's point to the nearest of the customers', nearly all of which lie in one spot."""
+    t = table(spark, sf, "customer").selectExpr("c_custkey as tid", "double(if(c_custkey % 20 = 0, c_custkey % 97, 50 + c_custkey % 1021 * 0.000001bd)) as tx", "double(if(c_custkey % 20 = 0, c_custkey % 89, 50 + c_custkey % 1013 * 0.000001bd)) as ty")
+    p = table(spark, sf, "orders").selectExpr("o_orderkey as id", "double(if(o_orderkey % 3 = 0, o_orderkey % 101 * 0.97bd, 50 + o_orderkey % 2003 * 0.0000007bd)) as x", "double(if(o_orderkey % 3 = 0, o_orderkey % 103 * 0.93bd, 50 + o_orderkey % 1999 * 0.0000006bd)) as y")
+    return transfer.nearest(p, t, dense=64).select("id", F.round("distance", 9).alias("distance"))
