@@ -21,13 +21,20 @@ class Deep(RuntimeError):
     """A chain is longer than the rounds allowed."""
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage in spark.checkpoint.dir; only a local session may do without that setting."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, set to a new folder where it is unset; only a local session may do without that setting."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if given is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-checkpoints-"))
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="freshet-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage in spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ import sys
 import duckdb
 import pytest
 
-from freshet.plans import check_queries, geometry_queries, map_queries, model_queries, series_queries, storm_queries  # noqa: F401
+from freshet.plans import check_queries, geometry_queries, map_queries, model_queries, series_queries, stored_queries, storm_queries  # noqa: F401
 from freshet.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
