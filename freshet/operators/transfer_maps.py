@@ -5,11 +5,14 @@ Cells and subbasins are two tables, as a map of a large grid is: Map(cells, subb
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import units
+from . import catalog as cat
 from . import geometry, overlay, transfer
 from .network import checkpointed
 
@@ -141,3 +144,79 @@ def check_map(cells: DataFrame, subbasins: DataFrame, rows: int, cols: int, cell
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("found"), F.lit(float(x)).alias("stated")) for k, x in stated.items()]))
         out = out.union(told(t.select(each.alias("t")).select("t.*"), F.col("k"), totals_differ=off(F.col("found"), F.col("stated"))))
     return out
+
+
+def steps_of(start: datetime, end: datetime, minutes: int) -> int:
+    """How many intervals a window has; it must be naive, of whole minutes, and a whole number of intervals long."""
+    odd = any(t.tzinfo is not None or t.second or t.microsecond for t in (start, end))
+    span = None if odd else int((end - start).total_seconds()) // 60
+    if odd or span <= 0 or minutes <= 0 or span % minutes:
+        raise ValueError("the window must be naive whole minutes, increasing, and a whole number of intervals")
+    return span // minutes
+
+
+def excess(subbasins: DataFrame, catalog: DataFrame, values: DataFrame, a: str, run: str, start: datetime, end: datetime, minutes: int, unit: str = "IN", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(depths(subbasin, t, depth), problems(problem, subject)): each subbasin's excess depths at the interval ends of the window.
+
+    catalog(path, unit, type) lists the paths of values(path, ts, value). A subbasin's paths have A part ``a``, its name as B part,
+    C part PRECIP-EXCESS, an E part of ``minutes`` and the run, case ignored; of several, which differ by their D part, the
+    first is read. Told as problems, and raised when ``strict``: no path, a path listed twice, E parts that differ, another unit, a
+    type that is not PER-CUM, stamps other than exactly the interval ends, values that are negative or not finite. Not strict, a
+    subbasin with a problem has no depths.
+    """
+    n = steps_of(start, end, minutes)
+    if unit.upper() not in transfer.METRES:
+        raise ValueError(f"unknown unit of depth: {unit}")
+    low = lambda c: F.lower(F.col(c))
+    asked = (low("a") == a.strip().lower()) & (low("c") == "precip-excess") & (low("f") == f"run:{run.strip().lower()}") & (units.interval_minutes(F.col("e")) == minutes)
+    listed = cat.parse(catalog).where(asked).groupBy(low("b").alias("_b")).agg(
+        F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.count_distinct(low("e")).alias("encodings"), F.min(F.struct(low("path").alias("k"), "path", "unit", "type")).alias("first")
+    )
+    one = subbasins.select("subbasin", F.lower(F.col("subbasin").cast("string")).alias("_b")).distinct().join(listed, "_b", "left")
+    one = checkpointed(one.select("subbasin", "n", "paths", "encodings", "first.path", "first.unit", "first.type"))
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    on = (F.col("ts") > first) & (F.col("ts") <= last) & (F.timestamp_diff("MICROSECOND", first, F.col("ts")) % (minutes * 60_000_000) == 0)
+    read = values.join(one.select("path", "subbasin"), "path").select("subbasin", "ts", F.col("value").cast("double").alias("value"))
+    v = F.col("value")
+    seen = read.groupBy("subbasin").agg(F.count("*").alias("rows"), F.count_distinct("ts").alias("stamps"), F.count_if(F.coalesce(on, F.lit(False))).alias("on"), F.count_if(~finite(v) | F.coalesce(v < 0, F.lit(True))).alias("bad"))
+    all_ = one.join(seen, "subbasin", "left")
+    there = F.col("path").isNotNull()
+    exact = (F.col("rows") == n) & (F.col("stamps") == n) & (F.col("on") == n)
+    same = lambda c, text: F.coalesce(F.regexp_replace(F.upper(F.trim(c)), "_", "-") == text, F.lit(False))
+    problems = checkpointed(
+        told(
+            all_, F.col("subbasin"), no_path=~there, path_listed_twice=F.col("n") > F.col("paths"), intervals_compete=F.col("encodings") > 1, other_unit=there & ~same("unit", unit.upper()),
+            not_per_cum=there & ~same("type", "PER-CUM"), stamps_differ=there & ~F.coalesce(exact, F.lit(False)), values_not_valid=F.col("bad") > 0,
+        )
+    )
+    if strict:
+        some = problems.orderBy("problem", "subject").limit(5).collect()
+        if some:
+            raise ValueError("; ".join(f"{r.problem}: {r.subject}" for r in some))
+    faulty = problems.select(F.col("subject").alias("_s")).distinct()
+    good = read.join(faulty, F.col("subbasin").cast("string") == F.col("_s"), "left_anti")
+    return good.select("subbasin", F.col("ts").alias("t"), F.col("value").alias("depth")), problems
+
+
+def frames(cells: DataFrame, depths: DataFrame) -> DataFrame:
+    """(t, row_index, column_index, subbasin, depth, area): the depth of every assigned cell at every step; all other cells are 0."""
+    c = cells.where("subbasin is not null").select("subbasin", "row_index", "column_index", "area", "multiplier")
+    return depths.join(c, "subbasin").select("t", "row_index", "column_index", "subbasin", (F.col("depth") * F.col("multiplier")).alias("depth"), "area")
+
+
+def frame_evidence(product: DataFrame, subbasins: DataFrame, depths: DataFrame, unit: str = "IN", absolute: float = 1e-6, relative: float = 1e-9) -> DataFrame:
+    """Volumes of the depths over the subbasins' own areas against those of the frames, as ``transfer.volume_evidence`` tells them."""
+    m = transfer.METRES[unit.upper()]
+    source = depths.join(subbasins.select("subbasin", "source_area"), "subbasin").select("subbasin", F.col("t").alias("step"), (F.col("depth") * m * F.col("source_area")).alias("source"))
+    target = product.groupBy("subbasin", F.col("t").alias("step")).agg((F.sum(F.col("depth") * F.col("area")) * m).alias("target"))
+    return transfer.volume_evidence(source.join(target, ["subbasin", "step"], "full").fillna(0.0, ["source", "target"]), absolute, relative)
+
+
+def delivered(product: DataFrame, minutes: int) -> DataFrame:
+    """Frames stamped at the end of the interval after their own, for readers that take a stamp for an interval's start."""
+    return product.withColumn("t", F.col("t") + F.expr(f"interval {minutes} minutes"))
+
+
+def delivered_origin(origin: tuple[float, float], size: float) -> tuple[float, float]:
+    """The origin moved down to a multiple of the cell size."""
+    return tuple((c // size) * size for c in origin)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import transfer, transfer_maps
@@ -94,3 +96,46 @@ def nearest_in_one_spot(spark, sf):
     t = table(spark, sf, "customer").selectExpr("c_custkey as tid", "double(if(c_custkey % 20 = 0, c_custkey % 97, 50 + c_custkey % 1021 * 0.000001bd)) as tx", "double(if(c_custkey % 20 = 0, c_custkey % 89, 50 + c_custkey % 1013 * 0.000001bd)) as ty")
     p = table(spark, sf, "orders").selectExpr("o_orderkey as id", "double(if(o_orderkey % 3 = 0, o_orderkey % 101 * 0.97bd, 50 + o_orderkey % 2003 * 0.0000007bd)) as x", "double(if(o_orderkey % 3 = 0, o_orderkey % 103 * 0.93bd, 50 + o_orderkey % 1999 * 0.0000006bd)) as y")
     return transfer.nearest(p, t, dense=64).select("id", F.round("distance", 9).alias("distance"))
+
+
+SQL_EXCESS = """WITH v AS (SELECT o_orderkey % 25 AS n, o_orderkey // 25 % 24 + 1 AS h, sum(o_totalprice) / 1000000 AS depth FROM orders GROUP BY ALL),
+m AS (SELECT c_nationkey AS n, CAST(c_custkey AS BIGINT) AS cell, CAST(c_custkey % 4 * 25 AS DOUBLE) AS area FROM customer),
+s AS (SELECT n_nationkey AS n, 1000.0 * (1 + n_nationkey % 7) AS source_area, coalesce(sum(area), 0) AS receiving FROM nation LEFT JOIN m ON m.n = n_nationkey GROUP BY n_nationkey HAVING coalesce(sum(area), 0) > 0),
+g AS (SELECT s.*, v.h, v.depth * 0.0254 * s.source_area AS volume FROM s JOIN v ON v.n = s.n WHERE s.n % 9 <> 4 AND s.n % 11 <> 6 AND s.n % 13 <> 5 AND s.n % 17 <> 8)
+"""
+
+
+def nation_excess(spark, sf):
+    """(cells, subbasins, depths, problems): hourly excess of the nations over a day; some have no path, a gap, another unit or a path twice."""
+    v = table(spark, sf, "orders").selectExpr("o_orderkey % 25 as n", "o_orderkey div 25 % 24 + 1 as h", "o_totalprice").groupBy("n", "h").agg((F.sum("o_totalprice") / 1000000).alias("value"))
+    path = "concat('/Basin/n', n, '/PRECIP-EXCESS/01JAN2024/1HOUR/RUN:Q/')"
+    values = v.where("not (n % 11 = 6 and h = 24)").selectExpr(f"{path} as path", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(h as int), 0, 0) as ts", "value")
+    nation = table(spark, sf, "nation").selectExpr("n_nationkey as n")
+    catalog = nation.where("n % 13 <> 5").union(nation.where("n % 17 = 8")).selectExpr(f"{path} as path", "if(n % 9 = 4, 'mm', 'in') as unit", "'per_cum' as type")
+    catalog = catalog.union(nation.selectExpr("concat('/BASIN/N', n, '/PRECIP-INC/01JAN2024/1HOUR/RUN:Q/') as path", "'IN' as unit", "'PER-CUM' as type"))
+    m = table(spark, sf, "customer").selectExpr("concat('N', c_nationkey) as subbasin", "c_custkey div 50 as row_index", "c_custkey % 50 as column_index", "double(c_custkey % 4 * 25) as area")
+    s = nation.selectExpr("concat('N', n) as subbasin", "1000d * (1 + n % 7) as source_area").join(m.groupBy("subbasin").agg(F.round(F.sum("area"), 9).alias("receiving_area")), "subbasin").where("receiving_area > 0")
+    cells = m.join(s.select("subbasin", (F.col("source_area") / F.col("receiving_area")).alias("multiplier")), "subbasin")
+    depths, problems = transfer_maps.excess(s, catalog, values, "BASIN", "q", datetime(2024, 1, 1), datetime(2024, 1, 2), 60, "IN", strict=False)
+    return cells, s, depths, problems
+
+
+@query(
+    SQL_EXCESS
+    + """SELECT 'no path' AS problem, 'N' || n AS subject FROM s WHERE n % 13 = 5 AND n % 17 <> 8
+UNION ALL SELECT 'path listed twice', 'N' || n FROM s WHERE n % 17 = 8 AND n % 13 <> 5
+UNION ALL SELECT 'other unit', 'N' || n FROM s WHERE n % 9 = 4 AND (n % 13 <> 5 OR n % 17 = 8)
+UNION ALL SELECT 'stamps differ', 'N' || n FROM s WHERE n % 11 = 6 AND (n % 13 <> 5 OR n % 17 = 8)"""
+)
+def excess_problems(spark, sf):
+    """Why a nation's excess cannot be read exactly."""
+    return nation_excess(spark, sf)[3]
+
+
+@query(SQL_EXCESS + "SELECT CASE WHEN grouping(n) = 0 THEN 'N' || n END AS subbasin, CASE WHEN grouping(h) = 0 THEN h END AS \"hour\", round(CAST(sum(volume) AS DOUBLE), 9) AS source, round(CAST(sum(volume) AS DOUBLE), 9) AS target, true AS accepted FROM g GROUP BY GROUPING SETS ((n, h), (n), (h), ())")
+def excess_evidence(spark, sf):
+    """Volumes of the nations' excess and of the frames made of it, by nation and hour and summed over either."""
+    cells, s, depths, _ = nation_excess(spark, sf)
+    out = transfer_maps.frame_evidence(transfer_maps.frames(cells, depths), s, depths)
+    hour = F.timestamp_diff("HOUR", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("step"))
+    return out.select("subbasin", hour.alias("hour"), F.round("source", 9).alias("source"), F.round("target", 9).alias("target"), "accepted")

@@ -1,5 +1,7 @@
 """Transfer maps: strict compilation, areas by polygon, stored maps with faults."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ def grid(areas, cols=3, size=10.0):
 CELLS = "cell_id long, row_index long, column_index long, cx double, cy double, area double"
 VERTICES = "id string, part int, ring int, ord int, x double, y double"
 SOURCES = "subbasin string, declared double, unit string"
+START = datetime(2024, 1, 1)
 TWO = [("A", 300.0, "m2"), ("B", 1.0, "acre")]
 
 
@@ -78,3 +81,49 @@ def test_empty_tables_and_nulls(spark):
     m = transfer_maps.compile_map(odd, v, spark.createDataFrame([("A", 1.0, "m2")], SOURCES), 100.0, strict=False)
     assert {r.cell_id: r.subbasin for r in m.cells.collect()} == {0: None, 1: None, 2: "A"}
     assert [tuple(r) for r in m.problems.collect()] == [("cell area", "0")]
+
+
+def read(spark, rows, listed=None, **kw):
+    path = "/X/{}/PRECIP-EXCESS/D{}/1HOUR/RUN:R/"
+    listed = listed or [(path.format("A", 1), "in", "PER-CUM"), (path.format("A", 2), "in", "PER-CUM")]
+    values = spark.createDataFrame([(path.format("A", 1), START + timedelta(minutes=m), v) for m, v in rows], "path string, ts timestamp_ntz, value double")
+    names = spark.createDataFrame([("a",)], "subbasin string")
+    return transfer_maps.excess(names, spark.createDataFrame(listed, "path string, unit string, type string"), values, " x ", "r", START, START + timedelta(hours=3), 60, "IN", **kw)
+
+
+def test_excess_is_read_exactly_or_refused(spark):
+    good = [(60, 0.1), (120, 0.0), (180, 0.3)]
+    depths, problems = read(spark, good)
+    assert problems.isEmpty() and sorted((r.subbasin, r.depth) for r in depths.collect()) == [("a", 0.0), ("a", 0.1), ("a", 0.3)]
+    one = "/X/A/PRECIP-EXCESS/D1/1HOUR/RUN:R/"
+    for rows, listed, said in (
+        (good[:2], None, "stamps differ"),
+        ([*good, (240, 0.1)], None, "stamps differ"),
+        ([*good[:2], (179, 0.3)], None, "stamps differ"),
+        ([*good[:2], (120, 0.3)], None, "stamps differ"),
+        ([*good[:2], (180, -0.1)], None, "values not valid"),
+        ([*good[:2], (180, None)], None, "values not valid"),
+        (good, [(one, "MM", "PER-CUM")], "other unit"),
+        (good, [(one, "IN", "INST-VAL")], "not per cum"),
+        (good, [(one, "IN", "per_cum")] * 2, "path listed twice"),
+        (good, [(one, "IN", "PER-CUM"), (one.replace("1HOUR", "60MIN"), "IN", "PER-CUM")], "intervals compete"),
+        (good, [(one.replace("RUN:R", "RUN:S"), "IN", "PER-CUM")], "no path"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            read(spark, rows, listed)
+    depths, problems = read(spark, good[:2], strict=False)
+    assert depths.isEmpty() and [tuple(r) for r in problems.collect()] == [("stamps differ", "a")]
+    with pytest.raises(ValueError, match="window"):
+        transfer_maps.steps_of(START, START + timedelta(minutes=90), 60)
+
+
+def test_frames_keep_volumes(spark):
+    m = compiled(spark, [100, 50, 0, 100, 25, 100], [("A", 0, 0, 10, 20), ("B", 10, 0, 20, 20)])
+    depths = spark.createDataFrame([(n, START + timedelta(hours=h), d) for n, d in (("A", 2.0), ("B", 0.5)) for h in (1, 2)], "subbasin string, t timestamp_ntz, depth double")
+    product = transfer_maps.frames(m.cells, depths)
+    assert {(r.row_index, r.column_index): r.depth for r in product.collect()} == {(0, 0): 3.0, (1, 0): 3.0, (0, 1): 0.5 * 4046.8564224 / 75, (1, 1): 0.5 * 4046.8564224 / 75}
+    evidence = transfer_maps.frame_evidence(product, m.subbasins, depths)
+    assert evidence.count() == 9 and evidence.where("not accepted").isEmpty()
+    assert transfer_maps.frame_evidence(product.where("row_index = 0"), m.subbasins, depths).where("not accepted").count() == 9
+    assert {r.t for r in transfer_maps.delivered(product, 60).select("t").collect()} == {START + timedelta(hours=2), START + timedelta(hours=3)}
+    assert transfer_maps.delivered_origin((-5.0, 27.0), 10.0) == (-10.0, 20.0)
