@@ -150,8 +150,8 @@ def duration_classes(spark, sf):
 
 @query("SELECT p_brand, max(p_size) AS duration, round(arg_max(p_retailprice, p_partkey) FILTER (r = 1), 2) AS depth FROM (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY p_size * 100000 + p_partkey DESC) AS r FROM part) GROUP BY 1")
 def curve_totals(spark, sf):
-    p = table(spark, sf, "part").selectExpr("p_brand", "p_size * 100000 + p_partkey as duration", "p_retailprice as depth")
-    return hyetograph.total_of_curve(p, ["p_brand"]).select("p_brand", F.expr("cast(duration div 100000 as int)").alias("duration"), F.round("depth", 2).alias("depth"))
+    p = table(spark, sf, "part").selectExpr("p_brand", "p_size as duration", "struct(p_size * 100000 + p_partkey, p_partkey) as place", "p_retailprice as depth")
+    return hyetograph.total_of_curve(p, ["p_brand"], "place").select("p_brand", "duration", F.round("depth", 2).alias("depth"))
 
 
 def supplier_text(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from freshet.functions import hyetograph, units
 from freshet.functions.interp import interpolate
 from freshet.operators import arf, network, overlay, params, routing, series, transfer
-from freshet.plans import model_queries, series_queries
+from freshet.plans import check_queries, model_queries, series_queries  # noqa: F401
 from freshet.sources import sinks, tables, text
 from freshet.streaming import series as stream
 
@@ -495,3 +495,15 @@ def test_features_by_line_and_refused_collections(spark, tmp_path):
     assert sorted(json.loads(r.value)["properties"]["k"] for r in spark.read.text(f"{tmp_path}/f").collect()) == ["a", "b"]
     with pytest.raises(sinks.Rejected):
         sinks.collection(f, limit=1)
+
+
+def test_curve_totals_of_large_keys(spark, tmp_path):
+    import duckdb
+
+    from freshet.plans.registry import ORACLES, QUERIES
+
+    rows = [(5, "a", 50, 1.0), (100_005, "a", 49, 2.0), (350_000, "b", 7, 3.0), (1, "b", 9, 4.0), (99, "b", 9, 5.0)]  # keys past 100,000, one tie of places
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["curve_totals"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["curve_totals"]).fetchall()) == [("a", 50, 2.0), ("b", 9, 3.0)]
