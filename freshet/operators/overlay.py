@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import copies
 from .network import checkpointed
 
 RING = ["id", "part", "ring"]
@@ -44,6 +45,13 @@ def sides(vertices: DataFrame, level: bool = False) -> DataFrame:
     return ends.withColumn("turn", turned).where(kept).select("id", pick("x", "nx").alias("x1"), pick("y", "ny").alias("y1"), pick("nx", "x").alias("x2"), pick("ny", "y").alias("y2"), (sign * F.col("turn")).alias("sign"))
 
 
+def kinds(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shapes, copies) of a table of sides: the sides of the first polygon, by id, of each shape, and copies(id, rep) with every polygon's."""
+    ends = ("x1", "y1", "x2", "y2", "sign")
+    one, same = copies.kinds(s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*ends))).alias("shape")), ["shape"])
+    return checkpointed(one.select(F.col("rep").alias("id"), F.inline("shape"))), same
+
+
 def areas(vertices: DataFrame) -> DataFrame:
     """(id, area, cx, cy): area and centroid, holes taken off; a polygon without area has null centroid."""
     s = sides(vertices)
