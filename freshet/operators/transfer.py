@@ -172,7 +172,13 @@ def coverage(clips: DataFrame) -> DataFrame:
 def assignments(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """points(id) with their one containing area; status missing or ambiguous where there is none or several."""
     n = pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("area_id").alias("area_id"))
-    return points.select("id").join(n, "id", "left").select("id", F.when(F.col("n") == 1, F.col("area_id")).alias("area_id"), F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("assigned").alias("status"))
+    return assigned(points.select("id").join(n, "id", "left")).drop("n")
+
+
+def assigned(held: DataFrame) -> DataFrame:
+    """held(n, area_id, ...), as geometry.holders tells it, with area_id only where there is one, and its status."""
+    one = F.when(F.col("n") == 1, F.col("area_id"))
+    return held.withColumns({"area_id": one, "status": F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("assigned")})
 
 
 def travel_length(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -95,9 +95,8 @@ SELECT p.id, CASE WHEN count(area_id) = 1 THEN min(area_id) END AS area_id, CASE
 )
 def polygon_assignment(spark, sf):
     """The one supplier's frame that holds each order's point, holes left out."""
-    p = table(spark, sf, "orders").selectExpr("o_orderkey as point", "o_orderkey % 163 * 0.9d + 0.03d as px", "o_orderkey % 141 * 0.8d + 0.01d as py")
-    pairs = geometry.within(p, frames(shapes(spark, sf, "supplier", SUPPLIER)), 4.0).select(F.col("point").alias("id"), F.col("id").alias("area_id"))
-    return transfer.assignments(pairs, p.select(F.col("point").alias("id")))
+    p = table(spark, sf, "orders").selectExpr("o_orderkey as id", "o_orderkey % 163 * 0.9d + 0.03d as px", "o_orderkey % 141 * 0.8d + 0.01d as py")
+    return transfer.assigned(geometry.holders(p, frames(shapes(spark, sf, "supplier", SUPPLIER)), 4.0)).select("id", "area_id", "status")
 
 
 @query(
