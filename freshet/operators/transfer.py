@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import copies
+
 # Metres in a depth unit, cubic metres in an acre-foot, km in a degree at the equator and of latitude.
 METRES = {"IN": 0.0254, "MM": 0.001}
 ACRE_FOOT_M3 = 1233.48183754752
@@ -154,13 +156,16 @@ def cells(boxes: DataFrame, size: float) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """Pairs of boxes of a(id, x0..y1) and b that overlap, with the area; each pair is formed once, in the bucket that
-    holds the lower left corner of its intersection."""
-    bx = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "y0", "x1", "y1")])
+    holds the lower left corner of its intersection. Equal boxes are one until the pairs are written out."""
+    ends = ["x0", "y0", "x1", "y1"]
+    (a, same_a), (b, same_b) = copies.kinds(a, ends), copies.kinds(b, ends)
+    bx = lambda df, p: df.select(*[F.col(c).alias(f"{p}{n}") for c, n in (("rep", "id"), *[(e, e) for e in ends])])
     spread = lambda df, p: df.withColumn("gx", F.explode(F.sequence(F.floor(F.col(f"{p}x0") / size), F.floor(F.col(f"{p}x1") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / size), F.floor(F.col(f"{p}y1") / size))))
-    j = spread(bx(a, "a_"), "a_").join(spread(bx(b, "b_"), "b_"), ["gx", "gy"])
+    j = spread(bx(a, "a_"), "a_").join(copies.shuffled(spread(bx(b, "b_"), "b_")), ["gx", "gy"])
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     w, h = F.least("a_x1", "b_x1") - x0, F.least("a_y1", "b_y1") - y0
-    return j.where((w > 0) & (h > 0) & (F.floor(x0 / size) == F.col("gx")) & (F.floor(y0 / size) == F.col("gy"))).select("a_id", "b_id", (w * h).alias("area"))
+    met = j.where((w > 0) & (h > 0) & (F.floor(x0 / size) == F.col("gx")) & (F.floor(y0 / size) == F.col("gy"))).select("a_id", "b_id", (w * h).alias("area"))
+    return copies.paired(met, same_a, same_b)
 
 
 def coverage(clips: DataFrame) -> DataFrame:
