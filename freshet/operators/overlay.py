@@ -95,16 +95,19 @@ def scale(*tables: DataFrame) -> tuple[float, float]:
     return band, float(r[1] or band)
 
 
-def intersections(a: DataFrame, b: DataFrame, band: float | None = None, width: float | None = None, least: float = 0.0) -> DataFrame:
-    """(a_id, b_id, area) of each pair of polygons of vertices a and b that share an area over ``least``.
+def intersections(a: DataFrame, b: DataFrame, band: float | None = None, width: float | None = None, least: float = 0.0, own: bool = False) -> DataFrame:
+    """(a_id, b_id, area) of each pair of polygons of vertices a and b that share an area over ``least``; with ``own`` only of those with one id.
 
     Sides are cut at bands of y. In a band only polygons whose spans of x overlap meet, found through cells of ``width``; a
     pair counts in the one cell where its overlap begins. The shared area of a band is the signed sum, over pairs of
     sides with common heights, of the integral of the smaller x: crossing sides need no cutting, and what lies left of both
     cancels out. band and width default to the mean height of a side and the mean extent of a polygon, so that a band
-    holds few sides of one polygon. Polygons with one id are one; parts that overlap each other count twice.
+    holds few sides of one polygon. Polygons of one shape are one until the pairs are written out. Polygons with one id are
+    one; parts that overlap each other count twice.
     """
     sa, sb = sides(a), sides(b)
+    if not own:
+        (sa, same_a), (sb, same_b) = kinds(sa), kinds(sb)
     if band is None or width is None:
         found = scale(sa, sb)
         band, width = band or found[0], width or found[1]
