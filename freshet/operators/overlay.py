@@ -116,23 +116,29 @@ def intersections(a: DataFrame, b: DataFrame, band: float | None = None, width:
     cell = lambda c: F.floor(F.col(c) / width)
     cells = lambda s, p: span(s, p).withColumn("cell", F.explode(F.sequence(cell(f"{p}_lo"), cell(f"{p}_hi"))))
     begins = F.greatest("a_lo", "b_lo")
-    pairs = cells(sa, "a").join(cells(sb, "b"), ["k", "cell"]).where((begins < F.least("a_hi", "b_hi")) & (F.floor(begins / width) == F.col("cell"))).select("k", "a_id", "b_id", begins.alias("x0"))
+    meet = begins < F.least("a_hi", "b_hi")
+    if own:
+        spans = span(sa, "a").join(copies.shuffled(span(sb, "b").withColumnRenamed("k", "_k")), (F.col("k") == F.col("_k")) & (F.col("a_id") == F.col("b_id")))
+    else:
+        spans = cells(sa, "a").join(copies.shuffled(cells(sb, "b")), ["k", "cell"]).where(F.floor(begins / width) == F.col("cell"))
+    pairs = spans.where(meet).select("k", "a_id", "b_id", begins.alias("x0"))
     named = lambda s, p: s.select("k", F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2", "sign")])
-    both = pairs.join(named(sa, "a"), ["k", "a_id"]).join(named(sb, "b"), ["k", "b_id"])
+    both = pairs.join(copies.shuffled(named(sa, "a")), ["k", "a_id"]).join(copies.shuffled(named(sb, "b")), ["k", "b_id"])
     lo, hi = F.greatest("ay1", "by1"), F.least("ay2", "by2")
     both = both.withColumn("lo", lo).withColumn("hi", hi).where("hi > lo")
     at = lambda p, y: F.col(f"{p}x1") - F.col("x0") + (F.col(y) - F.col(f"{p}y1")) * (F.col(f"{p}x2") - F.col(f"{p}x1")) / (F.col(f"{p}y2") - F.col(f"{p}y1"))
     both = both.select("a_id", "b_id", (F.col("asign") * F.col("bsign")).alias("sign"), (F.col("hi") - F.col("lo")).alias("h"), at("a", "lo").alias("a1"), at("a", "hi").alias("a2"), at("b", "lo").alias("b1"), at("b", "hi").alias("b2"))
     piece = F.col("sign") * smaller_integral(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"), F.col("h"))
-    return both.groupBy("a_id", "b_id").agg(F.greatest(F.sum(piece), F.lit(0.0)).alias("area")).where(F.col("area") > least)
+    shared = both.groupBy("a_id", "b_id").agg(F.greatest(F.sum(piece), F.lit(0.0)).alias("area")).where(F.col("area") > least)
+    return shared if own else copies.paired(shared, same_a, same_b)
 
 
 def overlap(reference: DataFrame, candidate: DataFrame, band: float | None = None) -> DataFrame:
     """For each id of both coverages the areas, their intersection and union, intersection over union, the shares of either
     that the other covers, and what the candidate misses or adds. An id without a partner, or apart from it, shares nothing."""
-    both = intersections(reference, candidate, band).where("a_id = b_id").select(F.col("a_id").alias("id"), F.col("area").alias("shared"))
+    both = intersections(reference, candidate, band, own=True).select(F.col("a_id").alias("id"), F.col("area").alias("shared"))
     r, c = areas(reference).select("id", F.col("area").alias("reference_area")), areas(candidate).select("id", F.col("area").alias("candidate_area"))
-    all_ = r.join(c, "id", "full").join(both, "id", "left").fillna(0.0, ["reference_area", "candidate_area", "shared"])
+    all_ = r.join(copies.shuffled(c), "id", "full").join(copies.shuffled(both), "id", "left").fillna(0.0, ["reference_area", "candidate_area", "shared"])
     one, other, shared = F.col("reference_area"), F.col("candidate_area"), F.col("shared")
     joined = one + other - shared
     part = lambda n, d: F.when(d != 0, n / d)
