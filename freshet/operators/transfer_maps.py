@@ -80,10 +80,9 @@ def compile_map(cells: DataFrame, vertices: DataFrame, sources: DataFrame, cell_
     if full_cells:
         bad |= (area != 0) & (area != cell_area)
     c = cells.select("cell_id", "row_index", "column_index", "cx", "cy", area.alias("area"), F.coalesce(bad, F.lit(True)).alias("bad"))
-    points = c.where("not bad and area > 0").select(F.col("cell_id").alias("point"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    pairs = geometry.within(points, v, boundary="contains" if full_cells else "covers").select(F.col("point").alias("id"), F.col("id").alias("area_id"))
-    held = checkpointed(transfer.assignments(pairs, points.select(F.col("point").alias("id"))))
-    c = c.join(held.select(F.col("id").alias("cell_id"), F.col("area_id").alias("subbasin"), "status"), "cell_id", "left")
+    taken = F.expr("not bad and area > 0")
+    c = c.select("*", F.when(taken, F.col("cx")).alias("px"), F.when(taken, F.col("cy")).alias("py")).drop("cx", "cy")
+    c = transfer.assigned(geometry.holders(c, v, boundary="contains" if full_cells else "covers")).withColumnRenamed("area_id", "subbasin")
 
     got = c.where("subbasin is not null").groupBy("subbasin").agg(F.count("*").alias("cells"), F.round(F.sum("area"), PLACES).alias("receiving_area"))
     per = names.join(got, "subbasin", "left").fillna(0, ["cells"]).fillna(0.0, ["receiving_area"])
