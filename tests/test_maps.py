@@ -127,3 +127,18 @@ def test_frames_keep_volumes(spark):
     assert transfer_maps.frame_evidence(product.where("row_index = 0"), m.subbasins, depths).where("not accepted").count() == 9
     assert {r.t for r in transfer_maps.delivered(product, 60).select("t").collect()} == {START + timedelta(hours=2), START + timedelta(hours=3)}
     assert transfer_maps.delivered_origin((-5.0, 27.0), 10.0) == (-10.0, 20.0)
+
+
+def test_holders_of_cells_make_no_pairs(spark, monkeypatch):
+    from freshet.operators import copies
+
+    corners = [(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 2.0, 2.0), (3, 0.0, 2.0)]
+    v = spark.createDataFrame([(i, k, x + i // 3, y) for i in range(4) for k, x, y in corners], "id long, ord int, x double, y double")  # three alike
+    cells = spark.createDataFrame([(1, 0, 0, 0.5, 1.0, 50.0), (2, 0, 1, 2.5, 1.0, 50.0), (3, 0, 2, 2.5, 1.0, 0.0), (4, 0, 3, None, 1.0, 50.0), (5, 0, 4, 2.5, 1.0, 500.0)], "cell_id int, row_index int, column_index int, cx double, cy double, area double")
+    sources = spark.range(4).selectExpr("id as subbasin", "1d as declared", "'m2' as unit")
+    paired = []
+    monkeypatch.setattr(copies, "paired", lambda pairs, a, b, real=copies.paired: paired.append(pairs.columns) or real(pairs, a, b))
+    m = transfer_maps.compile_map(cells, v, sources, 100.0, strict=False)
+    assert paired == [["a_id", "b_id", "area"]]  # of polygons that overlap, none of cells
+    assert {r.cell_id: r.subbasin for r in m.cells.collect()} == {1: None, 2: 3, 3: None, 4: None, 5: None}
+    assert {(r.problem, r.subject) for r in m.problems.collect()} >= {("ambiguous cell", "1"), ("cell area", "5"), ("polygons overlap", "0,1"), ("polygons overlap", "0,3")}
