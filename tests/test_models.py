@@ -507,3 +507,15 @@ def test_curve_totals_of_large_keys(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES["curve_totals"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["curve_totals"]).fetchall()) == [("a", 50, 2.0), ("b", 9, 3.0)]
+
+
+def test_storms_of_one_curve_share_its_readings(spark):
+    knots = spark.createDataFrame([("A", 0.0, 0.0), ("A", 0.5, 0.2), ("A", 1.0, 1.0), ("B", 0.0, 0.1), ("B", 1.0, 1.0)], "curve string, x double, y double")
+    storms = spark.range(1000).selectExpr("id as storm_id", "if(id % 2 = 0, 'A', 'B') as curve", "1 + id * 0.5d as depth", "240 as duration_min", "60 as interval_min")
+    assert hyetograph.sample_cumulative(storms.limit(0).union(storms), knots, "curve").where("i = 0").count() == 1000
+    out = hyetograph.cumulative_storm(storms, knots, "curve")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # no sort of all storms' rows
+    at = {"A": [0.0, 0.1, 0.2, 0.6, 1.0], "B": [0.1, 0.325, 0.55, 0.775, 1.0]}
+    for r in out.where("storm_id in (0, 7, 998)").collect():
+        y, depth = at["AB"[r.storm_id % 2]], 1 + r.storm_id * 0.5
+        assert r.hour == r.i and r.cumulative_depth == pytest.approx(y[r.i] * depth) and r.incremental_depth == pytest.approx((y[r.i] - (y[r.i - 1] if r.i else 0)) * depth)
