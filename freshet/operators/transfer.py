@@ -127,8 +127,8 @@ def nearest(points: DataFrame, targets: DataFrame, size: float | None = None, ri
     cell = lambda c: F.floor(F.col(c) / size)
     fullest = targets.select("tx", "ty").distinct().groupBy(cell("tx"), cell("ty")).count().agg(F.max("count")).first()[0]
     if fullest > dense:
-        out = spatial.nearest(left, targets)
-        return rows.join(out.select("k", "tid", "distance"), "k", "left").select("row.*", "tid", "distance")
+        out = spatial.nearest(rows.select("k", F.col("row.x").alias("x"), F.col("row.y").alias("y"), "row").where(placed), targets).select("row.*", "tid", "distance")
+        return out.union(rows.select("row.*").where(f"not coalesce({placed}, false)").select("*", *lost))
     found = []
     while True:
         b = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731

@@ -53,3 +53,21 @@ def test_grid_gives_way_to_the_tree(spark):
     rows = lambda d: sorted((r.name, r.x or 0, r.tid or -1, round(r.distance or 0, 9)) for r in d.select(F.col("name"), "x", "tid", "distance").collect())
     by_tree, by_grid = rows(transfer.nearest(p, t)), rows(transfer.nearest(p, t, dense=10**9))
     assert by_tree == by_grid and len(by_tree) == 63
+
+
+def test_rounds_write_cells_and_not_points(spark, monkeypatch):
+    rng = random.Random(5)
+    p = [(i, 20 + rng.uniform(0, 1e-7), 30 + rng.uniform(0, 1e-7)) for i in range(3000)]
+    t = spread("spot", rng, 500)
+    written = []
+    keep = spatial.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        if {"px", "best"} <= set(out.columns):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "checkpointed", counted)
+    got = spatial.nearest(spark.createDataFrame(p, "k long, x double, y double"), spark.createDataFrame([(i, *xy) for i, xy in enumerate(t)], "tid long, tx double, ty double"))
+    assert got.count() == 3000 and written and max(written) < 1000, written
