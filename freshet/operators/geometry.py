@@ -7,6 +7,7 @@ from . import copies, overlay
 from .network import checkpointed
 
 BOUNDARIES = ("half-open", "covers", "contains")
+HELD = 250_000  # places that are broadcast to the points
 
 
 def _met(places: DataFrame, s: DataFrame, band: float | None, boundary: str) -> DataFrame:
@@ -30,12 +31,10 @@ def _met(places: DataFrame, s: DataFrame, band: float | None, boundary: str) ->
     return met.where(kept).select("a_id", "b_id", (inside & ~F.col("on")).alias("contains"))
 
 
-def _kinds(points: DataFrame, vertices: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _shapes(vertices: DataFrame, boundary: str) -> tuple[DataFrame, DataFrame]:
     if boundary not in BOUNDARIES:
         raise ValueError(boundary)
-    places, same_place = copies.kinds(points, ["px", "py"], "point")
-    shapes, same_shape = overlay.kinds(overlay.sides(vertices, level=boundary != "half-open"))
-    return places, same_place, shapes, same_shape
+    return overlay.kinds(overlay.sides(vertices, level=boundary != "half-open"))
 
 
 def within(points: DataFrame, vertices: DataFrame, band: float | None = None, boundary: str = "half-open", told: bool = False) -> DataFrame:
@@ -48,7 +47,8 @@ def within(points: DataFrame, vertices: DataFrame, band: float | None = None, bo
     for a point on a side: 'half-open' (in for the lower and left ones, so that areas that share a side share no point),
     'covers' (in) or 'contains' (out). Points without coordinates are in no polygon.
     """
-    places, same_place, shapes, same_shape = _kinds(points, vertices, boundary)
+    shapes, same_shape = _shapes(vertices, boundary)
+    places, same_place = copies.kinds(points, ["px", "py"], "point")
     met = _met(places, shapes, band, boundary)
     out = copies.paired(met if told else met.select("a_id", "b_id"), same_place, same_shape)
     return out.withColumnsRenamed({"a_id": "point", "b_id": "id"})
@@ -57,11 +57,16 @@ def within(points: DataFrame, vertices: DataFrame, band: float | None = None, bo
 def holders(points: DataFrame, vertices: DataFrame, band: float | None = None, boundary: str = "half-open") -> DataFrame:
     """Every row of points(px, py, ...) with n, how many polygons hold it as in ``within``, and area_id, the smallest of them; null where none does.
 
-    They are counted by places and shapes, so no pair is written out.
+    They are counted by places and shapes, so no pair is written out. While the places held are at most ``HELD`` they are broadcast and
+    the points stay where they are; to more the points go by their place, and those without one stay apart.
     """
-    places, _, shapes, same_shape = _kinds(points.select(F.lit(0).alias("point"), "px", "py"), vertices, boundary)
-    places = places.drop("rep").withColumn("rep", F.struct("px", "py"))
+    shapes, same_shape = _shapes(vertices, boundary)
+    places = checkpointed(points.select("px", "py").dropna().distinct()).withColumn("rep", F.struct("px", "py"))
     size = same_shape.groupBy(F.col("rep").alias("b_id")).agg(F.count("*").alias("_n"))
     met = _met(places, shapes, band, boundary).join(copies.shuffled(size), "b_id")
     held = checkpointed(met.groupBy("a_id").agg(F.sum("_n").alias("n"), F.min("b_id").alias("area_id")).select("a_id.*", "n", "area_id"))
-    return points.join(held, ["px", "py"], "left")
+    if held.count() <= HELD:
+        return points.join(F.broadcast(held), ["px", "py"], "left")
+    placed = F.col("px").isNotNull() & F.col("py").isNotNull()
+    out = points.where(placed).join(copies.shuffled(held), ["px", "py"], "left")
+    return out.unionByName(points.where(~placed).select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast(held.schema["area_id"].dataType).alias("area_id")))

@@ -47,3 +47,18 @@ def test_told_boundaries(spark):
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.0, 0.5), (3, 0.0, 0.5), (4, 9.0, 9.0), (5, None, 1.0)], "point int, px double, py double")
     got = {(r.point, r.id, r.contains) for r in geometry.within(p, squares(spark, 1), boundary="covers", told=True).collect()}
     assert got == {(1, 0, True), (2, 0, False), (3, 0, False)}
+
+
+def test_held_places_go_to_the_points(spark, monkeypatch):
+    corners = [(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 2.0, 2.0), (3, 0.0, 2.0)]
+    v = spark.createDataFrame([(i, k, x + i // 3, y) for i in range(4) for k, x, y in corners], "id long, ord int, x double, y double")
+    p = spark.createDataFrame([(1, 0.5, 1.0), (2, 2.5, 1.0), (3, None, 1.0), (4, 9.0, 9.0), (5, 2.5, 1.0), (6, float("nan"), 1.0), (7, 0.5, None)], "point int, px double, py double")
+    want = {1: (3, 0), 2: (1, 3), 3: (None, None), 4: (None, None), 5: (1, 3), 6: (None, None), 7: (None, None)}
+    few = geometry.holders(p, v)
+    plan = few._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no point is shuffled
+    monkeypatch.setattr(geometry, "HELD", 1)
+    many = geometry.holders(p, v)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().sparkPlan().toString()
+    for found in (few, many):
+        assert found.count() == 7 and {r.point: (r.n, r.area_id) for r in found.collect()} == want
