@@ -28,11 +28,11 @@ PLACES = 9  # decimals of a receiving area
 
 class Map(NamedTuple):
     """cells(cell_id, row_index, column_index, subbasin, area, multiplier), subbasins(subbasin, declared, unit, source_area, cells,
-    receiving_area, multiplier) and problems(problem, subject) found on the way."""
+    receiving_area, multiplier) and problems(problem, subject), if they were asked for."""
 
     cells: DataFrame
     subbasins: DataFrame
-    problems: DataFrame
+    problems: DataFrame | None
 
 
 def square_metres(value: Column, unit: Column) -> Column:
@@ -55,7 +55,7 @@ def told(df: DataFrame, subject: Column, **when: Column) -> DataFrame:
     return df.select(F.explode(each).alias("problem"), subject.cast("string").alias("subject"))
 
 
-def compile_map(cells: DataFrame, vertices: DataFrame, sources: DataFrame, cell_area: float, full_cells: bool = False, strict: bool = True) -> Map:
+def compile_map(cells: DataFrame, vertices: DataFrame, sources: DataFrame, cell_area: float, full_cells: bool = False, strict: bool = True, problems: bool = True) -> Map:
     """The map of cells(cell_id, row_index, column_index, cx, cy, area) that lie in the subbasins of vertices(id, part, ring, ord, x, y).
 
     ``area`` is the part of a cell that receives, from 0 to ``cell_area``. sources(subbasin, declared, unit) selects the
@@ -66,7 +66,7 @@ def compile_map(cells: DataFrame, vertices: DataFrame, sources: DataFrame, cell_
     Cells that no subbasin covers get factor 0. Told as problems, and raised when ``strict``: a name selected twice or without
     a polygon, an area or unit that is not valid, polygons that share an area, a cell in several subbasins, a subbasin
     without receiving cells, a cell area out of bounds. Not strict, such cells are left without a subbasin and such subbasins have
-    no factor; of a name selected twice one row stays.
+    no factor; of a name selected twice one row stays. Without ``problems`` (and not strict) none are looked for, and no polygon meets another.
     """
     names = checkpointed(sources.groupBy("subbasin").agg(F.min(F.struct(F.col("declared").cast("double").alias("declared"), "unit")).alias("s"), F.count("*").alias("rows")))
     names = names.select("subbasin", "rows", "s.declared", "s.unit")
@@ -87,17 +87,19 @@ def compile_map(cells: DataFrame, vertices: DataFrame, sources: DataFrame, cell_
     got = c.where("subbasin is not null").groupBy("subbasin").agg(F.count("*").alias("cells"), F.round(F.sum("area"), PLACES).alias("receiving_area"))
     per = names.join(got, "subbasin", "left").fillna(0, ["cells"]).fillna(0.0, ["receiving_area"])
     per = checkpointed(per.withColumn("multiplier", F.when(F.col("receiving_area") > 0, F.col("source_area") / F.col("receiving_area"))))
-    total = per.agg(F.sum("shape")).first()[0] or 0.0
-    shared = overlay.intersections(v, v, least=max(1e-6, total * 1e-12)).where("a_id < b_id")
-    problems = told(per, F.col("subbasin"), name_selected_twice=F.col("rows") > 1, no_polygon=F.coalesce(F.col("shape") <= 0, F.lit(True)), area_or_unit=F.col("source_area").isNull() & F.lit(not full_cells), no_receiving_cells=F.col("receiving_area") <= 0)
-    problems = problems.union(shared.select(F.lit("polygons overlap").alias("problem"), F.concat_ws(",", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("subject")))
-    problems = problems.union(told(c, F.col("cell_id"), cell_area=F.col("bad"), ambiguous_cell=F.col("status") == "ambiguous"))
+    found = None
+    if problems or strict:
+        total = per.agg(F.sum("shape")).first()[0] or 0.0
+        shared = overlay.intersections(v, v, least=max(1e-6, total * 1e-12)).where("a_id < b_id")
+        found = told(per, F.col("subbasin"), name_selected_twice=F.col("rows") > 1, no_polygon=F.coalesce(F.col("shape") <= 0, F.lit(True)), area_or_unit=F.col("source_area").isNull() & F.lit(not full_cells), no_receiving_cells=F.col("receiving_area") <= 0)
+        found = found.union(shared.select(F.lit("polygons overlap").alias("problem"), F.concat_ws(",", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("subject")))
+        found = found.union(told(c, F.col("cell_id"), cell_area=F.col("bad"), ambiguous_cell=F.col("status") == "ambiguous"))
     if strict:
-        first = problems.orderBy("problem", "subject").limit(5).collect()
+        first = found.orderBy("problem", "subject").limit(5).collect()
         if first:
             raise ValueError("; ".join(f"{r.problem}: {r.subject}" for r in first))
     c = c.join(per.select("subbasin", "multiplier"), "subbasin", "left").withColumn("multiplier", F.when(F.col("subbasin").isNull(), 0.0).otherwise(F.col("multiplier")))
-    return Map(c.select("cell_id", "row_index", "column_index", "subbasin", "area", "multiplier"), per.select("subbasin", "declared", "unit", "source_area", "cells", "receiving_area", "multiplier"), problems)
+    return Map(c.select("cell_id", "row_index", "column_index", "subbasin", "area", "multiplier"), per.select("subbasin", "declared", "unit", "source_area", "cells", "receiving_area", "multiplier"), found)
 
 
 def totals(cells: DataFrame, subbasins: DataFrame) -> DataFrame:

@@ -22,13 +22,13 @@ g AS (SELECT s.id, s.source_area, count(h.id) AS cells, coalesce(sum(h.area), 0)
 """
 
 
-def supplier_map(spark, sf):
+def supplier_map(spark, sf, problems=False):
     """The map of the orders' cells to the suppliers' frames, which overlap here and there, with a unit that none knows."""
     v = frames(shapes(spark, sf, "supplier", SUPPLIER))
     unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), F.expr("cast(s_suppkey % 6 + 1 as int)"))
     sources = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("subbasin"), F.expr("double(1 + s_suppkey % 7)").alias("declared"), unit.alias("unit"))
     cells = table(spark, sf, "orders").selectExpr("o_orderkey as cell_id", "o_orderkey div 100 as row_index", "o_orderkey % 100 as column_index", "o_orderkey % 163 * 0.9d + 0.03d as cx", "o_orderkey % 141 * 0.8d + 0.01d as cy", "double(o_orderkey % 5 * 25 + if(o_orderkey % 97 = 0, 200, 0)) as area")
-    return transfer_maps.compile_map(cells, v, sources, CELL, strict=False)
+    return transfer_maps.compile_map(cells, v, sources, CELL, strict=False, problems=problems)
 
 
 @query(SQL + "SELECT id AS subbasin, round(CAST(source_area AS DOUBLE), 6) AS source_area, cells, CAST(receiving_area AS DOUBLE) AS receiving_area, round(CASE WHEN receiving_area > 0 THEN CAST(source_area AS DOUBLE) / receiving_area END, 6) AS multiplier FROM g")
@@ -53,7 +53,7 @@ UNION ALL SELECT 'polygons overlap', a.id || ',' || b.id FROM f a JOIN f b ON a.
 )
 def transfer_map_problems(spark, sf):
     """Everything that keeps this map from being compiled strictly."""
-    return supplier_map(spark, sf).problems
+    return supplier_map(spark, sf, problems=True).problems
 
 
 @query(

@@ -142,3 +142,11 @@ def test_holders_of_cells_make_no_pairs(spark, monkeypatch):
     assert paired == [["a_id", "b_id", "area"]]  # of polygons that overlap, none of cells
     assert {r.cell_id: r.subbasin for r in m.cells.collect()} == {1: None, 2: 3, 3: None, 4: None, 5: None}
     assert {(r.problem, r.subject) for r in m.problems.collect()} >= {("ambiguous cell", "1"), ("cell area", "5"), ("polygons overlap", "0,1"), ("polygons overlap", "0,3")}
+
+
+def test_no_polygon_meets_another_when_problems_are_not_asked_for(spark, monkeypatch):
+    from freshet.operators import overlay
+
+    monkeypatch.setattr(overlay, "intersections", lambda *a, **k: pytest.fail("polygons met"))
+    m = compiled(spark, [100, 50, 0, 100, 25, 100], [("A", 0, 0, 10, 20), ("B", 10, 0, 20, 20)], strict=False, problems=False)
+    assert m.problems is None and {r.subbasin: r.cells for r in m.subbasins.collect()} == {"A": 2, "B": 2}
