@@ -519,3 +519,24 @@ def test_storms_of_one_curve_share_its_readings(spark):
     for r in out.where("storm_id in (0, 7, 998)").collect():
         y, depth = at["AB"[r.storm_id % 2]], 1 + r.storm_id * 0.5
         assert r.hour == r.i and r.cumulative_depth == pytest.approx(y[r.i] * depth) and r.incremental_depth == pytest.approx((y[r.i] - (y[r.i - 1] if r.i else 0)) * depth)
+
+
+def test_a_growing_network_is_walked_past_the_first_rounds(spark, monkeypatch):
+    from freshet.operators import network
+
+    monkeypatch.setattr(network, "SHALLOW", 3)
+    monkeypatch.setattr(network, "FRONTIER", 40)
+    real, deep = network.owners, []
+    monkeypatch.setattr(network, "owners", lambda *a: deep.append(1) or real(*a))
+    target = spark.createDataFrame([(1,), (5,)], "target long")
+    up = lambda e: sorted((r.target, r.name) for r in network.upstream(e, target).collect())
+    tree = spark.range(2, 600).selectExpr("id as src", "'Reach' as src_type", "id div 2 as dst")
+    tree = tree.union(spark.range(7, 600, 7).selectExpr("id", "'Diversion'", "id div 3"))
+
+    def holds(i, t):
+        return i == t or i > t and (holds(i // 2, t) or i % 7 == 0 and holds(i // 3, t))
+
+    want = sorted((t, i) for t in (1, 5) for i in range(2, 600) for d in ([i // 2, i // 3] if i % 7 == 0 else [i // 2]) if holds(d, t))
+    assert up(tree) == want and not deep
+    chain = spark.range(2, 60).selectExpr("id as src", "'Reach' as src_type", "id - 1 as dst")
+    assert up(chain) == sorted((t, i) for t in (1, 5) for i in range(t + 1, 60)) and deep
