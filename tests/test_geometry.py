@@ -240,6 +240,31 @@ def test_near_pairs_equal_all_pairs(spark, tolerance):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_dense_vectors_make_few_pairs(spark, monkeypatch):
+    from freshet.operators import fingerprints
+
+    rng = random.Random(5)
+    spot = [(i, [rng.uniform(0.1, 0.19) for _ in range(3)]) for i in range(200)]
+    rows = [*spot, (500, [0.25, 0.15, 0.15]), (501, [0.34, 0.15, 0.15]), (502, [0.45, 0.15, 0.15]), (503, [0.9] * 3), (503, [2.0] * 3), (504, [2.05] * 3), (505, [0.95] * 3)]
+    met = []
+    monkeypatch.setattr(fingerprints, "components", lambda pairs, real=fingerprints.components: met.append(pairs.count()) or real(pairs))
+    for few in (0, fingerprints.FEW):
+        monkeypatch.setattr(fingerprints, "FEW", few)
+        got = {tuple(r) for r in fingerprints.near_groups(spark.createDataFrame(rows, "id long, v array<double>"), 0.1).collect()}
+        assert got == {(i, 0) for i, _ in [*spot, (500, 0), (501, 0)]} | {(503, 503), (504, 503), (505, 503)}
+    assert max(met) < 210  # all pairs of the spot are 19,900
+
+
+def test_cells_get_narrower_as_vectors_get_more():
+    from types import SimpleNamespace
+
+    from freshet.operators import fingerprints
+
+    per = lambda n: [SimpleNamespace(k=k, lo=-0.4, hi=0.4, sd=0.12, n=n) for k in range(6)]
+    widths = [max(w for _, _, w in fingerprints._grid(per(n), 0.05)) for n in (10_000, 1_000_000, 100_000_000)]
+    assert widths[0] > widths[1] > widths[2] and len(fingerprints._grid(per(1_000_000), 0.05)) == 6
+
+
 @pytest.mark.parametrize("seed,diversions", [(0, 0), (2, 12)])
 def test_upstream_of_random_networks(spark, seed, diversions):
     """Long chains, trees, diversions and cycles against a walk."""
